@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .base import fold, hashes, materialize, mix, signed, slices, table
 
 #: Tokens of a cell group, characters for each partition of the tables, counts that are discounted.
-TOKENS, CHARS, LOW = 4_000_000, 32_000_000, 5
+TOKENS, CHARS, LOW = 2_000_000, 16_000_000, 5
 START, END = np.uint64(0x5EED0001), np.uint64(0x5EED0002)
 STATS = "known long, base double, logs double, " + ", ".join(f"m{r} long" for r in range(1, LOW + 1))
 HIST = "h long, " + ", ".join(f"t{r} long" for r in range(1, LOW + 1)) + ", big long, low double"
@@ -193,17 +193,20 @@ def evaluated(cells: DataFrame, parts: int, hot: dict[int, int], unigrams: Unigr
         w, h, row, held = map(np.concatenate, (w, h, row, held))
         total = first[-1]
         uw, wi = np.unique(w, return_inverse=True)
-        end_word, c_types = w == END, np.bincount(wi[~held], minlength=len(uw))
+        end_word, wi = w == END, wi.astype(np.int32)
+        del w
+        c_types = np.bincount(wi[~held], minlength=len(uw))
         if len(hot_w):
             at = np.minimum(np.searchsorted(hot_w, uw), len(hot_w) - 1)
             c_types = np.where(hot_w[at] == uw, hot_n[at], c_types)
         p_types = unigrams(c_types)
         c_w = c_types[wi]
         uh, hi = np.unique(h, return_inverse=True)
+        del h
         pairs, pi = np.unique(wi.astype(np.int64) << 32 | hi, return_inverse=True)
-        del w, h
         c_pairs = np.bincount(pi[~held], minlength=len(pairs))
         c_hw = c_pairs[pi]
+        del pi
         by_row = lambda which=None, weights=None: np.bincount(row if which is None else row[which], weights if which is None or weights is None else weights[which], minlength=total)
         unseen = c_hw == 0
         logs = np.where(unseen, np.log10(p_types)[wi], np.where(c_hw > LOW, np.log10(np.maximum(c_hw, 1)), 0.0))
