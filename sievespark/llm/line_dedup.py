@@ -41,13 +41,16 @@ def removals(docs: DataFrame) -> DataFrame:
     """row_id, row_hash and the starts of the chunks to remove."""
     rows = with_chunks(docs.select("doc_id", "text").where("text IS NOT NULL"))
     several = rows.select(*row_key(), F.filter("cs", lambda c: c["n"] > 1).alias("cs"))
-    each = several.select("row_id", "row_hash", F.posexplode("cs").alias("i", "c"), F.transform("cs", lambda c: F.xxhash64(c["body"])).alias("keys"))
-    each = each.select("row_id", "row_hash", F.col("c.start").alias("start"), F.col("c.body").alias("body"), F.get("keys", F.col("i")).alias("k1"), F.xxhash64(F.lit(1), "c.body").alias("k2"), (F.array_position("keys", F.get("keys", F.col("i"))) <= F.col("i")).alias("later"))
+    # explode_outer: for explode, the optimizer filters by the array's size and puts its whole expression, cuts and hashes, inside.
+    each = several.select("row_id", "row_hash", F.explode_outer("cs").alias("c")).where("c IS NOT NULL")
+    each = each.select("row_id", "row_hash", F.col("c.start").alias("start"), F.col("c.body").alias("body"), F.xxhash64("c.body").alias("k1"), F.xxhash64(F.lit(1), "c.body").alias("k2"))
     named = F.when(F.col("row_id") == -(2**63), None).otherwise(F.col("row_id"))
-    bodies = each.groupBy("k1", "k2", "body").agg(F.count(F.lit(1)).alias("c"), F.min(named).alias("keeper"), F.max("row_id").alias("last"))
+    bodies = each.groupBy("k1", "k2", "body").agg(F.count(F.lit(1)).alias("c"), F.min(named).alias("keeper"))
     keys = bodies.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("bodies"), F.sum("c").alias("c"), F.min("keeper").alias("keeper")).where("bodies = 1 AND c > 1")
-    placed = each.select("row_id", "row_hash", "start", "k1", "k2", "later").join(keys.select("k1", "k2", F.coalesce("keeper", F.lit(-(2**63))).alias("keeper")), ["k1", "k2"])
-    return placed.where("later OR row_id <> keeper").groupBy("row_id", "row_hash").agg(F.collect_set("start").alias("gone"))
+    placed = each.select("row_id", "row_hash", "start", "k1", "k2").join(keys.select("k1", "k2", F.coalesce("keeper", F.lit(-(2**63))).alias("keeper")), ["k1", "k2"])
+    starts = placed.groupBy("row_id", "row_hash", "k1", "k2", "keeper").agg(F.array_sort(F.collect_set("start")).alias("ss"))
+    gone = starts.select("row_id", "row_hash", F.when(F.col("row_id") == F.col("keeper"), F.slice("ss", 2, F.size("ss"))).otherwise(F.col("ss")).alias("ss")).where(F.size("ss") > 0)
+    return gone.groupBy("row_id", "row_hash").agg(F.flatten(F.collect_list("ss")).alias("gone"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
