@@ -44,7 +44,7 @@ def grams(text: str) -> np.ndarray:
             for i in range(n):
                 g = g << np.uint64(8) | a[i : len(a) - n + 1 + i]
             out.append(g)
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def slots(g: np.ndarray) -> list[np.ndarray]:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .base import fold, mix, slices, table
 
 #: Texts to fit on, hashed features, rounds of full-batch Adam, weight decay.
-POSITIVES, UNLABELLED, BUCKETS, ROUNDS, DECAY = 3000, 6000, 1024, 400, 1e-4
+POSITIVES, UNLABELLED, BUCKETS, ROUNDS, DECAY = 3000, 6000, 1024, 400, 1e-3
 SHAPES = 8
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
