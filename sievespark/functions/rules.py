@@ -13,7 +13,8 @@ from .scalar import luhn
 @dataclass(frozen=True)
 class Rule:
     """pattern: in the common part of Java's and RE2's syntax. hint: a literal that every hit's text contains.
-    edge: characters that must not stand beside a hit. accept: a further test of the value."""
+    edge: characters that must not stand beside a hit. lead and tail: the hit's parts that are not in the value.
+    accept: a further test of the value, as a Column function or as SQL that both engines read."""
 
     id: str
     category: str
@@ -24,6 +25,13 @@ class Rule:
     edge: str = ""
     accept: object = None
     accept_sql: str = "TRUE"
+    lead: str = ""
+    tail: str = ""
+
+    def test(self, value: Column) -> Column | None:
+        if self.accept:
+            return self.accept(value)
+        return None if self.accept_sql == "TRUE" else F.expr(self.accept_sql)
 
 
 def octets(v: Column) -> Column:
@@ -36,18 +44,18 @@ PERSONAL = [
     Rule("ipv4", "personal", "IP_ADDRESS", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", 0.85, ".", "0-9A-Za-z.", octets, "list_bool_and(list_transform(string_split(value, '.'), lambda x: CAST(x AS INT) <= 255))"),
     Rule("luhn", "personal", "CREDIT_CARD", r"[0-9]{13,19}", 0.85, "", "0-9A-Za-z.", luhn,
          "len(list_distinct(string_split(value, ''))) > 1 AND list_sum(list_transform(range(1, length(value) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST(value[length(value) + 1 - k] AS INT) WHEN CAST(value[length(value) + 1 - k] AS INT) > 4 THEN CAST(value[length(value) + 1 - k] AS INT) * 2 - 9 ELSE CAST(value[length(value) + 1 - k] AS INT) * 2 END)) % 10 = 0"),
-    Rule("ssn-label", "personal", "US_SSN", r"(?:SSN|ssn)[: ]+[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.9, "-", "0-9"),
+    Rule("ssn-label", "personal", "US_SSN", r"(?:SSN|ssn)[: ]+[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.9, "-", "0-9", lead="(?:SSN|ssn)[: ]+"),
     Rule("honorific-name", "personal", "PERSON", r"(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z][a-z]+(?: [A-Z][a-z]+)?", 0.85, ". ", "A-Za-z"),
-    Rule("messenger-handle", "personal", "USERNAME", r" @[A-Za-z][A-Za-z0-9_]{4,31}", 0.65, " @", "@/"),
+    Rule("messenger-handle", "personal", "USERNAME", r" @[A-Za-z][A-Za-z0-9_]{4,31}", 0.65, " @", "@/", lead=" "),
     Rule("tel-uri", "personal", "PHONE", r"tel:\+?[0-9][0-9().-]{5,18}[0-9]", 0.85, "tel:"),
     Rule("national-phone", "personal", "PHONE", r"\([2-9][0-9]{2}\) [2-9][0-9]{2}-[0-9]{4}", 0.85, "(", "0-9"),
 ]
 CREDENTIAL = [
-    Rule("context", "credential", "SECRET", r"(?:token|password|secret|api_key|apikey) ?[=:] ?\"[^\"\n]{8,256}\"", 0.95, "\""),
-    Rule("url-userinfo", "credential", "SECRET", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/@]{1,128}@", 0.95, "://"),
+    Rule("context", "credential", "SECRET", r"(?:token|password|secret|api_key|apikey) ?[=:] ?\"[^\"\n]{8,256}\"", 0.95, "\"", lead=r"[a-z_]+ ?[=:] ?\"", tail=r"\""),
+    Rule("url-userinfo", "credential", "SECRET", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/@]{1,128}@", 0.95, "://", lead=r"[a-z][a-z0-9+.-]{1,20}://", tail="@"),
     Rule("private-key", "credential", "PRIVATE_KEY", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,30}PRIVATE KEY-----", 0.95, "PRIVATE KEY"),
     Rule("password-hash", "credential", "SECRET", r"\$2[aby]\$[0-9]{2}\$[A-Za-z0-9./]{53}", 0.95, "$2"),
-    Rule("authorization", "credential", "SECRET", r"Authorization: (?:Bearer|Basic) [A-Za-z0-9._~+/=-]{8,1000}", 0.95, "Authorization"),
+    Rule("authorization", "credential", "SECRET", r"Authorization: (?:Bearer|Basic) [A-Za-z0-9._~+/=-]{8,1000}", 0.95, "Authorization", lead="Authorization: (?:Bearer|Basic) "),
 ]
 DEFAULT = [*PERSONAL, *CREDENTIAL]
 

@@ -43,6 +43,13 @@ def overlap_semi(findings: DataFrame, spans: DataFrame, key: str = "doc_id") ->
     return findings.join(s, (F.col(key) == F.col("k")) & (F.col("s") < F.col("end")) & (F.col("start") < F.col("e")), "left_semi")
 
 
+def beyond_baseline(findings: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Findings left when each of a baseline's n entries of a fingerprint takes one; only fingerprints that it has are ranked."""
+    joined = findings.join(known, "fp", "left")
+    ranked = joined.where("n IS NOT NULL").withColumn("rn", F.row_number().over(W.partitionBy("fp").orderBy(key, "start"))).where("rn > n").drop("rn")
+    return joined.where("n IS NULL").unionByName(ranked).drop("n")
+
+
 def numbered(findings: DataFrame, key: str = "doc_id") -> DataFrame:
     """Number of a value among those of its type in a document, by first appearance."""
     seen = findings.groupBy(key, "type", "value").agg(F.min("start").alias("first_start"))

@@ -9,9 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions.formats import FORMATS
+from ..functions.national import IDENTIFIERS
 from ..functions.rules import DEFAULT, PROVIDERS, provider_rule
+from ..functions.samples import with_sample
 from ..operators import spans as P
 from ..operators.detect import detect, detect_sql
+from ..operators.national import detect_national, national_sql
 
 KEY = b"an example key, not a secret"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,14 +68,20 @@ def _hash(expr: str, engine: str) -> str:
     return expr
 
 
-for _p in PROVIDERS:
-    _t = _token(_p[1], _p[2], _p[3])
+def on_samples(name: str, made: Callable[[str], str], found: Callable[[DataFrame], DataFrame], sql: Callable[[str], str]) -> None:
+    """A query over every whole text with a sample behind it, which both engines make from the row's id."""
+    table = f"(SELECT doc_id, {made('duck')} AS text FROM documents)"
+    query(name, sql(table))(lambda spark, d: found(docs(spark, d).select("doc_id", F.expr(made("spark")).alias("text"))))
 
-    def _provider(spark, d, p=_p, t=_t):
-        made = docs(spark, d).withColumn("text", F.concat(F.coalesce(F.left("text", F.lit(200)), F.lit("")), F.lit("\n<"), F.expr(_hash(t, "spark")), F.lit(">\n")))
-        return detect(made, [provider_rule(*p)]).select("doc_id", "start", "end", "rule", "value")
 
-    query("det_provider_" + _p[0].replace("-", "_"), f"SELECT doc_id, CAST(least(200, length(coalesce(text, ''))) + 2 AS BIGINT) AS start, CAST(least(200, length(coalesce(text, ''))) + 2 + length(v) AS BIGINT) AS \"end\", '{_p[0]}' AS rule, v AS value FROM (SELECT *, {_hash(_t, 'duck')} AS v FROM documents)")(_provider)
+for _p in PROVIDERS:
+    _t = _token(_p[1], _p[2], _p[3])
+    on_samples("det_provider_" + _p[0].replace("-", "_"), lambda engine, t=_t: f"concat(coalesce(text, ''), chr(10), '<', {_hash(t, engine)}, '>', chr(10))",
+               lambda made, r=provider_rule(*_p): detect(made, [r]), lambda table, r=provider_rule(*_p): detect_sql([r], table))
+for _r, _s in FORMATS:
+    on_samples("det_" + _r.id.replace("-", "_"), lambda engine, t=with_sample(_s): t, lambda made, r=_r: detect(made, [r]), lambda table, r=_r: detect_sql([r], table))
+for _i in IDENTIFIERS:
+    on_samples("det_national_" + _i.type.lower(), lambda engine, t=with_sample(_i.sample): t, lambda made, i=_i: detect_national(made, [i]), lambda table, i=_i: national_sql(i, table))
 
 # Policy.
 on_findings("pol_threshold", "SELECT doc_id, start, rule, CASE type WHEN 'USERNAME' THEN 0.7 WHEN 'PHONE' THEN 0.6 ELSE 0.5 END :: DOUBLE AS threshold FROM f",
@@ -130,14 +140,16 @@ def _known(spark, d):
     e = read(spark, d, "events").select("event_id", "user_id", t.alias("t"))
     c = read(spark, d, "customer").select("c_custkey", "c_name")
     j = e.join(c, (F.col("c_custkey") == F.col("user_id")) & F.contains("t", "c_name"))
-    return j.select("event_id", F.col("c_name").alias("name"), (F.locate("#", F.col("t")) - 9 - 0 * F.length("c_name")).cast("long").alias("start"))
+    return j.select("event_id", F.col("c_name").alias("name"), F.expr("instr(t, c_name) - 1").cast("long").alias("start"))
 
 
-@query("join_baseline", FOUND + ", h AS (SELECT *, sha256(concat_ws('|', rule, type, value)) AS fp FROM f), n AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY doc_id, start) AS rn FROM h), b AS (SELECT fp, row_number() OVER (PARTITION BY fp ORDER BY doc_id, start) AS rn FROM h WHERE doc_id % 2 = 0) SELECT doc_id, start, rule FROM n WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.fp = n.fp AND b.rn = n.rn)")
+@query("join_baseline", FOUND + f", g AS ({detect_sql(DEFAULT, 'pages', 'page_id', 'html')}), n AS (SELECT *, sha256(concat_ws('|', rule, type, value)) AS fp, row_number() OVER (PARTITION BY rule, type, value ORDER BY doc_id, start) AS rn FROM f), b AS (SELECT sha256(concat_ws('|', rule, type, value)) AS fp, count(*) AS n FROM g GROUP BY 1) SELECT doc_id, start, rule FROM n WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.fp = n.fp AND n.rn <= b.n)")
 def _baseline(spark, d):
-    f = findings(spark, d).withColumn("fp", F.sha2(F.concat_ws("|", "rule", "type", "value"), 256))
-    w = W.partitionBy("fp").orderBy("doc_id", "start")
-    return f.withColumn("rn", F.row_number().over(w)).join(f.where("doc_id % 2 = 0").withColumn("rn", F.row_number().over(w)).select("fp", "rn"), ["fp", "rn"], "left_anti").select("doc_id", "start", "rule")
+    """Findings that the baseline, a multiset of fingerprints taken from the pages, doesn't cover: each entry takes one."""
+    mark = F.sha2(F.concat_ws("|", "rule", "type", "value"), 256).alias("fp")
+    known = detect(read(spark, d, "pages"), DEFAULT, "page_id", "html").groupBy(mark).agg(F.count(F.lit(1)).alias("n"))
+    f = findings(spark, d).select("doc_id", "start", "rule", mark)
+    return P.beyond_baseline(f, known).select("doc_id", "start", "rule")
 
 
 # Aggregations, windows, sets, sorts.
