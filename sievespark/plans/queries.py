@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ from ..functions.samples import with_sample
 from ..operators import spans as P
 from ..operators.detect import detect, detect_sql
 from ..operators.national import detect_national, national_sql
+from ..sources import json_leaves as J
+from ..streaming.registry import redact_stream, run_available
 
 KEY = b"an example key, not a secret"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,3 +252,48 @@ query("src_jsonl", "SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM e
 query("src_report_offsets", FOUND + "SELECT f.doc_id, f.start, CAST(strlen(substr(d.text, 1, f.start)) AS BIGINT) AS byte_start FROM f JOIN documents d USING (doc_id)")(lambda spark, d: findings(spark, d).join(docs(spark, d), "doc_id").select("doc_id", "start", F.octet_length(F.substring("text", F.lit(1), F.col("start").cast("int"))).cast("long").alias("byte_start")))
 query("src_report_detectsecrets", FOUND + ", l AS (SELECT DISTINCT f.doc_id, len(string_split(substr(d.text, 1, f.start), chr(10))) AS line FROM f JOIN documents d USING (doc_id) WHERE rule = 'context') SELECT l.doc_id, CAST(line AS BIGINT) AS line, string_split(text, chr(10))[line] AS content FROM l JOIN documents USING (doc_id)")(
     lambda spark, d: findings(spark, d).where("rule = 'context'").join(docs(spark, d), "doc_id").select("doc_id", "text", F.size(F.split(F.substring("text", F.lit(1), F.col("start").cast("int")), "\n", -1)).cast("long").alias("line")).distinct().select("doc_id", "line", F.get(F.split("text", "\n", -1), (F.col("line") - 1).cast("int")).alias("content")))
+
+# JSON texts, one for each customer, written alike by both engines.
+_json = """concat('{"id":', cast(c_custkey as string), ',"who":{"full_name":"', c_name, '","segment":"', c_mktsegment, '"},"tags":["t', cast(c_custkey as string), 'x","u', cast(c_custkey as string), 'y"],"open":true}')"""
+LEAVES = f"WITH j AS (SELECT c_custkey, {_json} AS text FROM customer), l AS (SELECT c_custkey, text, replace(replace(replace(t.fullkey, '$.', ''), '[', '.'), ']', '') AS path, t.atom ->> '$' AS value FROM j, json_tree(j.text) t WHERE t.type = 'VARCHAR') "
+
+
+def json_docs(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "customer").select("c_custkey", F.expr(_json).alias("text"))
+
+
+def json_leaves(spark: SparkSession, d: str) -> DataFrame:
+    return J.leaves(json_docs(spark, d), "c_custkey")
+
+
+def dotted() -> Column:
+    return F.concat_ws(".", "path").alias("path")
+
+
+query("src_json", LEAVES + "SELECT c_custkey, path, value, CAST(strpos(text, concat('\"', value, '\"')) AS BIGINT) AS start FROM l")(
+    lambda spark, d: json_leaves(spark, d).where("NOT is_key").select("c_custkey", dotted(), "value", "start"))
+query("pol_field_match", LEAVES + "SELECT c_custkey, path, value FROM l WHERE path LIKE 'who.%' OR path = 'tags.1'")(
+    lambda spark, d: json_leaves(spark, d).where(~F.col("is_key") & (J.field_matches("who.*") | J.field_matches("tags.1"))).select("c_custkey", dotted(), "value"))
+query("pol_field_allowed", LEAVES + "SELECT c_custkey, path, 'JSON_VALUE' AS type FROM l WHERE path NOT IN ('who.segment', 'tags.0', 'tags.1')")(
+    lambda spark, d: J.beyond_allowed(json_leaves(spark, d), ["segment", "tags.*"]).select("c_custkey", dotted(), "type"))
+query("pol_field_sensitive", LEAVES + "SELECT c_custkey, replace(text, concat('\"', c_name, '\"'), '\"[REDACTED]\"') AS text FROM j JOIN customer USING (c_custkey)")(
+    lambda spark, d: P.render(json_docs(spark, d), json_leaves(spark, d).where(~F.col("is_key") & J.field_matches("fullName")).withColumn("replacement", F.lit("[REDACTED]")), "c_custkey").select("c_custkey", "text"))
+query("agg_records", LEAVES + "SELECT c_custkey, string_split(path, '.')[1] AS parent, count(*) AS n, string_agg(value, ' ' ORDER BY path) AS joined FROM l GROUP BY 1, 2")(
+    lambda spark, d: json_leaves(spark, d).where("NOT is_key").groupBy("c_custkey", F.concat_ws(".", F.expr("slice(path, 1, size(path) - 1)")).alias("parent"))
+    .agg(F.count(F.lit(1)).alias("n"), F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("path", "value"))), lambda x: x["value"])).alias("joined")))
+
+
+@query("agg_dupkeys", "SELECT p_partkey, 'p_size' AS path, CAST(2 AS BIGINT) AS n FROM part WHERE p_size < 10")
+def _dupkeys(spark, d):
+    twice = """concat('{"p_size":', cast(p_size as string), ',"', case when p_size < 10 then 'p_size' else 'other' end, '":0}')"""
+    return J.duplicate_keys(J.leaves(read(spark, d, "part").select("p_partkey", F.expr(twice).alias("text")), "p_partkey"), "p_partkey")
+
+
+@query("st_registry", "SELECT conv_id, turn, CASE turn WHEN 0 THEN concat(t, ' Q', conv_id, ' is here') WHEN 1 THEN concat(t, ' my name is [REDACTED]') ELSE concat(t, ' as [REDACTED] said') END AS text, CASE turn WHEN 0 THEN 0 ELSE 1 END :: BIGINT AS n_redacted, turn = 1 AS late FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)")
+def _registry(spark, d):
+    """Each conversation is a stream; the name that its second turn gives is redacted from there on, and was sent before."""
+    path = f"{d}/conversations.parquet"
+    turns = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")  # a glob, as the table may be one file
+    name = F.concat(F.lit("Q"), F.col("conv_id").cast("string"))
+    more = F.when(F.col("turn") == 0, F.concat(F.lit(" "), name, F.lit(" is here"))).when(F.col("turn") == 1, F.concat(F.lit(" my name is "), name)).otherwise(F.concat(F.lit(" as "), name, F.lit(" said")))
+    return run_available(spark, redact_stream(turns.withColumn("text", F.concat(F.coalesce("text", F.lit("")), more)), "conv_id", "turn"))
