@@ -33,6 +33,13 @@ def known_values(docs: DataFrame, known: DataFrame, key: str = "doc_id") -> Data
     return placed.where(~left.rlike(INSIDE) & ~right.rlike(INSIDE)).select(key, "value", F.col("start").cast("long").alias("start"), (F.col("start") + n).cast("long").alias("end"))
 
 
+def name_forms(given: Column, surname: Column) -> Column:
+    """The forms that a full name takes: both orders, with a comma, with an initial. None if a part is missing."""
+    initial = F.concat(F.left(given, F.lit(1)), F.lit("."))
+    forms = F.array(*[F.concat_ws(s, a, b) for s, a, b in ((" ", given, surname), (" ", surname, given), (", ", surname, given), (" ", initial, surname), (" ", surname, initial))])
+    return F.when((given != "") & (surname != ""), forms)
+
+
 def spellings(secret: Column) -> Column:
     """A secret as it is, in hexadecimal digits, in base64 and in base64 for addresses."""
     coded = F.base64(F.encode(secret, "utf-8"))

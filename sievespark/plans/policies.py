@@ -11,6 +11,7 @@ from ..functions.samples import with_sample
 from ..operators import known as K
 from ..operators import policies as O
 from ..operators.detect import detect, detect_sql
+from ..operators.encoded import rewrite_runs
 from ..sources.files import decode_content
 from .queries import FOUND, KEY, QUERIES, SQL, docs, findings, on_findings, on_samples, query, read
 
@@ -25,17 +26,28 @@ def quoted(pattern: str) -> str:
 _first = "regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+ [A-Za-z]+')"
 
 
-@query("kv_exact", f"""
-WITH k AS (SELECT DISTINCT {_first} AS value FROM benchmark),
+#: Places of known values, for the queries' SQL; %s gives the values.
+PLACED = r"""
+WITH k AS (%s),
 p AS (SELECT doc_id, value, unnest(string_split(text, value)) AS piece, unnest(range(0, len(string_split(text, value)))) AS i FROM documents JOIN k ON value <> '' AND contains(text, value)),
 w AS (SELECT *, lead(piece) OVER o AS next, lead(piece, 2) OVER o AS after, CAST(sum(length(piece)) OVER o + i * length(value) AS BIGINT) AS start FROM p WINDOW o AS (PARTITION BY doc_id, value ORDER BY i))
 SELECT doc_id, value, start, CAST(start + length(value) AS BIGINT) AS "end" FROM w
-WHERE next IS NOT NULL AND NOT regexp_matches(concat(CASE WHEN piece = '' AND i > 0 THEN value ELSE piece END, '~'), '[\\p{{L}}\\p{{N}}_]~$') AND NOT regexp_matches(CASE WHEN next = '' AND after IS NOT NULL THEN value ELSE next END, '^[\\p{{L}}\\p{{N}}_]')
-""".replace("\\\\", "\\"))
+WHERE next IS NOT NULL AND NOT regexp_matches(concat(CASE WHEN piece = '' AND i > 0 THEN value ELSE piece END, '~'), '[\p{L}\p{N}_]~$') AND NOT regexp_matches(CASE WHEN next = '' AND after IS NOT NULL THEN value ELSE next END, '^[\p{L}\p{N}_]')
+"""
+
+
+@query("kv_exact", PLACED % f"SELECT DISTINCT {_first} AS value FROM benchmark")
 def _exact(spark, d):
     return K.known_values(docs(spark, d), read(spark, d, "benchmark").select(F.regexp_extract("text", "^[A-Za-z]+ [A-Za-z]+ [A-Za-z]+", 0).alias("value")))
 
 
+@query("kv_order", PLACED % r"SELECT DISTINCT unnest([g || ' ' || s, s || ' ' || g, s || ', ' || g, left(g, 1) || '. ' || s, s || ' ' || left(g, 1) || '.']) AS value FROM (SELECT regexp_extract(text, '^[A-Za-z]+') AS g, regexp_extract(text, '^[A-Za-z]+ ([A-Za-z]+)', 1) AS s FROM benchmark) WHERE g <> '' AND s <> ''")
+def _order_of_names(spark, d):
+    """The first two words of each benchmark item as a given name and a surname."""
+    names = read(spark, d, "benchmark").select(F.explode(K.name_forms(F.regexp_extract("text", "^[A-Za-z]+", 0), F.regexp_extract("text", "^[A-Za-z]+ ([A-Za-z]+)", 1))).alias("value"))
+    return K.known_values(docs(spark, d), names)
+
+
 _name = "concat('Customer#', lpad(cast(o_custkey as string), 9, '0'))"
 
 
@@ -117,6 +129,18 @@ on_findings("tx_formatpreserve", f"""SELECT doc_id, start, rule, string_agg(CASE
 FROM (SELECT doc_id, start, rule, i, value[i] AS c, {_n} AS n FROM (SELECT *, unnest(range(1, length(value) + 1)) AS i FROM f)) GROUP BY doc_id, start, rule""",
             lambda f: f.select("doc_id", "start", "rule", keyed_shape(F.col("type"), F.col("value")).alias("shaped")))
 
+
+
+@query("tx_preserve", """SELECT c_custkey, concat('id ', c_custkey, ' data ', to_base64(encode(concat('write to [REDACTED] of ', lower(c_mktsegment)))), ' end') AS text FROM customer""")
+def _preserve(spark, d):
+    """An address within base64 goes, and what is around it stays encoded."""
+    inner = "concat('write to user', cast(c_custkey as string), '@example.com of ', lower(c_mktsegment))"
+    text = F.expr(f"concat('id ', cast(c_custkey as string), ' data ', base64(encode({inner}, 'utf-8')), ' end')")
+    email = next(r for r in DEFAULT if r.id == "email").pattern
+    made = read(spark, d, "customer").select("c_custkey", text.alias("text"))
+    return made.select("c_custkey", rewrite_runs(F.col("text"), lambda t: F.regexp_replace(t, email, "[REDACTED]")).alias("text"))
+
+
 # Files and reports.
 
 
