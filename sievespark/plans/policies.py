@@ -108,7 +108,7 @@ def random_like(v: Column) -> Column:
 
 _random = Rule("quoted-entropy", "credential", "SECRET", r"\"[^\"\n]{20,256}\"", 0.8, "\"", "", random_like,
                "list_entropy(string_split(value, '')) >= CASE WHEN regexp_full_match(value, '[0-9A-Fa-f]+') THEN 3 ELSE 4.5 END AND NOT regexp_full_match(value, '[0-9A-Fa-f]{40}')", lead="\"", tail="\"")
-on_samples("det_quoted_entropy", lambda engine: with_sample('note "{x14}{u12}{l12}"'), lambda made: detect(made, [_random]), lambda table: detect_sql([_random], table))
+on_samples("det_quoted_entropy_any", lambda engine: with_sample('note "{x14}{u12}{l12}"'), lambda made: detect(made, [_random]), lambda table: detect_sql([_random], table))
 
 # Transformations.
 _in, _out = (bytes(b ^ x for b in KEY.ljust(64, b"\0")).hex() for x in (0x36, 0x5C))
