@@ -32,20 +32,31 @@ PIVOTS = np.random.default_rng(11).integers(0, 2**64, 24, dtype=np.uint64)
 TILE, WHOLE = 512, 20_000
 
 
-def fingerprint(text: str | None, width: int, seed: int = 42) -> int:
+def shingles(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the runs of width words, in order; of the whole text if it has fewer words, and none without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     data, hashed = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        return hashed(data, seed)
+        return np.array([hashed(data, seed)], dtype=np.uint64)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     each = [hashed(data[i:j], seed) for i, j in zip((ends - size).tolist(), ends[width - 1 :].tolist())]
-    bits = np.unpackbits(np.array(each, dtype=np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.array(each, dtype=np.uint64)
+
+
+def majority(each: np.ndarray) -> int:
+    if not len(each):
+        return 0
+    bits = np.unpackbits(each.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * bits > len(each), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, width: int, seed: int = 42) -> int:
+    return majority(shingles(text, width, seed))
+
+
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id, mark (a hash of the text) and fp (the 64 bits as a long) of each row."""
 
