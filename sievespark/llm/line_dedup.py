@@ -9,6 +9,10 @@ for different bytes removes nothing. Single-line chunks are never removed.
 Null text stays null and has no lines; the empty text has one empty line. Null doc_ids lose against others. Rows
 repeated with the same doc_id are the same document, so none makes the other's chunks repeated. Further columns are
 kept as they are; n_chars, where there is one, follows the text.
+
+Chunks miss most of a short passage that is repeated between other lines, as both its cuts must lie inside it. The
+rule is that of the query's SQL, so it stays for op7_line_dedup; without_passages(), for pipelines, looks at each two
+lines in a row instead and needs no cuts.
 """
 
 from __future__ import annotations
@@ -48,11 +52,44 @@ def removals(docs: DataFrame) -> DataFrame:
     bodies = each.groupBy("k1", "k2", "body").agg(F.count(F.lit(1)).alias("c"), F.min(named).alias("keeper"))
     keys = bodies.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("bodies"), F.sum("c").alias("c"), F.min("keeper").alias("keeper")).where("bodies = 1 AND c > 1")
     placed = each.select("row_id", "row_hash", "start", "k1", "k2").join(keys.select("k1", "k2", F.coalesce("keeper", F.lit(-(2**63))).alias("keeper")), ["k1", "k2"])
+    return all_but_first(placed)
+
+
+def all_but_first(placed: DataFrame) -> DataFrame:
+    """row_id, row_hash and gone: the starts of placed but for the first of each key in the keeper's text."""
     starts = placed.groupBy("row_id", "row_hash", "k1", "k2", "keeper").agg(F.array_sort(F.collect_set("start")).alias("ss"))
     gone = starts.select("row_id", "row_hash", F.when(F.col("row_id") == F.col("keeper"), F.slice("ss", 2, F.size("ss"))).otherwise(F.col("ss")).alias("ss")).where(F.size("ss") > 0)
     return gone.groupBy("row_id", "row_hash").agg(F.flatten(F.collect_list("ss")).alias("gone"))
 
 
+def pairs(docs: DataFrame) -> DataFrame:
+    """row_id, row_hash and gone: the first lines of each two lines in a row that stand at an earlier place too.
+
+    Equality is by the 256 bits of SHA-256 in k1 and k2, so that no line is shuffled for it."""
+    rows = docs.where("text IS NOT NULL").select(*row_key(), F.split("text", "\n", -1).alias("ls"))
+    digest = lambda i: F.sha2(F.concat(F.get("ls", i), F.lit("\n"), F.get("ls", i + 1)), 256)
+    each = F.when(F.size("ls") > 1, F.transform(F.sequence(F.lit(0), F.size("ls") - 2), lambda i: F.struct(i.alias("start"), F.unhex(digest(i)).alias("k"))))
+    each = rows.select("row_id", "row_hash", F.explode_outer(each).alias("c")).where("c IS NOT NULL")
+    each = each.select("row_id", "row_hash", F.col("c.start").alias("start"), F.substring("c.k", 1, 16).alias("k1"), F.substring("c.k", 17, 16).alias("k2"))
+    named = F.when(F.col("row_id") == -(2**63), None).otherwise(F.col("row_id"))
+    keys = each.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c"), F.min(named).alias("keeper")).where("c > 1")
+    return all_but_first(each.join(keys.select("k1", "k2", F.coalesce("keeper", F.lit(-(2**63))).alias("keeper")), ["k1", "k2"]))
+
+
+def without_passages(docs: DataFrame) -> DataFrame:
+    """docs without the lines of each passage of two lines or more that stands at an earlier place (by doc_id) too,
+    whatever lines are around it. Each line removed stays in the place that its passage was first in, or, where that
+    is within another repeated passage, in the first place of that one."""
+    cols = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("r"), "text", *row_key()).join(pairs(docs.select("doc_id", "text")), ["row_id", "row_hash"], "left")
+    ls = F.split("text", "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), F.concat("gone", F.transform("gone", lambda i: i + 1)))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("ls", i)), "\n"))
+    done = rows.withColumn("ls", F.when(F.col("gone").isNotNull(), ls)).select("r", "gone", text.alias("text"))
+    as_before = {"text": F.col("text"), "n_chars": F.when(F.col("gone").isNotNull(), F.length("text")).otherwise(F.col("r.n_chars")).cast(dict(docs.dtypes)["n_chars"]) if "n_chars" in cols else None}
+    return done.select(*[as_before[c].alias(c) if c in as_before else F.col(f"r.`{c}`").alias(c) for c in cols])
+
+
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with the repeated chunks out of text, and n_lines and n_removed (lines) in a struct named line_dedup."""
     cols = docs.columns
