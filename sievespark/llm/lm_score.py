@@ -1,22 +1,29 @@
 """LM scoring by Katz backoff over words.
 
-Tokens are the words of a lower-cased (A-Z) text and one end; the first word's history is the start. With c the count
-in training tokens and d the Good-Turing discount of small counts,
-    P(w | h) = d c(h w) / (c(h) + 1)              where h w was seen (one count of each history is kept for the rest),
-    P(w | h) = alpha(h) P(w)                       where it wasn't; alpha(h) makes the sum over all w exactly 1,
+Tokens are the words of a lower-cased (A-Z) text and one end; the first word's history is the start. With c the counts
+in training tokens and d the Good-Turing discount of the counts 1 to LOW (1 for larger ones),
+    P(w | h) = d c(h w) / c(h)     where h w was seen (with c(h) + 1 where no follower of h has a discounted count),
+    P(w | h) = alpha(h) P(w)       where it wasn't; alpha(h) makes the sum over all w exactly 1,
     P(w) = d c(w) / N scaled, and one unknown word has the mass that discounting set free.
-A history never seen has alpha 1.
-
-Tables are partitioned by word: each task sends one compact cell (hashes, places) of its tokens to each partition, so
-a partition has all tokens with its words and can count c(w) and c(h w) and look both up in one go, recursively for
-each token: bigram, else unigram, else unknown. Words with a large share of all tokens, whose counts are known from a
-first pass, are spread over all partitions by history. What depends on sums over all partitions (discounts of bigrams,
-alpha) leaves as counts: per text the tokens with a bigram count of 1 to 5, per history the same of its bigrams, and
-an event for each token that backs off. Words are told apart by 64-bit hashes.
+A history never seen has alpha 1. Words and pairs are told apart by 64-bit hashes.
+
+Counts are pre-summed over batches of TOKENS tokens, so the most frequent word or pair is one entry a batch; batches
+meet in tables partitioned by ranges of the hash, which spread any key evenly:
+    ask       each batch sends its distinct words and pairs, with its own training counts, to the tables;
+    answer    a table sums each entry and answers each batch in the order it was asked: what the others counted, and
+              whether the batch is the first to have it (so that sums over types take each type once);
+    evaluate  a batch evaluates its tokens, recursively: pair, else unigram, else unknown. What needs sums over all
+              followers of a history goes to the tables of histories: this batch's share of the sums, and a question
+              for alpha where a token of the batch backs off;
+    back off  the tables of histories answer, and batches add up what their texts backed off by.
+Entries travel as compressed blocks of sorted hashes, one for each batch and table; a table has the entries of about
+CHARS characters however large the input is. No count, hash or history is gathered on the driver but the LOW + 1 first
+counts of counts and the totals.
 
 Null text is empty: one token, the end. Null doc_ids are in the training part. Repeated rows count as often as they
-occur. With no training text all tokens are unknown: P is 1 for each, and the base is that of the formula. Only doc_id
-and text are read; docs must be a table scan (the same rows in the same order if read again).
+occur. With no training text all tokens are unknown: P is 1 for each, and the base is that of the formula. Empty docs
+give no rows. A text is one batch at least, in memory at about 150 bytes a word. Only doc_id and text are read; docs
+must be a table scan (the same rows in the same order if read again).
 """
 
 from __future__ import annotations
@@ -25,7 +32,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,40 +39,16 @@ from pyspark.sql import functions as F
 
 from .base import fold, hashes, materialize, mix, signed, slices, table
 
-#: Tokens of a cell group, characters for each partition of the tables, counts that are discounted.
-TOKENS, CHARS, LOW = 2_000_000, 16_000_000, 5
+#: Tokens of a batch, characters for each partition of the tables, counts that are discounted.
+TOKENS, CHARS, LOW = 1_500_000, 8_000_000, 5
 START, END = np.uint64(0x5EED0001), np.uint64(0x5EED0002)
-STATS = "known long, base double, logs double, " + ", ".join(f"m{r} long" for r in range(1, LOW + 1))
-HIST = "h long, " + ", ".join(f"t{r} long" for r in range(1, LOW + 1)) + ", big long, low double"
+SCORES = "doc_id long, held boolean, n_tokens long, n_known long, base double, logs double"
 
 
 def tokens(text: str | None) -> np.ndarray:
     return np.append(hashes((text or "").encode().lower().split()), END)
 
 
-def counted(train: DataFrame) -> DataFrame:
-    """w and n: how often each token occurs in the texts of train."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def rows() -> pa.RecordBatch:
-            w, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.record_batch({"w": pa.array(signed(w)), "n": pa.array(n.astype(np.int64))})
-
-        for b in slices(batches, "text"):
-            held += [tokens(t) for t in b.column(0).to_pylist()]
-            size += sum(map(len, held[-b.num_rows :]))
-            if size > TOKENS:
-                yield rows()
-                held, size = [], 0
-        if held:
-            yield rows()
-
-    return train.select("text").mapInArrow(make, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-
-
 def discounts(n: list[int]) -> list[float]:
     """Good-Turing discounts of the counts 1 to LOW from n[r - 1], the number of types with count r, r up to LOW + 1.
     Where they give none between 0 and 1, half a count is taken off."""
@@ -79,10 +61,9 @@ def discounts(n: list[int]) -> list[float]:
 
 
 class Unigrams:
-    """P(w) from counts: total tokens, distinct tokens, types with each low count."""
+    """P(w) from counts: total tokens, types with each low count."""
 
-    def __init__(self, total: int, distinct: int, types: list[int]):
-        self.total, self.distinct = total, distinct
+    def __init__(self, total: int, types: list[int]):
         self.d = np.array([1.0, *discounts(types)])
         kept = total - sum((1 - self.d[r]) * r * types[r - 1] for r in range(1, LOW + 1))
         self.unknown = max(1 - kept / total, 1 / (total + 1)) if total else 1.0
@@ -111,145 +92,208 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 
 
 def least_type(a: np.ndarray) -> np.ndarray:
-    return a.astype("<u2" if not len(a) or a.max() < 1 << 16 else "<u4")
+    top = int(a.max()) if len(a) else 0
+    return a.astype("u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
 
 
-def cells(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
-    """part, batch and blob; parts from `parts` on have the ids and folds of a batch's texts. docs: doc_id, text, held."""
+def gaps(ordered: np.ndarray) -> np.ndarray:
+    """Differences of sorted hashes; np.cumsum undoes it."""
+    return np.diff(ordered, prepend=np.uint64(0))
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId(), 0
-        held: list[tuple] = []
-        size = 0
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            batch = task << 32 | number
-            n = np.array([len(x[2]) for x in held])
-            w = np.concatenate([x[2] for x in held])
-            h = np.concatenate([[START], w[:-1]])
-            h[np.cumsum(n)[:-1]] = START
-            doc = np.repeat(np.arange(len(held)), n)
-            part = (mix(w) % np.uint64(parts)).astype(np.int32)
-            if len(hot):
-                spread = np.isin(w, hot)
-                part[spread] = (mix(w[spread] + mix(h[spread])) % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[order], np.arange(parts + 1))
-            out: list[tuple[int, bytes]] = []
-            for p in range(parts):
-                at = order[ends[p] : ends[p + 1]]
-                if len(at):
-                    (uw, wi), (uh, hi) = (np.unique(x[at], return_inverse=True) for x in (w, h))
-                    places, each = np.unique(doc[at], return_counts=True)
-                    out.append((p, pack(uw, least_type(wi), uh, least_type(hi), least_type(places), least_type(each), np.array([held[i][1] for i in places], np.uint8))))
-            none = np.array([x[0] is None for x in held], np.uint8)
-            out.append((parts + batch % parts, pack(np.array([x[0] or 0 for x in held], np.int64).view(np.uint64), none, np.array([x[1] for x in held], np.uint8), n.astype("<u4"))))
-            for i in range(0, len(out), 64):
-                yield pa.record_batch({"part": pa.array([x[0] for x in out[i : i + 64]], pa.int64()), "batch": pa.array([batch] * len(out[i : i + 64]), pa.int64()), "blob": pa.array([x[1] for x in out[i : i + 64]], pa.binary())})
-
-        for b in slices(batches, "text"):
-            for d, t, out_of in zip(*(b.column(i).to_pylist() for i in range(3))):
-                held.append((d, bool(out_of), tokens(t)))
-                size += len(held[-1][2])
+
+def parts_of(ordered: np.ndarray, parts: int) -> np.ndarray:
+    """Where the range of each of `parts` tables begins in sorted hashes, and the end."""
+    return np.searchsorted((ordered >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
+
+
+class Batch:
+    """Tokens of some texts: w and h (word and history of each), its words uw and pairs up, sorted, and where tokens are in them."""
+
+    def __init__(self, w: np.ndarray, n: np.ndarray):
+        self.n, first = n, np.cumsum(n) - n
+        self.uw, self.wi = np.unique(w, return_inverse=True)
+        h = np.concatenate([[START], w[:-1]])
+        h[first] = START
+        self.up, self.at, self.pi = np.unique(mix(mix(h) + w), return_index=True, return_inverse=True)
+        self.hi = np.concatenate([[len(self.uw)], self.wi[:-1]])  # a history is its word's place, the start is behind the last
+        self.hi[first] = len(self.uw)
+
+    def own(self, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts of uw and up; held: of each text."""
+        train = np.repeat(~held, self.n)
+        return np.bincount(self.wi[train], minlength=len(self.uw)), np.bincount(self.pi[train], minlength=len(self.up))
+
+
+def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int | None], np.ndarray, np.ndarray, np.ndarray]]:
+    """number, doc_ids, held, tokens of each text and all tokens of each batch of this task."""
+    number, size = TaskContext.get().partitionId() << 32, 0
+    held: list[tuple] = []
+
+    def done() -> tuple:
+        return number, [x[0] for x in held], np.array([x[1] for x in held], bool), np.array([len(x[2]) for x in held]), np.concatenate([x[2] for x in held])
+
+    for b in slices(batches, "text"):
+        for d, t, out_of in zip(*(b.column(i).to_pylist() for i in range(3))):
+            held.append((d, bool(out_of), tokens(t)))
+            size += len(held[-1][2])
             if size > TOKENS:
-                yield from rows()
+                yield done()
                 held, size, number = [], 0, number + 1
-        if held:
-            yield from rows()
+    if held:
+        yield done()
+
+
+def blob_rows(number: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), 64):
+        some = rows[i : i + 64]
+        yield pa.record_batch({"batch": pa.array([number] * len(some), pa.int64()), "part": pa.array([x[0] for x in some], pa.int64()), "blob": pa.array([x[1] for x in some], pa.binary())})
+
 
-    return docs.select("doc_id", "text", "held").mapInArrow(make, "part long, batch long, blob binary")
+BLOBS = "batch long, part long, blob binary"
 
 
-KINDS = f"kind string, batch long, place array<int>, doc_id array<long>, held array<boolean>, n_tokens array<long>, {STATS.replace(' long', ' array<long>').replace(' double', ' array<double>')}, {HIST}, n array<long>"
-TYPES = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()), "array<double>": pa.list_(pa.float64())}
-FIELDS = [(name, TYPES[kind]) for name, kind in (x.split(" ", 1) for x in KINDS.split(", "))]
+def asked(rows: DataFrame, parts: int) -> DataFrame:
+    """A block for each batch and table: its words and pairs there, and its training counts of them."""
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, _, held, n, w in batches_of(batches):
+            b = Batch(w, n)
+            cw, cp = b.own(held)
+            ww, pp = parts_of(b.uw, parts), parts_of(b.up, parts)
+            yield from blob_rows(number, [(p, pack(gaps(b.uw[i:j]), least_type(cw[i:j]), gaps(b.up[k:m]), least_type(cp[k:m]))) for p, (i, j, k, m) in enumerate(zip(ww, ww[1:], pp, pp[1:])) if j > i or m > k])
+
+    return rows.mapInArrow(make, BLOBS)
+
+
+def answers(keys: list[np.ndarray], own: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each block the counts of others, twice, plus 1 where the block is the first to have counted the key; and all counts."""
+    key, n = np.concatenate(keys), np.concatenate(own).astype(np.int64)
+    uk, inverse = np.unique(key, return_inverse=True)
+    total = np.bincount(inverse, n, minlength=len(uk)).astype(np.int64)
+    first = np.zeros(len(key), np.int64)
+    counted = np.flatnonzero(n)
+    first[counted[np.unique(inverse[counted], return_index=True)[1]]] = 1
+    said = (total[inverse] - n) * 2 + first
+    return np.split(said, np.cumsum([len(k) for k in keys])[:-1]), total
 
-def rows_of(rows: int, /, **given) -> pa.Table:
-    return pa.table({name: given[name] if name in given else pa.nulls(rows, kind) for name, kind in FIELDS}, schema=pa.schema(FIELDS))
 
+def answered(cells: DataFrame) -> DataFrame:
+    """Answers to the blocks (batch, part, blob), and a row a table with batch -1 and figures: of words, and of pairs, the
+    numbers of types with counts 1 to LOW + 1, of all types and of all tokens."""
 
-def evaluated(cells: DataFrame, parts: int, hot: dict[int, int], unigrams: Unigrams) -> DataFrame:
-    """Rows of KINDS: what each partition of the tables knows of texts, histories, back-offs and bigram counts."""
-    hot_w = np.array(sorted(hot), dtype=np.uint64)
-    hot_n = np.array([hot[w] for w in sorted(hot)], dtype=np.int64)
+    def make(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by("batch")
+        blocks = [unpack(x) for x in group.column("blob").to_pylist()]
+        said, figures = [], []
+        for k in (0, 2):
+            some, total = answers([np.cumsum(x[k], dtype=np.uint64) for x in blocks], [x[k + 1] for x in blocks])
+            said.append(some)
+            figures += [*(int((total == r).sum()) for r in range(1, LOW + 2)), int((total > 0).sum()), int(total.sum())]
+        blobs = [pack(least_type(w), least_type(p)) for w, p in zip(*said)]
+        part = key[0].as_py()
+        return pa.table({
+            "batch": pa.array([*group.column("batch").to_pylist(), -1], pa.int64()), "part": pa.array([part] * (len(blobs) + 1), pa.int64()),
+            "blob": pa.array([*blobs, None], pa.binary()), "figures": pa.array([None] * len(blobs) + [figures], pa.list_(pa.int64())),
+        })
+
+    return cells.groupBy("part").applyInArrow(make, BLOBS + ", figures array<long>")
+
+
+def batch_tables(rows: DataFrame) -> DataFrame:
+    """Each batch's own tokens, to be met with what it is answered."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, ids, held, n, w in batches_of(batches):
+            uw, wi = np.unique(w, return_inverse=True)
+            none = np.array([d is None for d in ids], np.uint8)
+            yield from blob_rows(number, [(0, pack(gaps(uw), least_type(wi), n.astype("<u4"), np.array([d or 0 for d in ids], np.int64).view(np.uint64), none, held.astype(np.uint8)))])
+
+    return rows.mapInArrow(make, BLOBS)
+
+
+def joined(group: pa.Table) -> list[np.ndarray]:
+    """The arrays of a group's blobs, put together in the order of their parts."""
+    return [np.concatenate(x) for x in zip(*(unpack(b) for b in group.sort_by("part").column("blob").to_pylist()))]
+
+
+def evaluated(own: DataFrame, said: DataFrame, parts: int, unigrams: Unigrams, d: list[float]) -> DataFrame:
+    """Of each batch, with part -1, what its texts have without backing off; with a part, its shares and questions there."""
+    keep = np.array([1.0, *d])
+
+    def make(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        uw, wi, n, ids, none, held = unpack(left.column("blob")[0].as_py())
+        b = Batch(np.cumsum(uw, dtype=np.uint64)[wi], n.astype(np.int64))
+        own_w, own_p = b.own(held.astype(bool))
+        said_w, said_p = (x.astype(np.int64) for x in joined(right))
+        c_w, c_p, first = own_w + said_w // 2, own_p + said_p // 2, said_p % 2 == 1
+        starts = c_w[np.searchsorted(b.uw, END)]  # as many starts as ends
+        c_h = np.append(c_w, starts)
+        p_w = unigrams(c_w)
+        kept = np.where(c_p > LOW, c_p, keep[np.minimum(c_p, LOW)] * c_p)
+        h_of, w_of = b.hi[b.at], b.wi[b.at]
+        doc = np.repeat(np.arange(len(n)), n)
+        add = lambda x: np.bincount(doc, x, minlength=len(n))
+        seen = c_p > 0
+        value = np.where(seen, np.log10(np.where(seen, kept, 1.0)) - np.log10(np.maximum(c_h[h_of], 1)), np.log10(p_w)[w_of])
+        backs = ~seen & (c_h[h_of] > 0)
+        # Where no follower known here has a discounted count, the table of the history has to say whether any has.
+        low_here = np.bincount(h_of, (c_p > 0) & (c_p <= LOW), minlength=len(c_h)) > 0
+        unsure = seen & ~low_here[h_of]
+        asks = np.bincount(h_of, backs | unsure, minlength=len(c_h)) > 0
+        share = lambda x: np.bincount(h_of[first], x[first], minlength=len(c_h))
+        lows, keeps, masses = share(c_p <= LOW), share(kept), share(p_w[w_of])
+        hash_of = np.append(b.uw, START)
+        order = np.argsort(hash_of, kind="stable")
+        order = order[(asks | (keeps > 0))[order]]
+        rank = np.full(len(c_h), -1)
+        rank[order[asks[order]]] = np.arange(int(asks.sum()))
+        place, times = np.unique(np.stack([doc, rank[b.hi], unsure[b.pi]])[:, (backs | unsure)[b.pi]], axis=1, return_counts=True) if (backs | unsure).any() else (np.zeros((3, 0), np.int64), np.zeros(0, np.int64))
+        texts = pack(ids, none, held, n, least_type(add(c_w[b.wi] > 0).astype(np.int64)), add(np.log10(c_w + 1.0)[b.wi]).view("<u8"), add(value[b.pi]).view("<u8"), *(least_type(x) for x in (*place, times)))
+        cut = parts_of(hash_of[order], parts)
+        out = [(-1, texts)]
+        for p, (i, j) in enumerate(zip(cut, cut[1:])):
+            if j > i:
+                at = order[i:j]
+                out.append((p, pack(gaps(hash_of[at]), keeps[at].view("<u8"), masses[at].view("<u8"), least_type(lows[at].astype(np.int64)), asks[at].astype(np.uint8), least_type(c_h[at[asks[at]]]))))
+        return pa.table({"batch": pa.array([key[0].as_py()] * len(out), pa.int64()), "part": pa.array([x[0] for x in out], pa.int64()), "blob": pa.array([x[1] for x in out], pa.binary())})
+
+    return own.groupBy("batch").cogroup(said.groupBy("batch")).applyInArrow(make, BLOBS)
+
+
+def backed_off(shares: DataFrame) -> DataFrame:
+    """For each question in shares' blobs, in order: log10 of alpha, and of the part that a history without discounted followers keeps."""
 
     def make(key: tuple, group: pa.Table) -> pa.Table:
-        batches, blobs = group.column("batch").to_pylist(), group.column("blob").to_pylist()
-        if key[0].as_py() >= parts:
-            metas = [unpack(x) for x in blobs]
-            lists = lambda k, kind, cast: pa.array([cast(m[k]) for m in metas], pa.list_(kind))
-            ids = pa.array([[None if z else v for v, z in zip(m[0].view(np.int64).tolist(), m[1].tolist())] for m in metas], pa.list_(pa.int64()))
-            return rows_of(len(metas), kind=pa.array(["meta"] * len(metas)), batch=pa.array(batches, pa.int64()), doc_id=ids, held=lists(2, pa.bool_(), lambda a: a.astype(bool)), n_tokens=lists(3, pa.int64(), lambda a: a.astype(np.int64)))
-        w, h, row, held, first, places = [], [], [], [], [0], []
-        for blob in blobs:
-            uw, wi, uh, hi, at, each, out_of = unpack(blob)
-            w.append(uw[wi])
-            h.append(uh[hi])
-            row.append(np.repeat(np.arange(len(at)) + first[-1], each))
-            held.append(np.repeat(out_of.astype(bool), each))
-            places.append(at.astype(np.int32))
-            first.append(first[-1] + len(at))
-        w, h, row, held = map(np.concatenate, (w, h, row, held))
-        total = first[-1]
-        uw, wi = np.unique(w, return_inverse=True)
-        end_word, wi = w == END, wi.astype(np.int32)
-        del w
-        c_types = np.bincount(wi[~held], minlength=len(uw))
-        if len(hot_w):
-            at = np.minimum(np.searchsorted(hot_w, uw), len(hot_w) - 1)
-            c_types = np.where(hot_w[at] == uw, hot_n[at], c_types)
-        p_types = unigrams(c_types)
-        c_w = c_types[wi]
-        uh, hi = np.unique(h, return_inverse=True)
-        del h
-        pairs, pi = np.unique(wi.astype(np.int64) << 32 | hi, return_inverse=True)
-        c_pairs = np.bincount(pi[~held], minlength=len(pairs))
-        c_hw = c_pairs[pi]
-        del pi
-        by_row = lambda which=None, weights=None: np.bincount(row if which is None else row[which], weights if which is None or weights is None else weights[which], minlength=total)
-        unseen = c_hw == 0
-        logs = np.where(unseen, np.log10(p_types)[wi], np.where(c_hw > LOW, np.log10(np.maximum(c_hw, 1)), 0.0))
-        logs -= np.where(end_word, 0.0, np.log10(c_w + 1.0))  # the word is the next token's history
-        stats = {"known": by_row(c_w > 0), "base": by_row(None, np.log10(c_w + 1.0)), "logs": by_row(None, logs)}
-        stats |= {f"m{r}": by_row(c_hw == r) for r in range(1, LOW + 1)}
-        split = lambda a, kind: pa.array([a[i:j].astype(kind) for i, j in zip(first, first[1:])])
-        out = [rows_of(len(blobs), kind=pa.array(["text"] * len(blobs)), batch=pa.array(batches, pa.int64()), place=pa.array(places, pa.list_(pa.int32())), **{k: split(a, np.float64 if k in ("base", "logs") else np.int64) for k, a in stats.items()})]
-        seen = c_pairs > 0
-        hw, n = pairs[seen], c_pairs[seen]
-        of_h = (hw & 0xFFFFFFFF).astype(np.int64)
-        mine, inverse = np.unique(of_h, return_inverse=True)
-        sums = {f"t{r}": np.bincount(inverse[n == r], minlength=len(mine)) for r in range(1, LOW + 1)}
-        sums |= {"big": np.bincount(inverse, np.where(n > LOW, n, 0), minlength=len(mine)).astype(np.int64)}
-        low = np.bincount(inverse, p_types[hw >> 32], minlength=len(mine))
-        out.append(rows_of(len(mine), kind=pa.array(["hist"] * len(mine), pa.string()), h=pa.array(signed(uh[mine])), low=pa.array(low.astype(np.float64)), **{k: pa.array(v.astype(np.int64)) for k, v in sums.items()}))
-        batch_of = np.repeat(np.array(batches), np.diff(first))
-        place_of = np.concatenate(places)
-        where, times = np.unique(hi[unseen].astype(np.int64) << 32 | row[unseen], return_counts=True)
-        r = (where & 0xFFFFFFFF).astype(np.int64)
-        out.append(rows_of(len(where), kind=pa.array(["event"] * len(where), pa.string()), batch=pa.array(batch_of[r]), h=pa.array(signed(uh[where >> 32])), big=pa.array(place_of[r].astype(np.int64)), t1=pa.array(times.astype(np.int64))))
-        out.append(rows_of(1, kind=pa.array(["counts"]), n=pa.array([[int((n == r).sum()) for r in range(1, LOW + 2)]])))
-        return pa.concat_tables(out)
-
-    return cells.groupBy("part").applyInArrow(make, KINDS)
-
-
-def summed(found: DataFrame, d: list[float]) -> DataFrame:
-    """batch, place, doc_id, held, n_tokens, n_known, base and logs of each text."""
-    log_d = np.log10(np.arange(1, LOW + 1) * d)
-
-    def make(group: pa.Table) -> pa.Table:
-        meta = group.filter(pc.equal(group.column("kind"), "meta"))
-        parts = group.filter(pc.equal(group.column("kind"), "text"))
-        flat = lambda t, c: pa.chunked_array(t.column(c).chunks).combine_chunks().flatten() if t.num_rows else pa.array([])
-        n = len(flat(meta, "n_tokens"))
-        at = np.asarray(flat(parts, "place"), dtype=np.int64)
-        add = lambda c: np.bincount(at, np.asarray(flat(parts, c), dtype=np.float64), minlength=n)
-        logs = add("logs") + sum(log_d[r - 1] * add(f"m{r}") for r in range(1, LOW + 1))
-        return pa.table({"batch": pa.array([meta.column("batch")[0].as_py()] * n, pa.int64()), "place": pa.array(np.arange(n)), "doc_id": flat(meta, "doc_id"), "held": flat(meta, "held"), "n_tokens": flat(meta, "n_tokens"), "n_known": pa.array(add("known").astype(np.int64)), "base": pa.array(add("base")), "logs": pa.array(logs)})
-
-    cols = ["kind", "batch", "place", "doc_id", "held", "n_tokens", *[x.split()[0] for x in STATS.split(", ")]]
-    return found.where("kind IN ('meta', 'text')").select(*cols).groupBy("batch").applyInArrow(make, "batch long, place long, doc_id long, held boolean, n_tokens long, n_known long, base double, logs double")
+        blocks = [unpack(x) for x in group.column("blob").to_pylist()]
+        h = [np.cumsum(x[0], dtype=np.uint64) for x in blocks]
+        uh, inverse = np.unique(np.concatenate(h), return_inverse=True)
+        whole = lambda i, kind: np.bincount(inverse, np.concatenate([x[i].view(kind) for x in blocks]), minlength=len(uh))
+        kept, mass, low = whole(1, "<f8"), whole(2, "<f8"), np.bincount(inverse, np.concatenate([x[3] for x in blocks]), minlength=len(uh))
+        blobs = []
+        for x, at in zip(blocks, np.split(inverse, np.cumsum([len(x) for x in h])[:-1])):
+            at = at[x[4].astype(bool)]
+            c = x[5].astype(np.float64)
+            more = low[at] == 0
+            free = np.where(more, c + 1, c) - kept[at]
+            blobs.append(pack((np.log10(free) - np.log10(c + more) - np.log10(1 - mass[at])).view("<u8"), np.where(more, np.log10(c) - np.log10(c + 1), 0.0).view("<u8")))
+        return pa.table({"batch": group.column("batch"), "part": group.column("part"), "blob": pa.array(blobs, pa.binary())})
+
+    return shares.groupBy("part").applyInArrow(make, BLOBS)
+
+
+def summed(texts: DataFrame, said: DataFrame) -> DataFrame:
+    def make(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, none, held, n, known, base, logs, doc, rank, unsure, times = unpack(left.column("blob")[0].as_py())
+        logs = logs.view("<f8").copy()
+        if len(doc):
+            alpha, less = (x.view("<f8") for x in joined(right))
+            logs += np.bincount(doc, np.where(unsure == 1, less[rank], alpha[rank]) * times, minlength=len(n))
+        return pa.table({
+            "doc_id": pa.array(ids.view(np.int64), mask=none.astype(bool)), "held": pa.array(held.astype(bool)), "n_tokens": pa.array(n.astype(np.int64)),
+            "n_known": pa.array(known.astype(np.int64)), "base": pa.array(base.view("<f8")), "logs": pa.array(logs),
+        })
+
+    return texts.groupBy("batch").cogroup(said.groupBy("batch")).applyInArrow(make, SCORES)
 
 
 def katz(docs: DataFrame, held: Column) -> DataFrame:
@@ -257,24 +301,14 @@ def katz(docs: DataFrame, held: Column) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(4, -(-chars // CHARS))
-    words = materialize(counted(rows.where("NOT held")))
-    low = [F.count_if(F.col("n") == r) for r in range(1, LOW + 1 + 1)]
-    total, distinct, ends, *types = words.agg(F.sum("n"), F.count(F.lit(1)), F.max(F.when(F.col("w") == int(END), F.col("n"))), *low).first()
-    total, ends = total or 0, ends or 0
-    hot = {int(np.int64(w).view(np.uint64)): n for w, n in words.where(F.col("n") > total / (4 * parts)).collect()}  # 4 * parts rows at most
-    unigrams = Unigrams(total, distinct, types)
-    found = materialize(evaluated(cells(rows, parts, np.array(sorted(hot), dtype=np.uint64)), parts, hot, unigrams))
-    pairs = found.where("kind = 'counts'").agg(*[F.sum(F.get("n", F.lit(r))) for r in range(LOW + 1)]).first()
-    d = discounts([x or 0 for x in pairs])
-    hist = found.where("kind = 'hist'").select("h", (F.col("big") + sum(r * F.col(f"t{r}") for r in range(1, LOW + 1))).alias("c"), (F.col("big") + sum(F.lit(r * d[r - 1]) * F.col(f"t{r}") for r in range(1, LOW + 1))).alias("kept"), "low")
-    sums = hist.groupBy("h").agg(F.sum("c").alias("c"), F.sum("kept").alias("kept"), F.sum("low").alias("low"))
-    beta = sums.select("h", F.log10((F.col("c") + 1 - F.col("kept")) / (1 - F.col("low"))).alias("beta"))
-    events = found.where("kind = 'event'").select("h", "batch", F.col("big").alias("place"), F.col("t1").alias("times"))
-    back = events.join(beta, "h").groupBy("batch", "place").agg(F.sum(F.col("times") * F.col("beta")).alias("back"))
-    texts = summed(found, d).join(back, ["batch", "place"], "left")
-    per_token = F.log10(F.lit(float(total + distinct + 1)))
-    start = F.log10(F.lit(ends + 1.0))
-    return texts.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * per_token).alias("base_score"), (F.col("logs") - start + F.coalesce("back", F.lit(0.0))).alias("score"))
+    said = materialize(answered(asked(rows, parts)))
+    figures = said.where("batch < 0").agg(*[F.sum(F.get("figures", F.lit(i))) for i in range(2 * (LOW + 3))]).first()
+    of_words, of_pairs = ([x or 0 for x in part] for part in (figures[: LOW + 3], figures[LOW + 3 :]))
+    distinct, total = of_words[-2:]
+    found = materialize(evaluated(batch_tables(rows), said.where("batch >= 0"), parts, Unigrams(total, of_words), discounts(of_pairs)))
+    done = summed(found.where("part < 0"), backed_off(found.where("part >= 0")))
+    base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
+    return done.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), F.col("logs").alias("score"))
 
 
 def op10_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,16 @@
 """Dealt operators: SQL on the smallest tables, plain versions on small made rows, and odd inputs."""
 
 import hashlib
-import math
 import os
 import random
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import duckdb
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from sievespark.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, line_dedup, lm_score, quality, registry, simhash, substring_dedup
+from sievespark.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, line_dedup, quality, registry, simhash, substring_dedup
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i}" for i in range(30_000))
@@ -149,33 +148,6 @@ def test_chat(spark):
     assert chat_format.digests(chat_format.format_conversations(df.where("false"), public_tokenizers.path("byte_bpe_50k.json"))).count() == 0
 
 
-def test_katz(spark, odd, none):
-    texts = ["".join(random.Random(i).choice(["a ", "b ", "c c ", "D ", f"w{i} "]) for _ in range(60)) for i in range(40)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    held = {i: i % 5 == 0 for i in range(40)}
-    got = {r.doc_id: r for r in lm_score.katz(docs, docs.doc_id % 5 == 0).collect()}
-    toks = {i: [*t.lower().split(), None] for i, t in enumerate(texts)}
-    c, b, h = Counter(), Counter(), Counter()
-    for i, w in toks.items():
-        if not held[i]:
-            c.update(w)
-            b.update(zip(["<s>", *w[:-1]], w))
-            h.update(["<s>", *w[:-1]])
-    types = lambda x: [sum(v == r for v in x.values()) for r in range(1, lm_score.LOW + 2)]
-    uni, d = lm_score.Unigrams(sum(c.values()), len(c), types(c)), lm_score.discounts(types(b))
-    p1 = lambda w: float(uni(np.array([c.get(w, 0)]))[0])
-    kept = lambda n: n * d[n - 1] if n <= lm_score.LOW else n
-    alpha = {x: (1 - sum(kept(n) for (y, _), n in b.items() if y == x) / (h[x] + 1)) / (1 - sum(p1(w) for (y, w) in b if y == x)) for x in h}
-    prob = lambda x, w: kept(b[x, w]) / (h[x] + 1) if (x, w) in b else alpha.get(x, 1.0) * p1(w)
-    for x in ("a", "<s>", "c"):
-        assert math.isclose(sum(prob(x, w) for w in c) + alpha[x] * uni.unknown, 1)
-    for i, w in toks.items():
-        assert math.isclose(got[i].score, sum(math.log10(prob(x, y)) for x, y in zip(["<s>", *w[:-1]], w)), rel_tol=1e-9)
-    assert len(lm_score.katz(odd, odd.doc_id > 100).collect()) == len(ODD)
-    assert all(r.score == 0 for r in lm_score.katz(odd, odd.doc_id.isNotNull() | True).collect())
-    assert lm_score.katz(none, none.doc_id > 0).count() == 0
-
-
 def test_odd_lines_windows_languages(spark, odd, none):
     done = {(r.doc_id, r.text): r for r in line_dedup.line_dedup(odd).collect()}
     assert len(done) == len(ODD) - 1 and done[1, None].line_dedup.n_lines == 0
