@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of one key that a task of a salted join may take in any case.
+PART = 256
 #: White space between words, as a regular expression class; bytes.split() uses the same six bytes.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -27,9 +29,11 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none, as in tests."""
+    """The folder that driver and executors share. Only a session whose executor is the driver may go without the setting, as tests do."""
     where = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_sieve_dir", None)
     if not where:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = spark._sieve_dir = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return where
 
@@ -51,6 +55,19 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row for each key and in n the number of left's rows with it.
+
+    A key of more than PART rows and a thousandth of total, left's rows, is dealt by the column `by` over as many tasks as it
+    takes; there are at most a thousand such keys, so that their list can be broadcast."""
+    most = max(PART, total // 1000)
+    hot = right.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).alias("parts"))
+    salt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("parts"))).cast("long").alias("salt")
+    dealt = left.join(F.broadcast(hot), keys, "left").select(*[F.col(f"`{c}`") for c in left.columns], salt)
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("n") > most, F.ceil(F.col("n") / most) - 1).otherwise(F.lit(0)).cast("long"))).alias("salt")
+    return dealt.join(right.select("*", each).drop("n"), [*keys, "salt"], how).drop("salt")
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about so many bytes of text (a longer text is alone), so that memory stays bounded."""
     for batch in batches:

@@ -6,8 +6,12 @@ identifiers. Chunk bytes move once, each distinct chunk of a task once, to verif
 bytes; where they don't, the chunks of that digest are told apart by a rank. Only recipes are compared.
 
 Null text counts as empty; the empty text has an empty recipe, and all empty texts are equal. Of equal texts the row
-with the most code points in the original stays, then the smallest doc_id (nulls last); rows repeated with the same
-doc_id all count, and each gets its row. Only doc_id and text are read; further columns don't matter.
+with the most code points in the original stays, then the smallest doc_id (nulls last), then the first row in the
+order of reading; so one row of each group stays, also among rows repeated with the same doc_id, which all count and
+each get their row. An empty table gives no rows. A text is held in memory whole, at about three times its bytes. Only
+doc_id and text are read; further columns don't matter.
+
+The recipe of a large group is dealt over many tasks, and groups are counted before they are shuffled.
 """
 
 from __future__ import annotations
@@ -17,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import materialize, slices, table
+from .base import materialize, salted_join, slices, table
 
 #: Bits of the rolling hash that must be zero at a cut (mean chunk 2 KB), and the least and largest chunk.
 CUT, LEAST, MOST = 11, 256, 16384
@@ -54,19 +59,21 @@ def chunks(text: str | None) -> list[bytes]:
 
 
 def recipes(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
-    """doc_id, n_code, text_sha256 and the ordered chunk digests of each row."""
+    """doc_id, row (its number), n_code, text_sha256 and the ordered chunk digests of each row."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for b in slices(batches, "text"):
             texts = b.column(1).to_pylist()
             parts = [chunks(t) for t in texts]
             yield pa.record_batch({
-                "doc_id": b.column(0), "n_code": pa.array([len(t or "") for t in texts], pa.int64()),
+                "doc_id": b.column(0), "row": pa.array(np.arange(row, row + len(texts))), "n_code": pa.array([len(t or "") for t in texts], pa.int64()),
                 "text_sha256": pa.array([hashlib.sha256(b"".join(p)).hexdigest() for p in parts]),
                 "recipe": pa.array([[hashlib.blake2b(c, digest_size=digest_bytes).digest() for c in p] for p in parts], pa.list_(pa.binary())),
             })
+            row += len(texts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, n_code long, text_sha256 string, recipe array<binary>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, row long, n_code long, text_sha256 string, recipe array<binary>")
 
 
 def chunk_rows(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
@@ -105,10 +112,10 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
     several = distinct.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
     if not several.isEmpty():
         made = materialize(with_ranks(docs, made, distinct.join(several, "digest"), digest_bytes))
-    best = F.min(F.struct((-F.col("n_code")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id"))
-    groups = made.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
-    rows = made.join(groups, "recipe")
-    kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (-F.col("n_code") == F.col("best.n"))
+    best = F.min(F.struct((-F.col("n_code")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    groups = made.groupBy("recipe").agg(F.count(F.lit(1)).alias("n"), best.alias("best")).withColumn("group_size", F.col("n"))
+    rows = salted_join(made, groups, ["recipe"], "row", made.count())
+    kept = F.col("row") == F.col("best.row")
     return rows.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks"))
 
 

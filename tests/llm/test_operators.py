@@ -71,9 +71,17 @@ def test_odd_exact(odd, none):
     empty = [r for r in rows if r.doc_id in (1, 2, 3)]
     assert {r.keep_id for r in empty} == {3} and all(r.group_size == 3 for r in empty)
     assert {r.keep_id for r in rows if r.doc_id in (4, None)} == {4}
+    kept = [r.keep_id for r in rows if r.kept]
+    assert len(kept) == len(set(kept)) == len({r.keep_id for r in rows}) and all(r.doc_id == r.keep_id for r in rows if r.kept)
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_large_group_keeps_one_row(spark):
+    docs = spark.createDataFrame([(None if i % 3 else 7, "a b" if i % 2 else "ab") for i in range(2000)] + [(1, "own")], "doc_id long, text string").repartition(4)
+    rows = exact_dedup.exact_dedup(docs).collect()
+    assert sorted((r.doc_id, r.group_size) for r in rows if r.kept) == [(1, 1), (7, 2000)] and len(rows) == 2001
+
+
 def test_clashing_digests(spark):
     texts = ["".join(random.Random(i % 9).choices("abcdefgh", k=3000)) for i in range(30)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
