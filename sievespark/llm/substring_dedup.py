@@ -1,33 +1,38 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
 Every text is cut into overlapping reference blocks: each window of `width` words has an anchor, the leftmost least
-hash of its k-word runs, and a block is the stretch of text whose windows share one anchor, so equal windows lie in
-blocks with equal anchors wherever they stand. The index of all blocks is one table keyed by anchor. A document is
-then factored greedily, left to right, against every indexed block that can match: a factor grows while the next
-window is found in the index, other than at its own place. Blocks equal as a whole answer for all their windows;
-where blocks share an anchor but differ, which is where factors end, each of their windows is looked up by itself,
-so factor boundaries are exact. Factors of `width` words or more are duplicate spans.
-
-Windows are matched by two independent 64-bit hashes of their words (128 bits), anchors among them. A window whose
-sequence starts twice, be it in one text, is removed at every place. Null text has no words. Texts are matched by
-content, so repeated rows, equal doc_ids and null doc_ids work as any other; a repeated row's windows start twice.
-Only doc_id and text are read.
+hash of its RUN-word runs, and a block is the stretch of text whose windows share one anchor. Equal windows have equal
+anchors, so all matches of a block lie in blocks with the same anchor hash, aligned at the anchor. The index of all
+blocks is one table keyed by that hash.
+
+A block that stands at a second place as a whole (128 bits of its bytes) is a factor as it is. Any other is parsed
+greedily against every indexed block with its anchor hash: from the next window on, the longest match with any of them
+is a factor; its ends are found by comparing words byte by byte. The next factor is looked for from the first window
+that is not inside the last one, so no window at a factor's border is missed. Factors of `width` words or more are
+duplicate spans, and adjoining ones are put together. An anchor hash with more than MANY different blocks isn't
+gathered: their windows are told apart one by one, by 128 bits of their bytes, and those that stand twice are found.
+A text that occurs again as a whole is a factor of the other; one of its copies in a task stands for them in the index.
+
+A window whose sequence starts twice, be it in one text, is removed at every place. Null text has no words; an empty
+table gives no rows. Rows are told apart by their place in the table, so repeated rows, equal doc_ids and null doc_ids
+work as any other; a repeated row's windows start twice. A very long text is one row of its task, at about 200 bytes a
+word. Only doc_id and text are read; docs must be a table scan (the same rows in the same order if read again).
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import broadcast_if_small, flag_array, hashes, materialize, mix, signed, slices, table
+from .base import flag_array, hashes, materialize, mix, salted_join, signed, slices, table
 
-#: Words of a run that can be an anchor, windows handled at once, and rows of a table that may be broadcast (16 MB).
-RUN, TILE, SMALL = 8, 1 << 19, 1_000_000
+#: Words of a run that can be an anchor, windows handled at once, and different blocks of an anchor that are compared in one place.
+RUN, TILE, MANY = 8, 1 << 19, 256
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 2**64))
 
@@ -48,14 +53,26 @@ class Rolling:
         return mix((self.sums[ends] - self.sums[starts]) * self.back[starts])
 
 
-def content_key(words: list[bytes]) -> bytes:
-    return hashlib.blake2b(b" ".join(words), digest_size=12).digest()
+class Words:
+    """The words of a text, and where they are in its bytes once they are joined by one space."""
 
+    def __init__(self, text: str):
+        self.words = text.encode().split()
+        self.data = b" ".join(self.words)
+        size = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        self.ends = np.cumsum(size + 1) - 1
+        self.starts = self.ends - size
 
-def anchors(values: np.ndarray, roll: Rolling, width: int) -> tuple[np.ndarray, ...]:
-    """Anchor hash, block hash, first window and number of windows of each block."""
+    def digests(self, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Two 64-bit numbers for each run of n words from first on, of its bytes."""
+        spans = zip(self.starts[first].tolist(), self.ends[first + n - 1].tolist())
+        return np.frombuffer(b"".join([xxhash.xxh3_128_digest(self.data[i:j]) for i, j in spans]), np.int64).reshape(-1, 2)
+
+
+def anchors(values: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Anchor hash, first window, number of windows and the anchor's place behind the first word, of each block."""
     n = len(values) - width + 1
-    run = min(RUN, width)
+    roll, run = Rolling(values), min(RUN, width)
     span = width - run + 1
     out = []
     for at in range(0, n, TILE):
@@ -70,109 +87,176 @@ def anchors(values: np.ndarray, roll: Rolling, width: int) -> tuple[np.ndarray,
             w += step
         where = (low & np.uint64((1 << 20) - 1)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-        count = np.diff(np.concatenate([first, [m]]))
-        a = at + first
-        block = mix(roll(a, a + count + width - 1) + (where[first] - first).astype(np.uint64) * np.uint64(1 << 32) + count.astype(np.uint64))
-        out.append((h[where[first]], block, a, count))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+        out.append((h[where[first]], at + first, np.diff(np.concatenate([first, [m]])), where[first] - first))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def block_index(docs: DataFrame, width: int) -> DataFrame:
-    """h, block, key, at, n for each block; key stands for the text's words, at and n for its windows."""
+def block_index(rows: DataFrame, width: int) -> DataFrame:
+    """h, b1 and b2 (of the bytes), row, at and n (its windows), off (of the anchor) of each block; of equal texts in a task once."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for b in slices(batches, "text"):
             parts = []
-            for t in b.column(0).to_pylist():
-                words = (t or "").encode().split()
-                if len(words) >= width:
-                    values = hashes(words)
-                    found = anchors(values, Rolling(values), width)
-                    parts.append((*found, [content_key(words)] * len(found[0])))
+            for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                mark = xxhash.xxh3_128_digest(t)
+                if mark in seen:
+                    continue
+                seen.add(mark)
+                own = Words(t)
+                if len(own.words) >= width:
+                    h, at, n, off = anchors(hashes(own.words), width)
+                    parts.append((signed(h), own.digests(at, n + width - 1), np.full(len(h), row), at, n, off))
             if parts:
-                h, block, at, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
-                yield pa.record_batch({"h": pa.array(signed(h)), "block": pa.array(signed(block)), "key": pa.array([k for p in parts for k in p[4]], pa.binary()), "at": pa.array(at.astype(np.int32)), "n": pa.array(n.astype(np.int32))})
-
-    return docs.select("text").mapInArrow(make, "h long, block long, key binary, at int, n int")
+                h, block, row, at, n, off = (np.concatenate(x) for x in zip(*parts))
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(block[:, 0]), pa.array(block[:, 1]), pa.array(row), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(off.astype(np.int16))], ["h", "b1", "b2", "row", "at", "n", "off"])
 
+    return rows.select("row", "text").mapInArrow(make, "h long, b1 long, b2 long, row long, at int, n short, off short")
 
-def window_rows(marked: DataFrame, width: int) -> DataFrame:
-    """h, window (a hash), key, at for each window of the blocks listed in `blocks` beside their text."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            parts = []
-            for t, found in zip(b.column(0).to_pylist(), b.column(1)):
-                words = t.encode().split()
-                roll = Rolling(hashes(words))
-                h, at, n = (found.values.field(i).to_numpy().astype(np.int64) for i in range(3))
-                starts = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                parts.append((np.repeat(h, n), signed(roll(starts, starts + width)), starts, [content_key(words)] * len(starts)))
-            if parts:
-                h, window, at = (np.concatenate([p[i] for p in parts]) for i in range(3))
-                yield pa.record_batch({"h": pa.array(h), "window": pa.array(window), "key": pa.array([k for p in parts for k in p[3]], pa.binary()), "at": pa.array(at.astype(np.int32))})
 
-    return marked.select("text", "blocks").mapInArrow(make, "h long, window long, key binary, at int")
+PLACED = "h long, g long, single boolean, row long, at int, n short, off short, body binary, w1 long, w2 long"
 
 
-def with_key(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, text, key of each row; key is null where there are too few words for a window."""
+def placed_blocks(listed: DataFrame, width: int) -> DataFrame:
+    """Rows of text and blocks become one row for each block with its bytes, or for each window where there are too many blocks."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            words = [(t or "").encode().split() for t in b.column(1).to_pylist()]
-            yield pa.record_batch({"doc_id": b.column(0), "text": b.column(1), "key": pa.array([content_key(w) if len(w) >= width else None for w in words], pa.binary())})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(make, "doc_id long, text string, key binary")
-
-
-def factors(hit_starts: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """Greedy parse: maximal runs of found windows become factors (start, end) in words."""
-    if not len(hit_starts):
-        return []
-    s = np.unique(hit_starts)
-    cut = np.flatnonzero(np.diff(s) > 1)
-    return list(zip(s[np.concatenate([[0], cut + 1])].tolist(), (s[np.concatenate([cut, [len(s) - 1]])] + width).tolist()))
-
-
-def found_windows(docs: DataFrame, width: int) -> DataFrame:
-    """key and spans (arrays at and n: windows at, at + 1, ..., at + n - 1 start elsewhere too) of each content with any."""
-    blocks = block_index(docs, width)
-    index = blocks.groupBy("h").agg(F.count(F.lit(1)).alias("c"), (F.min("block") != F.max("block")).alias("differ")).where("c > 1").select("h", "differ")
-    hits = materialize(blocks.join(index, "h"))
-    whole = hits.where("NOT differ").select("key", "at", "n")
-    mixed = hits.where("differ").groupBy("key").agg(F.collect_set(F.struct("h", "at", "n")).alias("blocks"), F.count(F.lit(1)).alias("rows"))
-    mixed = materialize(mixed.select("key", "blocks", (F.col("rows") / F.size("blocks")).cast("long").alias("copies")))
-    texts = with_key(docs, width).where("key IS NOT NULL").select("key", "text").join(broadcast_if_small(mixed.select(F.col("key").alias("k")), SMALL), F.col("key") == F.col("k"), "left_semi")
-    one_text = texts.join(mixed.select("key", "blocks"), "key")
-    windows = materialize(window_rows(one_text, width))
-    again = windows.groupBy("h", "window").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "window")
-    single = windows.join(again, ["h", "window"]).select("key", "at", F.lit(1).alias("n"))
-    spans = whole.unionByName(single).groupBy("key").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
-    return materialize(spans)
+            for row, t, blocks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                own, found = Words(t), blocks.values
+                h, g, single, at, n, off = (found.field(i).to_numpy(zero_copy_only=False) for i in range(6))
+                for which in (g <= MANY, g > MANY):
+                    if not which.any():
+                        continue
+                    i, a, k = np.flatnonzero(which), at[which].astype(np.int64), n[which].astype(np.int64)
+                    if g[i[0]] <= MANY:
+                        bodies = [own.data[x:y] for x, y in zip(own.starts[a].tolist(), own.ends[a + k + width - 2].tolist())]
+                        digest, times = np.zeros((len(i), 2), np.int64), k
+                    else:
+                        a, times = np.repeat(a, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k), np.ones(k.sum(), np.int64)
+                        bodies, digest, i = [None] * len(a), own.digests(a, np.full(len(a), width)), np.repeat(i, k)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(h[i]), pa.array(g[i]), pa.array(single[i]), pa.array(np.full(len(i), row)), pa.array(a.astype(np.int32)), pa.array(times.astype(np.int16)),
+                        pa.array(off[i].astype(np.int16)), pa.array(bodies, pa.binary()), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
+                    ], [x.split()[0] for x in PLACED.split(", ")])
+
+    return listed.select("row", "text", "blocks").mapInArrow(make, PLACED)
+
+
+def match(a: list[bytes], at: int, b: list[bytes], bt: int) -> tuple[int, int]:
+    """Start and end, in a, of the longest run of words around its place `at` that b has around bt."""
+    end, most = at, min(len(a), at + len(b) - bt)
+    while end < most and a[end] == b[end - at + bt]:
+        end += 1
+    start, least = at, max(0, at - bt)
+    while start > least and a[start - 1] == b[start - 1 - at + bt]:
+        start -= 1
+    return start, end
+
+
+def parse(words: list[bytes], anchor: int, others: list[tuple[list[bytes], int]], width: int) -> list[tuple[int, int]]:
+    """Greedy factors (start, end) of width words or more of a block against others, which are (words, anchor)."""
+    matches = [m for m in (match(words, anchor, o, p) for o, p in others) if m[1] - m[0] >= width]
+    found, at = [], min((m[0] for m in matches), default=0)
+    while matches and at + width <= len(words):
+        end = max((e for s, e in matches if s <= at), default=0)
+        if end - at >= width:
+            found.append((at, end))
+            at = end - width + 1  # the first window that this factor doesn't hold
+        else:
+            at = min((s for s, e in matches if s > at), default=len(words))
+    return found
+
+
+def parsed(placed: DataFrame, width: int) -> DataFrame:
+    """row, at and n: windows of the single blocks that lie in a factor. An anchor's blocks come one behind the other."""
+
+    def factors(group: list[tuple]) -> Iterator[tuple[int, int, int]]:
+        blocks = [(body.split(b" "), off) for _, _, _, body, off in group]
+        for i, (single, row, at, _, _) in enumerate(group):
+            if single:
+                for start, end in parse(*blocks[i], [x for j, x in enumerate(blocks) if j != i], width):
+                    yield row, at + start, end - start - width + 1
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+        for b in batches:
+            out: list[tuple[int, int, int]] = []
+            for h, *block in zip(*(x.to_pylist() for x in b.columns)):
+                if h != key:
+                    out += factors(group)
+                    key, group = h, []
+                group.append(block)
+            yield rows(out)
+        yield rows(list(factors(group)))
+
+    def rows(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        x = np.array(found, dtype=np.int64).reshape(-1, 3)
+        return pa.record_batch({"row": pa.array(x[:, 0]), "at": pa.array(x[:, 1].astype(np.int32)), "n": pa.array(x[:, 2].astype(np.int16))})
+
+    ordered = placed.select("h", "single", "row", "at", "body", "off").repartition("h").sortWithinPartitions("h")
+    return ordered.mapInArrow(make, "row long, at int, n short")
+
+
+def factored(rows: DataFrame, width: int) -> DataFrame:
+    """row, at and n: windows at, at + 1, ..., at + n - 1 of a row that start elsewhere too."""
+    blocks = block_index(rows, width)
+    differ = (F.min("b1") != F.max("b1")) | (F.min("b2") != F.max("b2"))
+    index = materialize(blocks.groupBy("h").agg(F.count(F.lit(1)).alias("n"), differ.alias("differ")).where("n > 1"))
+    hits = materialize(salted_join(blocks.withColumnRenamed("n", "k"), index, ["h"], "row", index.agg(F.sum("n")).first()[0] or 0))
+    mixed = hits.where("differ")
+    first = [F.first(c).alias(c) for c in ("row", "at", "k", "off")]
+    distinct = materialize(mixed.groupBy("h", "b1", "b2").agg(F.count(F.lit(1)).alias("n"), *first))
+    several = distinct.where("n > 1").select("h", "b1", "b2", "n")
+    whole = hits.where("NOT differ").unionByName(salted_join(mixed, several, ["h", "b1", "b2"], "row", several.agg(F.sum("n")).first()[0] or 0))
+    groups = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n") == 1).alias("singles")).where("singles > 0").drop("singles").withColumn("g", F.col("n"))
+    marked = salted_join(distinct.select("h", (F.col("n") == 1).alias("single"), "row", "at", "k", "off"), groups, ["h"], "row", distinct.count())
+    listed = marked.groupBy("row").agg(F.collect_list(F.struct("h", "g", "single", "at", "k", "off")).alias("blocks"))
+    placed = materialize(placed_blocks(rows.join(listed, "row"), width))
+    windows = placed.where(F.col("g") > MANY)
+    again = windows.groupBy("h", "w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    apart = salted_join(windows.where("single").select("h", "w1", "w2", "row", "at"), again, ["h", "w1", "w2"], "row", placed.count())
+    found = parsed(placed.where(F.col("g") <= MANY), width)
+    return whole.select("row", "at", F.col("k").alias("n")).unionByName(apart.select("row", "at", F.lit(1).cast("short").alias("n"))).unionByName(found)
+
+
+def copied(rows: DataFrame) -> DataFrame:
+    """row of each text that stands in another row too."""
+    marked = rows.select("row", F.xxhash64("text").alias("m1"), F.xxhash64(F.lit(1), "text").alias("m2"))
+    several = materialize(marked.groupBy("m1", "m2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return salted_join(marked, several, ["m1", "m2"], "row", several.agg(F.sum("n")).first()[0] or 0).select("row")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+
+
+def put_together(gone: np.ndarray) -> list[tuple[int, int]]:
+    """Spans (start, end) of the words that are gone."""
+    step = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+    return list(zip(step[::2].tolist(), step[1::2].tolist()))
 
 
 def substring_dedup(docs: DataFrame, width: int = 35) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, spans (of removed words), kept (text)."""
-    spans = found_windows(docs, width)
-    keyed = with_key(docs, width)
-    joined = keyed.join(spans, "key", "left").select("doc_id", "text", "spans")
+    rows = numbered(docs)
+    found = factored(rows, width).unionByName(copied(rows).select("row", F.lit(0).alias("at"), F.lit(-1).cast("short").alias("n")))
+    spans = materialize(found.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("spans")))
+    joined = rows.join(spans, "row", "left").select("doc_id", "text", "spans")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             out: dict[str, list] = {"n_words": [], "n_removed": [], "spans": [], "kept": []}
             for t, found in zip(b.column(1).to_pylist(), b.column(2)):
-                words = t.encode().split()
-                parsed = []
-                if found.is_valid:
+                words = kept = t.encode().split()
+                gone = []
+                if found.is_valid and len(words) >= width:
                     at, n = (found.values.field(i).to_numpy().astype(np.int64) for i in range(2))
-                    gone = flag_array(len(words), at, at + n)
-                    parsed = factors(np.flatnonzero(gone), width)
-                keep = ~flag_array(len(words), *np.array(parsed, dtype=np.int64).reshape(-1, 2).T) if parsed else None
-                kept = words if keep is None else [words[i] for i in np.flatnonzero(keep).tolist()]
+                    flags = flag_array(len(words), at, np.where(n < 0, len(words), at + n + width - 1))
+                    gone, kept = put_together(flags), [words[i] for i in np.flatnonzero(~flags).tolist()]
                 out["n_words"].append(len(words))
                 out["n_removed"].append(len(words) - len(kept))
-                out["spans"].append([{"start": i, "end": j} for i, j in parsed])
+                out["spans"].append([{"start": i, "end": j} for i, j in gone])
                 out["kept"].append(b" ".join(kept).decode())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["spans"], pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()}))), pa.array(out["kept"], pa.string())], ["doc_id", *out])
 
