@@ -8,6 +8,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from sievespark.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, line_dedup, quality, registry, simhash, substring_dedup
@@ -106,17 +107,18 @@ def plain_groups(fp: dict, radius: int = 4) -> dict:
 def test_simhash_links(spark, odd, none, monkeypatch):
     r = random.Random(3)
     fps = []
-    for _ in range(40):
-        x = r.getrandbits(64)
+    for k in range(60):
+        x = r.getrandbits(64) if k % 2 else 0xFFFF << 20 | r.getrandbits(16)  # half of them share blocks of bits
         for _ in range(r.randint(1, 8)):
             fps.append(x)
             for _ in range(r.randint(0, 6)):
                 x ^= 1 << r.randrange(64)
-    want = plain_groups(dict(enumerate(fps)))
     df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in set(fps)], "fp long")
-    for whole in (simhash.WHOLE, 8):
-        monkeypatch.setattr(simhash, "WHOLE", whole)
-        roots = {row.node: row.root for row in simhash.components(simhash.edges(df, 4)).collect()}
+    for radius, whole, half, load in ((4, simhash.WHOLE, simhash.HALF, simhash.LOAD), (4, 2, 3, 0), (9, 3, 4, 1)):
+        for name, value in (("WHOLE", whole), ("HALF", half), ("LOAD", load)):
+            monkeypatch.setattr(simhash, name, value)
+        want = plain_groups(dict(enumerate(fps)), radius)
+        roots = {row.node: row.root for row in simhash.components(simhash.edges(df, radius).where("figures IS NULL")).collect()}
         got = defaultdict(set)
         for i, x in enumerate(fps):
             s = int(np.uint64(x).astype(np.int64))
@@ -124,8 +126,32 @@ def test_simhash_links(spark, odd, none, monkeypatch):
         assert {frozenset(v) for v in got.values()} == {frozenset(i for i in want if want[i] == k) for k in set(want.values())}
     rows = simhash.simhash_groups(odd).collect()
     assert len(rows) == len(ODD) and {r.component_id for r in rows if r.doc_id in (1, 2, 3)} == {1}
-    assert simhash.simhash_groups(none).count() == 0 and simhash.representatives(none).count() == 0
-    assert [r.doc_id for r in simhash.representatives(odd).where("text = 'one'").collect()] == [4]
+    assert simhash.simhash_groups(none).count() == 0
+
+
+def plain_fingerprint(text, width=4):
+    import re
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in text or ""))
+    runs = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+    each = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in each) > len(each))
+
+
+def test_fingerprints(spark, odd, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 7)
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["A", "b", "É", "ccc", "d\n"]) for _ in range(r.randrange(40))) for _ in range(60)]
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    want = sorted((d or -1, plain_fingerprint(t)) for d, t in [*ODD, *((100 + i, t) for i, t in enumerate(texts))])
+    assert sorted((row.doc_id or -1, row.fp % 2**64) for row in simhash.fingerprints(docs).collect()) == want
+
+
+def test_pivots_discard(spark):
+    r = random.Random(2)
+    df = spark.createDataFrame([(int(np.uint64(r.getrandbits(64)).astype(np.int64)),) for _ in range(3000)], "fp long")
+    pairs, checked = simhash.edges(df, 4).where("figures IS NOT NULL").selectExpr("sum(figures[0])", "sum(figures[1])").first()
+    assert pairs > 1000 and checked < 0.001 * pairs
 
 
 def test_bpe(spark, odd, none):
