@@ -1,13 +1,14 @@
 """Byte-level BPE by monoid tree reduction.
 
-Each match of the pattern is encoded on its own. A match of up to LEAF bytes is merged pair by pair; a longer one is
-halved, both halves are encoded by the same rule, and the two lists of ids are joined: the last and first w ids
-around the border are encoded anew from their bytes, and w doubles until the new ids fit their neighbours. They fit
-if encoding two adjacent ids' bytes gives just these two ids; a list of ids whose adjacent pairs all fit is the
-encoding of its bytes, so nothing outside the window can change. (join, []) is a monoid: it is associative with the
-empty list as unit, so the halves may be encoded anywhere and in any order. Decoding concatenates up the same tree.
-
-Null text is encoded as the empty text: no ids. Repeated rows each have their result; only doc_id and text are read.
+Each match of the pattern is encoded on its own. A match that is a token is its id; any other is halved, both halves are
+encoded by the same rule, down to LEAF bytes, and the two lists of ids are joined: the last and first w ids around the
+border are encoded anew from their bytes, and w doubles until the new ids fit their neighbours. Two adjacent ids fit if
+encoding their bytes gives just these two; a list of ids whose adjacent pairs all fit is the encoding of its bytes, so
+nothing outside the window can change. (join, []) is a monoid: it is associative with the empty list as unit, so the
+halves may be encoded anywhere and in any order. Decoding concatenates up the same tree.
+
+Null text is encoded as the empty text: no ids. An empty table gives no rows. A very long text is held whole, at about
+20 bytes a byte; a match of any length is a tree of its own, so its time grows with its length only. Repeated rows each have their result; only doc_id and text are read.
 The vocabulary's path is a parameter; the file is read where the tasks run, as it comes with an installed package.
 """
 
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .base import slices, table
 
-#: Bytes that are merged without a split, and matches whose ids are remembered in a worker.
-LEAF, REMEMBERED = 48, 200_000
+#: Matches of up to so many characters are remembered in a worker, and so many of them; bytes that the first window of a
+#: join would encode anew as a whole, so that halving them is of no use.
+SHORT, REMEMBERED, LEAF = 48, 200_000, 12
 
 
 class Codec:
@@ -38,30 +40,31 @@ class Codec:
             self.bytes_of[rank] = token
         self.split = regex.compile(pattern).findall
         self.packed: dict[str, bytes] = Packed(self)
-        self.pair_fits = lru_cache(REMEMBERED)(lambda a, b: self.leaf(self.bytes_of[a] + self.bytes_of[b]) == [a, b])
+        self.pair_fits = lru_cache(REMEMBERED)(lambda a, b: self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b])
 
-    def leaf(self, data: bytes) -> list[int]:
-        """Merge the pair of least rank, the leftmost of equals, as long as there is one."""
-        ranks = self.ranks
-        if (whole := ranks.get(data)) is not None:
-            return [whole]
+    def merge(self, data: bytes) -> list[int]:
+        """The ids of a window: merge the pair of least rank, the leftmost of equals, as long as there is one."""
+        rank, none = self.ranks.get, len(self.bytes_of)
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        pairs = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while pairs and (least := min(pairs)) < none:
+            i = pairs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
+        return [self.ranks[p] for p in parts]
 
     def encode_bytes(self, data: bytes) -> list[int]:
+        """The ids of data: itself if it is a token, else those of its halves, joined."""
+        if (whole := self.ranks.get(data)) is not None:
+            return [whole]
         if len(data) <= LEAF:
-            return self.leaf(data) if data else []
+            return self.merge(data)
         half = len(data) // 2
-        return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
+        return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:])) if data else []
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The ids of the bytes of both lists."""
@@ -70,7 +73,7 @@ class Codec:
         w = 2
         while True:
             a, b = max(0, len(left) - w), min(len(right), w)
-            middle = self.leaf(b"".join(self.bytes_of[i] for i in left[a:] + right[:b]))
+            middle = self.merge(b"".join(self.bytes_of[i] for i in left[a:] + right[:b]))
             if (a == 0 or self.pair_fits(left[a - 1], middle[0])) and (b == len(right) or self.pair_fits(middle[-1], right[b])):
                 return left[:a] + middle + right[b:]
             w *= 2
@@ -98,7 +101,7 @@ class Packed(dict):
 
     def __missing__(self, match: str) -> bytes:
         found = np.array(self.codec.encode_bytes(match.encode()), dtype="<u4").tobytes()
-        if len(match) <= LEAF:
+        if len(match) <= SHORT:
             if len(self) >= REMEMBERED:
                 self.clear()
             self[match] = found

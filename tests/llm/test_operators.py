@@ -154,7 +154,7 @@ def test_pivots_discard(spark):
     assert pairs > 1000 and checked < 0.001 * pairs
 
 
-def test_bpe(spark, odd, none):
+def test_bpe(spark, odd, none, monkeypatch):
     import tiktoken
 
     path, pattern = bpe.vocabulary()
@@ -165,6 +165,11 @@ def test_bpe(spark, odd, none):
         text = "".join(r.choice("aab eéeß0\n!日") for _ in range(r.randint(0, 900)))
         text = text.replace(" ", "") if k % 2 else text
         assert np.frombuffer(own.encode(text), "<u4").tolist() == enc.encode_ordinary(text)
+    monkeypatch.setattr(bpe, "LEAF", 1)  # trees down to single bytes
+    tree = bpe.Codec(path, pattern)
+    for n in (1, 2, 3, 50, 900, 20_000):
+        text = "".join(r.choice("abcdefgh tionßé日") for _ in range(n)).replace(" ", "")
+        assert [i for m in tree.split(text) for i in tree.encode_bytes(m.encode())] == enc.encode_ordinary(text)
     for row in bpe.encode_decode(odd, path, pattern).collect():
         assert np.frombuffer(bytes(row.ids), "<u4").tolist() in [enc.encode_ordinary(t or "") for d, t in ODD if d == row.doc_id]
     assert bpe.encode_decode(none, path, pattern).count() == 0
