@@ -4,9 +4,11 @@ An item's window is a set of shingles: its runs of SHINGLE words (all its words,
 window only if it contains every shingle of it, so one shingle is a sufficient prefix at containment 1: the rarest,
 by occurrences in the corpus. Windows with a shingle that occurs nowhere are out at once. Places of the prefix
 shingle in texts give candidate places of the window; those that don't fit into the text (length and positional
-bound) are out, and the rest is verified word by word over the window's own length.
+bound) are out, and the rest is verified word by word over the window's own length. Texts are verified where they are
+read, if candidates are few enough to be sent there.
 
-Null text has no words and no windows; items without words have none. Repeated rows and ids are kept: a text's result
+Null text has no words and no windows; items without words have none. An empty table gives no rows, an empty benchmark
+no hits. A very long text is an array of its words in one row. Repeated rows and ids are kept: a text's result
 depends on its words alone. Items that share an id count once; a null item_id counts as the empty string. Only
 doc_id, item_id and text are read.
 """
@@ -16,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import broadcast_if_small, materialize, table
+from .base import broadcast_if_small, materialize, salted_join, table
 
-#: Words of a shingle, and rows of the benchmark's tables that may be broadcast (about 100 bytes a row).
+#: Words of a shingle, and rows that may be broadcast of the benchmark's tables and of candidates (about 100 bytes a row).
 SHINGLE, SMALL = 5, 100_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,17 +38,17 @@ def runs(hashed: Column, k: int) -> Column:
     return F.when(n >= k, made).otherwise(F.array().cast("array<long>"))
 
 
-def windows(benchmark: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """Items' windows: (w, item) and, once each, (w, n words, k words a shingle, shingles)."""
+def windows(benchmark: DataFrame, width: int) -> DataFrame:
+    """Items' windows, once each: w, items, n (words), k (words a shingle), shingles."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("ws")).where(F.size("ws") > 0)
     n = F.least(F.size("ws"), F.lit(width))
     cut = F.transform(F.sequence(F.lit(0), F.size("ws") - n), lambda i: F.slice("ws", i + 1, n))
     each = items.select("item", F.explode(cut).alias("ws")).select("item", F.array_join("ws", " ").alias("w"))
-    own = each.select("w").distinct().withColumn("ws", F.split("w", " ")).withColumn("n", F.size("ws"))
+    own = each.groupBy("w").agg(F.collect_set("item").alias("items")).withColumn("ws", F.split("w", " ")).withColumn("n", F.size("ws"))
     hashed = F.transform("ws", lambda x: F.xxhash64(x))
     k = F.least(F.col("n"), F.lit(SHINGLE))
     shingles = F.coalesce(*[F.when(k == i, runs(hashed, i)) for i in range(1, SHINGLE + 1)])
-    return each.distinct(), own.select("w", "n", k.alias("k"), shingles.alias("shingles"))
+    return own.select("w", "items", "n", k.alias("k"), shingles.alias("shingles"))
 
 
 def digest(text: Column) -> tuple[Column, Column]:
@@ -54,46 +56,62 @@ def digest(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(full).alias("d1"), F.xxhash64(F.lit(1), full).alias("d2")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """One row per row of docs: doc_id, d1 and d2 (its text's digest), n_words, n_hit, n_items, items_sha256."""
-    each, own = (materialize(x) for x in windows(benchmark, width))
-    known = own.select("k", F.explode("shingles").alias("shingle")).distinct()
-    lengths = [r[0] for r in own.select("k").distinct().orderBy("k").collect()]  # at most SHINGLE numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *digest(F.col("text")))
-    hashed = rows.select("d1", "d2", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("hs"))
-    found = None
-    for k in lengths:
-        part = hashed.select("d1", "d2", F.lit(k).alias("k"), F.posexplode_outer(runs(F.col("hs"), k)).alias("pos", "shingle"))  # the plain one has the optimizer compute runs twice
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return rows.select("doc_id", "d1", "d2", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"))
+def places_of(hashed: DataFrame, windows_of: DataFrame, lengths: list[int]) -> DataFrame:
+    """d1, d2, cs (start, n words, w and items of each window that may be there) and n (texts) of each text that may hold one."""
+    of_length = lambda k: F.transform(runs(F.col("hs"), k), lambda x, i: F.struct(F.lit(k).alias("k"), i.alias("pos"), x.alias("shingle")))
+    every = F.flatten(F.array(*map(of_length, lengths)))
+    found = hashed.select("d1", "d2", F.explode_outer(every).alias("e")).select("d1", "d2", "e.k", "e.pos", "e.shingle")  # the plain one has the optimizer compute runs twice
+    known = windows_of.select("k", F.explode("shingles").alias("shingle")).distinct()
     hits = materialize(found.join(broadcast_if_small(known, SMALL), ["k", "shingle"]))
     seen = hits.groupBy("k", "shingle").agg(F.count(F.lit(1)).alias("seen"))
-    spread = own.select("w", "n", "k", F.posexplode("shingles").alias("off", "shingle"))
+    spread = windows_of.select("w", "n", "k", F.posexplode("shingles").alias("off", "shingle"))
     prefix = spread.join(seen, ["k", "shingle"], "left").groupBy("w", "n", "k").agg(F.count_if(F.col("seen").isNull()).alias("missing"), F.min(F.struct("seen", "shingle", "off")).alias("p"))
-    prefix = materialize(prefix.where("missing = 0").select("w", "n", "k", F.col("p.shingle").alias("shingle"), F.col("p.off").alias("off")))
-    places = hits.join(broadcast_if_small(prefix, SMALL), ["k", "shingle"]).where("pos >= off").select("d1", "d2", F.struct((F.col("pos") - F.col("off")).alias("s"), "n", "w").alias("c"))
-    candidates = places.groupBy("d1", "d2").agg(F.collect_set("c").alias("cs"))
-    beside = rows.join(candidates, ["d1", "d2"], "left").select("doc_id", "d1", "d2", words(F.col("text")).alias("ws"), "cs")
+    prefix = prefix.where("missing = 0").select("w", "n", "k", F.col("p.shingle").alias("shingle"), F.col("p.off").alias("off")).join(windows_of.select("w", "items"), "w")
+    places = hits.join(broadcast_if_small(materialize(prefix), SMALL), ["k", "shingle"]).where("pos >= off").select("d1", "d2", F.struct((F.col("pos") - F.col("off")).alias("s"), "n", "w", "items").alias("c"))
+    return places.groupBy("d1", "d2").agg(F.collect_set("c").alias("cs"), F.count(F.lit(1)).alias("n")).select("d1", "d2", "cs", (F.col("n") / F.size("cs")).cast("long").alias("n"))
+
+
+def beside(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """rows with the candidates of their texts: a few are sent to the texts, else texts meet them, frequent ones in many tasks."""
+    texts, places, items, total = candidates.agg(F.count(F.lit(1)), F.sum(F.size("cs")), F.sum(F.aggregate("cs", F.lit(0), lambda a, c: a + F.size(c["items"]))), F.sum("n")).first()
+    if texts <= SMALL and (places or 0) + (items or 0) <= 2 * SMALL:
+        return rows.join(F.broadcast(candidates.drop("n")), ["d1", "d2"], "left")
+    return salted_join(rows, candidates, ["d1", "d2"], "row", total, "left")
+
+
+def marked(rows: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
+    """rows (with text) and n_words, n_hit, and items, sorted, of each."""
+    windows_of = materialize(windows(benchmark, width))
+    lengths = [r[0] for r in windows_of.select("k").distinct().orderBy("k").collect()]  # at most SHINGLE numbers
+    rows = rows.select("*", *digest(F.col("text")), F.monotonically_increasing_id().alias("row"))
+    none = F.array().cast("array<string>")
+    if not lengths:
+        return rows.select("*", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none.alias("items"))
+    hashed = rows.select("d1", "d2", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("hs"))
+    both = beside(rows, materialize(places_of(hashed, windows_of, lengths))).withColumn("ws", words(F.col("text")))
     fits = lambda c: (c["s"] + c["n"] <= F.size("ws")) & (F.array_join(F.slice(F.col("ws"), c["s"] + 1, c["n"]), " ") == c["w"])
-    verified = beside.select("doc_id", "d1", "d2", F.size("ws").cast("long").alias("n_words"), F.when(F.col("cs").isNotNull(), F.filter("cs", fits)).alias("cs"))
-    places = F.array_distinct(F.flatten(F.transform("cs", lambda c: F.sequence(c["s"], c["s"] + c["n"] - 1))))
-    marked = materialize(verified.select("doc_id", "d1", "d2", "n_words", F.coalesce(F.size(F.when(F.size("cs") > 0, places)), F.lit(0)).cast("long").alias("n_hit"), F.array_distinct(F.transform("cs", lambda c: c["w"])).alias("found")))
-    by_item = marked.where("n_hit > 0").select("d1", "d2", F.explode("found").alias("w")).join(broadcast_if_small(each, SMALL), "w").groupBy("d1", "d2").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    out = marked.join(by_item, ["d1", "d2"], "left")
-    return out.select("doc_id", "d1", "d2", "n_words", F.greatest("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"), F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")), 256).alias("items_sha256"))
+    verified = both.withColumn("n_words", F.size("ws").cast("long")).withColumn("cs", F.when(F.col("cs").isNotNull(), F.filter("cs", fits))).drop("ws")
+    covered = F.size(F.array_distinct(F.flatten(F.transform("cs", lambda c: F.sequence(c["s"], c["s"] + c["n"] - 1)))))
+    some = F.col("cs").isNotNull() & (F.size("cs") > 0)
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform("cs", lambda c: c["items"]))))
+    return verified.withColumn("n_hit", F.when(some, covered).otherwise(0).cast("long")).withColumn("items", F.when(some, items).otherwise(none)).drop("cs")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256."""
+    found = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, width)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The rows of docs, with their columns, whose texts have no window of the benchmark."""
-    bad = materialize(decontaminate(docs, benchmark, width).where("n_hit > 0").select("d1", "d2").distinct())
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), *digest(F.col("text")))
-    return rows.join(broadcast_if_small(bad, SMALL), ["d1", "d2"], "left_anti").select("r.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), "text")
+    return marked(rows, benchmark, width).where("n_hit = 0").select("r.*")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.drop("d1", "d2").withColumn("contaminated", F.col("n_hit") > 0)
+    return found.withColumn("contaminated", F.col("n_hit") > 0)
 
 
 SQL = r"""
