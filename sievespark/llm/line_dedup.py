@@ -3,12 +3,14 @@
 A text's lines are cut into chunks where a rolling hash over the hashes of the last two lines falls into CUT, so an
 inserted line moves no cut but those beside it. Chunks of two lines or more that occur again, in any text, are
 removed, but for one: those in the text of the smallest doc_id stay, the first of them there. Chunks are grouped by
-their bytes, so equal means equal bytes; the group's 128-bit key then only finds its places, and a key that stands
-for different bytes removes nothing. Single-line chunks are never removed.
+their bytes, so equal means equal bytes; the group's 128-bit key then only finds its places, and chunks whose key
+stands for different bytes meet by their bytes. Single-line chunks are never removed. A frequent chunk is counted
+before it is shuffled and its places are dealt over many tasks.
 
 Null text stays null and has no lines; the empty text has one empty line. Null doc_ids lose against others. Rows
 repeated with the same doc_id are the same document, so none makes the other's chunks repeated. Further columns are
-kept as they are; n_chars, where there is one, follows the text.
+kept as they are; n_chars, where there is one, follows the text. An empty table gives no rows. A very long text is an
+array of its lines in one row.
 
 Chunks miss most of a short passage that is repeated between other lines, as both its cuts must lie inside it. The
 rule is that of the query's SQL, so it stays for op7_line_dedup; without_passages(), for pipelines, looks at each two
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import materialize, salted_join, table
 
 #: First hexadecimal digits of the rolling hash that cut: 5 of 16, so chunks have about three lines.
 CUT = ("0", "1", "2", "3", "4")
@@ -49,9 +51,16 @@ def removals(docs: DataFrame) -> DataFrame:
     each = several.select("row_id", "row_hash", F.explode_outer("cs").alias("c")).where("c IS NOT NULL")
     each = each.select("row_id", "row_hash", F.col("c.start").alias("start"), F.col("c.body").alias("body"), F.xxhash64("c.body").alias("k1"), F.xxhash64(F.lit(1), "c.body").alias("k2"))
     named = F.when(F.col("row_id") == -(2**63), None).otherwise(F.col("row_id"))
-    bodies = each.groupBy("k1", "k2", "body").agg(F.count(F.lit(1)).alias("c"), F.min(named).alias("keeper"))
-    keys = bodies.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("bodies"), F.sum("c").alias("c"), F.min("keeper").alias("keeper")).where("bodies = 1 AND c > 1")
-    placed = each.select("row_id", "row_hash", "start", "k1", "k2").join(keys.select("k1", "k2", F.coalesce("keeper", F.lit(-(2**63))).alias("keeper")), ["k1", "k2"])
+    bodies = each.groupBy("k1", "k2", "body").agg(F.count(F.lit(1)).alias("n"), F.min(named).alias("keeper"))
+    keys = bodies.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("bodies"), F.sum("n").alias("n"), F.min("keeper").alias("keeper"), F.max("n").alias("most"))
+    keys = materialize(keys.where("most > 1").select("k1", "k2", "bodies", "n", F.coalesce("keeper", F.lit(-(2**63))).alias("keeper")))
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    placed = salted_join(each.select("row_id", "row_hash", "start", "k1", "k2"), keys.where("bodies = 1").drop("bodies"), ["k1", "k2"], "row_id", total)
+    clash = keys.where("bodies > 1").select("k1", "k2")
+    if not clash.isEmpty():  # a key that stands for different bytes: its chunks meet by their bytes
+        own = bodies.where("n > 1").join(clash, ["k1", "k2"]).withColumn("keeper", F.coalesce("keeper", F.lit(-(2**63))))
+        apart = salted_join(each, own, ["k1", "k2", "body"], "row_id", total)
+        placed = placed.unionByName(apart.select("row_id", "row_hash", "start", F.xxhash64(F.lit(2), "body").alias("k1"), F.xxhash64(F.lit(3), "body").alias("k2"), "keeper"))
     return all_but_first(placed)
 
 
@@ -72,8 +81,9 @@ def pairs(docs: DataFrame) -> DataFrame:
     each = rows.select("row_id", "row_hash", F.explode_outer(each).alias("c")).where("c IS NOT NULL")
     each = each.select("row_id", "row_hash", F.col("c.start").alias("start"), F.substring("c.k", 1, 16).alias("k1"), F.substring("c.k", 17, 16).alias("k2"))
     named = F.when(F.col("row_id") == -(2**63), None).otherwise(F.col("row_id"))
-    keys = each.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c"), F.min(named).alias("keeper")).where("c > 1")
-    return all_but_first(each.join(keys.select("k1", "k2", F.coalesce("keeper", F.lit(-(2**63))).alias("keeper")), ["k1", "k2"]))
+    keys = each.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(named).alias("keeper")).where("n > 1")
+    keys = materialize(keys.select("k1", "k2", "n", F.coalesce("keeper", F.lit(-(2**63))).alias("keeper")))
+    return all_but_first(salted_join(each, keys, ["k1", "k2"], "row_id", keys.agg(F.sum("n")).first()[0] or 0))
 
 
 def without_passages(docs: DataFrame) -> DataFrame:
@@ -91,8 +101,11 @@ def without_passages(docs: DataFrame) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """docs with the repeated chunks out of text, and n_lines and n_removed (lines) in a struct named line_dedup."""
-    cols = docs.columns
+    """docs with the repeated chunks out of text, and n_lines and n_removed (lines) in a last column, a struct named
+    line_dedup (with as many _ behind it as it takes to differ from the names in docs)."""
+    cols, report = docs.columns, "line_dedup"
+    while report.lower() in map(str.lower, cols):
+        report += "_"
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("r"), "doc_id", "text").select("r", "text", *row_key())
     chunked = with_chunks(rows.join(removals(docs), ["row_id", "row_hash"], "left"))
     stays = F.filter("cs", lambda c: ~F.array_contains("gone", c["start"]))
@@ -100,9 +113,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     lines = F.when(F.col("ls").isNull(), 0).otherwise(F.size("ls")).cast("long")
     left = F.aggregate(stays, F.lit(0), lambda a, c: a + c["n"])
     removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("ls") - left).cast("long")
-    done = chunked.select("r", text.alias("text"), F.struct(lines.alias("n_lines"), removed.alias("n_removed")).alias("line_dedup"))
-    as_before = {"text": F.col("text"), "n_chars": F.when(F.col("line_dedup.n_removed") > 0, F.length("text")).otherwise(F.col("r.n_chars")).cast(dict(docs.dtypes)["n_chars"]) if "n_chars" in cols else None}
-    return done.select(*[as_before[c].alias(c) if c in as_before else F.col(f"r.`{c}`").alias(c) for c in cols], "line_dedup")
+    done = chunked.select("r", text.alias("text"), F.struct(lines.alias("n_lines"), removed.alias("n_removed")).alias(report))
+    as_before = {"text": F.col("text"), "n_chars": F.when(F.col(f"{report}.n_removed") > 0, F.length("text")).otherwise(F.col("r.n_chars")).cast(dict(docs.dtypes)["n_chars"]) if "n_chars" in cols else None}
+    return done.select(*[as_before[c].alias(c) if c in as_before else F.col(f"r.`{c}`").alias(c) for c in cols], report)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
