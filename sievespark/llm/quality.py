@@ -2,14 +2,16 @@
 
 A logistic model over hashed byte n-grams and a few shape figures of a text is fitted to trusted positives (label 1)
 and unlabelled web text, minimising the non-negative unbiased risk  pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))  with
-the sigmoid loss; where the bracket is negative, its gradient is taken back. The class prior pi is estimated: from
-the share of 1 among the labels of the training fold if they have both kinds, else from the mean score that a plain
-classifier of labelled against unlabelled gives to the positives it has not seen (Elkan and Noto).
+the sigmoid loss; where the bracket is negative, its gradient is taken back. The class prior pi, the share of positives
+among the unlabelled texts, is estimated from these and the positives alone: a plain classifier of labelled against
+unlabelled scores texts that it has not seen, and the prior is the least share of unlabelled over that of positives
+above a threshold (best bin estimation). Labels 0 are not learned from.
 
-The sample to fit on is bounded: POSITIVES and UNLABELLED texts on average, chosen by a hash of the id; it holds no
-row of the held-out fold. Every whole text is scored; the empty and the null text have the score of a text without
+The sample to fit on is bounded: POSITIVES and UNLABELLED different texts on average, those of least hash, each once
+however often it stands; it holds no row of the held-out fold. Every whole text is scored; the empty and the null text have the score of a text without
 n-grams. Labels, lang, source and doc_id are inputs of no score. With no positives all scores are the prior 0.5.
-Repeated rows each have their score; a document with several labels counts with each; null labels count as none.
+Repeated rows each have their score, an empty table none; a document is trusted if any of its labels is 1; null labels
+count as none. A very long text is counted in tiles of TILE bytes.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import fold, mix, slices, table
+from .base import broadcast_if_small, fold, mix, slices, table
 
 #: Texts to fit on, hashed features, rounds of full-batch Adam, weight decay.
 POSITIVES, UNLABELLED, BUCKETS, ROUNDS, DECAY = 3000, 6000, 1024, 400, 1e-3
-SHAPES = 8
+SHAPES, TILE = 8, 1 << 20
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
@@ -37,13 +39,15 @@ def features(text: str | None) -> np.ndarray:
     if not data:
         return x
     a = np.frombuffer(data, np.uint8)
-    b = a.astype(np.uint64)
     for n, at in ((2, 0), (3, BUCKETS // 2)):
-        if len(b) >= n:
+        c = np.zeros(BUCKETS // 2, np.int64)
+        for first in range(0, len(a) - n + 1, TILE):
+            b = a[first : first + TILE + n - 1].astype(np.uint64)
             g = b[: len(b) - n + 1].copy()
             for i in range(1, n):
                 g = g << np.uint64(8) | b[i : len(b) - n + 1 + i]
-            c = np.bincount((mix(g) % np.uint64(BUCKETS // 2)).astype(np.int64), minlength=BUCKETS // 2)
+            c += np.bincount((mix(g) % np.uint64(BUCKETS // 2)).astype(np.int64), minlength=BUCKETS // 2)
+        if c.any():
             x[at : at + BUCKETS // 2] = np.sqrt(c / c.sum())
     words = data.split()
     upper, lower = int(((a >= 65) & (a <= 90)).sum()), int(((a >= 97) & (a <= 122)).sum())
@@ -68,7 +72,7 @@ class Adam:
 
 
 def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights and bias that minimise the non-negative risk."""
+    """Weights and bias that minimise the non-negative risk; the bias so that as many of unl are called positive as the prior says."""
     one = lambda x: np.hstack([x, np.ones((len(x), 1), np.float32)])
     pos, unl = one(pos), one(unl)
     w = np.zeros(pos.shape[1])
@@ -81,6 +85,7 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, rounds: int = ROUND
         gp, gu = slope(pos, sp), slope(unl, su)
         g = -prior * gp + (gu - prior * gp if bracket >= 0 else -(gu - prior * gp))
         w = adam.step(w, g + DECAY * w)
+    w[-1] -= np.quantile(unl @ w, 1 - prior)  # the share of unl that is called positive is the prior
     return w
 
 
@@ -94,27 +99,38 @@ def fit_plain(pos: np.ndarray, unl: np.ndarray, rounds: int = 150) -> np.ndarray
     return w
 
 
-def elkan_noto(pos: np.ndarray, unl: np.ndarray) -> float:
-    """The prior, from the odds that a classifier of labelled against unlabelled gives positives that it has not seen."""
+def class_prior(pos: np.ndarray, unl: np.ndarray) -> float:
+    """The share of positives in unl: with the scores of a classifier on texts that it has not seen, the share of unl above a
+    threshold over that of pos, where its upper confidence bound is least (best bin). The first classifier tells labelled from
+    unlabelled; the first prior then serves one that minimises the non-negative risk, whose scores give the prior."""
     if len(pos) < 2 or len(unl) < 2:
         return 0.5
-    w = fit_plain(pos[::2], unl[::2])
-    seen = np.median(sigmoid(pos[1::2] @ w[:-1] + w[-1]))
-    return float(np.clip(len(pos) / len(unl) * (1 - seen) / max(seen, 1e-6), 0.05, 0.95))
+    first = best_bin(fit_plain(pos[::2], unl[::2]), pos[1::2], unl[1::2])
+    halves = [(pos[i::2], unl[i::2]) for i in (0, 1)]
+    return float(np.mean([best_bin(fit_nnpu(*one, first, 200), *two) for one, two in (halves, halves[::-1])]))
+
+
+def best_bin(w: np.ndarray, pos: np.ndarray, unl: np.ndarray) -> float:
+    sp, su = (np.sort(x @ w[:-1] + w[-1]) for x in (pos, unl))
+    above = lambda s: 1 - np.searchsorted(s, sp) / len(s)
+    bound = sum(np.sqrt(np.log(40) / (2 * len(s))) for s in (sp, su))
+    best = np.argmin((above(su) + bound) / above(sp))
+    return float(np.clip(above(su)[best] / above(sp)[best], 0.05, 0.95))
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable) -> np.ndarray | None:
     """Weights of the model; `usable` says which doc_ids may be learned from, in either table."""
-    known = labels.select("doc_id", "quality").where(usable)
-    n1, n0 = known.agg(F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0)).first()
-    rows = docs.select("doc_id", "text").where(usable)
-    total = rows.count()
-    if not n1 or not total:
+    trusted = labels.where(usable & (F.col("quality") == 1)).select("doc_id").distinct()
+    rows = docs.select("doc_id", "text").where(usable & F.col("text").isNotNull())
+    texts = rows.agg(F.approx_count_distinct(F.xxhash64("text"))).first()[0]
+    positives = trusted.count()
+    if not positives or not texts:
         return None
-    chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 30)) / (1 << 30)
-    trusted = known.where((F.col("quality") == 1) & (chance < POSITIVES / n1)).select("doc_id", F.lit(1).alias("y"))  # POSITIVES rows on average
-    other = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 30)) / (1 << 30)
-    chosen = rows.join(F.broadcast(trusted), "doc_id").select("text", "y").unionByName(rows.where(other < UNLABELLED / total).select("text", F.lit(0).alias("y")))
+    chance = lambda x: F.pmod(x, F.lit(1 << 30)) / (1 << 30)
+    trusted = trusted.where(chance(F.xxhash64("doc_id", F.lit(5))) < POSITIVES / positives)
+    pos = rows.join(broadcast_if_small(trusted, 4 * POSITIVES), "doc_id").select("text", F.lit(1).alias("y"))
+    unl = rows.where(chance(F.xxhash64("text", F.lit(9))) < UNLABELLED / texts).select("text", F.lit(0).alias("y"))
+    chosen = pos.unionByName(unl).dropDuplicates(["text", "y"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -128,7 +144,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable) -> np.ndarray | None:
     pos, unl = x[got["y"].to_numpy() == 1], x[got["y"].to_numpy() == 0]
     if not len(pos) or not len(unl):
         return None
-    return fit_nnpu(pos, unl, n1 / (n1 + n0) if n0 else elkan_noto(pos, unl))
+    return fit_nnpu(pos, unl, class_prior(pos, unl))
 
 
 def score(docs: DataFrame, w: np.ndarray | None) -> DataFrame:
