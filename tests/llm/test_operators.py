@@ -3,7 +3,7 @@
 import hashlib
 import os
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -56,7 +56,7 @@ def test_accuracy(spark):
 def test_prior_from_positives_alone():
     r = np.random.default_rng(0)
     pos, neg = r.normal(1, 0.3, (600, 4)).astype(np.float32), r.normal(-1, 0.3, (300, 4)).astype(np.float32)
-    assert abs(quality.elkan_noto(pos[:300], np.vstack([pos[300:], neg])) - 0.5) < 0.15
+    assert abs(quality.class_prior(pos[:300], np.vstack([pos[300:], neg])) - 0.5) < 0.15
 
 
 def test_odd_substrings(odd, none):
@@ -214,3 +214,71 @@ def test_pipeline(spark):
         seen = corpus_pipeline.materialize(stage(spark, seen, SF))
         assert seen.columns == docs.columns, name
     assert {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in seen.collect()} == {i: r.decoded_sha256 for i, r in out.items()}
+
+
+def test_non_negative_risk_by_numeric_gradient():
+    """fit_nnpu's first step follows the gradient of the risk itself, on both sides of zero of the bracket."""
+    r = np.random.default_rng(1)
+    pos, unl = r.normal(0.5, 1, (40, 3)).astype(np.float32), r.normal(0, 1, (60, 3)).astype(np.float32)
+    s = lambda x, w: 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    for prior in (0.2, 0.95):
+        risk = lambda w: prior * (1 - s(pos, w)).mean() + abs(s(unl, w).mean() - prior * s(pos, w).mean())
+        wanted = np.array([-np.sign(risk(e) - risk(-e)) for e in np.eye(4) * 1e-4])
+        w = quality.fit_nnpu(pos, unl, prior, 1)
+        if (s(unl, np.zeros(4)).mean() - prior * 0.5) > 0:
+            assert (np.sign(w[:3]) == wanted[:3]).all()
+
+
+def plain_language(texts, learned, lengths=(3, 4)):
+    """Shares of known n-grams by sets, with no filter: what the Bloom filters estimate."""
+    of = defaultdict(Counter)
+    for t, lang in learned:
+        data = b" " + b" ".join(t.lower().encode().split()) + b" "
+        for n in lengths:
+            of[lang].update(data[i : i + n] for i in range(len(data) - n + 1))
+    total = {k: sum(v.values()) for k, v in of.items()}
+    top = Counter()
+    for k, v in of.items():
+        for g, n in v.items():
+            top[g] = max(top[g], n / total[k])
+    known = {k: {g for g, n in v.items() if n / total[k] >= 0.2 * top[g] and (n > 1 or max(v.values()) == 1)} for k, v in of.items()}
+    out = []
+    for t in texts:
+        data = b" " + b" ".join(t.lower().encode().split()) + b" "
+        grams = [data[i : i + n] for n in lengths for i in range(len(data) - n + 1)]
+        share = {k: sum(g in known[k] for g in grams) / len(grams) for k in known}
+        out.append(max(sorted(share), key=share.get) if max(share.values()) else None)
+    return out
+
+
+def test_languages_as_plain_sets(spark, monkeypatch):
+    r = random.Random(6)
+    letters = {"aa": "abcdefg", "bb": "efghijk", "cc": "klmnopq"}
+    text = lambda k: " ".join("".join(r.choices(letters[k], k=r.randint(2, 7))) for _ in range(r.randint(3, 40)))
+    rows = [(i, text(k), k) for i, k in enumerate(list(letters) * 40)] + [(900, "zzzz yyyy", "dd")] + [(901 + i, "rrrr", "ee") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    usable = docs.doc_id % 4 != 2
+    want = plain_language([t for _, t, _ in rows], {(t, k) for i, t, k in rows if i % 4 != 2})
+    for tile in (language_id.TILE, 5):
+        monkeypatch.setattr(language_id, "TILE", tile)
+        filters = language_id.learn(docs, usable)
+        assert filters.languages == ["aa", "bb", "cc", "dd", "ee"]
+        assert [filters.decide(t)[0] for _, t, _ in rows] == want
+    monkeypatch.setattr(language_id, "LANGUAGES", 3)
+    with pytest.raises(ValueError):
+        language_id.learn(docs, usable)
+
+
+def test_quality_odd(spark, odd, none):
+    labels = spark.createDataFrame([(4, 1), (4, 0), (5, None), (7, 1), (8, 1), (9, 0), (None, 1), (7, 1)], "doc_id long, quality int")
+    w = quality.learn(odd, labels, quality.F.col("doc_id") != 9)
+    assert len({r.score for r in quality.score(odd, w).where("doc_id = 4").collect()}) == 1 and quality.score(odd, w).count() == len(ODD)
+    assert quality.learn(none, labels, quality.F.lit(True)) is None and quality.learn(odd, labels.where("false"), quality.F.lit(True)) is None
+    assert quality.score(none, w).count() == 0
+    long = "ab c" * 1000
+    whole = quality.features(long)
+    quality.TILE, kept = 100, quality.TILE
+    try:
+        assert (quality.features(long) == whole).all()
+    finally:
+        quality.TILE = kept
