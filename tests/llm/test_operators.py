@@ -246,7 +246,7 @@ def plain_language(texts, learned, lengths=(3, 4)):
     for t in texts:
         data = b" " + b" ".join(t.lower().encode().split()) + b" "
         grams = [data[i : i + n] for n in lengths for i in range(len(data) - n + 1)]
-        share = {k: sum(g in known[k] for g in grams) / len(grams) for k in known}
+        share = {k: sum(g in known[k] for g in grams) / max(1, len(grams)) for k in known}
         out.append(max(sorted(share), key=share.get) if max(share.values()) else None)
     return out
 
