@@ -26,6 +26,17 @@ def both(*tests: str) -> str:
     return out
 
 
+def varied(d: str) -> str:
+    """Not one character over and over."""
+    return f"translate({d}, substr({d}, 1, 1), '') <> ''"
+
+
+def day(d: str, year: str = "'20'", months: str = "0", days: str = "0") -> str:
+    """The first six digits are a day of the calendar, as yymmdd, once what is added to months and days is taken off."""
+    two = lambda i, off: f"lpad(cast({number(d, i, 2)} - ({off}) as string), 2, '0')"
+    return f"try_cast(concat({year}, substr({d}, 1, 2), '-', {two(3, months)}, '-', {two(5, days)}) as date) is not null"
+
+
 def dotted(v: str, weights: list[int], first: int = 1) -> str:
     return "(" + " + ".join(f"{at(v, first + i)} * {w}" for i, w in enumerate(weights) if w) + ")"
 
@@ -33,7 +44,7 @@ def dotted(v: str, weights: list[int], first: int = 1) -> str:
 def weighted(weights: list[int], modulus: int) -> str:
     """As many digits as weights, whose weighted sum is divisible by the modulus."""
     d = digits()
-    return both(f"length({d}) = {len(weights)}", f"{dotted(d, weights)} % {modulus} = 0")
+    return both(f"length({d}) = {len(weights)}", varied(d), f"{dotted(d, weights)} % {modulus} = 0")
 
 
 def check_digit(weights: list[int], expression: str, v: str | None = None) -> str:
@@ -46,7 +57,7 @@ def luhn(n: int, v: str | None = None) -> str:
     d = v or digits()
     double = lambda i: f"({at(d, i)} * 2 - case when {at(d, i)} > 4 then 9 else 0 end)"
     total = " + ".join(double(i) if (n - i) % 2 else at(d, i) for i in range(1, n + 1))
-    return both(f"length({d}) = {n}", f"({total}) % 10 = 0")
+    return both(f"length({d}) = {n}", varied(d), f"({total}) % 10 = 0")
 
 
 def product_check(n: int, v: str | None = None) -> str:
@@ -74,7 +85,7 @@ def verhoeff(n: int) -> str:
     for i in range(n):
         moved = f"cast(substr('{powers[i % 8]}', {at(d, n - i)} + 1, 1) as int)"
         c = f"cast(substr('{table}', {c} * 10 + {moved} + 1, 1) as int)"
-    return both(f"length({d}) = {n}", f"{c} = 0")
+    return both(f"length({d}) = {n}", varied(d), f"{c} = 0")
 
 
 def letter(alphabet: str, remainder: str, where: str) -> str:
@@ -87,13 +98,13 @@ def index(alphabet: str, v: str, i: int) -> str:
 
 def snils() -> str:
     d = digits()
-    return both(f"length({d}) = 11", f"{number(d, 10, 2)} = {dotted(d, list(range(9, 0, -1)))} % 101 % 100")
+    return both(f"length({d}) = 11", varied(d), f"{number(d, 10, 2)} = {dotted(d, list(range(9, 0, -1)))} % 101 % 100")
 
 
 def inn() -> str:
     d, w = digits(), [3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8]
     ends = lambda weights: f"{at(d, len(weights) + 1)} = {dotted(d, weights)} % 11 % 10"
-    return f"case when length({d}) = 10 then {ends(w[2:])} when length({d}) = 12 then {ends(w[1:])} and {ends(w)} else false end"
+    return f"case when not ({varied(d)}) then false when length({d}) = 10 then {ends(w[2:])} when length({d}) = 12 then {ends(w[1:])} and {ends(w)} else false end"
 
 
 def aba() -> str:
@@ -103,13 +114,31 @@ def aba() -> str:
 
 def abn() -> str:
     d = digits()
-    return both(f"length({d}) = 11", f"({dotted(d, [10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19])} - 10) % 89 = 0")
+    return both(f"length({d}) = 11", varied(d), f"({dotted(d, [10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19])} - 10) % 89 = 0")
+
+
+def pesel() -> str:
+    """The month also says the century: 80 is added for the 1800s, 20, 40 and 60 for those from 2000 on."""
+    d = digits()
+    century = f"cast(floor({number(d, 3, 2)} / 20) as int)"
+    year = f"substr('1920212218', cast({century} * 2 + 1 as int), 2)"
+    return both(weighted([1, 3, 7, 9, 1, 3, 7, 9, 1, 3, 1], 10), day(d, year, f"{century} * 20"))
+
+
+def personnummer() -> str:
+    """Coordination numbers have 60 added to the day."""
+    d = f"right({digits()}, 10)"
+    return both(luhn(10, d), day(d, days=f"case when {number(d, 5, 2)} > 60 then 60 else 0 end"))
 
 
 def nric() -> str:
-    s = dotted("value", [2, 7, 6, 5, 4, 3, 2], 2)
-    kinds = [("ST", "JZIHGFEDCBA", "0", "4"), ("FG", "XWUTRQPNMLK", "0", "4"), ("M", "XWUTRQPNJLK", "3", "3")]
-    case = " ".join(f"when instr('{k}', substr(value, 1, 1)) > 0 then {letter(a, f'(({s} + case when instr({chr(39)}TG{chr(39)}, substr(value, 1, 1)) > 0 then {late} else {early} end) % 11)', 'substr(value, 9, 1)')}" for k, a, early, late in kinds)
+    # The published order of check letters, of S and T, of F and G, and of M.
+    kinds = [("ST", "JZIHGFEDCBA", 0, 4), ("FG", "XWUTRQPNMLK", 0, 4), ("M", "KLJNPQRTUWX", 3, 3)]
+    s, case = dotted("value", [2, 7, 6, 5, 4, 3, 2], 2), ""
+    for first, letters, early, late in kinds:
+        rest = f"(({s} + case when substr(value, 1, 1) in ('T', 'G') then {late} else {early} end) % 11)"
+        place = f"10 - {rest}" if first == "M" else rest
+        case += f"when instr('{first}', substr(value, 1, 1)) > 0 then {letter(letters, place, 'substr(value, 9, 1)')} "
     return f"case {case} else false end"
 
 

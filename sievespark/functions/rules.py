@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -39,14 +40,14 @@ def octets(v: Column) -> Column:
 
 
 PERSONAL = [
-    Rule("email", "personal", "EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}", 0.85, "@"),
+    Rule("email", "personal", "EMAIL", r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,24}", 0.85, "@"),
     Rule("international-phone", "personal", "PHONE", r"\+[0-9][0-9() .-]{6,18}[0-9]", 0.85, "+", "0-9A-Za-z"),
     Rule("ipv4", "personal", "IP_ADDRESS", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", 0.85, ".", "0-9A-Za-z.", octets, "list_bool_and(list_transform(string_split(value, '.'), lambda x: CAST(x AS INT) <= 255))"),
-    Rule("luhn", "personal", "CREDIT_CARD", r"[0-9]{13,19}", 0.85, "", "0-9A-Za-z.", luhn,
-         "len(list_distinct(string_split(value, ''))) > 1 AND list_sum(list_transform(range(1, length(value) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST(value[length(value) + 1 - k] AS INT) WHEN CAST(value[length(value) + 1 - k] AS INT) > 4 THEN CAST(value[length(value) + 1 - k] AS INT) * 2 - 9 ELSE CAST(value[length(value) + 1 - k] AS INT) * 2 END)) % 10 = 0"),
+    Rule("luhn", "personal", "CREDIT_CARD", r"[0-9](?:[ -]?[0-9]){12,18}", 0.85, "", "0-9A-Za-z.", luhn,
+         "translate(value, ' -' || value[1], '') <> '' AND list_sum(list_transform(range(1, length(translate(value, ' -', '')) + 1), lambda k: list_extract([[0, 1, 2, 3, 4, 5, 6, 7, 8, 9], [0, 2, 4, 6, 8, 1, 3, 5, 7, 9]][2 - k % 2], CAST(reverse(translate(value, ' -', ''))[k] AS INT) + 1))) % 10 = 0"),
     Rule("ssn-label", "personal", "US_SSN", r"(?:SSN|ssn)[: ]+[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.9, "-", "0-9", lead="(?:SSN|ssn)[: ]+"),
     Rule("honorific-name", "personal", "PERSON", r"(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z][a-z]+(?: [A-Z][a-z]+)?", 0.85, ". ", "A-Za-z"),
-    Rule("messenger-handle", "personal", "USERNAME", r" @[A-Za-z][A-Za-z0-9_]{4,31}", 0.65, " @", "@/", lead=" "),
+    Rule("messenger-handle", "personal", "USERNAME", r"(?:^|[ \t\n\r(])@[A-Za-z][A-Za-z0-9_]{4,31}", 0.65, "@", "@/", lead=r"[ \t\n\r(]?"),
     Rule("tel-uri", "personal", "PHONE", r"tel:\+?[0-9][0-9().-]{5,18}[0-9]", 0.85, "tel:"),
     Rule("national-phone", "personal", "PHONE", r"\([2-9][0-9]{2}\) [2-9][0-9]{2}-[0-9]{4}", 0.85, "(", "0-9"),
 ]
@@ -59,34 +60,48 @@ CREDENTIAL = [
 ]
 DEFAULT = [*PERSONAL, *CREDENTIAL]
 
-# Public token formats, as rule, prefix, characters and their number.
-PROVIDERS = [
-    ("github", "ghp_", "A-Za-z0-9", 36),
-    ("gitlab", "glpat-", "A-Za-z0-9_-", 20),
-    ("gitlab-runner", "glrt-", "A-Za-z0-9_-", 20),
-    ("openai", "sk-proj-", "A-Za-z0-9_-", 48),
-    ("anthropic", "sk-ant-api03-", "A-Za-z0-9_-", 64),
-    ("aws", "AKIA", "A-Z0-9", 16),
-    ("google", "AIza", "A-Za-z0-9_-", 35),
-    ("slack", "xoxb-", "A-Za-z0-9-", 40),
-    ("stripe", "sk_live_", "A-Za-z0-9", 24),
-    ("sendgrid", "SG.", "A-Za-z0-9_.-", 60),
-    ("twilio", "SK", "0-9a-f", 32),
-    ("npm", "npm_", "A-Za-z0-9", 36),
-    ("pypi", "pypi-AgEI", "A-Za-z0-9_-", 60),
-    ("huggingface", "hf_", "A-Za-z0-9", 34),
-    ("shopify", "shpat_", "0-9a-f", 32),
-    ("databricks", "dapi", "0-9a-f", 32),
-    ("square", "sq0atp-", "A-Za-z0-9_-", 22),
-    ("digitalocean", "dop_v1_", "0-9a-f", 64),
-    ("vault", "hvs.", "A-Za-z0-9_-", 60),
-    ("grafana", "glsa_", "A-Za-z0-9_", 40),
-    ("linear", "lin_api_", "A-Za-z0-9", 40),
-    ("notion", "ntn_", "A-Za-z0-9", 46),
-    ("firebase", "AAAA", "A-Za-z0-9:_-", 60),
-    ("yandex", "y0_", "A-Za-z0-9_-", 55),
-]
+_W, _A, _HEX = "A-Za-z0-9_-", "A-Za-z0-9", "a-fA-F0-9"
+# Public token formats, by provider: prefix, characters behind it, their least and (0: any) largest number. A cut
+# token is a token too, so the least numbers are below those that are issued.
+PROVIDERS = {
+    "anthropic": [("sk-ant-", _W, 16, 0)],
+    "aws": [("AKIA", "A-Z0-9", 16, 16), ("ASIA", "A-Z0-9", 16, 16), ("A3T", "A-Z0-9", 17, 17)],
+    "databricks": [("dapi", _HEX, 32, 32)],
+    "digitalocean": [("dopat_v1_", _HEX, 64, 64), ("doo_v1_", _HEX, 64, 64), ("dor_v1_", _HEX, 64, 64), ("dop_v1_", _HEX, 64, 64)],
+    "firebase": [("AAAA", _W, 6, 0, ":APA91b", _W, 32, 0)],
+    "github": [("github_pat_", "A-Za-z0-9_", 16, 0), ("ghp_", "A-Za-z0-9_", 16, 0), ("gho_", "A-Za-z0-9_", 16, 0), ("ghu_", "A-Za-z0-9_", 16, 0), ("ghs_", "A-Za-z0-9_", 16, 0), ("ghr_", "A-Za-z0-9_", 16, 0)],
+    "gitlab": [(f"{x}-", _W, 16, 0) for x in "glpat gloas gldt glrt glrtr glcbt glptt glft glimt glagent glwt glsoat glffct".split()],
+    "gitlab-runner": [("GR1348941", _W, 16, 0)],
+    "google": [("AIza", _W, 35, 35), ("GOCSPX-", _W, 16, 0), ("ya29.", _W, 20, 0)],
+    "grafana": [("glc_", _W, 20, 0), ("glsa_", _W, 20, 0)],
+    "huggingface": [("hf_", _A, 20, 0)],
+    "linear": [("lin_api_", _A, 20, 0)],
+    "notion": [("secret_", _A, 32, 0), ("ntn_", _A, 32, 0)],
+    "npm": [("npm_", _A, 20, 0)],
+    "openai": [("sk-", _W, 16, 0)],
+    "pypi": [("pypi-", _W, 30, 0)],
+    "sendgrid": [("SG.", _W, 10, 0, ".", _W, 20, 0)],
+    "shopify": [(f"shp{x}_", _HEX, 32, 32) for x in ("at", "ca", "pa", "ss")],
+    "slack": [("xoxb-", "A-Za-z0-9-", 16, 0), ("xox[a-z]-", "A-Za-z0-9-", 16, 0), ("xapp-", "A-Za-z0-9-", 16, 0), ("xwfp-", "A-Za-z0-9-", 16, 0)],
+    "square": [("sq0atp-", _W, 20, 0), ("sq0csp-", _W, 20, 0)],
+    "stripe": [("sk_live_", _A, 16, 0), ("sk_test_", _A, 16, 0), ("rk_live_", _A, 16, 0), ("rk_test_", _A, 16, 0), ("whsec_", _A, 16, 0)],
+    "twilio": [("SK", _HEX, 32, 32)],
+    "vault": [("hvs.", _W, 16, 0), ("hvb.", _W, 16, 0), ("hvr.", _W, 16, 0)],
+    "vercel": [("vercel_", _W, 20, 0)],
+    "yandex": [("AQVN", _W, 35, 38), ("YCAJE", _W, 20, 20), ("YC", _W, 38, 38), ("t1.", "A-Za-z0-9_=-", 1, 0, ".", _W, 86, 86)],
+}
+#: Providers whose tokens may not be a part of a longer run of these characters.
+APART = {"anthropic": "A-Za-z0-9_", "openai": "A-Za-z0-9_", "firebase": _W, "yandex": "A-Za-z0-9_=-"}
+
+
+def provider_rule(name: str) -> Rule:
+    one = lambda prefix, kind, least, most: prefix.replace(".", r"\.") + f"[{kind}]{{{least},{most or ''}}}"
+    forms = ["".join(one(*form[i : i + 4]) for i in range(0, len(form), 4)) for form in PROVIDERS[name]]
+    hint = os.path.commonprefix([form[0].split("[")[0] for form in PROVIDERS[name]])
+    return Rule(name, "credential", "SECRET", "|".join(forms), 0.95, hint, APART.get(name, ""))
 
 
-def provider_rule(name: str, prefix: str, kind: str, n: int) -> Rule:
-    return Rule(name, "credential", "SECRET", prefix.replace(".", r"\.") + f"[{kind}]{{{n}}}", 0.95, prefix, "0-9A-Za-z_")
+def provider_tokens(name: str, fill: str = "0123456789abcdef" * 9) -> list[str]:
+    """A token of each form of a provider, of its least length, out of characters that all of them take."""
+    fill = fill.upper() if name == "aws" else fill
+    return ["".join(form[i].replace("[a-z]", "q") + fill[: form[i + 2]] for i in range(0, len(form), 4)) for form in PROVIDERS[name]]

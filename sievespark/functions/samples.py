@@ -36,7 +36,7 @@ def sample(template: str, key: str) -> str:
             got = take(int(part[2:-1]))
             out.append({"d": f"translate({got}, 'abcdef', '123456')", "l": f"translate({got}, '0123456789', 'ghijklmnop')",
                         "u": f"upper(translate({got}, '0123456789', 'ghijklmnop'))", "x": got}[kind])
-    return f"concat({', '.join(out)}, '')"
+    return f"concat({', '.join([*out, chr(39) * 2])})"
 
 
 def with_sample(template: str, key: str = "doc_id", text: str = "text") -> str:

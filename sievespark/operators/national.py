@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.checks import digits
 from ..functions.national import IDENTIFIERS, Identifier
 from .detect import detect, detect_sql
 
 #: Characters read before and behind a value, and what must not stand there.
-AROUND = (64, 32)
+AROUND = (80, 32)
 LEFT = r"(?:[\p{L}\p{N}_.+-]|[0-9][ ()-]{0,3})\z"
 RIGHT = r"^(?:[\p{L}\p{N}_]|[ ()-]{0,3}[0-9])"
-NOISE = r"(?i)(?:time|size|port|id)[ :=]*\z"
-#: Seconds and milliseconds of the years 2000 to 2099.
-EPOCH = "^(?:9[5-9][0-9]{8}|[1-3][0-9]{9}|40[0-9]{8})(?:[0-9]{3})?$"
+# Words behind which a number is a time, a size or a count.
+NOISE_WORDS = "timestamp ts time created_at updated_at elapsed duration ms epoch order run size bytes port pid line col"
+NOISE = rf"(?i)(?:^|[^\p{{L}}\p{{N}}])(?:{NOISE_WORDS.replace(' ', '|')})[\x22\x27]?[ :=_-]*\z"
+#: Seconds and milliseconds from 2000-01-01 to 2099-12-31.
+_DIGITS = digits("value")
+EPOCH = f"(length({_DIGITS}) in (10, 13) and translate({_DIGITS}, '0123456789', '') = '' and substr({_DIGITS}, 1, 10) between '0946684800' and '4102444799')"
 
 
 def _score(i: Identifier, test) -> list[tuple[str, float]]:
@@ -22,7 +26,7 @@ def _score(i: Identifier, test) -> list[tuple[str, float]]:
     near = test("concat(before, value, after)", i.label)
     check = f"({i.check})"
     plain = test("value", i.plain) if i.plain else "false"
-    veto = f"({test('before', NOISE)} or {test('value', EPOCH)})"
+    veto = f"({test('before', NOISE)} or {EPOCH})"
     return [(f"{near} and {check}", 0.99), (near, 0.9), (f"{veto} or not ({check} or {plain})", 0.0), (f"{plain} and {check}", 0.99), (plain, 0.4), (check, 0.35)]
 
 

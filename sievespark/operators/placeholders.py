@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import numbered, render, span_union
+from .spans import rendered, span_union
 
 
-def placeholders(docs: DataFrame, findings: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """The rewritten documents, and the map's rows: key, start (in the rewritten order), token and value."""
-    merged = span_union(findings, key).join(docs.select(key, "text"), key)
-    values = merged.select(key, "start", "end", "type", F.substring("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("value"))
-    numbers = numbered(values, key).select(key, "type", "value", "number")
-    tokens = values.join(numbers, [key, "type", "value"]).withColumn("replacement", F.concat(F.lit("[["), F.initcap(F.lower("type")), F.lit("-"), F.col("number").cast("string"), F.lit("]]")))
-    return render(docs, tokens, key), tokens.select(key, F.col("replacement").alias("token"), "value").distinct()
+def placeholders(docs: DataFrame, findings: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, the rewritten text, and entries: token and value of each distinct value, in the order of its first place.
 
+    Findings are read once, and texts meet them once; numbers follow from the order of a document's own spans."""
+    lists = span_union(findings, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "type"))).alias("spans"))
+    joined = docs.select(key, "text").join(lists, key, "left")
+    said = lambda s: F.substring("text", (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+    valued = joined.withColumn("spans", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.struct(s["type"].alias("type"), said(s).alias("value")).alias("v"))))
+    firsts = valued.withColumn("firsts", F.array_distinct(F.transform("spans", lambda s: s["v"])))
+    number = lambda v: F.size(F.filter(F.slice("firsts", 1, F.array_position("firsts", v).cast("int")), lambda x: x["type"] == v["type"]))
+    token = lambda v: F.concat(F.lit("[["), F.initcap(F.lower(v["type"])), F.lit("-"), number(v).cast("string"), F.lit("]]"))
+    named = firsts.withColumn("tokens", F.transform("firsts", token))
+    spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at("tokens", F.array_position("firsts", s["v"]).cast("int")).alias("replacement")))
+    done = named.withColumn("spans", spans)
+    entries = F.transform("firsts", lambda v, i: F.struct(F.get("tokens", i).alias("token"), v["value"].alias("value")))
+    return done.select(key, rendered(F.col("text"), F.col("spans")).alias("text"), entries.alias("entries"))
 
-def restore(rewritten: DataFrame, entries: DataFrame, key: str = "doc_id") -> DataFrame:
+
+def restore(rewritten: DataFrame, key: str = "doc_id") -> DataFrame:
     """Texts with the values of their own map in place of the tokens; a token is delimited, so none is part of another."""
-    lists = entries.groupBy(key).agg(F.collect_list(F.struct("token", "value")).alias("es"))
-    joined = rewritten.select(key, "text").join(lists, key, "left")
-    back = F.aggregate("es", F.col("text"), lambda t, e: F.replace(t, e["token"], e["value"]))
-    return joined.select(key, F.coalesce(back, "text").alias("text"))
+    back = F.aggregate("entries", F.col("text"), lambda t, e: F.replace(t, e["token"], e["value"]))
+    return rewritten.select(key, F.coalesce(back, "text").alias("text"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Comments by which secret scanners are told to leave a line, and the next line, alone.
-SAME_LINE = r"(?i)(?:gitleaks|betterleaks|kingfisher|trufflehog):(?:allow|ignore)\b|pragma:\s*allowlist(?:\s+secret)?\s*$|\bNOSONAR\b"
+SAME_LINE = r"(?i)(?:gitleaks|betterleaks|kingfisher|trufflehog):(?:allow|ignore)(?:$|[^A-Za-z0-9_])|pragma:\s*allowlist(?:\s+secret)?(?:$|\s*[^\sA-Za-z0-9_]|\s+(?:[^nN\s]|[nN][^eE]))|(?:^|[^A-Za-z0-9_])NOSONAR(?:$|[^A-Za-z0-9_])"
 NEXT_LINE = r"(?i)pragma:\s*allowlist\s+nextline(?:\s+secret)?\b"
 #: Values that stand for a value: ${NAME}, $NAME, <name>, {{name}}, %NAME%, runs of mask characters.
 TEMPLATE = r"^(?:\$\{[^}]*\}|\$[A-Z_]+|<[^>]*>|\{\{.*\}\}|%[A-Z_]+%|[*xX•.]{4,})$"

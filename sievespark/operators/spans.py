@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -46,8 +46,9 @@ def overlap_semi(findings: DataFrame, spans: DataFrame, key: str = "doc_id") ->
 def beyond_baseline(findings: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFrame:
     """Findings left when each of a baseline's n entries of a fingerprint takes one; only fingerprints that it has are ranked."""
     joined = findings.join(known, "fp", "left")
-    ranked = joined.where("n IS NOT NULL").withColumn("rn", F.row_number().over(W.partitionBy("fp").orderBy(key, "start"))).where("rn > n").drop("rn")
-    return joined.where("n IS NULL").unionByName(ranked).drop("n")
+    apart = F.when(F.col("n").isNull(), F.xxhash64(key, "start"))  # no rank is needed there, so a frequent fingerprint is spread
+    ranked = joined.withColumn("rn", F.row_number().over(W.partitionBy("fp", apart).orderBy(key, "start")))
+    return ranked.where("n IS NULL OR rn > n").drop("rn", "n")
 
 
 def numbered(findings: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -56,13 +57,17 @@ def numbered(findings: DataFrame, key: str = "doc_id") -> DataFrame:
     return seen.withColumn("number", F.dense_rank().over(W.partitionBy(key, "type").orderBy("first_start")).cast("long"))
 
 
+def rendered(text: Column, spans: Column) -> Column:
+    """text with the `replacement` of each of the disjoint spans, sorted by start, in its place; as it is without spans."""
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    gap = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
+    step = lambda a, x: F.struct(x["end"].alias("at"), F.concat(a["out"], gap(a["at"], x["start"]), x["replacement"]).alias("out"))
+    done = F.aggregate(spans, none, step, lambda a: F.concat(a["out"], gap(a["at"], F.length(text).cast("long"))))
+    return F.when(spans.isNull(), text).otherwise(done)
+
+
 def render(docs: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """The text of each document with the `replacement` of each disjoint span in its place, and their number."""
     lists = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "replacement"))).alias("spans"))
     joined = docs.select(key, "text").join(lists, key, "left")
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    t = F.col("text")
-    gap = lambda a, b: F.substring(t, (a + 1).cast("int"), (b - a).cast("int"))
-    step = lambda a, x: F.struct(x["end"].alias("at"), F.concat(a["out"], gap(a["at"], x["start"]), x["replacement"]).alias("out"))
-    done = F.aggregate("spans", none, step, lambda a: F.concat(a["out"], gap(a["at"], F.length(t).cast("long"))))
-    return joined.select(key, F.when(F.col("spans").isNull(), t).otherwise(done).alias("text"), F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long").alias("redactions"))
+    return joined.select(key, rendered(F.col("text"), F.col("spans")).alias("text"), F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long").alias("redactions"))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions.formats import FORMATS
 from ..functions.national import IDENTIFIERS
-from ..functions.rules import DEFAULT, PROVIDERS, provider_rule
-from ..functions.samples import with_sample
+from ..functions.rules import DEFAULT, PROVIDERS, provider_rule, provider_tokens
+from ..functions.samples import sample, with_sample
 from ..operators import spans as P
 from ..operators.detect import detect, detect_sql
 from ..operators.national import detect_national, national_sql
@@ -52,22 +52,32 @@ def on_findings(name: str, sql: str | None, f: Callable[[DataFrame], DataFrame])
     query(name, sql and FOUND + sql)(lambda spark, d: f(findings(spark, d)))
 
 
-# Detectors over documents and pages, one key for each rule.
-for _r in DEFAULT:
-    query("det_" + _r.id.replace("-", "_"), detect_sql([_r]))(lambda spark, d, r=_r: detect(docs(spark, d), [r]))
-query("det_pages", detect_sql(DEFAULT, "pages", "page_id", "html"))(lambda spark, d: detect(read(spark, d, "pages"), DEFAULT, "page_id", "html"))
+# Detectors over documents and pages, one key for each rule. For rules whose values the documents don't hold each text gets one
+# behind it, made from its id; where it is, and that nothing else is found, their SQL says by itself: what is before the value, the
+# value and what is behind it, as templates.
+BEHIND = {
+    "ssn-label": ("SSN: ", "{d3}-{d2}-{d4}", "."), "honorific-name": ("with ", "Dr. Q{l6} W{l4}", ", who"), "messenger-handle": ("(", "@{l7}_{d2}", ")"),
+    "tel-uri": ("<", "tel:+1{d9}", ">"), "url-userinfo": ("at https://", "{l5}:{x12}", "@db.example.org/x"), "password-hash": ("hash ", "$2b$1{d1}${x53}", ";"),
+    "private-key": ("", "-----BEGIN RSA PRIVATE KEY-----{n}{x60}{n}-----END RSA PRIVATE KEY-----", ""), "authorization": ("Authorization: Bearer ", "{x30}", ""),
+}
+
+
+def behind(before: str, value: str, after: str) -> str:
+    """SQL of both engines: the text, a line break, and the templates filled."""
+    return f"concat(coalesce(text, ''), chr(10), {sample(before, 'doc_id')}, {sample(value, 'doc_id')}, {sample(after, 'doc_id')}, chr(10))"
 
 
-# Provider tokens: documents hold none, so each document's text gets one that both engines derive from its id.
-def _token(prefix: str, kind: str, n: int) -> str:
-    """SQL of both engines for a token of n characters after prefix."""
-    return "concat('{}', substr({}, 1, {}))".format(prefix, "{u}(concat({h}, {h2}))".format(u="upper" if "a-z" not in kind and "a-f" not in kind else "lower", h="HASH('1')", h2="HASH('2')"), n)
+def expected(before: str, value: str) -> str:
+    return f"FROM (SELECT doc_id, CAST(length(coalesce(text, '')) + 1 + length({sample(before, 'doc_id')}) AS BIGINT) AS start, {sample(value, 'doc_id')} AS value FROM documents)"
 
 
-def _hash(expr: str, engine: str) -> str:
-    for k in "12":
-        expr = expr.replace(f"HASH('{k}')", f"sha2(concat(cast(doc_id as string), '{k}'), 256)" if engine == "spark" else f"sha256(concat(CAST(doc_id AS VARCHAR), '{k}'))")
-    return expr
+for _r in DEFAULT:
+    if _r.id in BEHIND:
+        query("det_" + _r.id.replace("-", "_"), f"SELECT doc_id, start, start + length(value) AS \"end\", '{_r.type}' AS type, '{_r.category}' AS category, '{_r.id}' AS rule, CAST({_r.confidence} AS DOUBLE) AS confidence, value {expected(*BEHIND[_r.id][:2])}")(
+            lambda spark, d, r=_r, made=behind(*BEHIND[_r.id]): detect(docs(spark, d).select("doc_id", F.expr(made).alias("text")), [r]))
+        continue
+    query("det_" + _r.id.replace("-", "_"), detect_sql([_r]))(lambda spark, d, r=_r: detect(docs(spark, d), [r]))
+query("det_pages", detect_sql(DEFAULT, "pages", "page_id", "html"))(lambda spark, d: detect(read(spark, d, "pages"), DEFAULT, "page_id", "html"))
 
 
 def on_samples(name: str, made: Callable[[str], str], found: Callable[[DataFrame], DataFrame], sql: Callable[[str], str]) -> None:
@@ -76,10 +86,18 @@ def on_samples(name: str, made: Callable[[str], str], found: Callable[[DataFrame
     query(name, sql(table))(lambda spark, d: found(docs(spark, d).select("doc_id", F.expr(made("spark")).alias("text"))))
 
 
+# Provider tokens: documents hold none, so each text gets one behind it, of the provider's forms in turn. Where it is, and that
+# nothing else is found, the SQL says by itself.
+def _with_token(name: str) -> tuple[str, str]:
+    forms = provider_tokens(name)
+    token = "case cast(doc_id % {} as int) {} end".format(len(forms), " ".join(f"when {i} then '{t}'" for i, t in enumerate(forms)))
+    return f"concat(coalesce(text, ''), chr(10), '(', {token}, ')', chr(10))", token
+
+
 for _p in PROVIDERS:
-    _t = _token(_p[1], _p[2], _p[3])
-    on_samples("det_provider_" + _p[0].replace("-", "_"), lambda engine, t=_t: f"concat(coalesce(text, ''), chr(10), '<', {_hash(t, engine)}, '>', chr(10))",
-               lambda made, r=provider_rule(*_p): detect(made, [r]), lambda table, r=provider_rule(*_p): detect_sql([r], table))
+    query("det_provider_" + _p.replace("-", "_"), f"""SELECT doc_id, CAST(n AS BIGINT) AS start, CAST(n + length(token) AS BIGINT) AS "end", 'SECRET' AS type, 'credential' AS category, '{_p}' AS rule, CAST(0.95 AS DOUBLE) AS confidence, token AS value
+FROM (SELECT doc_id, length(coalesce(text, '')) + 2 AS n, {_with_token(_p)[1]} AS token FROM documents WHERE doc_id IS NOT NULL)""")(
+        lambda spark, d, made=_with_token(_p)[0], r=provider_rule(_p): detect(docs(spark, d).select("doc_id", F.expr(made).alias("text")), [r]))
 for _r, _s in FORMATS:
     on_samples("det_" + _r.id.replace("-", "_"), lambda engine, t=with_sample(_s): t, lambda made, r=_r: detect(made, [r]), lambda table, r=_r: detect_sql([r], table))
 for _i in IDENTIFIERS:
@@ -98,8 +116,8 @@ on_findings("pol_allow", "SELECT doc_id, start, rule, value FROM f WHERE categor
             lambda f: f.where((F.col("category") == "credential") | ~(F.col("value").rlike(r"^(?:10|192\.168)\..*$") | F.col("value").endswith("@example.com"))).select("doc_id", "start", "rule", "value"))
 on_findings("pol_localip", "SELECT doc_id, start, value, list_contains(['10', '127'], string_split(value, '.')[1]) OR value LIKE '192.168.%' OR value LIKE '169.254.%' OR (value LIKE '172.%' AND CAST(string_split(value, '.')[2] AS INT) BETWEEN 16 AND 31) AS local FROM f WHERE rule = 'ipv4'",
             lambda f: f.where("rule = 'ipv4'").select("doc_id", "start", "value", F.expr("split(value, '[.]')[0] IN ('10', '127') OR value LIKE '192.168.%' OR value LIKE '169.254.%' OR (value LIKE '172.%' AND int(split(value, '[.]')[1]) BETWEEN 16 AND 31)").alias("local")))
-on_findings("pol_epoch", "SELECT doc_id, start, value, CAST(value AS HUGEINT) BETWEEN 946684800000 AND 4102444800000 AS epoch FROM f WHERE rule = 'luhn'",
-            lambda f: f.where("rule = 'luhn'").select("doc_id", "start", "value", F.col("value").cast("decimal(20,0)").between(946684800000, 4102444800000).alias("epoch")))
+on_findings("pol_epoch", "SELECT doc_id, start, value, CAST(translate(value, ' -', '') AS HUGEINT) BETWEEN 946684800000 AND 4102444800000 AS epoch FROM f WHERE rule = 'luhn'",
+            lambda f: f.where("rule = 'luhn'").select("doc_id", "start", "value", F.translate("value", " -", "").cast("decimal(20,0)").between(946684800000, 4102444800000).alias("epoch")))
 
 
 @query("pol_noise", FOUND + "SELECT f.doc_id, f.start, f.rule, regexp_matches(lower(substr(d.text, greatest(1, f.start - 15), least(16, f.start)::BIGINT)), '(time|size|port|id)[ :=]*$') AS noise FROM f JOIN documents d USING (doc_id) WHERE f.start > 0")
@@ -117,8 +135,10 @@ def _limit(spark, d):
 # Joins.
 on_findings("join_contain_public", "SELECT doc_id, start, rule FROM f WHERE NOT EXISTS (SELECT 1 FROM f p WHERE p.rule = 'national-phone' AND p.doc_id = f.doc_id AND p.type = f.type AND p.start <= f.start AND p.\"end\" >= f.\"end\")",
             lambda f: P.contained_anti(f, f.where("rule = 'national-phone'")).select("doc_id", "start", "rule"))
-on_findings("join_contain_fake", "SELECT doc_id, start, rule FROM f WHERE category = 'personal' AND EXISTS (SELECT 1 FROM f p WHERE p.category = 'credential' AND p.doc_id = f.doc_id AND p.start < f.\"end\" AND f.start < p.\"end\")",
-            lambda f: P.overlap_semi(f.where("category = 'personal'"), f.where("category = 'credential'")).select("doc_id", "start", "rule"))
+# An address within a URL's user and password is no personal finding of its own.
+_url = ("at https://me:", "pw{d4}@db{d3}.example.org", "/x")
+query("join_contain_fake", f"SELECT doc_id, start, 'email' AS rule, value {expected(*_url[:2])}")(
+    lambda spark, d: (lambda f: P.overlap_semi(f.where("category = 'personal'"), f.where("category = 'credential'")))(detect(docs(spark, d).select("doc_id", F.expr(behind(*_url)).alias("text")))).select("doc_id", "start", "rule", "value"))
 
 
 @query("join_line", FOUND + "SELECT f.doc_id, f.start, f.rule, CAST(len(string_split(substr(d.text, 1, f.start), chr(10))) AS BIGINT) AS line, CAST(length(list_last(string_split(substr(d.text, 1, f.start), chr(10)))) + 1 AS BIGINT) AS col FROM f JOIN documents d USING (doc_id)")
@@ -184,7 +204,7 @@ query("set_union", f"SELECT doc_id AS id, rule, count(*) AS n FROM ({detect_sql(
 
 # Scalar functions over the values found or over columns of the star schema.
 on_findings("fn_entropy", "SELECT doc_id, start, rule, round(list_entropy(string_split(value, '')), 6) AS entropy FROM f", lambda f: f.select("doc_id", "start", "rule", F.round(S.entropy(F.col("value")), 6).alias("entropy")))
-on_findings("fn_cardnetwork", "SELECT doc_id, start, CASE WHEN value[1] = '4' THEN 'visa' WHEN CAST(value[1:2] AS INT) BETWEEN 51 AND 55 OR CAST(value[1:4] AS INT) BETWEEN 2221 AND 2720 THEN 'mastercard' WHEN value[1:2] IN ('34', '37') THEN 'amex' WHEN value[1:4] = '6011' OR value[1:2] = '65' THEN 'discover' WHEN CAST(value[1:4] AS INT) BETWEEN 3528 AND 3589 THEN 'jcb' ELSE 'unknown' END AS network FROM f WHERE rule = 'luhn'", lambda f: f.where("rule = 'luhn'").select("doc_id", "start", S.card_network(F.col("value")).alias("network")))
+on_findings("fn_cardnetwork", "SELECT doc_id, start, CASE WHEN value[1] = '4' THEN 'visa' WHEN CAST(value[1:2] AS INT) BETWEEN 51 AND 55 OR CAST(value[1:4] AS INT) BETWEEN 2221 AND 2720 THEN 'mastercard' WHEN value[1:2] IN ('34', '37') THEN 'amex' WHEN value[1:4] = '6011' OR value[1:2] = '65' THEN 'discover' WHEN CAST(value[1:4] AS INT) BETWEEN 3528 AND 3589 THEN 'jcb' ELSE 'unknown' END AS network FROM (SELECT doc_id, start, translate(value, ' -', '') AS value FROM f WHERE rule = 'luhn')", lambda f: f.where("rule = 'luhn'").select("doc_id", "start", S.card_network(F.col("value")).alias("network")))
 
 
 @query("fn_mod97", "SELECT o_orderkey, CAST(('5' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') || '131400')::HUGEINT % 97 AS INT) AS rest FROM orders")
@@ -234,8 +254,7 @@ def _restore(spark, d):
     """Placeholders out and back: each document's own map gives the values again, longest token first."""
     from ..operators.placeholders import placeholders, restore
 
-    done, entries = placeholders(docs(spark, d), findings(spark, d))
-    return restore(done, entries)
+    return restore(placeholders(docs(spark, d), findings(spark, d)))
 
 
 # Sinks and reports.

@@ -34,10 +34,10 @@ def test_union_is_disjoint_and_touching_spans_stay_apart(spark):
 
 def test_placeholders_come_back(spark):
     docs, found = findings(spark)
-    done, entries = placeholders(docs, found)
+    done = placeholders(docs, found)
     rewritten = {r.doc_id: r.text for r in done.collect()}
     assert "jane.roe" not in rewritten[1] and "[[Email-1]]" in rewritten[1]
-    assert {r.doc_id: r.text for r in restore(done, entries).collect()} == dict(TEXTS)
+    assert {r.doc_id: r.text for r in restore(done).collect()} == dict(TEXTS)
 
 
 def test_redaction_leaves_nothing(spark):
