@@ -33,6 +33,37 @@ def known_values(docs: DataFrame, known: DataFrame, key: str = "doc_id") -> Data
     return placed.where(~left.rlike(INSIDE) & ~right.rlike(INSIDE)).select(key, "value", F.col("start").cast("long").alias("start"), (F.col("start") + n).cast("long").alias("end"))
 
 
+#: A word without _, and what may stand between the words of a known value: blanks and the marks of tables, quotes and names, one line break at most.
+PLAIN = r"[\p{L}\p{N}]+"
+GAP = r"^(?:[^\p{L}\p{N}\n]{1,4}|[^\p{L}\p{N}\n]{0,3}\n[^\p{L}\p{N}\n]{0,4})$"
+
+
+def known_words(docs: DataFrame, known: DataFrame, key: str = "doc_id", most: int = 8) -> DataFrame:
+    """key, value, start, end and found (the text there) of each place where a known value's words stand in a row, in any case and
+    with any gap of GAP between them, so also within identifiers and tables. Values of 1 to `most` words; others find nothing.
+
+    Runs of as many words as values have, lower-cased, meet the values in an equi-join; the text itself is not shuffled but
+    for texts with a hit, whose places follow from the lengths of the words and gaps before."""
+    low = lambda t: F.regexp_extract_all(F.lower(t), F.lit(PLAIN), F.lit(0))
+    entries = known.where("value IS NOT NULL").select("value", low(F.col("value")).alias("ws")).distinct().where(F.size("ws").between(1, most)).select("value", F.size("ws").alias("n"), F.array_join("ws", " ").alias("run"))
+    lengths = sorted(r[0] for r in entries.select("n").distinct().collect())  # `most` numbers at most
+    worded = docs.select(key, low(F.col("text")).alias("ws"))
+    runs_of = lambda n: F.when(F.size("ws") >= n, F.transform(F.sequence(F.lit(0), F.size("ws") - n), lambda i: F.struct(i.alias("i"), F.array_join(F.slice("ws", i + 1, n), " ").alias("run"))))
+    runs = worded.select(key, F.explode_outer(F.flatten(F.filter(F.array(*map(runs_of, lengths or [1])), lambda a: a.isNotNull()))).alias("r")).select(key, "r.i", "r.run")
+    hits = runs.join(entries, "run").groupBy(key).agg(F.collect_list(F.struct("value", "i", "n")).alias("hits"))
+    pieces = docs.join(hits, key).select(key, "text", F.explode("hits").alias("h"), F.split("text", PLAIN, -1).alias("gs"), F.regexp_extract_all("text", F.lit(PLAIN), F.lit(0)).alias("words"))
+    length = lambda a: F.length(F.array_join(a, ""))
+    start = length(F.slice("gs", 1, F.col("h.i") + 1)) + length(F.slice("words", 1, F.col("h.i")))
+    inner = F.slice("gs", F.col("h.i") + 2, F.col("h.n") - 1)
+    placed = pieces.where(F.forall(inner, lambda g: g.rlike(GAP))).select(key, "h.value", "text", start.cast("long").alias("start"), (start + length(inner) + length(F.slice("words", F.col("h.i") + 1, F.col("h.n")))).cast("long").alias("end"))
+    return placed.select(key, "value", "start", "end", F.substring("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("found"))
+
+
+def proper_case(hits: DataFrame) -> DataFrame:
+    """Hits of known_words but for those in lower case of a value that is one capitalised word."""
+    return hits.where(~(F.col("value").rlike(r"^\p{Lu}[\p{L}\p{N}]*$") & (F.col("found") == F.lower("found"))))
+
+
 def name_forms(given: Column, surname: Column) -> Column:
     """The forms that a full name takes: both orders, with a comma, with an initial. None if a part is missing."""
     initial = F.concat(F.left(given, F.lit(1)), F.lit("."))

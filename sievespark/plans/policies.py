@@ -48,6 +48,25 @@ def _order_of_names(spark, d):
     return K.known_values(docs(spark, d), names)
 
 
+# Known values in any case and with other gaps: the words of each, in upper case, against the texts, also with other marks for blanks.
+RUNS = r"""
+WITH k AS (SELECT DISTINCT value, regexp_extract_all(lower(value), '[\p{L}\p{N}]+') AS ws FROM (SELECT %s AS value FROM benchmark)),
+t AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w, string_split_regex(text, '[\p{L}\p{N}]+') AS g FROM (SELECT doc_id, %s AS text FROM documents)),
+p AS (SELECT doc_id, text, unnest(w) AS word, unnest(g[1:len(w)]) AS gap, unnest(range(0, len(w))) AS i FROM t),
+q AS (SELECT *, sum(length(gap) + length(word)) OVER o AS stop, lead(word) OVER o AS w2, lead(word, 2) OVER o AS w3, lead(gap) OVER o AS g2, lead(gap, 2) OVER o AS g3 FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT *, lead(stop, 2) OVER (PARTITION BY doc_id ORDER BY i) AS stop3 FROM q),
+h AS (SELECT doc_id, text, value, CAST(stop - length(word) AS BIGINT) AS start, CAST(CASE len(ws) WHEN 1 THEN stop ELSE stop3 END AS BIGINT) AS "end", g2, g3, len(ws) AS n FROM r JOIN k ON (len(ws) = 3 AND lower(concat(word, ' ', w2, ' ', w3)) = array_to_string(ws, ' ')) OR (len(ws) = 1 AND lower(word) = ws[1]))
+SELECT doc_id, value, start, "end", substr(text, start + 1, "end" - start) AS found FROM h
+WHERE (n = 1 OR (length(g2) BETWEEN 1 AND 5 AND length(g3) BETWEEN 1 AND 5 AND regexp_matches(g2, '%s') AND regexp_matches(g3, '%s'))) AND %s
+"""
+_three = "upper(regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+ [A-Za-z]+'))"
+for _n, _text in (("kv_case", "text"), ("kv_gaps", "replace(text, ' ', ' | ')"), ("kv_identifiers", "replace(text, ' ', '_')")):
+    query(_n, RUNS % (_three, _text, K.GAP, K.GAP, "TRUE"))(lambda spark, d, t=_text: K.known_words(docs(spark, d).select("doc_id", F.expr(t).alias("text")), read(spark, d, "benchmark").select(F.expr(_three.replace("'^[A-Za-z]+ [A-Za-z]+ [A-Za-z]+'", "'^[A-Za-z]+ [A-Za-z]+ [A-Za-z]+', 0")).alias("value"))))
+_word = "concat(upper(left(text, 1)), lower(regexp_extract(substr(text, 2), '^[A-Za-z]+'{})))"
+query("kv_propercase", RUNS % (_word.format(""), "text", K.GAP, K.GAP, "substr(text, start + 1, \"end\" - start) <> lower(substr(text, start + 1, \"end\" - start))"))(
+    lambda spark, d: K.proper_case(K.known_words(docs(spark, d), read(spark, d, "benchmark").select(F.expr(_word.format(", 0")).alias("value")))))
+
+
 _name = "concat('Customer#', lpad(cast(o_custkey as string), 9, '0'))"
 
 
