@@ -4,8 +4,8 @@ An item's window is a set of shingles: its runs of SHINGLE words (all its words,
 window only if it contains every shingle of it, so one shingle is a sufficient prefix at containment 1: the rarest,
 by occurrences in the corpus. Windows with a shingle that occurs nowhere are out at once. Places of the prefix
 shingle in texts give candidate places of the window; those that don't fit into the text (length and positional
-bound) are out, and the rest is verified word by word over the window's own length. Texts are verified where they are
-read, if candidates are few enough to be sent there.
+bound) are out, and the rest is verified word by word over the window's own length. Texts meet their candidates in one
+shuffle, which deals the copies of a frequent text over many tasks.
 
 Null text has no words and no windows; items without words have none. An empty table gives no rows, an empty benchmark
 no hits. A very long text is an array of its words in one row. Repeated rows and ids are kept: a text's result
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .base import broadcast_if_small, materialize, salted_join, table
 
-#: Words of a shingle, and rows that may be broadcast of the benchmark's tables and of candidates (about 100 bytes a row).
+#: Words of a shingle, and rows of the benchmark's tables that may be broadcast (about 100 bytes a row).
 SHINGLE, SMALL = 5, 100_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,9 +58,12 @@ def digest(text: Column) -> tuple[Column, Column]:
 
 def places_of(hashed: DataFrame, windows_of: DataFrame, lengths: list[int]) -> DataFrame:
     """d1, d2, cs (start, n words, w and items of each window that may be there) and n (texts) of each text that may hold one."""
-    of_length = lambda k: F.transform(runs(F.col("hs"), k), lambda x, i: F.struct(F.lit(k).alias("k"), i.alias("pos"), x.alias("shingle")))
-    every = F.flatten(F.array(*map(of_length, lengths)))
-    found = hashed.select("d1", "d2", F.explode_outer(every).alias("e")).select("d1", "d2", "e.k", "e.pos", "e.shingle")  # the plain one has the optimizer compute runs twice
+    # explode_outer: for the plain one the optimizer computes all runs twice
+    if len(lengths) == 1:
+        found = hashed.select("d1", "d2", F.lit(lengths[0]).alias("k"), F.posexplode_outer(runs(F.col("hs"), lengths[0])).alias("pos", "shingle"))
+    else:
+        of_length = lambda k: F.transform(runs(F.col("hs"), k), lambda x, i: F.struct(F.lit(k).alias("k"), i.alias("pos"), x.alias("shingle")))
+        found = hashed.select("d1", "d2", F.explode_outer(F.flatten(F.array(*map(of_length, lengths)))).alias("e")).select("d1", "d2", "e.k", "e.pos", "e.shingle")
     known = windows_of.select("k", F.explode("shingles").alias("shingle")).distinct()
     hits = materialize(found.join(broadcast_if_small(known, SMALL), ["k", "shingle"]))
     seen = hits.groupBy("k", "shingle").agg(F.count(F.lit(1)).alias("seen"))
@@ -71,14 +74,6 @@ def places_of(hashed: DataFrame, windows_of: DataFrame, lengths: list[int]) -> D
     return places.groupBy("d1", "d2").agg(F.collect_set("c").alias("cs"), F.count(F.lit(1)).alias("n")).select("d1", "d2", "cs", (F.col("n") / F.size("cs")).cast("long").alias("n"))
 
 
-def beside(rows: DataFrame, candidates: DataFrame) -> DataFrame:
-    """rows with the candidates of their texts: a few are sent to the texts, else texts meet them, frequent ones in many tasks."""
-    texts, places, items, total = candidates.agg(F.count(F.lit(1)), F.sum(F.size("cs")), F.sum(F.aggregate("cs", F.lit(0), lambda a, c: a + F.size(c["items"]))), F.sum("n")).first()
-    if texts <= SMALL and (places or 0) + (items or 0) <= 2 * SMALL:
-        return rows.join(F.broadcast(candidates.drop("n")), ["d1", "d2"], "left")
-    return salted_join(rows, candidates, ["d1", "d2"], "row", total, "left")
-
-
 def marked(rows: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
     """rows (with text) and n_words, n_hit, and items, sorted, of each."""
     windows_of = materialize(windows(benchmark, width))
@@ -88,7 +83,8 @@ def marked(rows: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
     if not lengths:
         return rows.select("*", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none.alias("items"))
     hashed = rows.select("d1", "d2", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("hs"))
-    both = beside(rows, materialize(places_of(hashed, windows_of, lengths))).withColumn("ws", words(F.col("text")))
+    candidates = materialize(places_of(hashed, windows_of, lengths))
+    both = salted_join(rows, candidates, ["d1", "d2"], "row", candidates.agg(F.sum("n")).first()[0] or 0, "left").withColumn("ws", words(F.col("text")))
     fits = lambda c: (c["s"] + c["n"] <= F.size("ws")) & (F.array_join(F.slice(F.col("ws"), c["s"] + 1, c["n"]), " ") == c["w"])
     verified = both.withColumn("n_words", F.size("ws").cast("long")).withColumn("cs", F.when(F.col("cs").isNotNull(), F.filter("cs", fits))).drop("ws")
     covered = F.size(F.array_distinct(F.flatten(F.transform("cs", lambda c: F.sequence(c["s"], c["s"] + c["n"] - 1)))))
