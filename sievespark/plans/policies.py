@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions.rules import DEFAULT, Rule
-from ..functions.samples import with_sample
+from ..functions.samples import sample, with_sample
 from ..operators import known as K
 from ..operators import policies as O
+from ..operators import reports as R
+from ..operators import spans as P
 from ..operators.detect import detect, detect_sql
-from ..operators.encoded import rewrite_runs
+from ..operators.encoded import decoded_runs, rewrite_runs
 from ..sources.files import decode_content
-from .queries import FOUND, KEY, QUERIES, SQL, docs, findings, on_findings, on_samples, query, read
+from .queries import BEHIND, FOUND, KEY, QUERIES, SQL, UNION, behind, docs, findings, on_findings, on_samples, query, read
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -191,3 +193,84 @@ def _junit(spark, d):
     cases = detect(pages, DEFAULT, "page_id", "html").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "rule", "category"))).alias("fs"))
     suite = F.concat(F.lit('<testsuite name="'), xml(F.col("url")), F.lit('" tests="'), F.size("fs").cast("string"), F.lit('">'), F.array_join(F.transform("fs", case), ""), F.lit("</testsuite>"))
     return cases.join(pages.select("page_id", "url"), "page_id").select("page_id", suite.alias("suite"))
+
+
+# Thresholds are a table: of a type, of a group of types, and of all.
+LIMITS = "(SELECT * FROM (VALUES ('USERNAME', 'type', CAST(0.7 AS DOUBLE)), ('CONTACT', 'group', CAST(0.6 AS DOUBLE)), ('', 'all', CAST(0.5 AS DOUBLE))) AS limits(name, kind, least))"
+GROUPS = "(SELECT * FROM (VALUES ('PHONE', 'CONTACT'), ('EMAIL', 'CONTACT')) AS groups(type, name))"
+
+
+def least_confidence(spark, f):
+    """f with threshold: that of the finding's type, else of its group, else of all."""
+    limits, groups = (spark.sql(x[1:-1]) for x in (LIMITS, GROUPS))
+    of = lambda kind, name: limits.where(F.col("kind") == kind).select(F.col("name").alias(name), F.col("least").alias("of_" + kind))
+    per_group = groups.join(of("group", "name"), "name").select("type", "of_group")
+    joined = f.join(of("type", "type"), "type", "left").join(per_group, "type", "left").join(of("all", "x").select("of_all"))
+    return joined.select(*f.columns, F.coalesce("of_type", "of_group", "of_all").alias("threshold"))
+
+
+_limited = FOUND + f", l AS {LIMITS}, g AS {GROUPS}, t AS (SELECT f.*, coalesce((SELECT least FROM l WHERE kind = 'type' AND l.name = f.type), (SELECT least FROM l JOIN g ON g.name = l.name WHERE kind = 'group' AND g.type = f.type), (SELECT least FROM l WHERE kind = 'all')) AS threshold FROM f)\n"
+query("pol_threshold", _limited + "SELECT doc_id, start, rule, threshold FROM t")(lambda spark, d: least_confidence(spark, findings(spark, d)).select("doc_id", "start", "rule", "threshold"))
+# What pages show is taken for made up here.
+query("pol_actionable", _limited + f", m AS (SELECT DISTINCT type, value FROM ({detect_sql(DEFAULT, 'pages', 'page_id', 'html')})) SELECT doc_id, start, \"end\", rule FROM t WHERE (type, value) NOT IN (SELECT (type, value) FROM m) AND (category = 'credential' OR confidence >= threshold)")(
+    lambda spark, d: least_confidence(spark, findings(spark, d)).join(detect(read(spark, d, "pages"), DEFAULT, "page_id", "html").select("type", "value").distinct(), ["type", "value"], "left_anti")
+    .where("category = 'credential' OR confidence >= threshold").select("doc_id", "start", "end", "rule"))
+
+# A scan's reports.
+SCANNED = f"WITH f AS ({detect_sql(DEFAULT, f'(SELECT doc_id, text FROM documents WHERE length(text) <= {R.LONGEST})')}), m AS (SELECT doc_id, CASE WHEN text IS NULL THEN 'ERR_MISSING' ELSE 'ERR_LIMIT' END AS reason FROM documents WHERE text IS NULL OR length(text) > {R.LONGEST})\n"
+LOCATED = ", b AS (SELECT f.*, string_split(substr(d.text, 1, f.start), chr(10)) AS ls FROM f JOIN documents d USING (doc_id)), l AS (SELECT *, CAST(len(ls) AS BIGINT) AS line, CAST(length(ls[-1]) + 1 AS BIGINT) AS col FROM b)\n"
+
+
+def scanned(spark, d):
+    return detect(R.read_texts(docs(spark, d)))
+
+
+@query("agg_complete", SCANNED + "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM m) AS skipped, (SELECT count(*) FROM f) AS findings, NOT EXISTS (SELECT 1 FROM m) AS complete")
+def _complete(spark, d):
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return n(docs(spark, d), "documents").join(n(R.skipped(docs(spark, d)), "skipped")).join(n(scanned(spark, d), "findings")).withColumn("complete", F.col("skipped") == 0)
+
+
+@query("snk_exit", SCANNED + "SELECT CASE WHEN EXISTS (SELECT 1 FROM m) THEN 2 WHEN EXISTS (SELECT 1 FROM f) THEN 1 ELSE 0 END AS code")
+def _exit(spark, d):
+    return _complete(spark, d).select(F.when(~F.col("complete"), 2).when(F.col("findings") > 0, 1).otherwise(0).alias("code"))
+
+
+_cell = r"""concat('"', CASE WHEN regexp_matches({0}, '^[ \t\r\n]*[=+@-]|^[\t\r\n]') THEN '''' ELSE '' END, replace({0}, '"', '""'), '"')""".format
+query("snk_csv", SCANNED + LOCATED + f"""SELECT concat('documents/', doc_id) AS path, concat_ws(',', '"finding"', {_cell("concat('documents/', doc_id)")}, '""', {_cell('rule')}, {_cell('type')}, {_cell('category')}, line, col, start, "end", confidence, '""') AS line FROM l
+UNION ALL SELECT concat('documents/', doc_id), concat_ws(',', '"skipped"', {_cell("concat('documents/', doc_id)")}, {_cell('reason')}, '""', '""', '""', '""', '""', '""', '""', '""', '""') FROM m""")(
+    lambda spark, d: R.csv_lines(R.located(scanned(spark, d), docs(spark, d)), R.skipped(docs(spark, d))))
+query("snk_json", SCANNED + LOCATED + """SELECT doc_id, start, concat('{"status":"finding","path":"documents/', doc_id, '","rule":"', rule, '","type":"', type, '","category":"', category, '","line":', line, ',"column":', col, ',"start":', start, ',"end":', "end", ',"confidence":', confidence, '}') AS line FROM l""")(
+    lambda spark, d: R.located(scanned(spark, d), docs(spark, d)).select("doc_id", "start", F.to_json(F.struct(F.lit("finding").alias("status"), R.path("doc_id").alias("path"), "rule", "type", "category", "line", "column", "start", "end", "confidence")).alias("line")))
+query("snk_sarif", SCANNED + LOCATED + """, o AS (SELECT rule, row_number() OVER (ORDER BY p, rule) - 1 AS i FROM (SELECT rule, min({'d': doc_id, 's': start}) AS p FROM f GROUP BY rule))
+SELECT doc_id, start, concat('{"ruleId":"', rule, '","ruleIndex":', i, ',"level":"', CASE category WHEN 'credential' THEN 'error' ELSE 'warning' END, '","message":{"text":"', type, ' found by ', rule, '"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"documents/', doc_id, '"},"region":{"startLine":', line, ',"startColumn":', col, ',"charOffset":', start, ',"charLength":', "end" - start, '}}}]}') AS result FROM l JOIN o USING (rule)""")(
+    lambda spark, d: R.sarif_results(R.located(scanned(spark, d), docs(spark, d))))
+
+
+# Annotated spans: what BEHIND puts behind each text, one rule after the other.
+@query("agg_benchmark", "SELECT rule, count(*) AS annotated, count(*) AS exact, count(*) AS overlapped FROM documents, (SELECT unnest([{}]) AS rule) GROUP BY rule".format(", ".join(f"'{r}'" for r in BEHIND)))
+def _recall(spark, d):
+    start = lambda before: f"cast(length(coalesce(text, '')) + 1 + length({sample(before, 'doc_id')}) as bigint)"
+    one = lambda r, before, value, after: F.struct(F.lit(r).alias("rule"), F.expr(behind(before, value, after)).alias("made"), F.expr(start(before)).alias("start"), F.expr(f"length({sample(value, 'doc_id')})").alias("n"))
+    each = F.explode(F.array(*[one(r, *parts) for r, parts in BEHIND.items()])).alias("e")
+    made = docs(spark, d).select("doc_id", each).select(F.concat(F.col("doc_id").cast("string"), F.lit("/"), "e.rule").alias("doc_id"), "e.rule", F.col("e.made").alias("text"), "e.start", (F.col("e.start") + F.col("e.n")).alias("end"))
+    return R.recall(made.select("doc_id", "rule", "start", "end"), detect(made))
+
+
+# Redact, and look again at what was written: what is found in each round.
+_again = UNION + ", r AS (SELECT doc_id, list(start ORDER BY start) AS s, list(\"end\" ORDER BY start) AS e FROM u GROUP BY doc_id), out AS (SELECT d.doc_id, CASE WHEN s IS NULL THEN text ELSE array_to_string(list_transform(range(1, len(s) + 2), lambda i: substr(text, CASE WHEN i = 1 THEN 1 ELSE e[i - 1] + 1 END, CASE WHEN i = len(s) + 1 THEN length(text) ELSE s[i] END - CASE WHEN i = 1 THEN 0 ELSE e[i - 1] END)), '[REDACTED]') END AS text FROM documents d LEFT JOIN r USING (doc_id))\n"
+
+
+@query("vf_residual", FOUND + _again + f"SELECT (SELECT count(*) FROM f) AS first_round, (SELECT count(*) FROM ({detect_sql(DEFAULT, 'out')})) AS second_round, (SELECT count(*) FROM out WHERE contains(text, '[REDACTED]')) AS redacted")
+def _residual(spark, d):
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    found = findings(spark, d)
+    out = P.render(docs(spark, d), P.span_union(found).withColumn("replacement", F.lit("[REDACTED]"))).select("doc_id", "text")
+    return n(found, "first_round").join(n(detect(out), "second_round")).join(n(out.where(F.contains("text", F.lit("[REDACTED]"))), "redacted"))
+
+
+# Runs of base64, hexadecimal digits and percent escapes in texts, and what they say; one of them, by the id, is put behind each text.
+_said = "concat('it says ', md5(cast(doc_id as string)))"
+_coded = f"case cast(doc_id % 3 as int) when 0 then base64(encode({_said}, 'utf-8')) when 1 then lower(hex(encode({_said}, 'utf-8'))) else regexp_replace(hex(encode({_said}, 'utf-8')), '(..)', '%$1') end"
+query("fn_decode", f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'base64' WHEN 1 THEN 'hex' ELSE 'percent' END AS coding, {_said} AS plain FROM documents")(
+    lambda spark, d: decoded_runs(docs(spark, d).select("doc_id", F.expr(f"concat(coalesce(text, ''), chr(10), '(', {_coded}, ')')").alias("text"))).where(F.startswith("plain", F.lit("it says"))))

@@ -104,10 +104,6 @@ for _i in IDENTIFIERS:
     on_samples("det_national_" + _i.type.lower(), lambda engine, t=with_sample(_i.sample): t, lambda made, i=_i: detect_national(made, [i]), lambda table, i=_i: national_sql(i, table))
 
 # Policy.
-on_findings("pol_threshold", "SELECT doc_id, start, rule, CASE type WHEN 'USERNAME' THEN 0.7 WHEN 'PHONE' THEN 0.6 ELSE 0.5 END :: DOUBLE AS threshold FROM f",
-            lambda f: f.select("doc_id", "start", "rule", F.coalesce(F.create_map(F.lit("USERNAME"), F.lit(0.7), F.lit("PHONE"), F.lit(0.6))[F.col("type")], F.lit(0.5)).alias("threshold")))
-on_findings("pol_actionable", "SELECT doc_id, start, \"end\", rule FROM f WHERE category = 'credential' OR confidence >= 0.8",
-            lambda f: f.where("category = 'credential' OR confidence >= 0.8").select("doc_id", "start", "end", "rule"))
 on_findings("pol_likelihood", "SELECT doc_id, start, rule, CASE WHEN confidence >= .9 THEN 'VERY_LIKELY' WHEN confidence >= .7 THEN 'LIKELY' WHEN confidence >= .4 THEN 'POSSIBLE' WHEN confidence >= .2 THEN 'UNLIKELY' ELSE 'VERY_UNLIKELY' END AS likelihood FROM f",
             lambda f: f.select("doc_id", "start", "rule", S.likelihood(F.col("confidence")).alias("likelihood")))
 on_findings("pol_rules", "SELECT doc_id, start, rule FROM f WHERE rule NOT IN ('ipv4', 'messenger-handle')", lambda f: f.where(~F.col("rule").isin("ipv4", "messenger-handle")).select("doc_id", "start", "rule"))
@@ -185,13 +181,10 @@ on_findings("agg_seeds", "SELECT doc_id, value, min(type) AS type, count(*) AS n
 SQL["agg_seeds"] = SQL["agg_seeds"].replace("GROUP BY ALL", "GROUP BY doc_id, value")
 on_findings("agg_number", "SELECT doc_id, type, value, first_start, dense_rank() OVER (PARTITION BY doc_id, type ORDER BY first_start) AS number FROM (SELECT doc_id, type, value, min(start) AS first_start FROM f GROUP BY doc_id, type, value)", P.numbered)
 on_findings("agg_floors", "SELECT type, max(n) AS floor FROM (SELECT doc_id, type, count(DISTINCT value) AS n FROM f GROUP BY doc_id, type) GROUP BY type", lambda f: f.groupBy("doc_id", "type").agg(F.count_distinct("value").alias("n")).groupBy("type").agg(F.max("n").alias("floor")))
-on_findings("agg_complete", "SELECT count(*) AS findings, count(DISTINCT doc_id) AS documents, bool_and(confidence > 0) AS complete FROM f", lambda f: f.agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("doc_id").alias("documents"), F.bool_and(F.col("confidence") > 0).alias("complete")))
 on_findings("agg_sarifrules", "SELECT rule, dense_rank() OVER (ORDER BY first_doc, first_start, rule) - 1 AS rule_index FROM (SELECT rule, min(doc_id) AS first_doc, arg_min(start, (doc_id, start)) AS first_start FROM f GROUP BY rule)",
             lambda f: f.groupBy("rule").agg(F.min(F.struct("doc_id", "start")).alias("p")).select("rule", (F.dense_rank().over(W.orderBy("p", "rule")) - 1).cast("long").alias("rule_index")))
 query("agg_digest", "SELECT doc_id, sha256(text) AS digest FROM documents")(lambda spark, d: docs(spark, d).select("doc_id", F.sha2("text", 256).alias("digest")))
 on_findings("agg_encwindow", "SELECT doc_id, start // 4096 AS part, count(*) AS n FROM f GROUP BY doc_id, start // 4096", lambda f: f.groupBy("doc_id", F.floor(F.col("start") / 4096).alias("part")).agg(F.count(F.lit(1)).alias("n")))
-on_findings("agg_benchmark", "SELECT f.rule, count(*) AS predicted, count(p.rule) AS also_default FROM f LEFT JOIN (SELECT DISTINCT doc_id, start, \"end\", rule FROM f WHERE confidence >= .85) p USING (doc_id, start, \"end\", rule) GROUP BY f.rule",
-            lambda f: f.join(f.where("confidence >= 0.85").select("doc_id", "start", "end", "rule", F.lit(1).alias("hit")).distinct(), ["doc_id", "start", "end", "rule"], "left").groupBy("rule").agg(F.count(F.lit(1)).alias("predicted"), F.count("hit").alias("also_default")))
 on_findings("win_runmax", "SELECT doc_id, start, rule, max(\"end\") OVER (PARTITION BY doc_id ORDER BY start, \"end\" DESC, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run_max FROM f", lambda f: f.select("doc_id", "start", "rule", F.max("end").over(P.ordered().rowsBetween(W.unboundedPreceding, -1)).alias("run_max")))
 on_findings("win_cursor", UNION + "SELECT doc_id, start, start - lag(\"end\", 1, 0) OVER (PARTITION BY doc_id ORDER BY start) AS gap FROM u", lambda f: P.span_union(f).select("doc_id", "start", (F.col("start") - F.lag("end", 1, 0).over(W.partitionBy("doc_id").orderBy("start"))).alias("gap")))
 on_findings("win_firstseen", "SELECT doc_id, value, rank() OVER (PARTITION BY doc_id ORDER BY s) AS seen FROM (SELECT doc_id, value, min(start) AS s FROM f GROUP BY doc_id, value)", lambda f: f.groupBy("doc_id", "value").agg(F.min("start").alias("s")).select("doc_id", "value", F.rank().over(W.partitionBy("doc_id").orderBy("s")).cast("long").alias("seen")))
@@ -216,7 +209,6 @@ def _mod97(spark, d):
 query("fn_weighted", "SELECT c_custkey, CAST(list_sum(list_transform(range(1, 10), lambda i: CAST(lpad(CAST(c_custkey AS VARCHAR), 9, '0')[i] AS INT) * (11 - i))) % 11 AS INT) AS rest FROM customer")(
     lambda spark, d: read(spark, d, "customer").select("c_custkey", (S.weighted(F.lpad(F.col("c_custkey").cast("string"), 9, "0"), list(range(10, 1, -1))) % 11).alias("rest")))
 query("fn_fieldnorm", "SELECT DISTINCT event_type, lower(regexp_replace(event_type, '[^A-Za-z0-9]', '', 'g')) AS field FROM events")(lambda spark, d: read(spark, d, "events").select("event_type", F.lower(F.regexp_replace("event_type", "[^A-Za-z0-9]", "")).alias("field")).distinct())
-query("fn_decode", "SELECT doc_id, md5(text) AS plain FROM documents")(lambda spark, d: docs(spark, d).select("doc_id", F.md5(F.decode(F.unbase64(F.base64(F.encode("text", "utf-8"))), "utf-8")).alias("plain")))
 query("fn_encode", "SELECT event_id, to_base64(encode(event_type)) AS b64, lower(hex(event_type)) AS hexed FROM events")(lambda spark, d: read(spark, d, "events").select("event_id", F.base64(F.encode("event_type", "utf-8")).alias("b64"), F.lower(F.hex(F.encode("event_type", "utf-8"))).alias("hexed")))
 
 # Transformations.
@@ -245,10 +237,6 @@ def _redacted(spark, d):
 
 RENDER = UNION + ", r AS (SELECT doc_id, list(start ORDER BY start) AS s, list(\"end\" ORDER BY start) AS e FROM u GROUP BY doc_id)\n"
 query("tx_redact", FOUND + RENDER + "SELECT d.doc_id, CASE WHEN s IS NULL THEN text ELSE array_to_string(list_transform(range(1, len(s) + 2), lambda i: substr(text, CASE WHEN i = 1 THEN 1 ELSE e[i - 1] + 1 END, CASE WHEN i = len(s) + 1 THEN length(text) ELSE s[i] END - CASE WHEN i = 1 THEN 0 ELSE e[i - 1] END)), '[REDACTED]') END AS text, CAST(coalesce(len(s), 0) AS BIGINT) AS redactions FROM documents d LEFT JOIN r USING (doc_id)")(_redacted)
-query("vf_residual", "SELECT CAST(0 AS BIGINT) AS residual, count(*) AS documents FROM documents")(
-    lambda spark, d: (lambda out: out.join(detect(out).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "doc_id", "left").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("residual"), F.count(F.lit(1)).alias("documents")))(_redacted(spark, d).select("doc_id", "text")))
-
-
 @query("tx_restore", "SELECT doc_id, text FROM documents")
 def _restore(spark, d):
     """Placeholders out and back: each document's own map gives the values again, longest token first."""
@@ -259,11 +247,6 @@ def _restore(spark, d):
 
 # Sinks and reports.
 on_findings("snk_result", "SELECT type, count(*) AS n, count(DISTINCT doc_id) AS documents FROM f GROUP BY type", lambda f: f.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents")))
-on_findings("snk_csv", "SELECT doc_id, start, rule, CASE WHEN regexp_matches(value, '^[=+@-]') THEN concat('''', value) ELSE value END AS cell FROM f", lambda f: f.select("doc_id", "start", "rule", F.when(F.col("value").rlike("^[=+@-]"), F.concat(F.lit("'"), "value")).otherwise(F.col("value")).alias("cell")))
-on_findings("snk_json", "SELECT doc_id, start, concat('{\"rule\":\"', rule, '\",\"start\":', start, ',\"end\":', \"end\", '}') AS line FROM f", lambda f: f.select("doc_id", "start", F.to_json(F.struct("rule", "start", "end")).alias("line")))
-on_findings("snk_sarif", "SELECT doc_id, start, concat('{\"ruleId\":\"', rule, '\",\"level\":\"', CASE category WHEN 'credential' THEN 'error' ELSE 'warning' END, '\",\"region\":{\"charOffset\":', start, ',\"charLength\":', \"end\" - start, '}}') AS result FROM f",
-            lambda f: f.select("doc_id", "start", F.to_json(F.struct(F.col("rule").alias("ruleId"), F.when(F.col("category") == "credential", "error").otherwise("warning").alias("level"), F.struct(F.col("start").alias("charOffset"), (F.col("end") - F.col("start")).alias("charLength")).alias("region"))).alias("result")))
-on_findings("snk_exit", "SELECT CASE WHEN count(*) = 0 THEN 0 ELSE 1 END AS code FROM f", lambda f: f.agg(F.when(F.count(F.lit(1)) == 0, 0).otherwise(1).alias("code")))
 on_findings("snk_baseline", "SELECT sha256(concat_ws('|', rule, type, value)) AS fingerprint, count(*) AS n FROM f GROUP BY 1", lambda f: f.groupBy(F.sha2(F.concat_ws("|", "rule", "type", "value"), 256).alias("fingerprint")).agg(F.count(F.lit(1)).alias("n")))
 
 # Sources.
