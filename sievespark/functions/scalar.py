@@ -90,3 +90,37 @@ def identity_mask(s: Column) -> Column:
 def bucket(n: Column, size: int) -> Column:
     low = (F.floor(n / size) * size).cast("long")
     return F.concat(low.cast("string"), F.lit("–"), (low + size - 1).cast("string"))
+
+
+def mrz_check(s: Column) -> Column:
+    """Check digit of a field of a machine readable zone: weights 7, 3 and 1 in turn; letters are 10 to 35, < is 0."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).when(c == "<", 0).otherwise(F.ascii(c) - 55)
+    weight = lambda i: F.when(i % 3 == 0, 7).when(i % 3 == 1, 3).otherwise(1)
+    return (F.aggregate(F.transform(chars(s), lambda c, i: value(c) * weight(i)), F.lit(0), lambda a, x: (a + x).cast("int")) % 10).cast("int")
+
+
+def number_of(digest: Column, n: int) -> Column:
+    """A number below n from a hexadecimal digest."""
+    return F.conv(F.left(digest, F.lit(7)), 16, 10).cast("long") % n
+
+
+def fake_email(key: bytes, value: Column) -> Column:
+    return F.concat(F.lit("user-"), F.left(hmac_sha256(key, F.concat(F.lit("EMAIL|"), value)), F.lit(12)), F.lit("@example.com"))
+
+
+def fake_phone(key: bytes, value: Column) -> Column:
+    """A North American number, its last seven digits from the range that is kept for fiction: 555-0100 to 555-0199."""
+    n = number_of(hmac_sha256(key, F.concat(F.lit("PHONE|"), value)), 100)
+    return F.regexp_replace(value, r"[0-9]{3}([-. ]?)[0-9]{4}$", F.concat(F.lit("555$101"), F.lpad(n.cast("string"), 2, "0")))
+
+
+def fake_date(key: bytes, day: Column) -> Column:
+    """The day moved back by 1 to 365 days, as many for all days under a key."""
+    return F.date_sub(day, (number_of(hmac_sha256(key, F.lit("date")), 365) + 1).cast("int"))
+
+
+def fake_iban(key: bytes, value: Column) -> Column:
+    """An IBAN with other digits of the account and right check digits."""
+    turned = F.array_join(F.transform(chars(F.substring(value, 5, 64)), lambda c, i: F.when(c.rlike("[0-9]"), (number_of(hmac_sha256(key, F.concat(F.lit("IBAN|"), value, F.lit("|"), i.cast("string"))), 10)).cast("string")).otherwise(c)), "")
+    check = F.lit(98) - mod97(F.concat(F.left(value, F.lit(2)), F.lit("00"), turned))
+    return F.concat(F.left(value, F.lit(2)), F.lpad(check.cast("string"), 2, "0"), turned)

@@ -13,7 +13,9 @@ from ..operators import policies as O
 from ..operators import reports as R
 from ..operators import spans as P
 from ..operators.detect import detect, detect_sql
-from ..operators.encoded import decoded_runs, rewrite_runs
+from ..operators.encoded import RUN, decoded_runs, rewrite_runs
+from ..operators.national import EPOCH, NOISE
+from ..operators.propagation import INSIDE, propagated
 from ..sources.files import decode_content
 from .queries import BEHIND, FOUND, KEY, QUERIES, SQL, UNION, behind, docs, findings, on_findings, on_samples, query, read
 
@@ -274,3 +276,67 @@ _said = "concat('it says ', md5(cast(doc_id as string)))"
 _coded = f"case cast(doc_id % 3 as int) when 0 then base64(encode({_said}, 'utf-8')) when 1 then lower(hex(encode({_said}, 'utf-8'))) else regexp_replace(hex(encode({_said}, 'utf-8')), '(..)', '%$1') end"
 query("fn_decode", f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'base64' WHEN 1 THEN 'hex' ELSE 'percent' END AS coding, {_said} AS plain FROM documents")(
     lambda spark, d: decoded_runs(docs(spark, d).select("doc_id", F.expr(f"concat(coalesce(text, ''), chr(10), '(', {_coded}, ')')").alias("text"))).where(F.startswith("plain", F.lit("it says"))))
+
+
+# Numbers that are times or counts.
+_number = Rule("strict-number", "personal", "NUMBER", "[0-9]{6,20}", 0.9, edge="0-9A-Za-z._-")
+query("pol_epoch", f"SELECT doc_id, start, value, (length(value) = 10 AND CAST(value AS HUGEINT) BETWEEN 946684800 AND 4102444799) OR (length(value) = 13 AND CAST(value AS HUGEINT) BETWEEN 946684800000 AND 4102444799999) AS epoch FROM ({detect_sql([_number])})")(
+    lambda spark, d: detect(docs(spark, d), [_number]).select("doc_id", "start", "value", F.expr(EPOCH).alias("epoch")))
+query("pol_noise", f"SELECT doc_id, start, rule, regexp_matches(before, {quoted(NOISE)}) AS noise FROM ({detect_sql([_number], around=(80, 1))})")(
+    lambda spark, d: detect(docs(spark, d), [_number], around=(80, 1)).select("doc_id", "start", "rule", F.col("before").rlike(NOISE).alias("noise")))
+
+
+@query("pol_limit", FOUND + "SELECT count(*) AS texts, max(n) AS most FROM (SELECT doc_id, count(*) AS n FROM f GROUP BY doc_id)")
+def _limit(spark, d):
+    """More than 100,000 findings in a text end the query; none is dropped."""
+    n = F.when(F.col("n") > 100_000, F.raise_error(F.lit("ERR_LIMIT")).cast("long")).otherwise(F.col("n"))
+    return findings(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("texts"), F.max(n).alias("most"))
+
+
+# Profiles: what is published has a low threshold and masks identities; documents have the usual one and lose values.
+PROFILES = {"publication": (0.3, S.identity_mask), "documents": (0.5, lambda v: F.lit("[REDACTED]"))}
+for _profile, (_least, _mask) in PROFILES.items():
+    on_findings(f"pol_profile_{_profile}", f"SELECT doc_id, start, rule, {'CASE WHEN length(value) < 5 THEN chr(91) || ' + quoted('REDACTED]') + ' ELSE concat(left(value, 2), ' + quoted('***') + ', right(value, 2)) END' if _profile == 'publication' else quoted('[REDACTED]')} AS shown FROM f WHERE category = 'credential' OR confidence >= {_least}",
+                lambda f, least=_least, mask=_mask: f.where((F.col("category") == "credential") | (F.col("confidence") >= least)).select("doc_id", "start", "rule", mask(F.col("value")).alias("shown")))
+
+# What one place confirms, another spells with other marks.
+_again_text = behind("by ", "Dr. Q{l6} W{l4}", "") [:-1] + f", {sample('met Dr._Q{l6}-W{l4}, and xDr. Q{l6} W{l4}', 'doc_id')})"
+query("join_propagate", f"WITH d AS (SELECT doc_id, {_again_text} AS text FROM documents), f AS ({detect_sql(DEFAULT, 'd')})" + r"""
+, s AS (SELECT doc_id, value, min(type) AS type FROM f WHERE confidence >= .85 AND length(value) BETWEEN 2 AND 256 AND NOT contains(value, '\') GROUP BY doc_id, value),
+e AS (SELECT doc_id, value, type, text, concat('\Q', regexp_replace(value, '[ _-]+', '\\E[ _-]+\\Q', 'g'), '\E') AS p FROM s JOIN d USING (doc_id)),
+x AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT *, regexp_extract_all(text, p) AS m, string_split_regex(text, p) AS g FROM e)),
+y AS (SELECT doc_id, value, type, text, CAST(list_sum(list_transform(g[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) AS BIGINT) AS start, length(m[i]) AS n FROM x),
+z AS (SELECT doc_id, value, type, start, start + n AS "end", CASE WHEN start > 0 THEN substr(text, start, 1) ELSE '' END AS l, substr(text, start + n + 1, 1) AS r FROM y)
+SELECT doc_id, value, type, start, "end" FROM z WHERE NOT regexp_matches(l, '%s') AND NOT regexp_matches(r, '%s') AND NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = z.doc_id AND f.start <= z.start AND f."end" >= z."end")""" % (INSIDE, INSIDE))(
+    lambda spark, d: (lambda made: propagated(made, detect(made)))(docs(spark, d).select("doc_id", F.expr(_again_text).alias("text"))))
+
+# Encoded candidates by windows of 65,536 characters; more than 4,096 in one are masked, not decoded.
+_encoded = Rule("encoded", "credential", "ENCODED", RUN, 0.5, edge="A-Za-z0-9+/=")
+query("agg_encwindow", f"SELECT doc_id, start // 65536 AS part, count(*) AS n, count(*) > 4096 AS masked FROM ({detect_sql([_encoded])}) GROUP BY doc_id, start // 65536")(
+    lambda spark, d: detect(docs(spark, d), [_encoded]).groupBy("doc_id", F.floor(F.col("start") / 65536).alias("part")).agg(F.count(F.lit(1)).alias("n")).withColumn("masked", F.col("n") > 4096))
+
+# The fullest form of a name: the longest known value that begins with a word, where no other is as long.
+query("topk_fullest", """WITH k AS (SELECT DISTINCT word, name FROM (SELECT regexp_extract(text, '^[A-Za-z]+') AS word, unnest([regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+'), regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+ [A-Za-z]+')]) AS name FROM benchmark) WHERE name <> ''),
+l AS (SELECT word, max(length(name)) AS n FROM k GROUP BY word) SELECT word, min(name) AS fullest FROM k JOIN l USING (word) WHERE length(name) = n GROUP BY word HAVING count(*) = 1""")(
+    lambda spark, d: read(spark, d, "benchmark").select(F.regexp_extract("text", "^[A-Za-z]+", 0).alias("word"), F.explode(F.array(*[F.regexp_extract("text", "^[A-Za-z]+" + " [A-Za-z]+" * n, 0) for n in (1, 2)])).alias("name")).where("name <> ''").distinct()
+    .groupBy("word", F.length("name").alias("n")).agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("c")).groupBy("word").agg(F.max_by(F.struct("name", "c"), "n").alias("m")).where("m.c = 1").select("word", F.col("m.name").alias("fullest")))
+
+# Values in place of others.
+_h = f"sha256(unhex('{_out}') || unhex(sha256(unhex('{_in}') || encode({{}}))))".format
+_below = "CAST('0x' || left({}, 7) AS BIGINT) % {}".format
+on_findings("fake_email", f"SELECT doc_id, start, concat('user-', left({_h(chr(39) + 'EMAIL|' + chr(39) + ' || value')}, 12), '@example.com') AS fake FROM f WHERE rule = 'email'", lambda f: f.where("rule = 'email'").select("doc_id", "start", S.fake_email(KEY, F.col("value")).alias("fake")))
+on_findings("fake_phone", f"SELECT doc_id, start, regexp_replace(value, '[0-9]{{3}}([-. ]?)[0-9]{{4}}$', concat('555\\101', lpad(CAST({_below(_h(chr(39) + 'PHONE|' + chr(39) + ' || value'), 100)} AS VARCHAR), 2, '0'))) AS fake FROM f WHERE type = 'PHONE' AND value LIKE '+1 %'".replace("\\101", "\\\\1" + "01").replace("\\\\1", "\\1"),
+            lambda f: f.where("type = 'PHONE' AND value LIKE '+1 %'").select("doc_id", "start", S.fake_phone(KEY, F.col("value")).alias("fake")))
+query("fake_date", f"SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) - CAST({_below(_h(quoted('date')), 365)} + 1 AS INT) AS VARCHAR) AS fake FROM orders")(
+    lambda spark, d: read(spark, d, "orders").select("o_orderkey", S.fake_date(KEY, F.to_date("o_orderdate")).cast("string").alias("fake")))
+_account = "concat('DE00', lpad(cast(c_custkey as string), 18, '3'))"
+query("fake_iban", f"""WITH a AS (SELECT c_custkey, concat('DE00', lpad(CAST(c_custkey AS VARCHAR), 18, '3')) AS value FROM customer),
+b AS (SELECT c_custkey, string_agg(CAST({_below(_h("value_key"), 10)} AS VARCHAR), '' ORDER BY i) AS turned FROM (SELECT c_custkey, i, concat('IBAN|', value, '|', i) AS value_key FROM (SELECT *, unnest(range(0, 18)) AS i FROM a)) GROUP BY c_custkey)
+SELECT c_custkey, concat('DE', lpad(CAST(98 - (turned || '131400')::HUGEINT % 97 AS VARCHAR), 2, '0'), turned) AS fake FROM b""")(
+    lambda spark, d: read(spark, d, "customer").select("c_custkey", S.fake_iban(KEY, F.expr(_account)).alias("fake")))
+query("fn_mrz", "SELECT o_orderkey, CAST(list_sum(list_transform(range(1, 10), lambda i: (strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', z[i]) - 1) * [7, 3, 1][(i - 1) % 3 + 1] + CASE WHEN z[i] = '<' THEN [7, 3, 1][(i - 1) % 3 + 1] ELSE 0 END)) % 10 AS INT) AS check FROM (SELECT o_orderkey, concat('L', lpad(CAST(o_orderkey AS VARCHAR), 7, '<'), 'Q') AS z FROM orders)".replace("AS check", 'AS "check"'))(
+    lambda spark, d: read(spark, d, "orders").select("o_orderkey", S.mrz_check(F.expr("concat('L', lpad(cast(o_orderkey as string), 7, '<'), 'Q')")).alias("check")))
+
+# Values that pages show, as known values, in the documents.
+query("join_known", PLACED % f"SELECT DISTINCT value FROM ({detect_sql(DEFAULT, 'pages', 'page_id', 'html')})")(
+    lambda spark, d: K.known_values(docs(spark, d), detect(read(spark, d, "pages"), DEFAULT, "page_id", "html").select("value")))

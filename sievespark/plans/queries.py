@@ -112,22 +112,6 @@ on_findings("pol_allow", "SELECT doc_id, start, rule, value FROM f WHERE categor
             lambda f: f.where((F.col("category") == "credential") | ~(F.col("value").rlike(r"^(?:10|192\.168)\..*$") | F.col("value").endswith("@example.com"))).select("doc_id", "start", "rule", "value"))
 on_findings("pol_localip", "SELECT doc_id, start, value, list_contains(['10', '127'], string_split(value, '.')[1]) OR value LIKE '192.168.%' OR value LIKE '169.254.%' OR (value LIKE '172.%' AND CAST(string_split(value, '.')[2] AS INT) BETWEEN 16 AND 31) AS local FROM f WHERE rule = 'ipv4'",
             lambda f: f.where("rule = 'ipv4'").select("doc_id", "start", "value", F.expr("split(value, '[.]')[0] IN ('10', '127') OR value LIKE '192.168.%' OR value LIKE '169.254.%' OR (value LIKE '172.%' AND int(split(value, '[.]')[1]) BETWEEN 16 AND 31)").alias("local")))
-on_findings("pol_epoch", "SELECT doc_id, start, value, CAST(translate(value, ' -', '') AS HUGEINT) BETWEEN 946684800000 AND 4102444800000 AS epoch FROM f WHERE rule = 'luhn'",
-            lambda f: f.where("rule = 'luhn'").select("doc_id", "start", "value", F.translate("value", " -", "").cast("decimal(20,0)").between(946684800000, 4102444800000).alias("epoch")))
-
-
-@query("pol_noise", FOUND + "SELECT f.doc_id, f.start, f.rule, regexp_matches(lower(substr(d.text, greatest(1, f.start - 15), least(16, f.start)::BIGINT)), '(time|size|port|id)[ :=]*$') AS noise FROM f JOIN documents d USING (doc_id) WHERE f.start > 0")
-def _noise(spark, d):
-    f = findings(spark, d).where("start > 0").join(docs(spark, d), "doc_id")
-    return f.select("doc_id", "start", "rule", F.lower(F.substring("text", F.greatest(F.lit(1), F.col("start") - 15).cast("int"), F.least(F.lit(16), F.col("start")).cast("int"))).rlike("(time|size|port|id)[ :=]*$").alias("noise"))
-
-
-@query("pol_limit", FOUND + "SELECT CASE WHEN count(*) <= 1000000000 THEN count(*) END AS n FROM f")
-def _limit(spark, d):
-    n = F.count(F.lit(1))
-    return findings(spark, d).agg(F.when(n > 1000000000, F.raise_error(F.lit("ERR_LIMIT")).cast("long")).otherwise(n).alias("n"))
-
-
 # Joins.
 on_findings("join_contain_public", "SELECT doc_id, start, rule FROM f WHERE NOT EXISTS (SELECT 1 FROM f p WHERE p.rule = 'national-phone' AND p.doc_id = f.doc_id AND p.type = f.type AND p.start <= f.start AND p.\"end\" >= f.\"end\")",
             lambda f: P.contained_anti(f, f.where("rule = 'national-phone'")).select("doc_id", "start", "rule"))
@@ -144,23 +128,6 @@ def _line(spark, d):
     return f.select("doc_id", "start", "rule", before.alias("ls")).select("doc_id", "start", "rule", F.size("ls").cast("long").alias("line"), (F.length(F.element_at("ls", -1)) + 1).cast("long").alias("col"))
 
 
-@query("join_propagate", FOUND + ", s AS (SELECT DISTINCT doc_id, value FROM f WHERE confidence >= .85 AND length(value) BETWEEN 2 AND 256) SELECT doc_id, value, CAST((length(text) - length(replace(text, value, ''))) // length(value) AS BIGINT) AS n FROM s JOIN documents USING (doc_id)")
-def _propagate(spark, d):
-    seeds = findings(spark, d).where("confidence >= 0.85 AND length(value) BETWEEN 2 AND 256").select("doc_id", "value").distinct()
-    n = F.floor((F.length("text") - F.length(F.replace("text", "value", F.lit("")))) / F.length("value"))
-    return seeds.join(docs(spark, d), "doc_id").select("doc_id", "value", n.cast("long").alias("n"))
-
-
-@query("join_known", "SELECT e.event_id, c.c_name AS name, CAST(strpos(t, c.c_name) - 1 AS BIGINT) AS start FROM (SELECT event_id, user_id, concat('user ', (SELECT 1), ' of Customer#', lpad(CAST(user_id AS VARCHAR), 9, '0'), ' did ', event_type) AS t FROM events) e JOIN customer c ON c.c_custkey = e.user_id AND contains(t, c.c_name)")
-def _known(spark, d):
-    # The dictionary's key is in the text, so the theta join becomes an equi-join with a residual test.
-    t = F.concat(F.lit("user 1 of Customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0"), F.lit(" did "), F.col("event_type"))
-    e = read(spark, d, "events").select("event_id", "user_id", t.alias("t"))
-    c = read(spark, d, "customer").select("c_custkey", "c_name")
-    j = e.join(c, (F.col("c_custkey") == F.col("user_id")) & F.contains("t", "c_name"))
-    return j.select("event_id", F.col("c_name").alias("name"), F.expr("instr(t, c_name) - 1").cast("long").alias("start"))
-
-
 @query("join_baseline", FOUND + f", g AS ({detect_sql(DEFAULT, 'pages', 'page_id', 'html')}), n AS (SELECT *, sha256(concat_ws('|', rule, type, value)) AS fp, row_number() OVER (PARTITION BY rule, type, value ORDER BY doc_id, start) AS rn FROM f), b AS (SELECT sha256(concat_ws('|', rule, type, value)) AS fp, count(*) AS n FROM g GROUP BY 1) SELECT doc_id, start, rule FROM n WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.fp = n.fp AND n.rn <= b.n)")
 def _baseline(spark, d):
     """Findings that the baseline, a multiset of fingerprints taken from the pages, doesn't cover: each entry takes one."""
@@ -184,13 +151,11 @@ on_findings("agg_floors", "SELECT type, max(n) AS floor FROM (SELECT doc_id, typ
 on_findings("agg_sarifrules", "SELECT rule, dense_rank() OVER (ORDER BY first_doc, first_start, rule) - 1 AS rule_index FROM (SELECT rule, min(doc_id) AS first_doc, arg_min(start, (doc_id, start)) AS first_start FROM f GROUP BY rule)",
             lambda f: f.groupBy("rule").agg(F.min(F.struct("doc_id", "start")).alias("p")).select("rule", (F.dense_rank().over(W.orderBy("p", "rule")) - 1).cast("long").alias("rule_index")))
 query("agg_digest", "SELECT doc_id, sha256(text) AS digest FROM documents")(lambda spark, d: docs(spark, d).select("doc_id", F.sha2("text", 256).alias("digest")))
-on_findings("agg_encwindow", "SELECT doc_id, start // 4096 AS part, count(*) AS n FROM f GROUP BY doc_id, start // 4096", lambda f: f.groupBy("doc_id", F.floor(F.col("start") / 4096).alias("part")).agg(F.count(F.lit(1)).alias("n")))
 on_findings("win_runmax", "SELECT doc_id, start, rule, max(\"end\") OVER (PARTITION BY doc_id ORDER BY start, \"end\" DESC, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run_max FROM f", lambda f: f.select("doc_id", "start", "rule", F.max("end").over(P.ordered().rowsBetween(W.unboundedPreceding, -1)).alias("run_max")))
 on_findings("win_cursor", UNION + "SELECT doc_id, start, start - lag(\"end\", 1, 0) OVER (PARTITION BY doc_id ORDER BY start) AS gap FROM u", lambda f: P.span_union(f).select("doc_id", "start", (F.col("start") - F.lag("end", 1, 0).over(W.partitionBy("doc_id").orderBy("start"))).alias("gap")))
 on_findings("win_firstseen", "SELECT doc_id, value, rank() OVER (PARTITION BY doc_id ORDER BY s) AS seen FROM (SELECT doc_id, value, min(start) AS s FROM f GROUP BY doc_id, value)", lambda f: f.groupBy("doc_id", "value").agg(F.min("start").alias("s")).select("doc_id", "value", F.rank().over(W.partitionBy("doc_id").orderBy("s")).cast("long").alias("seen")))
 on_findings("win_nth", "SELECT doc_id, start, rule, row_number() OVER (PARTITION BY value ORDER BY doc_id, start, rule) AS nth FROM f", lambda f: f.select("doc_id", "start", "rule", F.row_number().over(W.partitionBy("value").orderBy("doc_id", "start", "rule")).cast("long").alias("nth")))
 on_findings("sort_findings", "SELECT doc_id, start, \"end\", rule FROM f ORDER BY doc_id, start, \"end\" DESC, rule", lambda f: f.select("doc_id", "start", "end", "rule").orderBy("doc_id", "start", F.desc("end"), "rule"))
-on_findings("topk_fullest", "SELECT type, max(length(value)) AS longest FROM f GROUP BY type", lambda f: f.groupBy("type").agg(F.max(F.length("value")).cast("long").alias("longest")))
 on_findings("set_except", "SELECT DISTINCT doc_id, value FROM f WHERE (doc_id, value) NOT IN (SELECT (doc_id, value) FROM f WHERE type = 'PHONE')", lambda f: f.select("doc_id", "value").subtract(f.where("type = 'PHONE'").select("doc_id", "value")))
 query("set_union", f"SELECT doc_id AS id, rule, count(*) AS n FROM ({detect_sql(DEFAULT)}) GROUP BY doc_id, rule UNION ALL SELECT page_id, rule, count(*) FROM ({detect_sql(DEFAULT, 'pages', 'page_id', 'html')}) GROUP BY page_id, rule")(
     lambda spark, d: findings(spark, d).groupBy(F.col("doc_id").alias("id"), "rule").agg(F.count(F.lit(1)).alias("n")).unionByName(detect(read(spark, d, "pages"), DEFAULT, "page_id", "html").groupBy(F.col("page_id").alias("id"), "rule").agg(F.count(F.lit(1)).alias("n"))))
