@@ -12,6 +12,7 @@ from ..operators import known as K
 from ..operators import policies as O
 from ..operators import reports as R
 from ..operators import spans as P
+from ..operators import views as V
 from ..operators.detect import detect, detect_sql
 from ..operators.encoded import RUN, decoded_runs, rewrite_runs
 from ..operators.national import EPOCH, NOISE
@@ -340,3 +341,11 @@ query("fn_mrz", "SELECT o_orderkey, CAST(list_sum(list_transform(range(1, 10), l
 # Values that pages show, as known values, in the documents.
 query("join_known", PLACED % f"SELECT DISTINCT value FROM ({detect_sql(DEFAULT, 'pages', 'page_id', 'html')})")(
     lambda spark, d: K.known_values(docs(spark, d), detect(read(spark, d, "pages"), DEFAULT, "page_id", "html").select("value")))
+
+
+_email_rule = next(r for r in DEFAULT if r.id == "email")
+# Addresses behind each text of which some characters are escaped: found in the view, and placed in the text.
+_escaped = {"percent": ("%41{l4}%42{l3}", "A{l4}B{l3}"), "entity": ("&#65;{l4}&#66;{l3}", "A{l4}B{l3}"), "slash": ("¦x41{l4}¦x42{l3}", "A{l4}B{l3}")}
+for _kind, (_shown, _plain) in _escaped.items():
+    query(f"fn_view_{_kind}", f"SELECT doc_id, start, start + length(shown) AS \"end\", value FROM (SELECT doc_id, CAST(length(coalesce(text, '')) + 2 AS BIGINT) AS start, replace({sample(_shown + '@example.org', 'doc_id')}, '¦', chr(92)) AS shown, {sample(_plain + '@example.org', 'doc_id')} AS value FROM documents)")(
+        lambda spark, d, kind=_kind, made=f"replace({behind('<', _shown + '@example.org', '>')}, '¦', chr(92))": (lambda views: V.found_in_view(detect(views, [_email_rule]), views).select("doc_id", "start", "end", "value"))(V.view(docs(spark, d).select("doc_id", F.expr(made).alias("text")), kind)))

@@ -17,7 +17,7 @@ from ..operators import spans as P
 from ..operators.detect import detect, detect_sql
 from ..operators.national import detect_national, national_sql
 from ..sources import json_leaves as J
-from ..streaming.registry import redact_stream, run_available
+from ..streaming.registry import redact_batch, redact_stream, run_available
 
 KEY = b"an example key, not a secret"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -256,7 +256,7 @@ def _dupkeys(spark, d):
     return J.duplicate_keys(J.leaves(read(spark, d, "part").select("p_partkey", F.expr(twice).alias("text")), "p_partkey"), "p_partkey")
 
 
-@query("st_registry", "SELECT conv_id, turn, CASE turn WHEN 0 THEN concat(t, ' Q', conv_id, ' is here') WHEN 1 THEN concat(t, ' my name is [REDACTED]') ELSE concat(t, ' as [REDACTED] said') END AS text, CASE turn WHEN 0 THEN 0 ELSE 1 END :: BIGINT AS n_redacted, turn = 1 AS late FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)")
+@query("st_registry", "SELECT conv_id, turn, CASE turn WHEN 0 THEN concat(t, ' Q', conv_id, ' is here') WHEN 1 THEN concat(t, ' my name is [REDACTED]') ELSE concat(t, ' as [REDACTED] said') END AS text, CASE turn WHEN 0 THEN 0 ELSE 1 END :: BIGINT AS n_redacted, turn = 1 AS late, CAST(NULL AS VARCHAR) AS error FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)")
 def _registry(spark, d):
     """Each conversation is a stream; the name that its second turn gives is redacted from there on, and was sent before."""
     path = f"{d}/conversations.parquet"
@@ -264,3 +264,11 @@ def _registry(spark, d):
     name = F.concat(F.lit("Q"), F.col("conv_id").cast("string"))
     more = F.when(F.col("turn") == 0, F.concat(F.lit(" "), name, F.lit(" is here"))).when(F.col("turn") == 1, F.concat(F.lit(" my name is "), name)).otherwise(F.concat(F.lit(" as "), name, F.lit(" said")))
     return run_available(spark, redact_stream(turns.withColumn("text", F.concat(F.coalesce("text", F.lit("")), more)), "conv_id", "turn"))
+
+
+@query("st_twopass", "SELECT conv_id, turn, CASE turn WHEN 0 THEN concat(t, ' [REDACTED] is here') WHEN 1 THEN concat(t, ' my name is [REDACTED]') ELSE concat(t, ' as [REDACTED] said') END AS text, CAST(1 AS BIGINT) AS n_redacted FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)")
+def _two_passes(spark, d):
+    """The same texts, read as a whole: what the second turn confirms is redacted in the first one too."""
+    name = F.concat(F.lit("Q"), F.col("conv_id").cast("string"))
+    more = F.when(F.col("turn") == 0, F.concat(F.lit(" "), name, F.lit(" is here"))).when(F.col("turn") == 1, F.concat(F.lit(" my name is "), name)).otherwise(F.concat(F.lit(" as "), name, F.lit(" said")))
+    return redact_batch(read(spark, d, "conversations").withColumn("text", F.concat(F.coalesce("text", F.lit("")), more)), "conv_id", "turn")

@@ -10,12 +10,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Evidence for a value, in its first group.
 EVIDENCE = re.compile(r"(?:[Mm]y name is |[Ii] am called )([^\s,.;]{2,256})|([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
 WORD = re.compile(r"[^\s,;:()\"'<>]+")
-#: More values and words than this in one stream's state are an error; none is forgotten.
+#: More values and words than this in one stream's state are an error of that stream; none is forgotten.
 LIMIT = 100_000
 
 
@@ -24,17 +25,23 @@ def _digest(word: str) -> str:
 
 
 def redact_stream(rows: DataFrame, stream: str, seq: str, text: str = "text") -> DataFrame:
-    """stream, seq, text, n_redacted, late for each row of a streaming DataFrame.
+    """stream, seq, text, n_redacted, late and error for each row of a streaming DataFrame.
 
-    A stream's rows of one batch are taken by seq, then text. Its state holds the values confirmed so far, and keyed digests of
-    the words that went out; late says that a value is confirmed here which had gone out before. Null text is empty.
+    A stream's rows of one batch are taken by seq, then text, in one worker: the source's limits of a batch bound them. Its state
+    holds the values confirmed so far, and keyed digests of the words that went out; late says that a value is confirmed here
+    which had gone out before. A stream whose state grows over LIMIT doesn't end the others: from there on its own texts are
+    redacted whole, with ERR_LIMIT as error. Null text is empty.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         values, sent = map(set, state.get) if state.exists else (set(), set())
+        over = "" in values
         batch = pd.concat(list(parts)).fillna({text: ""}).sort_values([seq, text], kind="stable")
         out = []
         for n, t in zip(batch[seq], batch[text]):
+            if over:
+                out.append((key[0], n, "[REDACTED]", 1, False, "ERR_LIMIT"))
+                continue
             new = {(m[1] or m[2]).lower() for m in EVIDENCE.finditer(t)} - values
             late = any(_digest(v) in sent for v in new)
             values |= new
@@ -43,21 +50,41 @@ def redact_stream(rows: DataFrame, stream: str, seq: str, text: str = "text") ->
                 every = "|".join(map(re.escape, sorted(values, key=len, reverse=True)))
                 t, count = re.subn(rf"(?i)(?<![^\W_])(?:{every})(?![^\W_])", "[REDACTED]", t)
             sent |= {_digest(w) for w in WORD.findall(t)}
-            out.append((key[0], n, t, count, late))
-        if len(values) + len(sent) > LIMIT:
-            raise ValueError("ERR_LIMIT: a stream's state is over its limit")
-        state.update((sorted(values), sorted(sent)))
-        yield pd.DataFrame(out, columns=[stream, seq, text, "n_redacted", "late"])
+            over = len(values) + len(sent) > LIMIT
+            out.append((key[0], n, t, count, late, None))
+        state.update(([""], []) if over else (sorted(values), sorted(sent)))
+        yield pd.DataFrame(out, columns=[stream, seq, text, "n_redacted", "late", "error"]).astype({"error": object})
 
     kinds = dict(rows.dtypes)
-    made = f"{stream} {kinds[stream]}, {seq} {kinds[seq]}, {text} string, n_redacted long, late boolean"
+    made = f"{stream} {kinds[stream]}, {seq} {kinds[seq]}, {text} string, n_redacted long, late boolean, error string"
     return rows.select(stream, seq, text).groupBy(stream).applyInPandasWithState(step, made, "confirmed array<string>, sent array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_available(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """Run a stream over all that its source has, into files that show only committed batches, and read them."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     path = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     made = rows.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
     made.awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{path}/out")
+
+
+def redact_batch(rows: DataFrame, stream: str, seq: str, text: str = "text") -> DataFrame:
+    """stream, seq, text, n_redacted of each row of a table that is there as a whole: all of a stream's values are collected first,
+    and redacted in every one of its texts, also before the place that confirms them.
+
+    Values are one row each, so a long stream's texts stay spread; a stream's list of them goes to each of its texts."""
+    found = F.regexp_extract_all(text, F.lit(EVIDENCE.pattern), F.lit(0))
+    clean = lambda v: F.lower(F.regexp_replace(v, r"^(?:[Mm]y name is |[Ii] am called )", ""))
+    values = rows.select(stream, F.explode(F.transform(found, clean)).alias("v")).distinct()
+    escaped = F.concat(F.lit(r"\Q"), F.col("v"), F.lit(r"\E"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.length("v")).alias("n"), escaped.alias("p")))), lambda x: x["p"])
+    lists = values.groupBy(stream).agg(F.array_join(ordered, "|").alias("every"))
+    pattern = F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}])(?:"), F.col("every"), F.lit(r")(?![\p{L}\p{N}])"))
+    given = rows.select(stream, seq, F.coalesce(text, F.lit("")).alias("t")).join(lists, stream, "left").withColumn("p", pattern)
+    n = F.when(F.col("p").isNull(), 0).otherwise(F.expr("regexp_count(t, p)"))
+    return given.select(stream, seq, F.when(F.col("p").isNull(), F.col("t")).otherwise(F.expr("regexp_replace(t, p, '[REDACTED]')")).alias(text), n.cast("long").alias("n_redacted"))
