@@ -35,7 +35,7 @@ def known_values(docs: DataFrame, known: DataFrame, key: str = "doc_id") -> Data
 
 #: A word without _, and what may stand between the words of a known value: blanks and the marks of tables, quotes and names, one line break at most.
 PLAIN = r"[\p{L}\p{N}]+"
-GAP = r"^(?:[^\p{L}\p{N}\n]{1,4}|[^\p{L}\p{N}\n]{0,3}\n[^\p{L}\p{N}\n]{0,4})$"
+GAP = r"^(?:[^\p{L}\p{N}\n]{1,4}|[^\p{L}\p{N}\n]{0,3}\n[^\p{L}\p{N}\n]{0,4})\z"
 
 
 def known_words(docs: DataFrame, known: DataFrame, key: str = "doc_id", most: int = 8) -> DataFrame:
