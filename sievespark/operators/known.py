@@ -64,6 +64,15 @@ def proper_case(hits: DataFrame) -> DataFrame:
     return hits.where(~(F.col("value").rlike(r"^\p{Lu}[\p{L}\p{N}]*$") & (F.col("found") == F.lower("found"))))
 
 
+def extended(hits: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Hits of known_words with `whole`: with up to three capitalised words on either side, a blank between."""
+    word = r"\p{Lu}\p{L}+"
+    joined = hits.join(docs.select(key, "text"), key)
+    before = F.regexp_extract(F.substring("text", F.lit(1), F.col("start").cast("int")), rf"(?:{word} ){{0,3}}\z", 0)
+    after = F.regexp_extract(F.substring("text", (F.col("end") + 1).cast("int"), F.length("text")), rf"^(?: {word}){{0,3}}", 0)
+    return joined.select(*hits.columns, F.concat(before, "found", after).alias("whole"))
+
+
 def name_forms(given: Column, surname: Column) -> Column:
     """The forms that a full name takes: both orders, with a comma, with an initial. None if a part is missing."""
     initial = F.concat(F.left(given, F.lit(1)), F.lit("."))

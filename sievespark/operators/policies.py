@@ -45,3 +45,9 @@ def boosted(score: Column, words: str) -> Column:
     """The score of a hit with `before` and `after`, raised where a context word stands there."""
     near = F.lower("before").rlike(words) | F.lower("after").rlike(words)
     return F.when(near, F.least(F.lit(1.0), F.greatest(F.lit(FLOOR), score + BOOST))).otherwise(score)
+
+
+def without_exempt(findings: DataFrame, exempt: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Findings but for the personal ones in the texts whose key `exempt` lists; credentials always stay."""
+    listed = exempt.select(key).distinct().withColumn("exempt", F.lit(True))
+    return findings.join(listed, key, "left").where((F.col("category") == "credential") | F.col("exempt").isNull()).select(*findings.columns)

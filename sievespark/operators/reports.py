@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Columns of the CSV report, in order, and the longest text that a scan reads, in characters.
 CSV = ["status", "path", "reason", "rule", "type", "category", "line", "column", "start", "end", "confidence", "baselined"]
 LONGEST = 100_000
+#: A placeholder of a rewritten text.
+TOKEN = r"\[\[[A-Z][a-z_]+-[0-9]+\]\]"
 
 
 def skipped(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -66,3 +68,28 @@ def recall(expected: DataFrame, findings: DataFrame, key: str = "doc_id") -> Dat
     both = e.join(f, (F.col(key) == F.col("k")) & (F.col("s") < F.col("end")) & (F.col("start") < F.col("e")), "left")
     spans = both.groupBy(key, "rule", "start", "end").agg(F.bool_or((F.col("s") == F.col("start")) & (F.col("e") == F.col("end"))).alias("exact"), F.bool_or(F.col("s").isNotNull()).alias("touched"))
     return spans.groupBy("rule").agg(F.count(F.lit(1)).alias("annotated"), F.count_if("exact").alias("exact"), F.count_if("touched").alias("overlapped"))
+
+
+def reported(records: DataFrame) -> DataFrame:
+    """value of each record (JSON) of another scanner's report: its Secret, or its Raw text; records without one are left out."""
+    value = F.coalesce(F.get_json_object("record", "$.Secret"), F.get_json_object("record", "$.RawV2"), F.get_json_object("record", "$.Raw"))
+    return records.select(value.alias("value")).where("value <> ''")
+
+
+def _units(text: Column) -> Column:
+    """UTF-16 code units of a text."""
+    return (F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("long")
+
+
+def to_utf16(findings: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """findings with start and end in UTF-16 code units."""
+    joined = findings.join(docs.select(key, "text"), key)
+    units = lambda c: _units(F.substring("text", F.lit(1), F.col(c).cast("int")))
+    return joined.withColumns({"start": units("start"), "end": units("end")}).select(*findings.columns)
+
+
+def from_utf16(findings: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """findings given in UTF-16 code units with start and end in code points; an end within a pair takes the whole of it."""
+    joined = findings.join(docs.select(key, F.encode("text", "UTF-16LE").alias("units")), key)
+    points = lambda c: F.length(F.regexp_replace(F.hex(F.substring("units", F.lit(1), (F.col(c) * 2).cast("int"))), "([0-9A-F]{2}D[89AB][0-9A-F]{2}D[C-F]|[0-9A-F]{4})", "x")).cast("long")
+    return joined.withColumns({"start": points("start"), "end": points("end")}).select(*findings.columns)

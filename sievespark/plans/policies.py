@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import checks as C
 from ..functions import scalar as S
 from ..functions.rules import DEFAULT, Rule
 from ..functions.samples import sample, with_sample
@@ -16,6 +18,7 @@ from ..operators import views as V
 from ..operators.detect import detect, detect_sql
 from ..operators.encoded import RUN, decoded_runs, rewrite_runs
 from ..operators.national import EPOCH, NOISE
+from ..operators.placeholders import placeholders
 from ..operators.propagation import INSIDE, propagated
 from ..sources.files import decode_content
 from .queries import BEHIND, FOUND, KEY, QUERIES, SQL, UNION, behind, docs, findings, on_findings, on_samples, query, read
@@ -349,3 +352,33 @@ _escaped = {"percent": ("%41{l4}%42{l3}", "A{l4}B{l3}"), "entity": ("&#65;{l4}&#
 for _kind, (_shown, _plain) in _escaped.items():
     query(f"fn_view_{_kind}", f"SELECT doc_id, start, start + length(shown) AS \"end\", value FROM (SELECT doc_id, CAST(length(coalesce(text, '')) + 2 AS BIGINT) AS start, replace({sample(_shown + '@example.org', 'doc_id')}, '¦', chr(92)) AS shown, {sample(_plain + '@example.org', 'doc_id')} AS value FROM documents)")(
         lambda spark, d, kind=_kind, made=f"replace({behind('<', _shown + '@example.org', '>')}, '¦', chr(92))": (lambda views: V.found_in_view(detect(views, [_email_rule]), views).select("doc_id", "start", "end", "value"))(V.view(docs(spark, d).select("doc_id", F.expr(made).alias("text")), kind)))
+
+# Reports of other scanners: what they found as JSON, read again and looked for in the texts.
+_reported = "rule = 'context'"
+query("src_report_secrets", FOUND + ", " + (PLACED % "SELECT DISTINCT value FROM f WHERE rule = 'context'").strip().removeprefix("WITH "))(
+    lambda spark, d: K.known_values(docs(spark, d), R.reported(findings(spark, d).where(_reported).select(F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(F.col("value").alias("Secret"), "rule"))).otherwise(F.to_json(F.struct(F.col("value").alias("Raw"), F.lit(True).alias("Verified")))).alias("record")))))
+query("src_report_utf16", FOUND + "SELECT f.doc_id, f.start, f.\"end\", f.type FROM f")(
+    lambda spark, d: R.from_utf16(R.to_utf16(findings(spark, d), docs(spark, d)), docs(spark, d)).select("doc_id", "start", "end", "type"))
+query("snk_utf16", FOUND + "SELECT f.doc_id, f.rule, CAST(f.start + len(list_filter(string_split(substr(d.text, 1, f.start), ''), lambda x: unicode(x) > 65535)) AS BIGINT) AS start FROM f JOIN documents d USING (doc_id)")(
+    lambda spark, d: R.to_utf16(findings(spark, d), docs(spark, d)).select("doc_id", "rule", "start"))
+query("pol_knownonly", FOUND + f", m AS (SELECT DISTINCT type, value FROM ({detect_sql(DEFAULT, 'pages', 'page_id', 'html')})) SELECT doc_id, start, rule FROM f SEMI JOIN m USING (type, value)")(
+    lambda spark, d: findings(spark, d).join(detect(read(spark, d, "pages"), DEFAULT, "page_id", "html").select("type", "value").distinct(), ["type", "value"], "left_semi").select("doc_id", "start", "rule"))
+query("pol_exempt", FOUND + "SELECT f.doc_id, f.start, f.rule FROM f JOIN documents d USING (doc_id) WHERE f.category = 'credential' OR d.source NOT IN ('src0', 'src1')")(
+    lambda spark, d: O.without_exempt(findings(spark, d), read(spark, d, "documents").where(F.col("source").isin("src0", "src1"))).select("doc_id", "start", "rule"))
+
+# The map of a rewritten text, as records, and what it gives back.
+ENTRIES = UNION + ", v AS (SELECT u.doc_id, u.start, u.type, substr(d.text, u.start + 1, u.\"end\" - u.start) AS value FROM u JOIN documents d USING (doc_id)), e AS (SELECT doc_id, type, value, min(start) AS s FROM v GROUP BY doc_id, type, value), n AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, type ORDER BY s) AS i FROM e)\n"
+_token_of = "concat('[[', upper(type[1]), lower(type[2:]), '-', i, ']]')"
+query("snk_map", FOUND + ENTRIES + f"SELECT doc_id, {_token_of} AS token, value FROM n")(
+    lambda spark, d: placeholders(docs(spark, d), findings(spark, d)).select("doc_id", F.explode("entries").alias("e")).select("doc_id", "e.token", "e.value"))
+query("fn_istoken", FOUND + ENTRIES + "SELECT doc_id, count(*) AS n FROM v GROUP BY doc_id")(
+    lambda spark, d: placeholders(docs(spark, d), findings(spark, d)).select("doc_id", F.size(F.regexp_extract_all("text", F.lit(R.TOKEN), F.lit(0))).cast("long").alias("n")).where("n > 0"))
+
+# A known word and the capitalised words around it.
+query("win_adjacent", (RUNS % (_word.format(""), "text", K.GAP, K.GAP, "TRUE")).replace("SELECT doc_id, value, start, \"end\", substr(text, start + 1, \"end\" - start) AS found FROM h", r"SELECT doc_id, value, concat(regexp_extract(substr(text, 1, start), '(?:\p{Lu}\p{L}+ ){0,3}\z'), substr(text, start + 1, stop - start), regexp_extract(substr(text, stop + 1), '^(?: \p{Lu}\p{L}+){0,3}')) AS whole FROM (SELECT *, " + "\"end\" AS stop FROM h)"))(
+    lambda spark, d: K.extended(K.known_words(docs(spark, d), read(spark, d, "benchmark").select(F.expr(_word.format(", 0")).alias("value"))), docs(spark, d)).select("doc_id", "value", "whole"))
+query("sort_longest", "SELECT value, row_number() OVER (ORDER BY length(value) DESC, value) AS place FROM (SELECT DISTINCT regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+') AS value FROM benchmark) WHERE value <> ''")(
+    lambda spark, d: read(spark, d, "benchmark").select(F.regexp_extract("text", "^[A-Za-z]+ [A-Za-z]+", 0).alias("value")).where("value <> ''").distinct().withColumn("place", F.row_number().over(W.orderBy(F.desc(F.length("value")), "value")).cast("long")))
+_six = "lpad(cast(c_custkey * 7919 % 1000000 as string), 6, '0')"
+query("fn_datepart", f"SELECT c_custkey, try_strptime(concat('20', {_six}), '%Y%m%d') IS NOT NULL AS valid FROM customer")(
+    lambda spark, d: read(spark, d, "customer").select("c_custkey", F.expr(C.day(_six)).alias("valid")))

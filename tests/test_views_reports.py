@@ -72,3 +72,16 @@ def test_two_passes_and_a_stream_over_its_limit(spark, tmp_path, monkeypatch):
     got = {(r.s, r.n): (r.text, r.n_redacted) for r in registry.redact_batch(df, "s", "n").collect()}
     assert got == {("a", 1): ("[REDACTED] waits, quillon not", 1), ("a", 2): ("my name is [REDACTED].", 1), ("b", 1): ("Quill", 0), ("a", 3): ("", 0), ("c", 1): ("i [REDACTED]", 1), ("c", 0): ("[REDACTED]?", 1)}
     assert registry.redact_batch(df.where("false"), "s", "n").count() == 0
+
+
+def test_utf16_offsets_and_scanner_records(spark):
+    docs = spark.createDataFrame([(1, "😀é ann@b.org 😀x")], ROWS)
+    found = detect(docs)
+    units = R.to_utf16(found, docs)
+    assert [(r.start, r.end) for r in units.collect()] == [(4, 13)] and [(r.start, r.end) for r in found.collect()] == [(3, 12)]
+    assert [(r.start, r.end) for r in R.from_utf16(units, docs).collect()] == [(3, 12)]
+    records = spark.createDataFrame([('{"Secret":"s1"}',), ('{"Raw":"r","RawV2":"r2"}',), ("{}",), (None,), ("no json",)], "record string")
+    assert sorted(r.value for r in R.reported(records).collect()) == ["r2", "s1"]
+    text = "saw Dr Ann Lee Ray Now and ann"
+    hits = K.known_words(spark.createDataFrame([(1, text)], ROWS), spark.createDataFrame([("Lee",), ("ann",)], "value string"))
+    assert sorted(r.whole for r in K.extended(hits, spark.createDataFrame([(1, text)], ROWS)).collect()) == ["Dr Ann Lee Ray Now", "Dr Ann Lee Ray Now", "ann"]
