@@ -6,9 +6,10 @@ can hold a control string. A conversation is rendered whole and encoded once, wi
 assistant's texts are then intersected with the sorted token spans by binary search, which gives the loss mask.
 
 A conversation comes out in pieces of about PIECE characters, cut between turns only, so a conversation of any
-length needs bounded memory; control tokens make the pieces' ids those of the whole. Turns are ordered by turn
-(null first), then role and text, so ties and repeated rows have one order. Null role or text: empty. Rows without a
-conv_id form one conversation of their own. Only conv_id, turn, role and text are read; the vocabulary is a parameter.
+length needs bounded memory; control tokens make the pieces' ids those of the whole. One turn is never cut: it is held
+whole, at about 100 bytes a character. Turns are ordered by turn (null last), then role and text, so ties and repeated
+rows have one order. Null role or text: empty. Rows without a conv_id form one conversation of their own; an empty table
+gives none. Only conv_id, turn, role and text are read; the vocabulary is a parameter.
 """
 
 from __future__ import annotations
@@ -133,7 +134,7 @@ def format_conversations(conversations: DataFrame, path: str) -> DataFrame:
             if held:
                 yield rows(held)
 
-    ordered = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    ordered = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")]).repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_last("turn"), "role", "text")
     return ordered.select("conv_id", "role", "text").mapInArrow(make, FORMATTED)
 
 

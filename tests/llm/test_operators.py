@@ -184,6 +184,11 @@ def test_chat(spark):
     said = rows[1][3] * 2
     assert got[1].loss_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[1].loss_chars == len(said) and got[1].n_turns == 4
     assert set(got) == {1, 2, None} and got[2].loss_chars == 0
+    ties = [(7, 1, None, "b"), (7, 1, "", "a"), (7, None, "assistant", "last"), (7, 0, "assistant", "x<|y " * 300_000)]
+    made = chat_format.digests(chat_format.format_conversations(spark.createDataFrame(ties, df.schema), public_tokenizers.path("byte_bpe_50k.json"))).first()
+    order = [("assistant", ties[3][3]), ("", "a"), ("", "b"), ("assistant", "last")]
+    assert made.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in order).encode()).hexdigest()
+    assert made.loss_chars == 1_500_004 and made.loss_sha256 == hashlib.sha256((ties[3][3] + "last").encode()).hexdigest()
     assert chat_format.digests(chat_format.format_conversations(df.where("false"), public_tokenizers.path("byte_bpe_50k.json"))).count() == 0
 
 
