@@ -51,12 +51,15 @@ def known_words(docs: DataFrame, known: DataFrame, key: str = "doc_id", most: in
     runs_of = lambda n: F.when(F.size("ws") >= n, F.transform(F.sequence(F.lit(0), F.size("ws") - n), lambda i: F.struct(i.alias("i"), F.array_join(F.slice("ws", i + 1, n), " ").alias("run"))))
     runs = worded.select(key, F.explode_outer(F.flatten(F.filter(F.array(*map(runs_of, lengths or [1])), lambda a: a.isNotNull()))).alias("r")).select(key, "r.i", "r.run")
     hits = runs.join(entries, "run").groupBy(key).agg(F.collect_list(F.struct("value", "i", "n")).alias("hits"))
-    pieces = docs.join(hits, key).select(key, "text", F.explode("hits").alias("h"), F.split("text", PLAIN, -1).alias("gs"), F.regexp_extract_all("text", F.lit(PLAIN), F.lit(0)).alias("words"))
+    pieces = docs.join(hits, key).select(key, "text", "hits", F.split("text", PLAIN, -1).alias("gs"), F.regexp_extract_all("text", F.lit(PLAIN), F.lit(0)).alias("words"))
     length = lambda a: F.length(F.array_join(a, ""))
-    start = length(F.slice("gs", 1, F.col("h.i") + 1)) + length(F.slice("words", 1, F.col("h.i")))
-    inner = F.slice("gs", F.col("h.i") + 2, F.col("h.n") - 1)
-    placed = pieces.where(F.forall(inner, lambda g: g.rlike(GAP))).select(key, "h.value", "text", start.cast("long").alias("start"), (start + length(inner) + length(F.slice("words", F.col("h.i") + 1, F.col("h.n")))).cast("long").alias("end"))
-    return placed.select(key, "value", "start", "end", F.substring("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("found"))
+    inner = lambda h: F.slice("gs", h["i"] + 2, h["n"] - 1)
+    start = lambda h: length(F.slice("gs", 1, h["i"] + 1)) + length(F.slice("words", 1, h["i"]))
+    size = lambda h: length(inner(h)) + length(F.slice("words", h["i"] + 1, h["n"]))
+    near = F.filter("hits", lambda h: F.forall(inner(h), lambda g: g.rlike(GAP)))
+    placed = F.transform(near, lambda h: F.struct(h["value"].alias("value"), start(h).cast("long").alias("start"), size(h).cast("long").alias("size")))
+    found = F.transform(placed, lambda p: F.struct(p["value"].alias("value"), p["start"].alias("start"), (p["start"] + p["size"]).alias("end"), F.substring("text", (p["start"] + 1).cast("int"), p["size"].cast("int")).alias("found")))
+    return pieces.select(key, F.explode_outer(found).alias("f")).where("f IS NOT NULL").select(key, "f.*")
 
 
 def proper_case(hits: DataFrame) -> DataFrame:
@@ -65,11 +68,11 @@ def proper_case(hits: DataFrame) -> DataFrame:
 
 
 def extended(hits: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Hits of known_words with `whole`: with up to three capitalised words on either side, a blank between."""
+    """Hits of known_words with `whole`: with up to three capitalised words in the 200 characters on either side, a blank between."""
     word = r"\p{Lu}\p{L}+"
     joined = hits.join(docs.select(key, "text"), key)
-    before = F.regexp_extract(F.substring("text", F.lit(1), F.col("start").cast("int")), rf"(?:{word} ){{0,3}}\z", 0)
-    after = F.regexp_extract(F.substring("text", (F.col("end") + 1).cast("int"), F.length("text")), rf"^(?: {word}){{0,3}}", 0)
+    before = F.regexp_extract(F.substring("text", F.greatest(F.lit(1), F.col("start") - 199).cast("int"), F.least(F.col("start"), F.lit(200)).cast("int")), rf"(?:{word} ){{0,3}}\z", 0)
+    after = F.regexp_extract(F.substring("text", (F.col("end") + 1).cast("int"), F.lit(200)), rf"^(?: {word}){{0,3}}", 0)
     return joined.select(*hits.columns, F.concat(before, "found", after).alias("whole"))
 
 

@@ -58,12 +58,13 @@ def _order_of_names(spark, d):
 
 # Known values in any case and with other gaps: the words of each, in upper case, against the texts, also with other marks for blanks.
 RUNS = r"""
-WITH k AS (SELECT DISTINCT value, regexp_extract_all(lower(value), '[\p{L}\p{N}]+') AS ws FROM (SELECT %s AS value FROM benchmark)),
+WITH k AS (SELECT DISTINCT value, len(ws) AS n, array_to_string(ws, ' ') AS run FROM (SELECT value, regexp_extract_all(lower(value), '[\p{L}\p{N}]+') AS ws FROM (SELECT %s AS value FROM benchmark))),
 t AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w, string_split_regex(text, '[\p{L}\p{N}]+') AS g FROM (SELECT doc_id, %s AS text FROM documents)),
-p AS (SELECT doc_id, text, unnest(w) AS word, unnest(g[1:len(w)]) AS gap, unnest(range(0, len(w))) AS i FROM t),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(g[1:len(w)]) AS gap, unnest(range(0, len(w))) AS i FROM t),
 q AS (SELECT *, sum(length(gap) + length(word)) OVER o AS stop, lead(word) OVER o AS w2, lead(word, 2) OVER o AS w3, lead(gap) OVER o AS g2, lead(gap, 2) OVER o AS g3 FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 r AS (SELECT *, lead(stop, 2) OVER (PARTITION BY doc_id ORDER BY i) AS stop3 FROM q),
-h AS (SELECT doc_id, text, value, CAST(stop - length(word) AS BIGINT) AS start, CAST(CASE len(ws) WHEN 1 THEN stop ELSE stop3 END AS BIGINT) AS "end", g2, g3, len(ws) AS n FROM r JOIN k ON (len(ws) = 3 AND lower(concat(word, ' ', w2, ' ', w3)) = array_to_string(ws, ' ')) OR (len(ws) = 1 AND lower(word) = ws[1]))
+b AS (SELECT doc_id, stop - length(word) AS start, stop AS last, 1 AS n, lower(word) AS run, g2, g3 FROM r UNION ALL SELECT doc_id, stop - length(word), stop3, 3, lower(concat(word, ' ', w2, ' ', w3)), g2, g3 FROM r WHERE w3 IS NOT NULL),
+h AS (SELECT doc_id, text, value, CAST(start AS BIGINT) AS start, CAST(last AS BIGINT) AS "end", g2, g3, n FROM b JOIN k USING (run, n) JOIN t USING (doc_id))
 SELECT doc_id, value, start, "end", substr(text, start + 1, "end" - start) AS found FROM h
 WHERE (n = 1 OR (length(g2) BETWEEN 1 AND 5 AND length(g3) BETWEEN 1 AND 5 AND regexp_matches(g2, '%s') AND regexp_matches(g3, '%s'))) AND %s
 """
@@ -375,7 +376,7 @@ query("fn_istoken", FOUND + ENTRIES + "SELECT doc_id, count(*) AS n FROM v GROUP
     lambda spark, d: placeholders(docs(spark, d), findings(spark, d)).select("doc_id", F.size(F.regexp_extract_all("text", F.lit(R.TOKEN), F.lit(0))).cast("long").alias("n")).where("n > 0"))
 
 # A known word and the capitalised words around it.
-query("win_adjacent", (RUNS % (_word.format(""), "text", K.GAP, K.GAP, "TRUE")).replace("SELECT doc_id, value, start, \"end\", substr(text, start + 1, \"end\" - start) AS found FROM h", r"SELECT doc_id, value, concat(regexp_extract(substr(text, 1, start), '(?:\p{Lu}\p{L}+ ){0,3}\z'), substr(text, start + 1, stop - start), regexp_extract(substr(text, stop + 1), '^(?: \p{Lu}\p{L}+){0,3}')) AS whole FROM (SELECT *, " + "\"end\" AS stop FROM h)"))(
+query("win_adjacent", (RUNS % (_word.format(""), "text", K.GAP, K.GAP, "TRUE")).replace("SELECT doc_id, value, start, \"end\", substr(text, start + 1, \"end\" - start) AS found FROM h", r"SELECT doc_id, value, concat(regexp_extract(substr(text, greatest(1, start - 199), least(start, 200)), '(?:\p{Lu}\p{L}+ ){0,3}\z'), substr(text, start + 1, stop - start), regexp_extract(substr(text, stop + 1, 200), '^(?: \p{Lu}\p{L}+){0,3}')) AS whole FROM (SELECT *, " + "\"end\" AS stop FROM h)"))(
     lambda spark, d: K.extended(K.known_words(docs(spark, d), read(spark, d, "benchmark").select(F.expr(_word.format(", 0")).alias("value"))), docs(spark, d)).select("doc_id", "value", "whole"))
 query("sort_longest", "SELECT value, row_number() OVER (ORDER BY length(value) DESC, value) AS place FROM (SELECT DISTINCT regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+') AS value FROM benchmark) WHERE value <> ''")(
     lambda spark, d: read(spark, d, "benchmark").select(F.regexp_extract("text", "^[A-Za-z]+ [A-Za-z]+", 0).alias("value")).where("value <> ''").distinct().withColumn("place", F.row_number().over(W.orderBy(F.desc(F.length("value")), "value")).cast("long")))
