@@ -75,18 +75,18 @@ def places_of(hashed: DataFrame, windows_of: DataFrame, lengths: list[int]) -> D
 
 
 def marked(rows: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
-    """rows (with text) and n_words, n_hit, and items, sorted, of each."""
+    """rows (with text) and n_hit, and items, sorted, of each. Only texts that may hold a window are cut into words once more."""
     windows_of = materialize(windows(benchmark, width))
     lengths = [r[0] for r in windows_of.select("k").distinct().orderBy("k").collect()]  # at most SHINGLE numbers
     rows = rows.select("*", *digest(F.col("text")), F.monotonically_increasing_id().alias("row"))
     none = F.array().cast("array<string>")
     if not lengths:
-        return rows.select("*", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none.alias("items"))
+        return rows.select("*", F.lit(0).cast("long").alias("n_hit"), none.alias("items"))
     hashed = rows.select("d1", "d2", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("hs"))
     candidates = materialize(places_of(hashed, windows_of, lengths))
-    both = salted_join(rows, candidates, ["d1", "d2"], "row", candidates.agg(F.sum("n")).first()[0] or 0, "left").withColumn("ws", words(F.col("text")))
+    both = salted_join(rows, candidates, ["d1", "d2"], "row", candidates.agg(F.sum("n")).first()[0] or 0, "left").withColumn("ws", F.when(F.col("cs").isNotNull(), words(F.col("text"))))
     fits = lambda c: (c["s"] + c["n"] <= F.size("ws")) & (F.array_join(F.slice(F.col("ws"), c["s"] + 1, c["n"]), " ") == c["w"])
-    verified = both.withColumn("n_words", F.size("ws").cast("long")).withColumn("cs", F.when(F.col("cs").isNotNull(), F.filter("cs", fits))).drop("ws")
+    verified = both.withColumn("cs", F.when(F.col("cs").isNotNull(), F.filter("cs", fits))).drop("ws")
     covered = F.size(F.array_distinct(F.flatten(F.transform("cs", lambda c: F.sequence(c["s"], c["s"] + c["n"] - 1)))))
     some = F.col("cs").isNotNull() & (F.size("cs") > 0)
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("cs", lambda c: c["items"]))))
@@ -96,7 +96,7 @@ def marked(rows: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256."""
     found = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, width)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"))
+    return found.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
