@@ -55,7 +55,7 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, total: int, how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, total: int, how: str = "inner", hint: str | None = None) -> DataFrame:
     """left joined with right, which has one row for each key and in n the number of left's rows with it.
 
     A key of more than PART rows and a thousandth of total, left's rows, is dealt by the column `by` over as many tasks as it
@@ -65,7 +65,8 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, tot
     salt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("parts"))).cast("long").alias("salt")
     dealt = left.join(F.broadcast(hot), keys, "left").select(*[F.col(f"`{c}`") for c in left.columns], salt)
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("n") > most, F.ceil(F.col("n") / most) - 1).otherwise(F.lit(0)).cast("long"))).alias("salt")
-    return dealt.join(right.select("*", each).drop("n"), [*keys, "salt"], how).drop("salt")
+    spread = right.select("*", each).drop("n")
+    return dealt.join(spread.hint(hint) if hint else spread, [*keys, "salt"], how).drop("salt")
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:

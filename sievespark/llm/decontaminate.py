@@ -83,8 +83,8 @@ def marked(rows: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
     if not lengths:
         return rows.select("*", F.lit(0).cast("long").alias("n_hit"), none.alias("items"))
     hashed = rows.select("d1", "d2", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("hs"))
-    candidates = materialize(places_of(hashed, windows_of, lengths))
-    both = salted_join(rows, candidates, ["d1", "d2"], "row", candidates.agg(F.sum("n")).first()[0] or 0, "left").withColumn("ws", F.when(F.col("cs").isNotNull(), words(F.col("text"))))
+    candidates = materialize(places_of(hashed, windows_of, lengths))  # they grow with the texts, so they are never broadcast
+    both = salted_join(rows, candidates, ["d1", "d2"], "row", candidates.agg(F.sum("n")).first()[0] or 0, "left", "merge").withColumn("ws", F.when(F.col("cs").isNotNull(), words(F.col("text"))))
     fits = lambda c: (c["s"] + c["n"] <= F.size("ws")) & (F.array_join(F.slice(F.col("ws"), c["s"] + 1, c["n"]), " ") == c["w"])
     verified = both.withColumn("cs", F.when(F.col("cs").isNotNull(), F.filter("cs", fits))).drop("ws")
     covered = F.size(F.array_distinct(F.flatten(F.transform("cs", lambda c: F.sequence(c["s"], c["s"] + c["n"] - 1)))))
