@@ -82,4 +82,5 @@ def test_stages_with_odd_rows(spark, made):
         out = stage(spark, docs, where)
         ids = sorted(r.doc_id or 0 for r in out.collect())
         assert name == "byte_bpe" or out.columns == docs.columns
-        assert ids == {"language_id": [0, 0, 3, 4, 4], "simhash_dedup": [1, 3, 4]}.get(name, [0, 0, 1, 2, 3, 4, 4]), name
+        # "one" stands in one different text, and other n-grams of its language stand twice, so none of its n-grams is known
+        assert ids == {"language_id": [4, 4], "simhash_dedup": [1, 3, 4]}.get(name, [0, 0, 1, 2, 3, 4, 4]), name
