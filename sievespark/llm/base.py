@@ -43,7 +43,15 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/sieve-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written = path
+    return made
+
+
+def discard(made: DataFrame) -> None:
+    """Delete a table that materialize() wrote, once nothing is left to be computed from it."""
+    path = made.sparkSession._jvm.org.apache.hadoop.fs.Path(made._written)
+    path.getFileSystem(made.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int) -> bool:

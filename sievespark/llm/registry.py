@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, exact_dedup, language_id, line_dedup, lm_score, quality, simhash, substring_dedup
+from . import bpe, chat_format, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, lm_score, periodic_runs, quality, simhash, substring_dedup, vector_code
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_simhash": simhash.op9_simhash,
         "op10_katz_score": lm_score.op10_katz_score,
+        "op11_jaccard_join": jaccard_join.op11_jaccard_join,
+        "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+        "op13_vector_code": vector_code.op13_vector_code,
     }
 
 
@@ -27,4 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontaminate": decontaminate.SQL,
         "op6_chat_format": chat_format.SQL,
         "op7_line_dedup": line_dedup.SQL,
+        "op11_jaccard_join": jaccard_join.SQL,
+        "op13_vector_code": vector_code.SQL,
     }
