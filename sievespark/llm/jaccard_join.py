@@ -132,18 +132,18 @@ def signatures(x: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
-    """doc_id, row (its number), n (shingles), key (names the set), node (its first 8 bytes) and signatures of each row."""
+    """doc_id, mark (a hash of the text), n (shingles), key (names the set), node (its first 8 bytes) and signatures of each row."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.unpackbits(frequent).astype(bool)
         for b in slices(batches, "text"):
             sets = sets_of(b.column(1).to_pylist(), width)
             key = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-            made = {"doc_id": b.column(0), "row": b.column(2), "n": pa.array([len(x) for x in sets], pa.int64()), "key": pa.array(key, pa.binary()), "node": pa.array([int.from_bytes(k[:8], "little", signed=True) for k in key], pa.int64())}
+            made = {"doc_id": b.column(0), "mark": b.column(2), "n": pa.array([len(x) for x in sets], pa.int64()), "key": pa.array(key, pa.binary()), "node": pa.array([int.from_bytes(k[:8], "little", signed=True) for k in key], pa.int64())}
             yield pa.record_batch(made | {"signatures": pa.array([signed(signatures(x, flags, percent)) for x in sets], pa.list_(pa.int64()))})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
-    return rows.mapInArrow(make, "doc_id long, row long, n long, key binary, node long, signatures array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    return rows.mapInArrow(make, "doc_id long, mark long, n long, key binary, node long, signatures array<long>")
 
 
 def stars(made: DataFrame) -> DataFrame:
@@ -246,17 +246,21 @@ def links(sets: list[np.ndarray], ask: np.ndarray, percent: int) -> list[tuple[i
     return found
 
 
+def named(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(-(2**63))).alias("name")
+
+
 def searched(blocks: DataFrame, docs: DataFrame, by: list[str], width: int, percent: int) -> DataFrame:
-    """Links (a, b, keys) in the blocks (key, row, ask) that `by` names."""
+    """Links (a, b, keys) in the blocks (key, name, mark, ask) that `by` names."""
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ask", ascending=False).drop_duplicates("key")
         key = pdf["key"].tolist()
         found = links(sets_of(pdf["text"].tolist(), width), pdf["ask"].to_numpy(bool), percent)
         return pd.DataFrame([(key[i], key[j]) for i, j in found], columns=["a", "b"])
 
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "text")
-    return blocks.join(texts, "row").groupBy(*by).applyInPandas(search, "a binary, b binary")
+    texts = blocks.join(docs.select(named(F.col("doc_id")), F.xxhash64("text").alias("mark"), "text"), ["name", "mark"])
+    once = texts.repartition(*by).groupBy(*by, "key").agg(F.first("text").alias("text"), F.max("ask").alias("ask"))  # rows may be repeated
+    return once.groupBy(*by).applyInPandas(search, "a binary, b binary")
 
 
 def part_of(total: Column, shingles_of: Column) -> Column:
@@ -276,24 +280,24 @@ def every(parts: Column) -> Column:
 def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b, keys of nodes) whose groups are those of all links in the blocks (leader, node)."""
     members = pairs.unionByName(pairs.select("leader", F.col("leader").alias("node")).distinct())
-    rows = materialize(members.join(nodes.select("node", "key", "row", "n"), "node").select("leader", "node", "key", "row", "n"))
-    sized = materialize(dealt(rows, "parts").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))))
-    own = F.when(F.col("node") == F.col("leader"), every(F.col("parts"))).otherwise(F.array("part"))
-    found = materialize(searched(sized.select("leader", "key", "row", F.lit(True).alias("ask"), F.explode(own).alias("part")), docs, ["leader", "part"], width, percent))
-    large = sized.where("parts > 1")
+    rows = materialize(members.join(nodes.select("node", "key", "name", "mark", "n"), "node").select("leader", "node", "key", "name", "mark", "n"))
+    sized = materialize(dealt(rows, "pieces").withColumn("part", F.pmod(F.xxhash64("node"), F.col("pieces"))))
+    own = F.when(F.col("node") == F.col("leader"), every(F.col("pieces"))).otherwise(F.array("part"))
+    found = materialize(searched(sized.select("leader", "key", "name", "mark", F.lit(True).alias("ask"), F.explode(own).alias("part")), docs, ["leader", "part"], width, percent))
+    large = sized.where("pieces > 1")
     if large.isEmpty():
         return found
     joined = components(found).select(F.col("node").alias("key"), "root")
-    named = materialize(large.join(joined, "key", "left").withColumn("root", F.coalesce("root", "key")))
-    top = named.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("leader").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).select("leader", F.col("top.root").alias("most"), "n")
-    outside = materialize(salted_join(named.withColumnRenamed("n", "shingles"), top, ["leader"], "node", named.count()).where("root <> most").withColumnRenamed("shingles", "n").drop("most", "root"))
+    rooted = materialize(large.join(joined, "key", "left").withColumn("root", F.coalesce("root", "key")))
+    top = rooted.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("leader").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).select("leader", F.col("top.root").alias("most"), "n")
+    outside = materialize(salted_join(rooted.withColumnRenamed("n", "shingles"), top, ["leader"], "node", rooted.count()).where("root <> most").withColumnRenamed("shingles", "n").drop("most", "root"))
     if outside.isEmpty():
         return found
     asking = materialize(dealt(outside, "askers").withColumn("asker", F.pmod(F.xxhash64("node"), F.col("askers"))))
     counts = asking.groupBy("leader").agg(F.max("askers").alias("askers"))
     asked = large.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).join(counts, "leader")
-    base = salted_join(large.drop("n"), asked, ["leader"], "node", named.count()).select("leader", "key", "row", F.lit(False).alias("ask"), "part", F.explode(every(F.col("askers"))).alias("asker"))
-    queries = asking.select("leader", "key", "row", F.lit(True).alias("ask"), F.explode(every(F.col("parts"))).alias("part"), "asker")
+    base = salted_join(large.drop("n"), asked, ["leader"], "node", rooted.count()).select("leader", "key", "name", "mark", F.lit(False).alias("ask"), "part", F.explode(every(F.col("askers"))).alias("asker"))
+    queries = asking.select("leader", "key", "name", "mark", F.lit(True).alias("ask"), F.explode(every(F.col("pieces"))).alias("part"), "asker")
     return found.unionByName(materialize(searched(base.unionByName(queries), docs, ["leader", "part", "asker"], width, percent)))
 
 
@@ -301,14 +305,14 @@ def similarity_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     docs = docs.select("doc_id", "text")
     made = materialize(sketches(docs, sketch(docs, width), width, percent))
-    nodes = materialize(made.where("n > 0").groupBy("key", "node").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")))
+    nodes = materialize(made.where("n > 0").groupBy("key", "node").agg(F.min(F.struct(named(F.col("doc_id")), "mark")).alias("best"), F.min("doc_id").alias("least"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")).select("*", "best.*").drop("best"))
     pairs = materialize(stars(made))
     roots = components(similar(docs, nodes, pairs, width, percent)).select(F.col("node").alias("key"), "root")
     rooted = materialize(nodes.join(roots, "key", "left").select("key", "least", "rows", F.coalesce("root", "key").alias("root")))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    named = salted_join(rooted, groups, ["root"], "key", rooted.count()).select("key", "component_id", F.col("rows").alias("n"))
-    each = made.select("doc_id", "row", "key", F.col("n").alias("n_shingles"))
-    return salted_join(each, named, ["key"], "row", made.count(), "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    grouped = salted_join(rooted, groups, ["root"], "key", rooted.count()).select("key", "component_id", F.col("rows").alias("n"))
+    each = made.select("doc_id", "key", F.col("n").alias("n_shingles"), F.monotonically_increasing_id().alias("row"))
+    return salted_join(each, grouped, ["key"], "row", made.count(), "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,7 +320,8 @@ def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS ws FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS ws FROM documents),
 s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(ws) - 3, 1) + 1), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS g FROM w),
 u AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
 links AS MATERIALIZED (SELECT a.doc_id AS i, b.doc_id AS j FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id AND a.n * 100 >= 85 * b.n AND b.n * 100 >= 85 * a.n
