@@ -65,11 +65,9 @@ def sketch(docs: DataFrame, width: int) -> np.ndarray:
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, rows = np.zeros(COUNTERS, np.int64), 0
         for b in slices(batches, "text"):
-            for x in sets_of(b.column(0).to_pylist(), width):
-                counts += np.bincount(counter_of(x), minlength=COUNTERS) if len(x) > COUNTERS // 8 else 0
-                if 0 < len(x) <= COUNTERS // 8:
-                    np.add.at(counts, counter_of(x), 1)
-                rows += len(x) > 0
+            sets = sets_of(b.column(0).to_pylist(), width)
+            counts += np.bincount(counter_of(np.concatenate(sets)), minlength=COUNTERS)
+            rows += sum(len(x) > 0 for x in sets)
         yield pa.record_batch({"slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array([x.astype(np.int32).tobytes() for x in counts.reshape(SLICES, size)]), "rows": pa.array([rows] * SLICES, pa.int64())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +212,7 @@ def links(sets: list[np.ndarray], ask: np.ndarray, percent: int) -> list[tuple[i
         high = s if everyone else int(np.searchsorted(size, a * 100 // percent, "right"))
         mine = token[start[s] : start[s + 1]]
         mine = mine[held[mine] > 1] * m
-        while low < high:
+        while (root[low:high] != root[s]).any():
             need = -(-percent * (a + int(size[low])) // (100 + percent))
             begin, end = np.searchsorted(post, mine + low), np.searchsorted(post, mine + high)
             some = np.flatnonzero(end > begin)
