@@ -14,7 +14,7 @@ from .scalar import luhn
 @dataclass(frozen=True)
 class Rule:
     """pattern: in the common part of Java's and RE2's syntax. hint: a literal that every hit's text contains.
-    edge: characters that must not stand beside a hit. lead and tail: the hit's parts that are not in the value.
+    edge: characters that must not stand beside a hit, behind: more that must not stand behind it. lead and tail: the hit's parts that are not in the value.
     accept: a further test of the value, as a Column function or as SQL that both engines read."""
 
     id: str
@@ -28,6 +28,7 @@ class Rule:
     accept_sql: str = "TRUE"
     lead: str = ""
     tail: str = ""
+    behind: str = ""
 
     def test(self, value: Column) -> Column | None:
         if self.accept:
@@ -41,7 +42,7 @@ def octets(v: Column) -> Column:
 
 PERSONAL = [
     Rule("email", "personal", "EMAIL", r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,24}", 0.85, "@"),
-    Rule("international-phone", "personal", "PHONE", r"\+[0-9][0-9() .-]{6,18}[0-9]", 0.85, "+", "0-9A-Za-z"),
+    Rule("international-phone", "personal", "PHONE", r"\+1[ .-]?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}|\+[2-9][0-9](?:[ .-]?[0-9]|[ .-]?\([0-9]{1,4}\)){5,13}", 0.85, "+", "0-9A-Za-z"),
     Rule("ipv4", "personal", "IP_ADDRESS", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", 0.85, ".", "0-9A-Za-z.", octets, "list_bool_and(list_transform(string_split(value, '.'), lambda x: CAST(x AS INT) <= 255))"),
     Rule("luhn", "personal", "CREDIT_CARD", r"[0-9](?:[ -]?[0-9]){12,18}", 0.85, "", "0-9A-Za-z.", luhn,
          "translate(value, ' -' || value[1], '') <> '' AND list_sum(list_transform(range(1, length(translate(value, ' -', '')) + 1), lambda k: list_extract([[0, 1, 2, 3, 4, 5, 6, 7, 8, 9], [0, 2, 4, 6, 8, 1, 3, 5, 7, 9]][2 - k % 2], CAST(reverse(translate(value, ' -', ''))[k] AS INT) + 1))) % 10 = 0"),
@@ -88,20 +89,23 @@ PROVIDERS = {
     "twilio": [("SK", _HEX, 32, 32)],
     "vault": [("hvs.", _W, 16, 0), ("hvb.", _W, 16, 0), ("hvr.", _W, 16, 0)],
     "vercel": [("vercel_", _W, 20, 0)],
-    "yandex": [("AQVN", _W, 35, 38), ("YCAJE", _W, 20, 20), ("YC", _W, 38, 38), ("t1.", "A-Za-z0-9_=-", 1, 0, ".", _W, 86, 86)],
+    "yandex": [("AQVN", _W, 35, 38), ("YCAJE", _W, 20, 20), ("YC", _W, 38, 38), ("t1.", "A-Za-z0-9_-", 1, 0, "={0,2}.", _W, 86, 86, "={0,2}")],
 }
 #: Providers whose tokens may not be a part of a longer run of these characters.
-APART = {"anthropic": "A-Za-z0-9_", "openai": "A-Za-z0-9_", "firebase": _W, "yandex": "A-Za-z0-9_=-"}
+APART = {"anthropic": "A-Za-z0-9_", "openai": "A-Za-z0-9_", "firebase": _W, "yandex": _W}
+#: What may not follow their tokens, besides.
+BEHIND = {"yandex": "="}
 
 
 def provider_rule(name: str) -> Rule:
-    one = lambda prefix, kind, least, most: prefix.replace(".", r"\.") + f"[{kind}]{{{least},{most or ''}}}"
+    one = lambda prefix, kind="", least=0, most=0: prefix.replace(".", r"\.") + (f"[{kind}]{{{least},{most or ''}}}" if kind else "")
     forms = ["".join(one(*form[i : i + 4]) for i in range(0, len(form), 4)) for form in PROVIDERS[name]]
     hint = os.path.commonprefix([form[0].split("[")[0] for form in PROVIDERS[name]])
-    return Rule(name, "credential", "SECRET", "|".join(forms), 0.95, hint, APART.get(name, ""))
+    return Rule(name, "credential", "SECRET", "|".join(forms), 0.95, hint, APART.get(name, ""), behind=BEHIND.get(name, ""))
 
 
 def provider_tokens(name: str, fill: str = "0123456789abcdef" * 9) -> list[str]:
     """A token of each form of a provider, of its least length, out of characters that all of them take."""
     fill = fill.upper() if name == "aws" else fill
-    return ["".join(form[i].replace("[a-z]", "q") + fill[: form[i + 2]] for i in range(0, len(form), 4)) for form in PROVIDERS[name]]
+    literal = lambda prefix: prefix.replace("[a-z]", "q").replace("={0,2}", "==")
+    return ["".join(literal(form[i]) + fill[: form[i + 2] if i + 2 < len(form) else 0] for i in range(0, len(form), 4)) for form in PROVIDERS[name]]

@@ -40,7 +40,7 @@ def detect(docs: DataFrame, rules: list[Rule] = DEFAULT, key: str = "doc_id", te
     for i, r in enumerate(rules):
         test = ~F.contains("value", F.lit("[REDACTED]"))
         if r.edge:
-            test = test & ~F.col("left").rlike(f"[{r.edge}]") & ~F.col("right").rlike(f"[{r.edge}]")
+            test = test & ~F.col("left").rlike(f"[{r.edge}]") & ~F.col("right").rlike(f"[{r.behind}{r.edge}]")
         more = r.test(F.col("value"))
         ok = F.when(F.col("r") == i, test if more is None else test & more).otherwise(ok)
     pick = lambda f: F.get(F.array(*[F.lit(f(r)) for r in rules]), F.col("r"))
@@ -62,7 +62,7 @@ def detect_sql(rules: list[Rule] = DEFAULT, table: str = "documents", key: str =
         near = f", substr(t, CAST(greatest(1, s + 1 - {m}) AS BIGINT), CAST(least({m}, s) AS BIGINT)) AS before, substr(t, s + length(value) + 1, {n}) AS after"
     for r in rules:
         p = quote(r.pattern)
-        edge = f"AND NOT regexp_matches(CASE WHEN o > 0 THEN substr(t, o, 1) ELSE '' END, '[{r.edge}]') AND NOT regexp_matches(substr(t, o + length(hit) + 1, 1), '[{r.edge}]')" if r.edge else ""
+        edge = f"AND NOT regexp_matches(CASE WHEN o > 0 THEN substr(t, o, 1) ELSE '' END, '[{r.edge}]') AND NOT regexp_matches(substr(t, o + length(hit) + 1, 1), '[{r.behind}{r.edge}]')" if r.edge else ""
         outer = f"regexp_replace(v[i], '^(?:{quote(r.lead)})', '')" if r.lead else "v[i]"
         inner = f"regexp_replace({outer}, '(?:{quote(r.tail)})$', '')" if r.tail else outer
         parts.append(

@@ -7,9 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A word of a text, and a run that may be a spelling of a secret, with its padding.
+#: A word of a text.
 WORD = r"[\p{L}\p{N}_]+"
-TOKEN = r"[A-Za-z0-9+/_#-]{8,}={0,2}"
 INSIDE = r"[\p{L}\p{N}_]"
 
 
@@ -38,25 +37,33 @@ PLAIN = r"[\p{L}\p{N}]+"
 GAP = r"^(?:[^\p{L}\p{N}\n]{1,4}|[^\p{L}\p{N}\n]{0,3}\n[^\p{L}\p{N}\n]{0,4})\z"
 
 
-def known_words(docs: DataFrame, known: DataFrame, key: str = "doc_id", most: int = 8) -> DataFrame:
-    """key, value, start, end and found (the text there) of each place where a known value's words stand in a row, in any case and
-    with any gap of GAP between them, so also within identifiers and tables. Values of 1 to `most` words; others find nothing.
+#: Words of a run that leads to a known value; longer values are compared as a whole where such a run stands.
+LEADING = 6
+
 
-    Runs of as many words as values have, lower-cased, meet the values in an equi-join; the text itself is not shuffled but
-    for texts with a hit, whose places follow from the lengths of the words and gaps before."""
-    low = lambda t: F.regexp_extract_all(F.lower(t), F.lit(PLAIN), F.lit(0))
-    entries = known.where("value IS NOT NULL").select("value", low(F.col("value")).alias("ws")).distinct().where(F.size("ws").between(1, most)).select("value", F.size("ws").alias("n"), F.array_join("ws", " ").alias("run"))
-    lengths = sorted(r[0] for r in entries.select("n").distinct().collect())  # `most` numbers at most
+def known_words(docs: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, value, start, end and found (the text there) of each place where a known value's words stand in a row, in any case and
+    with any gap of GAP between them, so also within identifiers and tables. Values without a word find nothing.
+
+    Words are cut from the text as it is and lower-cased one by one, as a letter's lower case may be longer than the letter. Runs
+    of the first words of each value, LEADING at most, meet the texts' runs in an equi-join; the text itself is shuffled
+    only for texts with a hit, whose places follow from the lengths of the words and gaps before."""
+    low = lambda t: F.transform(F.regexp_extract_all(t, F.lit(PLAIN), F.lit(0)), lambda w: F.lower(w))
+    entries = known.where("value IS NOT NULL").select("value", low(F.col("value")).alias("ws")).distinct().where(F.size("ws") > 0)
+    leads = F.least(F.size("ws"), F.lit(LEADING))
+    entries = entries.select("value", F.size("ws").alias("n"), F.array_join("ws", " ").alias("all"), leads.alias("k"), F.array_join(F.slice("ws", F.lit(1), leads), " ").alias("run"))
+    lengths = sorted(r[0] for r in entries.select("k").distinct().collect())  # LEADING numbers at most
     worded = docs.select(key, low(F.col("text")).alias("ws"))
-    runs_of = lambda n: F.when(F.size("ws") >= n, F.transform(F.sequence(F.lit(0), F.size("ws") - n), lambda i: F.struct(i.alias("i"), F.array_join(F.slice("ws", i + 1, n), " ").alias("run"))))
-    runs = worded.select(key, F.explode_outer(F.flatten(F.filter(F.array(*map(runs_of, lengths or [1])), lambda a: a.isNotNull()))).alias("r")).select(key, "r.i", "r.run")
-    hits = runs.join(entries, "run").groupBy(key).agg(F.collect_list(F.struct("value", "i", "n")).alias("hits"))
+    runs_of = lambda n: F.when(F.size("ws") >= n, F.transform(F.sequence(F.lit(0), F.size("ws") - n), lambda i: F.struct(F.lit(n).alias("k"), i.alias("i"), F.array_join(F.slice("ws", i + 1, n), " ").alias("run"))))
+    runs = worded.select(key, F.explode_outer(F.flatten(F.filter(F.array(*map(runs_of, lengths or [1])), lambda a: a.isNotNull()))).alias("r")).select(key, "r.k", "r.i", "r.run")
+    hits = runs.join(entries, ["k", "run"]).groupBy(key).agg(F.collect_list(F.struct("value", "i", "n", "all")).alias("hits"))
     pieces = docs.join(hits, key).select(key, "text", "hits", F.split("text", PLAIN, -1).alias("gs"), F.regexp_extract_all("text", F.lit(PLAIN), F.lit(0)).alias("words"))
     length = lambda a: F.length(F.array_join(a, ""))
     inner = lambda h: F.slice("gs", h["i"] + 2, h["n"] - 1)
     start = lambda h: length(F.slice("gs", 1, h["i"] + 1)) + length(F.slice("words", 1, h["i"]))
     size = lambda h: length(inner(h)) + length(F.slice("words", h["i"] + 1, h["n"]))
-    near = F.filter("hits", lambda h: F.forall(inner(h), lambda g: g.rlike(GAP)))
+    whole = lambda h: (h["n"] <= LEADING) | (F.array_join(F.transform(F.slice("words", h["i"] + 1, h["n"]), lambda w: F.lower(w)), " ") == h["all"])
+    near = F.filter("hits", lambda h: whole(h) & F.forall(inner(h), lambda g: g.rlike(GAP)))
     placed = F.transform(near, lambda h: F.struct(h["value"].alias("value"), start(h).cast("long").alias("start"), size(h).cast("long").alias("size")))
     found = F.transform(placed, lambda p: F.struct(p["value"].alias("value"), p["start"].alias("start"), (p["start"] + p["size"]).alias("end"), F.substring("text", (p["start"] + 1).cast("int"), p["size"].cast("int")).alias("found")))
     return pieces.select(key, F.explode_outer(found).alias("f")).where("f IS NOT NULL").select(key, "f.*")
@@ -84,14 +91,33 @@ def name_forms(given: Column, surname: Column) -> Column:
 
 
 def spellings(secret: Column) -> Column:
-    """A secret as it is, in hexadecimal digits, in base64 and in base64 for addresses."""
-    coded = F.base64(F.encode(secret, "utf-8"))
-    each = {"plain": secret, "hex": F.lower(F.hex(F.encode(secret, "utf-8"))), "base64": coded, "base64url": F.rtrim(F.translate(coded, "+/", "-_"), F.lit("="))}
+    """A secret as it is, in hexadecimal digits of either case, in base64 and in base64 for addresses, both without padding: a
+    run that is padded holds the run that isn't."""
+    data = F.encode(secret, "utf-8")
+    coded = F.rtrim(F.base64(data), F.lit("="))
+    each = {"plain": secret, "hex": F.lower(F.hex(data)), "hex-upper": F.hex(data), "base64": coded, "base64url": F.translate(coded, "+/", "-_")}
     return F.array(*[F.struct(F.lit(k).alias("spelling"), v.alias("token")) for k, v in each.items()])
 
 
+#: Characters of the piece of a secret that leads to the texts that hold it.
+PIECE = 8
+
+
 def known_secrets(docs: DataFrame, secrets: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, secret, spelling and n of the runs of a text that spell a known secret."""
-    tokens = docs.select(key, F.explode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("token"))
-    spelled = secrets.select("secret", F.explode(spellings(F.col("secret"))).alias("s")).groupBy("secret", F.col("s.token").alias("token")).agg(F.min("s.spelling").alias("spelling"))
-    return tokens.join(spelled, "token").groupBy(key, "secret", "spelling").agg(F.count(F.lit(1)).alias("n"))
+    """key, secret, spelling and n (occurrences that don't overlap) of each spelling of a known secret that a text holds, whatever
+    stands beside it and whatever characters it is of. Null and empty secrets find nothing.
+
+    Each spelling is led to by one of its pieces of PIECE characters (all of it, if it is shorter), the one that
+    fewest other spellings have, so secrets that begin alike don't meet all texts of each other. Texts' pieces meet these in an equi-join, one for each
+    length of pieces there is, and what meets is verified literally."""
+    spelled = secrets.where("secret <> ''").select("secret", F.explode(spellings(F.col("secret"))).alias("s")).groupBy("secret", F.col("s.token").alias("token")).agg(F.min("s.spelling").alias("spelling"))
+    sized = spelled.withColumn("k", F.least(F.length("token"), F.lit(PIECE)))
+    lengths = sorted(r[0] for r in sized.select("k").distinct().collect())  # PIECE numbers at most
+    each = sized.select("secret", "token", "spelling", "k", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - F.col("k") + 1), lambda i: F.substring(F.col("token"), i, F.col("k")))).alias("piece"))
+    count = each.groupBy("k", "piece").agg(F.count(F.lit(1)).alias("c"))
+    rare = each.join(count, ["k", "piece"]).groupBy("secret", "token", "spelling", "k").agg(F.min(F.struct("c", "piece")).alias("p")).select("secret", "token", "spelling", "k", "p.piece")
+    of_length = lambda k: F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))), lambda p: F.struct(F.lit(k).alias("k"), p.alias("piece")))
+    pieces = docs.where("text IS NOT NULL").select(key, F.explode(F.flatten(F.array(*map(of_length, lengths or [PIECE])))).alias("x")).select(key, "x.k", "x.piece")
+    met = pieces.join(rare, ["k", "piece"]).select(key, "secret", "token", "spelling")
+    found = met.join(docs.select(key, "text"), key).withColumn("n", ((F.length("text") - F.length(F.replace("text", "token", F.lit("")))) / F.length("token")).cast("long"))
+    return found.where("n > 0").groupBy(key, "secret", "spelling").agg(F.max("n").alias("n"))

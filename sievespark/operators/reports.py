@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Columns of the CSV report, in order, and the longest text that a scan reads, in characters.
+#: Columns of the CSV report, in order, and the longest text that a scan reads, in UTF-16 code units: 32 Mi.
 CSV = ["status", "path", "reason", "rule", "type", "category", "line", "column", "start", "end", "confidence", "baselined"]
-LONGEST = 100_000
-#: A placeholder of a rewritten text.
-TOKEN = r"\[\[[A-Z][a-z_]+-[0-9]+\]\]"
+LONGEST = 32 * 1024 * 1024
 
 
-def skipped(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key and reason of the texts that a scan doesn't read: missing ones and those over LONGEST, which are never cut."""
-    reason = F.when(F.col("text").isNull(), "ERR_MISSING").when(F.length("text") > LONGEST, "ERR_LIMIT")
+def too_long(longest: int) -> Column:
+    """Whether a text has more UTF-16 code units than that; only texts with so many bytes are encoded to know it."""
+    return F.when(F.octet_length("text") > longest, F.octet_length(F.encode("text", "UTF-16LE")) > 2 * longest).otherwise(False)
+
+
+def skipped(docs: DataFrame, key: str = "doc_id", longest: int = LONGEST) -> DataFrame:
+    """key and reason of the texts that a scan doesn't read: missing ones and those over `longest`, which are never cut."""
+    reason = F.when(F.col("text").isNull(), "ERR_MISSING").when(too_long(longest), "ERR_LIMIT")
     return docs.select(key, reason.alias("reason")).where("reason IS NOT NULL")
 
 
-def read_texts(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("text").isNotNull() & (F.length("text") <= LONGEST))
+def read_texts(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
+    return docs.where(F.col("text").isNotNull() & ~too_long(longest))
 
 
 def path(key: str) -> Column:

@@ -18,7 +18,7 @@ from ..operators import views as V
 from ..operators.detect import detect, detect_sql
 from ..operators.encoded import RUN, decoded_runs, rewrite_runs
 from ..operators.national import EPOCH, NOISE
-from ..operators.placeholders import placeholders
+from ..operators.placeholders import TOKEN, placeholders
 from ..operators.propagation import INSIDE, propagated
 from ..sources.files import decode_content
 from .queries import BEHIND, FOUND, KEY, QUERIES, SQL, UNION, behind, docs, findings, on_findings, on_samples, query, read
@@ -373,7 +373,7 @@ _token_of = "concat('[[', upper(type[1]), lower(type[2:]), '-', i, ']]')"
 query("snk_map", FOUND + ENTRIES + f"SELECT doc_id, {_token_of} AS token, value FROM n")(
     lambda spark, d: placeholders(docs(spark, d), findings(spark, d)).select("doc_id", F.explode("entries").alias("e")).select("doc_id", "e.token", "e.value"))
 query("fn_istoken", FOUND + ENTRIES + "SELECT doc_id, count(*) AS n FROM v GROUP BY doc_id")(
-    lambda spark, d: placeholders(docs(spark, d), findings(spark, d)).select("doc_id", F.size(F.regexp_extract_all("text", F.lit(R.TOKEN), F.lit(0))).cast("long").alias("n")).where("n > 0"))
+    lambda spark, d: placeholders(docs(spark, d), findings(spark, d)).select("doc_id", F.size(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).cast("long").alias("n")).where("n > 0"))
 
 # A known word and the capitalised words around it.
 query("win_adjacent", (RUNS % (_word.format(""), "text", K.GAP, K.GAP, "TRUE")).replace("SELECT doc_id, value, start, \"end\", substr(text, start + 1, \"end\" - start) AS found FROM h", r"SELECT doc_id, value, concat(regexp_extract(substr(text, greatest(1, start - 199), least(start, 200)), '(?:\p{Lu}\p{L}+ ){0,3}\z'), substr(text, start + 1, stop - start), regexp_extract(substr(text, stop + 1, 200), '^(?: \p{Lu}\p{L}+){0,3}')) AS whole FROM (SELECT *, " + "\"end\" AS stop FROM h)"))(
