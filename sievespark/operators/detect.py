@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import running
 from ..functions.rules import DEFAULT, Rule
 
 
 def detect(docs: DataFrame, rules: list[Rule] = DEFAULT, key: str = "doc_id", text: str = "text", around: tuple[int, int] | None = None) -> DataFrame:
     """key, start, end, type, category, rule, confidence, value of each hit; one scan whatever the number of rules.
 
-    A hit's start is the sum of the lengths of the gaps and hits before it, so nothing leaves the JVM. A value that
+    A hit's start is the running sum of the lengths of the gaps and hits before it, so nothing leaves the JVM. A value that
     was redacted already is no hit. around=(m, n) adds the m characters before and the n behind the value.
     """
     t = F.col(text)
     hits = lambda r: F.regexp_extract_all(t, F.lit(r.pattern), F.lit(0))
     found = docs.select(key, text, *[(F.when(F.contains(t, F.lit(r.hint)), hits(r)) if r.hint else hits(r)).alias(f"m{i}") for i, r in enumerate(rules)])
     gaps = found.select("*", *[F.when(F.size(f"m{i}") > 0, F.split(t, r.pattern, -1)).alias(f"g{i}") for i, r in enumerate(rules)])
-    length = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
 
     def each(i: int) -> Column:
         m, g = F.col(f"m{i}"), F.col(f"g{i}")
-        row = lambda v, k: F.struct(F.lit(i).alias("r"), (length(F.slice(g, 1, k + 1)) + length(F.slice(m, 1, k))).cast("long").alias("start"), v.alias("value"))
-        return F.when(F.size(m) > 0, F.transform(m, row))
+        ends = running(F.zip_with(F.slice(g, F.lit(1), F.size(m)), m, lambda gap, v: (F.length(gap) + F.length(v)).cast("long")))
+        row = lambda v, e: F.struct(F.lit(i).alias("r"), (e - F.length(v)).cast("long").alias("start"), v.alias("value"))
+        return F.when(F.size(m) > 0, F.zip_with(m, ends, row))
 
     arrays = gaps.select(key, text, F.filter(F.array(*[each(i) for i in range(len(rules))]), lambda a: a.isNotNull()).alias("a"))
     rows = arrays.select(key, text, F.explode_outer(F.flatten("a")).alias("f")).where("f IS NOT NULL").select(key, text, "f.*")
