@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from sievespark.llm import near
+from sievespark.llm import jaccard_join, near
 
 
 def sets_of(text, width=5):
@@ -49,7 +49,7 @@ def test_survivors_are_those_of_all_pairs(spark, texts, monkeypatch):
     want = plain_survivors(texts)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want
-    monkeypatch.setattr(near, "TEXTS", 3)
+    monkeypatch.setattr(jaccard_join, "MEMBERS", 3)
     assert sorted(r.doc_id for r in near.representatives(docs.union(docs)).collect()) == sorted(want)
     assert near.representatives(docs.where("false")).count() == 0
 
@@ -62,5 +62,21 @@ def test_similar():
     r = random.Random(9)
     base = [f"w{i}" for i in range(300)]
     texts = dict(enumerate(" ".join(edited(r, base, r.randint(0, 7))) for _ in range(80)))
-    found = near.similar([np.unique(shingles(t, 5)) for t in texts.values()], 0.8)
-    assert {i for i, f in enumerate(found) if i == f} == plain_survivors(texts)
+    root = list(range(len(texts)))
+    for i, j in jaccard_join.links([np.unique(shingles(t, 5)) for t in texts.values()], np.ones(len(texts), bool), 80):
+        root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert {i for i, f in enumerate(root) if i == f} == plain_survivors(texts)
+
+
+def test_recall_of_planted_pairs(spark):
+    """Pairs of 0.8 to 0.9 with nothing else like them: each of them leaves one text."""
+    r, rows, want = random.Random(12), [], 0
+    for k in range(400):
+        words = [f"p{k}w{i}" for i in range(r.randint(60, 300))]
+        other = edited(r, words, max(1, round(len(words) * r.uniform(0.01, 0.022))))
+        a, b = sets_of(" ".join(words)), sets_of(" ".join(other))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.9:
+            rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+            want += 1
+    left = near.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).count()
+    assert want > 150 and left == len(rows) - want
