@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import running
+
 #: Columns of the CSV report, in order, and the longest text that a scan reads, in UTF-16 code units: 32 Mi.
 CSV = ["status", "path", "reason", "rule", "type", "category", "line", "column", "start", "end", "confidence", "baselined"]
 LONGEST = 32 * 1024 * 1024
@@ -30,10 +32,12 @@ def path(key: str) -> Column:
 
 
 def located(findings: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """findings with line and column, from 1, of their start."""
-    before = F.substring("text", F.lit(1), F.col("start").cast("int"))
-    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-    return findings.join(docs.select(key, "text"), key).select(*findings.columns, line.cast("long").alias("line"), (F.length(F.substring_index(before, "\n", -1)) + 1).cast("long").alias("column"))
+    """findings with line and column, from 1, of their start. Not texts but the places of their ends of lines meet the findings."""
+    lengths = F.transform(F.split("text", "\n", -1), lambda x: (F.length(x) + 1).cast("long"))
+    met = findings.join(docs.where("text IS NOT NULL").select(key, running(lengths).alias("ends")), key)  # a line's end is the next one's start
+    lines = met.withColumn("before", F.size(F.filter("ends", lambda e: e <= F.col("start"))))
+    column = F.col("start") - F.coalesce(F.get("ends", F.col("before") - 1), F.lit(0)) + 1
+    return lines.select(*findings.columns, (F.col("before") + 1).cast("long").alias("line"), column.cast("long").alias("column"))
 
 
 def cell(value: Column, number: bool = False) -> Column:

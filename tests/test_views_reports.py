@@ -28,10 +28,14 @@ def test_places_in_views_come_back(spark, kind, text, shown):
 def test_propagation(spark):
     text = "Ann Lee-Ray came. ann lee ray no; Ann_Lee Ray yes, xAnn Lee Ray no. Ann Lee-Ray again"
     docs = spark.createDataFrame([(1, text), (2, None), (3, "Ann Lee Ray")], ROWS)
-    found = spark.createDataFrame([(1, 0, 11, "PERSON", 0.9, "Ann Lee-Ray"), (1, 0, 3, "PERSON", 0.5, "Ann"), (1, 2, 4, "X", 0.9, "a\\b")], "doc_id long, start long, end long, type string, confidence double, value string")
+    found = spark.createDataFrame([(1, 0, 11, "PERSON", 0.9, "Ann Lee-Ray"), (1, 0, 3, "PERSON", 0.5, "Ann"), (1, 2, 4, "X", 0.9, "a\\b"), (3, 0, 1, "X", 0.9, None)], "doc_id long, start long, end long, type string, confidence double, value string")
     got = sorted((r.doc_id, text[r.start : r.end], r.value) for r in propagated(docs, found).collect())
     assert got == [(1, "Ann Lee-Ray", "Ann Lee-Ray"), (1, "Ann_Lee Ray", "Ann Lee-Ray")]
     assert propagated(docs, found.where("false")).count() == 0
+    back = chr(92)
+    odd = f"a{back}Eb, a{back}b; a{back}Eb and a{back}b"
+    rows = spark.createDataFrame([(1, 0, 4, "X", "c", 0.9, f"a{back}Eb"), (1, 6, 9, "X", "c", 0.9, f"a{back}b")], "doc_id long, start long, end long, type string, category string, confidence double, value string")
+    assert sorted(odd[r.start : r.end] for r in propagated(spark.createDataFrame([(1, odd)], ROWS), rows).collect()) == [f"a{back}Eb", f"a{back}b"]
 
 
 def test_known_words(spark):
@@ -46,11 +50,11 @@ def test_known_words(spark):
 
 
 def test_reports(spark):
-    docs = spark.createDataFrame([(1, "a\nmail ann@b.org now"), (2, None), (3, "x" * (R.LONGEST + 1)), (4, "")], ROWS)
-    found = R.located(detect(R.read_texts(docs)), docs)
+    docs = spark.createDataFrame([(1, "a\nmail ann@b.org now"), (2, None), (3, "x" * 101), (4, ""), (5, "é" * 100)], ROWS)
+    found = R.located(detect(R.read_texts(docs, 100)), docs)
     assert [(r.line, r.column, r.start) for r in found.collect()] == [(2, 6, 7)]
-    assert sorted(tuple(r) for r in R.skipped(docs).collect()) == [(2, "ERR_MISSING"), (3, "ERR_LIMIT")]
-    lines = {r.path: r.line for r in R.csv_lines(found, R.skipped(docs)).collect()}
+    assert sorted(tuple(r) for r in R.skipped(docs, longest=100).collect()) == [(2, "ERR_MISSING"), (3, "ERR_LIMIT")]
+    lines = {r.path: r.line for r in R.csv_lines(found, R.skipped(docs, longest=100)).collect()}
     assert lines["documents/1"] == '"finding","documents/1","","email","EMAIL","personal",2,6,7,16,0.85,""' and lines["documents/2"].startswith('"skipped","documents/2","ERR_MISSING"') and len(lines) == 3
     cells = spark.createDataFrame([("=1",), ("  +a",), ('q"q',), (None,), ("ok",)], "v string").select(R.cell(F.col("v"))).collect()
     assert [r[0] for r in cells] == ['"\'=1"', '"\'  +a"', '"q""q"', '""', '"ok"']
