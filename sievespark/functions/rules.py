@@ -107,5 +107,5 @@ def provider_rule(name: str) -> Rule:
 def provider_tokens(name: str, fill: str = "0123456789abcdef" * 9) -> list[str]:
     """A token of each form of a provider, of its least length, out of characters that all of them take."""
     fill = fill.upper() if name == "aws" else fill
-    literal = lambda prefix: prefix.replace("[a-z]", "q").replace("={0,2}", "==")
+    literal = lambda prefix: prefix.replace("[a-z]", "q").replace("={0,2}", "")
     return ["".join(literal(form[i]) + fill[: form[i + 2] if i + 2 < len(form) else 0] for i in range(0, len(form), 4)) for form in PROVIDERS[name]]

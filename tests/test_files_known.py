@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from sievespark.operators import known as K
 from sievespark.operators import policies as O
+from sievespark.operators.detect import detect
+from sievespark.operators.placeholders import placeholders, restore
 from sievespark.sources.files import read_texts
 
 
@@ -40,6 +42,31 @@ def test_known_secrets(spark):
     assert got == [(1, "s3cret-value", "plain", 1), (2, "s3cret-value", "base64", 1), (2, "s3cret-value", "hex", 1)]
 
 
+def test_secrets_of_any_characters(spark):
+    docs = spark.createDataFrame([(1, "a p@ss.word! short1 yyxSECRET_1z short1"), (2, "cEBzcy53b3JkIQ== 7040737321 70407373 2e776f7264"), (3, None), (4, ""), (5, "AB 7040" + "p@ss.word!".encode().hex().upper())], "doc_id long, text string")
+    secrets = spark.createDataFrame([("p@ss.word!",), ("short1",), ("xSECRET_1",), ("",), (None,)] + [(f"Customer#{i:09}",) for i in range(50)], "secret string")
+    got = sorted(tuple(r) for r in K.known_secrets(docs, secrets).collect())
+    assert got == [(1, "p@ss.word!", "plain", 1), (1, "short1", "plain", 2), (1, "xSECRET_1", "plain", 1), (2, "p@ss.word!", "base64", 1), (5, "p@ss.word!", "hex-upper", 1)]
+    assert K.known_secrets(docs, secrets.where("false")).count() == 0 == K.known_secrets(docs.where("false"), secrets).count()
+
+
+def test_words_behind_letters_that_grow(spark):
+    """The lower case of İ is two characters: places are those of the text as it is."""
+    docs = spark.createDataFrame([(1, "İx met Anna Smith today"), (2, "one two three four five six seven eight nine ten")], "doc_id long, text string")
+    known = spark.createDataFrame([("Anna Smith",), ("İX",), ("Two three four five six seven eight nine",), ("two three four five six seven eight ten",)], "value string")
+    assert sorted((r.doc_id, r.start, r.end, r.found) for r in K.known_words(docs, known).collect()) == [(1, 0, 2, "İx"), (1, 7, 17, "Anna Smith"), (2, 4, 44, "two three four five six seven eight nine")]
+
+
+def test_tokens_in_a_text_are_reserved(spark):
+    texts = ["see [[Email-1]] then write to bob@example.org", "[[Email-7]] a@b.org c@d.org [[Person-9]]", "no", None, "[[Email-99999999999]] a@b.org"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = placeholders(docs, detect(docs))
+    assert {r.doc_id: r.text for r in made.collect()} == {0: "see [[Email-1]] then write to [[Email-2]]", 1: "[[Email-7]] [[Email-8]] [[Email-9]] [[Person-9]]", 2: "no", 3: None, 4: "[[Email-99999999999]] [[Email-1]]"}
+    assert {r.doc_id: r.text for r in restore(made).collect()} == dict(enumerate(texts))
+    turned = spark.createDataFrame([(1, "[[A-1]] [[B-1]]", [("[[A-1]]", "[[B-1]]"), ("[[B-1]]", "x")])], "doc_id long, text string, entries array<struct<token:string,value:string>>")
+    assert restore(turned).first().text == "[[B-1]] x"
+
+
 def test_suppressed_lines(spark):
     text = "a SECRET\nb SECRET # NOSONAR\n# pragma: allowlist nextline\nc SECRET\nd SECRET"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
