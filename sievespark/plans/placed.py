@@ -10,6 +10,7 @@ from ..functions.rules import DEFAULT, Rule
 from ..functions.samples import sample
 from ..operators import document_profile as D
 from ..operators import known as K
+from ..operators import preference as P
 from ..operators import projection as V
 from ..operators import ranges as G
 from ..operators import records as R
@@ -17,7 +18,7 @@ from ..operators.detect import detect, detect_sql
 from ..operators.residual import redacted_until_clean
 from ..sources import json_leaves as J
 from .policies import QUERIES, SQL
-from .queries import behind, docs, expected, json_docs, json_leaves, query, read
+from .queries import FOUND, behind, docs, expected, findings, json_docs, json_leaves, query, read
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -104,3 +105,19 @@ for _name, (_pattern, _test, _valid, _values) in CHECKED.items():
 _about = behind("", "Full name: Q{l6} W{l5}{n}works at Z{l5}, 2010 - 2015{n}12 Long V{l5} Street{n}", "Телефон: +7 900 {d3}-{d2}-{d2}")
 query("det_documents", D.accumulated_sql(f"(SELECT doc_id, {_about} AS text FROM documents)"))(
     lambda spark, d: D.accumulated(detect(docs(spark, d).select("doc_id", F.expr(_about).alias("text")), D.CUES)).select("doc_id", "start", "end", "type", "rule", "confidence", "value"))
+
+# Types of merged spans: an order of preference that isn't symmetric. And documents' entities beside pairs of capitalised words as prose.
+query("agg_typepref", FOUND + """, w AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM f),
+i AS (SELECT *, sum(CASE WHEN start < top THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, rule) AS island FROM w),
+u AS (SELECT doc_id, min(start) AS start, max("end") AS "end", CASE WHEN bool_or(category = 'credential') THEN 'credential' ELSE 'personal' END AS category, list(type ORDER BY start, "end" DESC, rule) AS types, count(*) AS n_findings FROM i GROUP BY doc_id, island)
+SELECT doc_id, start, "end", category, list_reduce(types, lambda a, x: CASE WHEN x = 'PHONE' THEN x WHEN a = 'SECRET' THEN a WHEN x = 'SECRET' THEN x ELSE a END) AS type, n_findings FROM u""")(
+    lambda spark, d: P.typed_union(findings(spark, d), transformed=["SECRET"]))
+_pair = Rule("prose", "personal", "PROPER_NAME", r"\p{Lu}\p{L}+ \p{Lu}\p{L}+", 0.5, "", r"\p{L}")
+_typed = [r for r in D.CUES if r.id in ("education-type-before", "education-verb")]
+query("join_overlap_prose", f"""WITH t AS (SELECT doc_id, {behind('', 'studied at the Q{l4} W{l4} U{l6} and University of B{l3} C{l3}', '')} AS text FROM documents),
+p AS ({detect_sql([_pair], 't')}), f AS (SELECT DISTINCT * FROM ({detect_sql(_typed, 't')})),
+m AS (SELECT f.*, p.start AS ps, p."end" AS pe FROM f JOIN p ON p.doc_id = f.doc_id AND p.start < f."end" AND f.start < p."end"),
+o AS (SELECT doc_id, start, "end", type, rule, value, bool_and(ps >= start AND pe <= "end") AND "end" - start <= 160 AND NOT regexp_matches(value, '[\t\r\n]') AS covers FROM m GROUP BY doc_id, start, "end", type, rule, value)
+SELECT doc_id, start, "end", type, rule, value FROM f WHERE (doc_id, start, "end", rule) NOT IN (SELECT (doc_id, start, "end", rule) FROM o WHERE NOT covers)
+UNION ALL SELECT doc_id, start, "end", type, rule, value FROM p WHERE NOT EXISTS (SELECT 1 FROM o JOIN m USING (doc_id, start, "end", rule) WHERE covers AND o.doc_id = p.doc_id AND ps = p.start AND pe = p."end")""")(
+    lambda spark, d: (lambda t: P.beside_prose(detect(t, _typed), detect(t, [_pair])))(made(spark, d, ("", "studied at the Q{l4} W{l4} U{l6} and University of B{l3} C{l3}", ""))))
