@@ -2,9 +2,9 @@
 
 A logistic model over hashed byte n-grams and a few shape figures of a text is fitted to trusted positives (label 1)
 and unlabelled web text, minimising the non-negative unbiased risk  pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))  with
-the sigmoid loss; where the bracket is negative, its gradient is taken back. The class prior pi, the share of positives
+the sigmoid loss; where the bracket is negative, a step goes back along the bracket's own gradient alone. The class prior pi, the share of positives
 among the unlabelled texts, is estimated from these and the positives alone: a plain classifier of labelled against
-unlabelled scores texts that it has not seen, and the prior is the least share of unlabelled over that of positives
+unlabelled scores the half of the texts that it has not seen, in neither set, and the prior is the least share of unlabelled over that of positives
 above a threshold (best bin estimation). Labels 0 are not learned from.
 
 The sample to fit on is bounded: POSITIVES and UNLABELLED different texts on average, those of least hash, each once
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,20 +72,27 @@ class Adam:
         return w - self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
 
 
+def with_one(x: np.ndarray) -> np.ndarray:
+    return np.hstack([x, np.ones((len(x), 1), np.float32)])
+
+
+def nnpu_step(pos: np.ndarray, unl: np.ndarray, prior: float, w: np.ndarray) -> np.ndarray:
+    """What a step goes against: the gradient of the risk, or, where the bracket is negative, minus that of the bracket."""
+    sp, su = sigmoid(pos @ w), sigmoid(unl @ w)
+    slope = lambda x, s: x.T @ (s * (1 - s)).astype(np.float32) / len(x)  # noqa: E731  gradient of mean sigmoid(z)
+    # loss of calling positive: 1 - s; of calling negative: s
+    gp, gu = slope(pos, sp), slope(unl, su)
+    bracket = gu - prior * gp
+    return -prior * gp + bracket if su.mean() >= prior * sp.mean() else -bracket
+
+
 def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights and bias that minimise the non-negative risk; the bias so that as many of unl are called positive as the prior says."""
-    one = lambda x: np.hstack([x, np.ones((len(x), 1), np.float32)])
-    pos, unl = one(pos), one(unl)
+    """Weights and bias that minimise the non-negative risk; the bias is then moved so that as many of unl are called positive as the prior says."""
+    pos, unl = with_one(pos), with_one(unl)
     w = np.zeros(pos.shape[1])
     adam = Adam(len(w), 0.05)
-    slope = lambda x, s: x.T @ (s * (1 - s)).astype(np.float32) / len(x)  # noqa: E731  gradient of mean sigmoid(z)
     for _ in range(rounds):
-        sp, su = sigmoid(pos @ w), sigmoid(unl @ w)
-        # loss of calling positive: 1 - s; of calling negative: s
-        bracket = su.mean() - prior * sp.mean()
-        gp, gu = slope(pos, sp), slope(unl, su)
-        g = -prior * gp + (gu - prior * gp if bracket >= 0 else -(gu - prior * gp))
-        w = adam.step(w, g + DECAY * w)
+        w = adam.step(w, nnpu_step(pos, unl, prior, w) + DECAY * w)
     w[-1] -= np.quantile(unl @ w, 1 - prior)  # the share of unl that is called positive is the prior
     return w
 
@@ -103,10 +111,12 @@ def class_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     """The share of positives in unl: with the scores of a classifier on texts that it has not seen, the share of unl above a
     threshold over that of pos, where its upper confidence bound is least (best bin). The first classifier tells labelled from
     unlabelled; the first prior then serves one that minimises the non-negative risk, whose scores give the prior."""
-    if len(pos) < 2 or len(unl) < 2:
+    side = lambda x: np.array([xxhash.xxh3_64_intdigest(row.tobytes()) & 1 for row in x], dtype=bool)  # noqa: E731  a text in both sets is in one half
+    p, u = side(pos), side(unl)
+    halves = [(pos[p == k], unl[u == k]) for k in (False, True)]
+    if any(not len(x) for half in halves for x in half):
         return 0.5
-    first = best_bin(fit_plain(pos[::2], unl[::2]), pos[1::2], unl[1::2])
-    halves = [(pos[i::2], unl[i::2]) for i in (0, 1)]
+    first = best_bin(fit_plain(*halves[0]), *halves[1])
     return float(np.mean([best_bin(fit_nnpu(*one, first, 200), *two) for one, two in (halves, halves[::-1])]))
 
 

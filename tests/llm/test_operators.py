@@ -222,16 +222,28 @@ def test_pipeline(spark):
 
 
 def test_non_negative_risk_by_numeric_gradient():
-    """fit_nnpu's first step follows the gradient of the risk itself, on both sides of zero of the bracket."""
+    """Where the bracket is positive a step follows the gradient of the risk, where it is negative it goes back along the bracket's."""
     r = np.random.default_rng(1)
-    pos, unl = r.normal(0.5, 1, (40, 3)).astype(np.float32), r.normal(0, 1, (60, 3)).astype(np.float32)
-    s = lambda x, w: 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    pos, unl = (quality.with_one(r.normal(m, 1, (n, 3)).astype(np.float64)) for m, n in ((0.5, 40), (-0.5, 60)))
+    s = lambda x, w: 1 / (1 + np.exp(-(x @ w)))
+    seen = set()
     for prior in (0.2, 0.95):
-        risk = lambda w: prior * (1 - s(pos, w)).mean() + abs(s(unl, w).mean() - prior * s(pos, w).mean())
-        wanted = np.array([-np.sign(risk(e) - risk(-e)) for e in np.eye(4) * 1e-4])
-        w = quality.fit_nnpu(pos, unl, prior, 1)
-        if (s(unl, np.zeros(4)).mean() - prior * 0.5) > 0:
-            assert (np.sign(w[:3]) == wanted[:3]).all()
+        for w in (np.zeros(4), np.array([2.0, 2, 2, 0])):
+            bracket = lambda w: s(unl, w).mean() - prior * s(pos, w).mean()
+            risk = lambda w: prior * (1 - s(pos, w)).mean() + bracket(w)
+            f = risk if bracket(w) >= 0 else lambda w: -bracket(w)
+            wanted = np.array([(f(w + e) - f(w - e)) / 2e-5 for e in np.eye(4) * 1e-5])
+            assert np.allclose(quality.nnpu_step(pos, unl, prior, w), wanted, atol=1e-5)
+            seen.add(bracket(w) >= 0)
+    assert seen == {True, False}
+
+
+def test_prior_halves_share_no_text():
+    """Texts that are positives and unlabelled at once don't move the prior."""
+    r = np.random.default_rng(2)
+    pos, neg = r.normal(1, 0.3, (400, 4)).astype(np.float32), r.normal(-1, 0.3, (300, 4)).astype(np.float32)
+    assert abs(quality.class_prior(pos, np.vstack([pos[:300], neg])) - 0.5) < 0.15
+    assert quality.class_prior(pos[:1], neg) == 0.5
 
 
 def plain_language(texts, learned, lengths=(3, 4)):
