@@ -9,12 +9,14 @@ from ..functions import addresses as A
 from ..functions.rules import DEFAULT, Rule
 from ..functions.samples import sample
 from ..operators import document_profile as D
+from ..operators import fakes
 from ..operators import known as K
 from ..operators import preference as P
 from ..operators import projection as V
 from ..operators import ranges as G
 from ..operators import records as R
 from ..operators.detect import detect, detect_sql
+from ..operators.entities import resolved
 from ..operators.residual import redacted_until_clean
 from ..sources import json_leaves as J
 from .policies import QUERIES, SQL
@@ -121,3 +123,12 @@ o AS (SELECT doc_id, start, "end", type, rule, value, bool_and(ps >= start AND p
 SELECT doc_id, start, "end", type, rule, value FROM f WHERE (doc_id, start, "end", rule) NOT IN (SELECT (doc_id, start, "end", rule) FROM o WHERE NOT covers)
 UNION ALL SELECT doc_id, start, "end", type, rule, value FROM p WHERE NOT EXISTS (SELECT 1 FROM o JOIN m USING (doc_id, start, "end", rule) WHERE covers AND o.doc_id = p.doc_id AND ps = p.start AND pe = p."end")""")(
     lambda spark, d: (lambda t: P.beside_prose(detect(t, _typed), detect(t, [_pair])))(made(spark, d, ("", "studied at the Q{l4} W{l4} U{l6} and University of B{l3} C{l3}", ""))))
+
+# Mentions of one person under the fullest name, and made-up names: one for each value, none twice, none that is there.
+_mentions = [r for r in D.CUES if r.id in ("person-pair", "person-initials")]
+query("join_entity", "SELECT doc_id, unnest(['Zora Quillfeather', 'Z. Quillfeather', 'Q. Quillfeather']) AS value, unnest(['Zora Quillfeather', 'Zora Quillfeather', 'Q. Quillfeather']) AS entity FROM documents")(
+    lambda spark, d: resolved(detect(docs(spark, d).select("doc_id", F.expr("concat(coalesce(text, ''), chr(10), 'Zora Quillfeather, then Z. Quillfeather, not Q. Quillfeather')").alias("text")), _mentions)).where(F.endswith("value", F.lit("Quillfeather"))))
+query("fake_entity", FOUND + "SELECT count(DISTINCT value) AS given, count(DISTINCT value) AS fakes, CAST(0 AS BIGINT) AS there FROM f WHERE type = 'PERSON' OR type = 'USERNAME' OR type = 'EMAIL'")(
+    lambda spark, d: (lambda f: (lambda made: made.join(f.select(F.col("value").alias("fake"), F.lit(1).alias("known")).distinct(), "fake", "left").agg(F.count_distinct("value").alias("given"), F.count_distinct("fake").alias("fakes"), F.count("known").alias("there")))(fakes.assigned(f, f)))(findings(spark, d).where(F.col("type").isin("PERSON", "USERNAME", "EMAIL"))))
+query("tx_fake", FOUND + "SELECT d.doc_id, CAST(count(f.start) AS BIGINT) AS redactions FROM documents d LEFT JOIN (SELECT * FROM f WHERE rule = 'email') f USING (doc_id) GROUP BY d.doc_id")(
+    lambda spark, d: fakes.with_fakes(docs(spark, d), findings(spark, d).where("rule = 'email'")).select("doc_id", "redactions"))
