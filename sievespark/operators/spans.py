@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import row_numbers
+
 
 def ordered(key: str = "doc_id"):
     return W.partitionBy(key).orderBy("start", F.desc("end"), "rule")
@@ -44,11 +46,10 @@ def overlap_semi(findings: DataFrame, spans: DataFrame, key: str = "doc_id") ->
 
 
 def beyond_baseline(findings: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Findings left when each of a baseline's n entries of a fingerprint takes one; only fingerprints that it has are ranked."""
+    """Findings left when each of a baseline's n entries of a fingerprint takes one; only fingerprints that it has are numbered, each over many tasks."""
     joined = findings.join(known, "fp", "left")
-    apart = F.when(F.col("n").isNull(), F.xxhash64(key, "start"))  # no rank is needed there, so a frequent fingerprint is spread
-    ranked = joined.withColumn("rn", F.row_number().over(W.partitionBy("fp", apart).orderBy(key, "start")))
-    return ranked.where("n IS NULL OR rn > n").drop("rn", "n")
+    ranked = row_numbers(joined.where("n IS NOT NULL"), ["fp"], [key, "start"]).where("rn > n").drop("rn")
+    return joined.where("n IS NULL").unionByName(ranked).drop("n")
 
 
 def numbered(findings: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import checks as C
@@ -20,6 +19,7 @@ from ..operators.encoded import RUN, decoded_runs, rewrite_runs
 from ..operators.national import EPOCH, NOISE
 from ..operators.placeholders import TOKEN, placeholders
 from ..operators.propagation import INSIDE, propagated
+from ..operators.ranks import row_numbers
 from ..sources.files import decode_content
 from .queries import BEHIND, FOUND, KEY, QUERIES, SQL, UNION, behind, docs, findings, on_findings, on_samples, query, read
 
@@ -379,7 +379,7 @@ query("fn_istoken", FOUND + ENTRIES + "SELECT doc_id, count(*) AS n FROM v GROUP
 query("win_adjacent", (RUNS % (_word.format(""), "text", K.GAP, K.GAP, "TRUE")).replace("SELECT doc_id, value, start, \"end\", substr(text, start + 1, \"end\" - start) AS found FROM h", r"SELECT doc_id, value, concat(regexp_extract(substr(text, greatest(1, start - 199), least(start, 200)), '(?:\p{Lu}\p{L}+ ){0,3}\z'), substr(text, start + 1, stop - start), regexp_extract(substr(text, stop + 1, 200), '^(?: \p{Lu}\p{L}+){0,3}')) AS whole FROM (SELECT *, " + "\"end\" AS stop FROM h)"))(
     lambda spark, d: K.extended(K.known_words(docs(spark, d), read(spark, d, "benchmark").select(F.expr(_word.format(", 0")).alias("value"))), docs(spark, d)).select("doc_id", "value", "whole"))
 query("sort_longest", "SELECT value, row_number() OVER (ORDER BY length(value) DESC, value) AS place FROM (SELECT DISTINCT regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+') AS value FROM benchmark) WHERE value <> ''")(
-    lambda spark, d: read(spark, d, "benchmark").select(F.regexp_extract("text", "^[A-Za-z]+ [A-Za-z]+", 0).alias("value")).where("value <> ''").distinct().withColumn("place", F.row_number().over(W.orderBy(F.desc(F.length("value")), "value")).cast("long")))
+    lambda spark, d: read(spark, d, "benchmark").select(F.regexp_extract("text", "^[A-Za-z]+ [A-Za-z]+", 0).alias("value")).where("value <> ''").distinct().transform(lambda v: row_numbers(v, [], [F.desc(F.length("value")), "value"], "place")))
 _six = "lpad(cast(c_custkey * 7919 % 1000000 as string), 6, '0')"
 query("fn_datepart", f"SELECT c_custkey, try_strptime(concat('20', {_six}), '%Y%m%d') IS NOT NULL AS valid FROM customer")(
     lambda spark, d: read(spark, d, "customer").select("c_custkey", F.expr(C.day(_six)).alias("valid")))

@@ -16,6 +16,7 @@ from ..functions.samples import sample, with_sample
 from ..operators import spans as P
 from ..operators.detect import detect, detect_sql
 from ..operators.national import detect_national, national_sql
+from ..operators.ranks import row_numbers
 from ..sources import json_leaves as J
 from ..streaming.registry import redact_batch, redact_stream, run_available
 
@@ -154,7 +155,7 @@ query("agg_digest", "SELECT doc_id, sha256(text) AS digest FROM documents")(lamb
 on_findings("win_runmax", "SELECT doc_id, start, rule, max(\"end\") OVER (PARTITION BY doc_id ORDER BY start, \"end\" DESC, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run_max FROM f", lambda f: f.select("doc_id", "start", "rule", F.max("end").over(P.ordered().rowsBetween(W.unboundedPreceding, -1)).alias("run_max")))
 on_findings("win_cursor", UNION + "SELECT doc_id, start, start - lag(\"end\", 1, 0) OVER (PARTITION BY doc_id ORDER BY start) AS gap FROM u", lambda f: P.span_union(f).select("doc_id", "start", (F.col("start") - F.lag("end", 1, 0).over(W.partitionBy("doc_id").orderBy("start"))).alias("gap")))
 on_findings("win_firstseen", "SELECT doc_id, value, rank() OVER (PARTITION BY doc_id ORDER BY s) AS seen FROM (SELECT doc_id, value, min(start) AS s FROM f GROUP BY doc_id, value)", lambda f: f.groupBy("doc_id", "value").agg(F.min("start").alias("s")).select("doc_id", "value", F.rank().over(W.partitionBy("doc_id").orderBy("s")).cast("long").alias("seen")))
-on_findings("win_nth", "SELECT doc_id, start, rule, row_number() OVER (PARTITION BY value ORDER BY doc_id, start, rule) AS nth FROM f", lambda f: f.select("doc_id", "start", "rule", F.row_number().over(W.partitionBy("value").orderBy("doc_id", "start", "rule")).cast("long").alias("nth")))
+on_findings("win_nth", "SELECT doc_id, start, rule, row_number() OVER (PARTITION BY value ORDER BY doc_id, start, rule) AS nth FROM f", lambda f: row_numbers(f.select("doc_id", "start", "rule", "value"), ["value"], ["doc_id", "start", "rule"], "nth").drop("value"))
 on_findings("sort_findings", "SELECT doc_id, start, \"end\", rule FROM f ORDER BY doc_id, start, \"end\" DESC, rule", lambda f: f.select("doc_id", "start", "end", "rule").orderBy("doc_id", "start", F.desc("end"), "rule"))
 on_findings("set_except", "SELECT DISTINCT doc_id, value FROM f WHERE (doc_id, value) NOT IN (SELECT (doc_id, value) FROM f WHERE type = 'PHONE')", lambda f: f.select("doc_id", "value").subtract(f.where("type = 'PHONE'").select("doc_id", "value")))
 query("set_union", f"SELECT doc_id AS id, rule, count(*) AS n FROM ({detect_sql(DEFAULT)}) GROUP BY doc_id, rule UNION ALL SELECT page_id, rule, count(*) FROM ({detect_sql(DEFAULT, 'pages', 'page_id', 'html')}) GROUP BY page_id, rule")(
