@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.stage import staged
 from .ranks import row_numbers
 
 
@@ -47,7 +48,7 @@ def overlap_semi(findings: DataFrame, spans: DataFrame, key: str = "doc_id") ->
 
 def beyond_baseline(findings: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFrame:
     """Findings left when each of a baseline's n entries of a fingerprint takes one; only fingerprints that it has are numbered, each over many tasks."""
-    joined = findings.join(known, "fp", "left")
+    joined = staged(findings.join(known, "fp", "left"))  # read more than once below, as sorting by ranges samples first
     ranked = row_numbers(joined.where("n IS NOT NULL"), ["fp"], [key, "start"]).where("rn > n").drop("rn")
     return joined.where("n IS NULL").unionByName(ranked).drop("n")
 
