@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Entries whose sum is taken at once.
-BLOCK = 64
+BLOCK = 32
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -20,15 +20,21 @@ def total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0).cast("long"), lambda n, x: n + x)
 
 
-def running(numbers: Column) -> Column:
-    """Running sums. Each adds its own block's entries to the sum of the blocks before, so that the work grows with the array and not with its square."""
+def sums(numbers: Column, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """body(first), where first(n) is the sum of the first n numbers: those of the blocks before, added up once, and the rest of its own block."""
+
+    def blocks(a: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(a) - 1, F.lit(0)).cast("int"), F.lit(BLOCK))
+        return F.transform(starts, lambda i: total(F.slice(a, i + 1, F.lit(BLOCK))))
 
-    def summed(a: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(a) - 1, F.lit(0)).cast("int"), F.lit(BLOCK)), lambda i: total(F.slice(a, i + 1, F.lit(BLOCK))))
-        before = lambda b: F.aggregate(b, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-        return let(before(blocks), lambda top: F.transform(a, lambda _, i: F.get(top, F.floor(i / BLOCK).cast("int")) + total(F.slice(a, (F.floor(i / BLOCK) * BLOCK + 1).cast("int"), (i % BLOCK + 1).cast("int")))))
+    before = lambda b: F.aggregate(b, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    at = lambda a, top, n: F.get(top, F.floor(n / BLOCK).cast("int")) + total(F.slice(a, (F.floor(n / BLOCK) * BLOCK + 1).cast("int"), (n % BLOCK).cast("int")))
+    return let(numbers, lambda a: let(before(blocks(a)), lambda top: body(lambda n: at(a, top, n))))
 
-    return let(numbers, summed)
+
+def running(numbers: Column) -> Column:
+    """Running sums. Each adds its own block's entries to the sum of the blocks before, so that the work grows with the array and not with its square."""
+    return let(numbers, lambda a: sums(a, lambda first: F.transform(a, lambda _, i: first(i + 1))))
 
 
 def placed_hits(text: Column, pattern: str) -> Column:

@@ -1,35 +1,57 @@
-"""Dictionaries of known values and secrets against texts, as equi-joins on words and tokens: neither side is broadcast
-unless Spark sees that it is small, and no text is held against every entry."""
+"""Dictionaries of known values and secrets against texts, as equi-joins on words and tokens: no table that grows is
+broadcast, and no text is held against every entry."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, running, sums
+
 #: A word of a text.
 WORD = r"[\p{L}\p{N}_]+"
 INSIDE = r"[\p{L}\p{N}_]"
 
 
+#: Words of the run that leads to the texts that hold a known value or word.
+FIRST = 3
+
+
+def run_hashes(words: str, lengths: list[int]) -> Column:
+    """The distinct hashes of the runs of so many words in an array column of words; null without any."""
+    of = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: run_hash(F.lit(n), F.slice(words, i + 1, n))))
+    return F.array_distinct(F.flatten(F.filter(F.array(*map(of, lengths)), lambda a: a.isNotNull())))
+
+
+def run_hash(n: Column, words: Column) -> Column:
+    return F.xxhash64(n, F.array_join(words, " "))
+
+
 def known_values(docs: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, value, start, end of each occurrence of a known value that letters, digits or _ don't touch.
 
-    The value's first word leads to the texts that hold it; those that contain the whole value are cut at it, and the
-    pieces' lengths give the places. Occurrences don't overlap. Null and wordless values find nothing.
-    """
-    first = lambda t: F.regexp_extract(t, WORD, 0)
-    entries = known.where("value IS NOT NULL").select("value").distinct().select("value", first(F.col("value")).alias("word")).where("word <> ''")
-    words = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("word"))
-    pairs = words.join(entries, "word").select(key, "value").join(docs.select(key, "text"), key).where(F.contains("text", "value"))
+    The hash of a value's first words, FIRST at most, leads to the texts that hold them in a row; the texts that contain the whole value are
+    cut at it, and the pieces' lengths give the places. All words of a value are whole words of a text where nothing touches it, so no place is missed.
+    Occurrences don't overlap. Null and wordless values find nothing. No table is broadcast, as both may be large."""
+    words_of = lambda t: F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
+    entries = known.where("value IS NOT NULL").select("value").distinct().select("value", words_of(F.col("value")).alias("ws")).where(F.size("ws") > 0)
+    leads = F.least(F.size("ws"), F.lit(FIRST))
+    entries = entries.select("value", run_hash(leads, F.slice("ws", F.lit(1), leads)).alias("run"))
+    words = docs.select(key, words_of(F.col("text")).alias("ws")).select(key, F.explode_outer(run_hashes("ws", list(range(1, FIRST + 1)))).alias("run"))
+    values = words.join(entries.hint("merge"), "run").groupBy(key).agg(F.collect_set("value").alias("vs"))
+    held = docs.join(values.hint("merge"), key).select(key, "text", F.explode("vs").alias("value")).where(F.contains("text", "value"))
     quoted = F.concat(F.lit(r"\Q"), F.col("value"), F.lit(r"\E"))
-    pieces = pairs.select(key, "value", F.posexplode(F.split("text", quoted, -1)).alias("i", "piece"))
-    w = W.partitionBy(key, "value").orderBy("i")
+    pieces = held.select(key, "value", F.split("text", quoted, -1).alias("ps"))
     n = F.length("value")
-    placed = pieces.select("*", F.lead("piece").over(w).alias("next"), F.lead("piece", 2).over(w).alias("after"), (F.sum(F.length("piece")).over(w) + F.col("i") * n).alias("start")).where("next IS NOT NULL")
-    left = F.when(F.col("piece") != "", F.right("piece", F.lit(1))).when(F.col("i") > 0, F.right("value", F.lit(1))).otherwise("")
-    right = F.when(F.col("next") != "", F.left("next", F.lit(1))).when(F.col("after").isNotNull(), F.left("value", F.lit(1))).otherwise("")
-    return placed.where(~left.rlike(INSIDE) & ~right.rlike(INSIDE)).select(key, "value", F.col("start").cast("long").alias("start"), (F.col("start") + n).cast("long").alias("end"))
+
+    def placed(ps: Column) -> Column:
+        ends = running(F.transform(ps, lambda p: F.length(p).cast("long")))
+        left = lambda i: F.when(F.get(ps, i) != "", F.right(F.get(ps, i), F.lit(1))).when(i > 0, F.right("value", F.lit(1))).otherwise("")
+        right = lambda i: F.when(F.get(ps, i + 1) != "", F.left(F.get(ps, i + 1), F.lit(1))).when(i + 2 < F.size(ps), F.left("value", F.lit(1))).otherwise("")
+        each = F.transform(F.slice(ends, F.lit(1), F.size(ps) - 1), lambda e, i: F.struct((e + i * n).cast("long").alias("start"), (~left(i).rlike(INSIDE) & ~right(i).rlike(INSIDE)).alias("free")))
+        return F.filter(each, lambda x: x["free"])
+
+    return pieces.select(key, "value", F.explode_outer(let(F.col("ps"), placed)).alias("p")).where("p IS NOT NULL").select(key, "value", "p.start", (F.col("p.start") + n).alias("end"))
 
 
 #: A word without _, and what may stand between the words of a known value: blanks and the marks of tables, quotes and names, one line break at most.
@@ -39,33 +61,40 @@ GAP = r"^(?:[^\p{L}\p{N}\n]{1,4}|[^\p{L}\p{N}\n]{0,3}\n[^\p{L}\p{N}\n]{0,4})\z"
 
 #: Words of a run that leads to a known value; longer values are compared as a whole where such a run stands.
 LEADING = 6
+#: Entries that are broadcast; more are joined by sorting.
+FEW = 10_000
+#: Characters of the chunks that a text is cut into for places within it.
+CHUNK = 512
 
 
 def known_words(docs: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, value, start, end and found (the text there) of each place where a known value's words stand in a row, in any case and
     with any gap of GAP between them, so also within identifiers and tables. Values without a word find nothing.
 
-    Words are cut from the text as it is and lower-cased one by one, as a letter's lower case may be longer than the letter. Runs
-    of the first words of each value, LEADING at most, meet the texts' runs in an equi-join; the text itself is shuffled
-    only for texts with a hit, whose places follow from the lengths of the words and gaps before."""
+    Words are cut from the text as it is and lower-cased one by one, as a letter's lower case may be longer than the letter. Hashes of the runs
+    of the first words of each value, LEADING at most, meet those of the texts' runs in an equi-join, and what meets is compared word by word; the text itself is shuffled
+    only for texts with a hit, whose places follow from the lengths of the words and gaps before, added up once a text."""
     low = lambda t: F.transform(F.regexp_extract_all(t, F.lit(PLAIN), F.lit(0)), lambda w: F.lower(w))
     entries = known.where("value IS NOT NULL").select("value", low(F.col("value")).alias("ws")).distinct().where(F.size("ws") > 0)
     leads = F.least(F.size("ws"), F.lit(LEADING))
     entries = entries.select("value", F.size("ws").alias("n"), F.array_join("ws", " ").alias("all"), leads.alias("k"), F.array_join(F.slice("ws", F.lit(1), leads), " ").alias("run"))
     lengths = sorted(r[0] for r in entries.select("k").distinct().collect())  # LEADING numbers at most
+    entries = entries.withColumn("h", F.xxhash64("k", "run"))
     worded = docs.select(key, low(F.col("text")).alias("ws"))
-    runs_of = lambda n: F.when(F.size("ws") >= n, F.transform(F.sequence(F.lit(0), F.size("ws") - n), lambda i: F.struct(F.lit(n).alias("k"), i.alias("i"), F.array_join(F.slice("ws", i + 1, n), " ").alias("run"))))
-    runs = worded.select(key, F.explode_outer(F.flatten(F.filter(F.array(*map(runs_of, lengths or [1])), lambda a: a.isNotNull()))).alias("r")).select(key, "r.k", "r.i", "r.run")
-    hits = runs.join(entries, ["k", "run"]).groupBy(key).agg(F.collect_list(F.struct("value", "i", "n", "all")).alias("hits"))
-    pieces = docs.join(hits, key).select(key, "text", "hits", F.split("text", PLAIN, -1).alias("gs"), F.regexp_extract_all("text", F.lit(PLAIN), F.lit(0)).alias("words"))
-    length = lambda a: F.length(F.array_join(a, ""))
+    runs_of = lambda n: F.when(F.size("ws") >= n, F.transform(F.sequence(F.lit(0), F.size("ws") - n), lambda i: F.struct(i.alias("i"), F.xxhash64(F.lit(n), F.array_join(F.slice("ws", i + 1, n), " ")).alias("h"))))
+    runs = worded.select(key, F.explode_outer(F.flatten(F.filter(F.array(*map(runs_of, lengths or [1])), lambda a: a.isNotNull()))).alias("r")).select(key, "r.i", "r.h")
+    few = entries.select("h").limit(FEW + 1).count() <= FEW  # so what is broadcast is bounded
+    met = runs.join(entries.select("h", "value", "n", "k", "run", "all").hint("broadcast" if few else "merge"), "h")
+    hits = met.groupBy(key).agg(F.collect_list(F.struct("value", "i", "n", "k", "run", "all")).alias("hits"))
+    pieces = docs.join(hits.hint("merge"), key).select(key, "hits", F.split("text", PLAIN, -1).alias("gs"), F.regexp_extract_all("text", F.lit(PLAIN), F.lit(0)).alias("words"))
     inner = lambda h: F.slice("gs", h["i"] + 2, h["n"] - 1)
-    start = lambda h: length(F.slice("gs", 1, h["i"] + 1)) + length(F.slice("words", 1, h["i"]))
-    size = lambda h: length(inner(h)) + length(F.slice("words", h["i"] + 1, h["n"]))
-    whole = lambda h: (h["n"] <= LEADING) | (F.array_join(F.transform(F.slice("words", h["i"] + 1, h["n"]), lambda w: F.lower(w)), " ") == h["all"])
+    joined = lambda h, n: F.array_join(F.transform(F.slice("words", h["i"] + 1, n), lambda w: F.lower(w)), " ")
+    whole = lambda h: (joined(h, h["k"]) == h["run"]) & ((h["n"] <= LEADING) | (joined(h, h["n"]) == h["all"]))
     near = F.filter("hits", lambda h: whole(h) & F.forall(inner(h), lambda g: g.rlike(GAP)))
-    placed = F.transform(near, lambda h: F.struct(h["value"].alias("value"), start(h).cast("long").alias("start"), size(h).cast("long").alias("size")))
-    found = F.transform(placed, lambda p: F.struct(p["value"].alias("value"), p["start"].alias("start"), (p["start"] + p["size"]).alias("end"), F.substring("text", (p["start"] + 1).cast("int"), p["size"].cast("int")).alias("found")))
+    sizes = F.zip_with("gs", F.concat("words", F.array(F.lit(""))), lambda g, w: (F.length(g) + F.length(w)).cast("long"))  # of each gap and the word behind it
+    text = lambda h: F.array_join(F.zip_with(F.slice("words", h["i"] + 1, h["n"]), F.concat(inner(h), F.array(F.lit(""))), lambda w, g: F.concat(w, g)), "")
+    span = lambda h, first: F.struct(h["value"].alias("value"), (first(h["i"]) + F.length(F.get("gs", h["i"]))).alias("start"), first(h["i"] + h["n"]).alias("end"), text(h).alias("found"))
+    found = sums(sizes, lambda first: F.transform(near, lambda h: span(h, first)))
     return pieces.select(key, F.explode_outer(found).alias("f")).where("f IS NOT NULL").select(key, "f.*")
 
 
@@ -77,10 +106,19 @@ def proper_case(hits: DataFrame) -> DataFrame:
 def extended(hits: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Hits of known_words with `whole`: with up to three capitalised words in the 200 characters on either side, a blank between."""
     word = r"\p{Lu}\p{L}+"
-    joined = hits.join(docs.select(key, "text"), key)
-    before = F.regexp_extract(F.substring("text", F.greatest(F.lit(1), F.col("start") - 199).cast("int"), F.least(F.col("start"), F.lit(200)).cast("int")), rf"(?:{word} ){{0,3}}\z", 0)
-    after = F.regexp_extract(F.substring("text", (F.col("end") + 1).cast("int"), F.lit(200)), rf"^(?: {word}){{0,3}}", 0)
-    return joined.select(*hits.columns, F.concat(before, "found", after).alias("whole"))
+    lists = hits.groupBy(key).agg(F.collect_list(F.struct(*[c for c in hits.columns if c != key])).alias("hs"))
+    cut = docs.select(key, "text").join(lists.hint("merge"), key).select(key, "hs", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("cs"))
+
+    def near(a: Column, b: Column) -> Column:
+        """The text from a to b, from the chunks that hold it: a place is found without counting from the text's beginning."""
+        i = F.floor(a / CHUNK).cast("int")
+        held = F.array_join(F.slice("cs", i + 1, F.floor(b / CHUNK).cast("int") - i + 1), "")
+        return F.substring(held, (a % CHUNK + 1).cast("int"), (b - a).cast("int"))
+
+    before = lambda h: F.regexp_extract(near(F.greatest(F.lit(0), h["start"] - 200), h["start"]), rf"(?:{word} ){{0,3}}\z", 0)
+    after = lambda h: F.regexp_extract(near(h["end"], h["end"] + 200), rf"^(?: {word}){{0,3}}", 0)
+    whole = F.transform("hs", lambda h: F.struct(h.alias("h"), F.concat(before(h), h["found"], after(h)).alias("whole")))
+    return cut.select(key, F.explode(whole).alias("w")).select(key, "w.h.*", "w.whole").select(*hits.columns, "whole")
 
 
 def name_forms(given: Column, surname: Column) -> Column:
@@ -109,15 +147,15 @@ def known_secrets(docs: DataFrame, secrets: DataFrame, key: str = "doc_id") -> D
 
     Each spelling is led to by one of its pieces of PIECE characters (all of it, if it is shorter), the one that
     fewest other spellings have, so secrets that begin alike don't meet all texts of each other. Texts' pieces meet these in an equi-join, one for each
-    length of pieces there is, and what meets is verified literally."""
+    length of pieces there is, and what meets is verified literally. No side is broadcast: each grows with its table, which the driver would hold."""
     spelled = secrets.where("secret <> ''").select("secret", F.explode(spellings(F.col("secret"))).alias("s")).groupBy("secret", F.col("s.token").alias("token")).agg(F.min("s.spelling").alias("spelling"))
     sized = spelled.withColumn("k", F.least(F.length("token"), F.lit(PIECE)))
     lengths = sorted(r[0] for r in sized.select("k").distinct().collect())  # PIECE numbers at most
     each = sized.select("secret", "token", "spelling", "k", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - F.col("k") + 1), lambda i: F.substring(F.col("token"), i, F.col("k")))).alias("piece"))
     count = each.groupBy("k", "piece").agg(F.count(F.lit(1)).alias("c"))
-    rare = each.join(count, ["k", "piece"]).groupBy("secret", "token", "spelling", "k").agg(F.min(F.struct("c", "piece")).alias("p")).select("secret", "token", "spelling", "k", "p.piece")
+    rare = each.join(count.hint("merge"), ["k", "piece"]).groupBy("secret", "token", "spelling", "k").agg(F.min(F.struct("c", "piece")).alias("p")).select("secret", "token", "spelling", "k", "p.piece")
     of_length = lambda k: F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))), lambda p: F.struct(F.lit(k).alias("k"), p.alias("piece")))
     pieces = docs.where("text IS NOT NULL").select(key, F.explode(F.flatten(F.array(*map(of_length, lengths or [PIECE])))).alias("x")).select(key, "x.k", "x.piece")
-    met = pieces.join(rare, ["k", "piece"]).select(key, "secret", "token", "spelling")
-    found = met.join(docs.select(key, "text"), key).withColumn("n", ((F.length("text") - F.length(F.replace("text", "token", F.lit("")))) / F.length("token")).cast("long"))
+    met = pieces.join(rare.hint("merge"), ["k", "piece"]).select(key, "secret", "token", "spelling")
+    found = met.join(docs.select(key, "text").hint("merge"), key).withColumn("n", ((F.length("text") - F.length(F.replace("text", "token", F.lit("")))) / F.length("token")).cast("long"))
     return found.where("n > 0").groupBy(key, "secret", "spelling").agg(F.max("n").alias("n"))

@@ -81,3 +81,22 @@ def test_templates_and_context(spark):
     assert sorted((r.category, r.value) for r in O.without_templates(found).collect()) == [("credential", "real<value>"), ("credential", "xyz"), ("personal", "****")]
     near = spark.createDataFrame([("my Order ", "", 0.3), ("", "", 0.3), ("order", "", 0.9), ("order", "", 0.01)], "before string, after string, s double")
     assert [round(r[0], 6) for r in near.select(O.boosted(F.col("s"), "order")).collect()] == [0.65, 0.3, 1.0, 0.4]
+
+
+def test_growing_tables_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(1, "auth: p@ss.word! Anna Smith of Ann Lee")], "doc_id long, text string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    secrets = K.known_secrets(docs, spark.createDataFrame([("p@ss.word!",)], "secret string"))
+    values = K.known_values(docs, spark.createDataFrame([("Ann Lee",)], "value string"))
+    assert "BroadcastExchange" not in plan(secrets) and "BroadcastExchange" not in plan(values)
+    assert [(r.secret, r.n) for r in secrets.collect()] == [("p@ss.word!", 1)] and [(r.start, r.end) for r in values.collect()] == [(31, 38)]
+
+
+def test_many_hits_in_a_long_text(spark):
+    """Places and surroundings of each of many hits, behind letters of several bytes."""
+    text = "Ян Anna Smith met, " * 3000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    hits = K.known_words(docs, spark.createDataFrame([("anna smith",), ("met",)], "value string"))
+    got = K.extended(hits, docs).collect()
+    assert len(got) == 6000 and all(text[r.start : r.end] == r.found for r in got)
+    assert {(r.found, r.whole) for r in got} == {("Anna Smith", "Ян Anna Smith"), ("met", "Ян Anna Smith met")}
