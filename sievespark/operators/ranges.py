@@ -23,11 +23,12 @@ def _range(place: Column) -> Column:
 def overlapping(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:
     """left's columns and right's, with r_ before their names, of each two intervals of a document that overlap, once.
 
-    Both are dealt to the ranges that they touch, and a pair counts in the first range that it shares. Empty intervals overlap nothing."""
+    Both are dealt to the ranges that they touch, and a pair counts in the first range that it shares. Empty intervals overlap nothing.
+    Neither side is broadcast, as both grow with the documents."""
     touched = lambda s, e: F.explode(F.sequence(_range(F.col(s)), _range(F.col(e) - 1))).alias("range")
     l_ = left.where("end > start").select("*", touched("start", "end"))
     r = right.where("end > start").select(key, *[F.col(c).alias("r_" + c) for c in right.columns if c != key]).select("*", touched("r_start", "r_end"))
-    met = l_.join(r, [key, "range"]).where((F.col("r_start") < F.col("end")) & (F.col("start") < F.col("r_end")))
+    met = l_.join(r.hint("merge"), [key, "range"]).where((F.col("r_start") < F.col("end")) & (F.col("start") < F.col("r_end")))
     return met.where(F.col("range") == F.greatest(_range(F.col("start")), _range(F.col("r_start")))).drop("range")
 
 
@@ -41,7 +42,7 @@ def snapped(findings: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFr
     """findings of which none begins or ends within an escape: it takes the whole of it."""
     spans = findings.select(key, "start", "end").distinct()
     wide = overlapping(spans, escapes(docs, key), key).groupBy(key, "start", "end").agg(F.min("r_start").alias("low"), F.max("r_end").alias("high"))
-    joined = findings.join(wide, [key, "start", "end"], "left")
+    joined = findings.join(wide.hint("merge"), [key, "start", "end"], "left")
     return joined.withColumns({"start": F.least("start", "low"), "end": F.greatest("end", "high")}).select(*findings.columns)
 
 
@@ -76,6 +77,6 @@ def beside_keys(findings: DataFrame, leaves: DataFrame, key: str = "doc_id") ->
     """findings but for personal ones that touch a key that is a plain name; a known value stays."""
     keys = leaves.where(F.col("is_key") & F.col("value").rlike(NAME_KEY)).select(key, "start", "end")
     bound = overlapping(findings.where("category = 'personal' AND rule <> 'known-personal'").select(key, "start", "end").distinct(), keys, key).select(key, "start", "end").distinct().withColumn("bound", F.lit(True))
-    joined = findings.join(bound, [key, "start", "end"], "left")
+    joined = findings.join(bound.hint("merge"), [key, "start", "end"], "left")
     free = F.col("bound").isNull() | (F.col("category") != "personal") | (F.col("rule") == "known-personal")
     return joined.where(free).select(*findings.columns)

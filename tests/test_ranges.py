@@ -89,3 +89,9 @@ def test_findings_in_json_strings(spark):
     across = detect(docs, [Rule("over", "personal", "X", r"b\.org\", \"bob@", 0.9)])
     assert sorted(x.value for x in G.in_leaves(across, leaves(docs)).collect()) == ["Anna a@b.org", "bob@b.org"]
     assert G.in_leaves(df.where("false"), leaves(docs)).count() == 0
+
+
+def test_intervals_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(1, 0, 3)], "doc_id long, start long, end long")
+    met = G.overlapping(rows, rows.withColumn("n", F.lit(1)))
+    assert "BroadcastExchange" not in met._jdf.queryExecution().executedPlan().toString() and met.count() == 1
