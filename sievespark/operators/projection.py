@@ -22,6 +22,8 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stage import staged
+
 Edit = tuple[int, int, str]
 
 
@@ -199,6 +201,44 @@ LAYERS: dict[str, Callable[[str], Iterator[Edit]]] = {
     "accents": replaced(r"\p{Script=Cyrillic}\p{M}+", without_accents),
     "scripts": one_script,
 }
+# What a text holds that a layer can change; each is quicker to look for than the layer's own pattern, and none is missed.
+MIXED = re.compile(r"\p{Script=Latin}[^\P{L}\p{Script=Latin}\p{Script=Cyrillic}]*\p{Script=Cyrillic}|\p{Script=Cyrillic}[^\P{L}\p{Script=Latin}\p{Script=Cyrillic}]*\p{Script=Latin}")
+LINE = re.compile(r"\n?[^\n]+|\n")  # a break belongs to the line behind it, whose first mark may stand on it
+DECIMAL = re.compile(r"[^\P{Nd}0-9]")
+
+
+def unformed(text: str) -> bool:
+    """Parts of a text in NFKC are in it too, so such a text has nothing to change but digits; … stays in any case."""
+    return not text.isascii() and (not unicodedata.is_normalized("NFKC", text.replace("…", ".")) or bool(DECIMAL.search(text)))
+
+
+MARKS = {"terminal": "\x1b", "nul": "\0", "points": "U+", "css": "\\", "units": "\\u", "bytes": "\\x", "percent": "%", "entity": "&", "control": "\\", "plus": "+", "tags": "<"}
+CHANGED: dict[str, Callable[[str], bool]] = {
+    **{name: lambda text, mark=mark: mark in text for name, mark in MARKS.items()},
+    "braced": lambda text: "\\" in text or "%u" in text,
+    "hidden": lambda text: not text.isascii(),
+    "accents": lambda text: not text.isascii(),
+    "forms": unformed,
+    "scripts": lambda text: not text.isascii() and bool(MIXED.search(text)),
+}
+#: Layers whose matches cross no end of a line, so that each line can be looked at by itself.
+BY_LINE = ("forms", "scripts")
+
+
+def edits_of(name: str, text: str) -> list[Edit]:
+    """A layer's edits of a text. Its pattern runs only where it can find something."""
+    if not CHANGED[name](text):
+        return []
+    if name not in BY_LINE:
+        return list(LAYERS[name](text))
+    edits, at = [], 0
+    for line in LINE.findall(text):
+        if CHANGED[name](line):
+            edits += [(at + start, at + end, new) for start, end, new in LAYERS[name](line)]
+        at += len(line)
+    return edits
+
+
 #: For rules, and for known values.
 GENERAL = ["terminal", "hidden", "nul", "points", "css", "units", "braced", "bytes", "percent", "entity", "tags", "hidden", "forms"]
 KNOWN = ["percent", "entity", "percent", "units", "control", "plus", "hidden", "accents", "scripts", "forms"]
@@ -209,7 +249,7 @@ UNCHANGED = r"^[\x01-\x1a\x1c-\x24\x26-\x2a\x2c-\x3b\x3d-\x54\x56-\x5b\x5d-\x7f]
 def view_of(text: str, layers: list[str]) -> tuple[str, Places] | None:
     places = None
     for name in layers:
-        edits = list(LAYERS[name](text))
+        edits = edits_of(name, text)
         if edits:
             text, then = applied(text, edits)
             places = composed(places, then) if places else then
@@ -217,7 +257,8 @@ def view_of(text: str, layers: list[str]) -> tuple[str, Places] | None:
 
 
 def projected(docs: DataFrame, layers: list[str] = GENERAL, key: str = "doc_id") -> DataFrame:
-    """key, text (the view), at, src and stop of each text that the layers, one after the other, change."""
+    """key, text (the view), at, src and stop of each text that the layers, one after the other, change. A written table, as
+    what is found in views and its places both read it: no view is made twice."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,7 +268,7 @@ def projected(docs: DataFrame, layers: list[str] = GENERAL, key: str = "doc_id")
             yield pa.RecordBatch.from_arrays([kept, pa.array([t for _, (t, _) in made], pa.string()), *arrays], [key, "text", *Places._fields])
 
     kind = docs.select(key).schema[0].dataType.simpleString()
-    return docs.where(F.col("text").isNotNull() & ~F.col("text").rlike(UNCHANGED)).select(key, "text").mapInArrow(make, f"{key} {kind}, text string, at array<int>, src array<int>, stop array<int>")
+    return staged(docs.where(F.col("text").isNotNull() & ~F.col("text").rlike(UNCHANGED)).select(key, "text").mapInArrow(make, f"{key} {kind}, text string, at array<int>, src array<int>, stop array<int>"))
 
 
 def placed(findings: DataFrame, views: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -235,7 +276,7 @@ def placed(findings: DataFrame, views: DataFrame, key: str = "doc_id") -> DataFr
 
     A text's findings meet its map once, and no text is shuffled for it."""
     rest = [c for c in findings.columns if c not in (key, "start", "end")]
-    lists = findings.groupBy(key).agg(F.collect_list(F.struct("start", "end", *rest)).alias("found")).join(views.select(key, *Places._fields), key)
+    lists = findings.groupBy(key).agg(F.collect_list(F.struct("start", "end", *rest)).alias("found")).join(views.select(key, *Places._fields).hint("merge"), key)
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -87,3 +87,15 @@ def test_rounds_until_clean(spark):
     deep = redacted_until_clean(spark.createDataFrame([(1, "a" * 4 + "b" * 4), (2, "a" * 5 + "b" * 5)], ROWS), lambda d: detect(d, [twice]), "")
     assert {r.doc_id: (r.text, r.rounds, r.error) for r in deep.collect()} == {1: ("", 4, None), 2: (None, 4, "ERR_RESIDUAL")}
     assert redacted_until_clean(docs.where("false"), detect).count() == 0
+
+
+def test_layers_run_only_where_they_change_something(monkeypatch):
+    """Letters that no layer changes cost no call each, and what a layer finds is what its pattern finds."""
+    from sievespark.operators import projection as P
+
+    plain, calls = "обычный текст é\n" * 50, []
+    monkeypatch.setitem(P.LAYERS, "forms", lambda t, of=P.LAYERS["forms"]: calls.append(t) or of(t))
+    monkeypatch.setitem(P.LAYERS, "scripts", lambda t, of=P.LAYERS["scripts"]: calls.append(t) or of(t))
+    assert P.view_of(plain + "ﬁ²", P.KNOWN)[0] == plain + "fi2" and calls == ["\nﬁ²"]
+    for text in ("a…́b\ńc", "Вeлo ﬁ ٣１\n²\n\ncе", plain, "", "…", "ﬁ…²"):
+        assert all(P.edits_of(name, text) == list(P.LAYERS[name](text)) for name in P.LAYERS)
