@@ -257,11 +257,16 @@ SELECT doc_id, start, concat('{"ruleId":"', rule, '","ruleIndex":', i, ',"level"
 # Annotated spans: what BEHIND puts behind each text, one rule after the other.
 @query("agg_benchmark", "SELECT rule, count(*) AS annotated, count(*) AS exact, count(*) AS overlapped FROM documents, (SELECT unnest([{}]) AS rule) GROUP BY rule".format(", ".join(f"'{r}'" for r in BEHIND)))
 def _recall(spark, d):
-    start = lambda before: f"cast(length(coalesce(text, '')) + 1 + length({sample(before, 'doc_id')}) as bigint)"
-    one = lambda r, before, value, after: F.struct(F.lit(r).alias("rule"), F.expr(behind(before, value, after)).alias("made"), F.expr(start(before)).alias("start"), F.expr(f"length({sample(value, 'doc_id')})").alias("n"))
-    each = F.explode(F.array(*[one(r, *parts) for r, parts in BEHIND.items()])).alias("e")
-    made = docs(spark, d).select("doc_id", each).select(F.concat(F.col("doc_id").cast("string"), F.lit("/"), "e.rule").alias("doc_id"), "e.rule", F.col("e.made").alias("text"), "e.start", (F.col("e.start") + F.col("e.n")).alias("end"))
-    return R.recall(made.select("doc_id", "rule", "start", "end"), detect(made))
+    """Each text is looked through once, with all of them behind it, a line break around each."""
+    parts, spans, at = ["coalesce(text, '')"], [], "length(coalesce(text, ''))"
+    for rule, (before, value, after) in BEHIND.items():
+        b, v, a = (sample(t, "doc_id") for t in (before, value, after))
+        parts.append(f"chr(10), {b}, {v}, {a}, chr(10)")
+        spans.append(f"struct('{rule}' as rule, cast({at} + 1 + length({b}) as bigint) as start, cast({at} + 1 + length({b}) + length({v}) as bigint) as end)")
+        at += f" + 2 + length({b}) + length({v}) + length({a})"
+    made = docs(spark, d).select("doc_id", F.expr(f"concat({', '.join(parts)})").alias("text"))
+    annotated = docs(spark, d).select("doc_id", F.explode(F.expr(f"array({', '.join(spans)})")).alias("e")).select("doc_id", "e.*")
+    return R.recall(annotated, detect(made))
 
 
 # Redact, and look again at what was written: what is found in each round.
@@ -338,7 +343,7 @@ _account = "concat('DE00', lpad(cast(c_custkey as string), 18, '3'))"
 query("fake_iban", f"""WITH a AS (SELECT c_custkey, concat('DE00', lpad(CAST(c_custkey AS VARCHAR), 18, '3')) AS value FROM customer),
 b AS (SELECT c_custkey, string_agg(CAST({_below(_h("value_key"), 10)} AS VARCHAR), '' ORDER BY i) AS turned FROM (SELECT c_custkey, i, concat('IBAN|', value, '|', i) AS value_key FROM (SELECT *, unnest(range(0, 18)) AS i FROM a)) GROUP BY c_custkey)
 SELECT c_custkey, concat('DE', lpad(CAST(98 - (turned || '131400')::HUGEINT % 97 AS VARCHAR), 2, '0'), turned) AS fake FROM b""")(
-    lambda spark, d: read(spark, d, "customer").select("c_custkey", S.fake_iban(KEY, F.expr(_account)).alias("fake")))
+    lambda spark, d: read(spark, d, "customer").repartition("c_custkey").select("c_custkey", S.fake_iban(KEY, F.expr(_account)).alias("fake")))
 query("fn_mrz", "SELECT o_orderkey, CAST(list_sum(list_transform(range(1, 10), lambda i: (strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', z[i]) - 1) * [7, 3, 1][(i - 1) % 3 + 1] + CASE WHEN z[i] = '<' THEN [7, 3, 1][(i - 1) % 3 + 1] ELSE 0 END)) % 10 AS INT) AS check FROM (SELECT o_orderkey, concat('L', lpad(CAST(o_orderkey AS VARCHAR), 7, '<'), 'Q') AS z FROM orders)".replace("AS check", 'AS "check"'))(
     lambda spark, d: read(spark, d, "orders").select("o_orderkey", S.mrz_check(F.expr("concat('L', lpad(cast(o_orderkey as string), 7, '<'), 'Q')")).alias("check")))
 
