@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 
 def chars(s: Column) -> Column:
     return F.filter(F.split(s, ""), lambda c: c != "")
@@ -122,5 +124,5 @@ def fake_date(key: bytes, day: Column) -> Column:
 def fake_iban(key: bytes, value: Column) -> Column:
     """An IBAN with other digits of the account and right check digits."""
     turned = F.array_join(F.transform(chars(F.substring(value, 5, 64)), lambda c, i: F.when(c.rlike("[0-9]"), (number_of(hmac_sha256(key, F.concat(F.lit("IBAN|"), value, F.lit("|"), i.cast("string"))), 10)).cast("string")).otherwise(c)), "")
-    check = F.lit(98) - mod97(F.concat(F.left(value, F.lit(2)), F.lit("00"), turned))
-    return F.concat(F.left(value, F.lit(2)), F.lpad(check.cast("string"), 2, "0"), turned)
+    check = lambda t: F.lit(98) - mod97(F.concat(F.left(value, F.lit(2)), F.lit("00"), t))
+    return let(turned, lambda t: F.concat(F.left(value, F.lit(2)), F.lpad(check(t).cast("string"), 2, "0"), t))
