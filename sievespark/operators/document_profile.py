@@ -63,9 +63,14 @@ def entity(value: Column) -> Column:
 def accumulated(cues: DataFrame, least: float = 0.7, key: str = "doc_id") -> DataFrame:
     """cues (findings with value and confidence) of the entities that come to `least` in their text, with the entity's score as confidence."""
     named = cues.withColumn("entity", entity(F.col("value"))).where("entity <> ''")
-    once = named.groupBy(key, "type", "entity", "rule").agg(F.max("confidence").alias("c"))
-    scores = once.groupBy(key, "type", "entity").agg(F.round(1 - F.product(1 - F.col("c")), 6).alias("score")).where(F.col("score") >= least)
-    return named.join(scores, [key, "type", "entity"]).withColumn("confidence", F.col("score")).select(*cues.columns)
+    # An entity's cues in a text are one row, so that they are found once.
+    fields = [c for c in cues.columns if c not in (key, "type")]
+    lists = named.groupBy(key, "type", "entity").agg(F.collect_list(F.struct(*fields)).alias("fs"))
+    best = lambda r: F.array_max(F.transform(F.filter("fs", lambda f: f["rule"] == r), lambda f: f["confidence"]))
+    rules = F.array_sort(F.array_distinct(F.transform("fs", lambda f: f["rule"])))
+    wrong = F.aggregate(rules, F.lit(1.0), lambda p, r: p * (F.lit(1.0) - best(r)))
+    scored = lists.withColumn("score", F.round(1 - wrong, 6)).where(F.col("score") >= least)
+    return scored.select(key, "type", "score", F.explode("fs").alias("f")).select(key, "type", "score", "f.*").withColumn("confidence", F.col("score")).select(*cues.columns)
 
 
 def document_entities(docs: DataFrame, least: float = 0.7, key: str = "doc_id", cues: list[Rule] = CUES) -> DataFrame:
