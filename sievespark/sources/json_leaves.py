@@ -37,7 +37,7 @@ def _walk(text: str) -> Iterator[tuple]:
         elif t == ":":
             key = False
         elif t[0] == '"':
-            value = json.loads(t)
+            value = json.loads(t) if "\\" in t else t[1:-1]
             if key:
                 path[-1] = value
             field = next((p for p, a in zip(reversed(path), reversed(arrays)) if not a), "")
@@ -60,7 +60,8 @@ def leaves(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             names = [key, "path", "field", "is_key", "raw", "value", "start", "end", "error"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
-    return docs.select(key, text).mapInArrow(make, f"{key} {schema[0].dataType.simpleString()}, {LEAF}")
+    # A small file of many rows is few tasks where it is read.
+    return docs.select(key, text).repartition(key).mapInArrow(make, f"{key} {schema[0].dataType.simpleString()}, {LEAF}")
 
 
 def field_matches(pattern: str, path: str = "path", field: str = "field") -> Column:
