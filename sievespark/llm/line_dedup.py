@@ -13,8 +13,8 @@ kept as they are; n_chars, where there is one, follows the text. An empty table
 array of its lines in one row.
 
 Chunks miss most of a short passage that is repeated between other lines, as both its cuts must lie inside it. The
-rule is that of the query's SQL, so it stays for op7_line_dedup; without_passages(), for pipelines, looks at each two
-lines in a row instead and needs no cuts.
+rule is that of the query's SQL, so it stays for op7_line_dedup; without_passages(), for pipelines, removes the same chunks and
+looks at each two lines in a row too, which needs no cuts.
 """
 
 from __future__ import annotations
@@ -89,11 +89,20 @@ def pairs(docs: DataFrame) -> DataFrame:
 def without_passages(docs: DataFrame) -> DataFrame:
     """docs without the lines of each passage of two lines or more that stands at an earlier place (by doc_id) too,
     whatever lines are around it. Each line removed stays in the place that its passage was first in, or, where that
-    is within another repeated passage, in the first place of that one."""
+    is within another repeated passage, in the first place of that one.
+
+    Repeated chunks of lines go by line_dedup's rule; pairs() is the exact check behind it, on the same texts, that finds what their cuts miss. Both
+    judge the input, so lines that meet only where a chunk has gone are no passage."""
     cols = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("r"), "text", *row_key()).join(pairs(docs.select("doc_id", "text")), ["row_id", "row_hash"], "left")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("r"), "text", *row_key())
+    chunks = removals(docs.select("doc_id", "text")).withColumnRenamed("gone", "chunks")
+    both = with_chunks(keyed.join(chunks, ["row_id", "row_hash"], "left")).drop("ls").join(pairs(docs.select("doc_id", "text")), ["row_id", "row_hash"], "left")
+    in_chunks = F.flatten(F.transform(F.filter("cs", lambda c: F.array_contains("chunks", c["start"])), lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1)))
+    in_pairs = F.concat("gone", F.transform("gone", lambda i: i + 1))
+    lines = F.concat(F.coalesce(in_chunks, F.array().cast("array<int>")), F.coalesce(in_pairs, F.array().cast("array<int>")))
+    rows = both.withColumn("gone", F.when(F.col("chunks").isNotNull() | F.col("gone").isNotNull(), lines)).drop("cs", "chunks")
     ls = F.split("text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), F.concat("gone", F.transform("gone", lambda i: i + 1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("ls", i)), "\n"))
     done = rows.withColumn("ls", F.when(F.col("gone").isNotNull(), ls)).select("r", "gone", text.alias("text"))
     as_before = {"text": F.col("text"), "n_chars": F.when(F.col("gone").isNotNull(), F.length("text")).otherwise(F.col("r.n_chars")).cast(dict(docs.dtypes)["n_chars"]) if "n_chars" in cols else None}
