@@ -6,16 +6,16 @@ text in order, cut into records where a blank line, the end of the object around
 the record has already comes between. Parts of a record meet by role, their orders meet the known names in one equi-join,
 and a hit gives each part that it covers at its own place.
 
-Only texts that name such a field at all are cut into lines. Null texts have no parts; keys of documents are unique.
+Only texts that name such a field at all are cut into lines, each shape is an array of parts of its text. Null texts have no parts; keys of documents are unique.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let, placed_hits, running
@@ -30,6 +30,8 @@ ENDS = {"given": "firstnames?|givennames?|forenames?|имя", "surname": "lastna
 BEGINS = {"given": "имя", "surname": "фамилия", "patronymic": "отчество"}
 #: What a text that has such a field holds.
 HINT = "(?iu)first|last|given|family|surname|forename|middle|patronym|[flm]name|имя|фамили|отчеств"
+#: The same words in lower case.
+HINTS = "first last given family surname forename middle patronym fname lname mname имя фамили отчеств".split()
 ROLES = list(WHOLE)
 #: Longest part of a name and longest gap between two fields of a record.
 LONGEST, GAP = 200, 400
@@ -40,6 +42,10 @@ ITEM = r"^[ \t]*(?:[-*+]|[0-9]{1,9}[.)])[ \t]"
 INSERT = r"(?i)\(([^()\r\n]{1,1000})\)\s*VALUES\s*((?:\([^()]{0,4000}\)\s*,?\s*){1,1000})"
 PART = "struct<rec:string,role:string,value:string,start:long,end:long>"
 DELIMITERS = ["|", "\t", ";", ","]
+#: Lines in a row of which none is blank, and of which each has a bar.
+_blank = r"(?! *\r{0,2}(?![^\n]))"
+BLOCK = rf"(?<![^\n]){_blank}[^\n]+(?:\n{_blank}[^\n]+)*+"
+BARRED = r"(?<![^\n])[^\n|]*\|[^\n]*(?:\n[^\n|]*\|[^\n]*)*+"
 
 
 def role(name: Column) -> Column:
@@ -60,14 +66,25 @@ def _part(rec: Column, kind: Column, raw: Column, at: Column, marks: str = r"[\s
     return F.struct(rec.cast("string").alias("rec"), kind.alias("role"), value.alias("value"), (at + lead).cast("long").alias("start"), (at + lead + F.length(value)).cast("long").alias("end"))
 
 
-def lines(docs: DataFrame, key: str) -> DataFrame:
-    """key, i, at (where it starts) and line of each line of the texts that may have a field of a name."""
-    texts = docs.where(F.col("text").rlike(HINT)).select(key, F.split("text", "\n", -1).alias("ls"))
-    ends = let(F.col("ls"), lambda ls: F.zip_with(ls, running(F.transform(ls, lambda x: (F.length(x) + 1).cast("long"))), lambda x, e: F.struct((e - F.length(x) - 1).alias("at"), F.regexp_replace(x, "\r$", "").alias("line"))))
-    return texts.select(key, F.posexplode(ends).alias("i", "l")).select(key, "i", "l.at", "l.line")
+def named(text: Column) -> Column:
+    """text.rlike(HINT), by searches for words: a pattern that ignores case tries all its words at each character."""
+    unlike = text.rlike("[ıİſᲀ-ᲅ]") & text.rlike(HINT)  # letters that the pattern takes for others and lower() doesn't
+    return let(F.lower(text), lambda t: reduce(Column.__or__, [F.contains(t, F.lit(w)) for w in HINTS])) | unlike
 
 
-def pair_parts(rows: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+def placed_lines(text: Column) -> Column:
+    """at (where it starts) and line of each line of a text."""
+    placed = lambda x, e: F.struct((e - F.length(x) - 1).alias("at"), F.regexp_replace(x, "\r$", "").alias("line"))
+    return let(F.split(text, "\n", -1), lambda ls: F.zip_with(ls, running(F.transform(ls, lambda x: (F.length(x) + 1).cast("long"))), placed))
+
+
+def runs_of_lines(text: Column, pattern: str, also: Callable[[Column], Column]) -> Column:
+    """start and ls (at, from the start, and line) of each run of lines that a pattern finds and that may have a field of a name."""
+    runs = F.filter(placed_hits(text, pattern), lambda h: also(h["value"]) & named(h["value"]))
+    return F.transform(runs, lambda h: F.struct(h["start"].alias("start"), F.transform(placed_lines(h["value"]), lambda l: F.struct((h["start"] + l["at"]).alias("at"), l["line"].alias("line"))).alias("ls")))
+
+
+def pair_parts(text: Column) -> Column:
     """Parts of pairs and elements."""
     group = lambda h, pattern, n: F.regexp_extract(h["value"], pattern, n)
 
@@ -75,23 +92,32 @@ def pair_parts(rows: DataFrame, docs: DataFrame, key: str) -> DataFrame:
         quoted = [group(h, PAIR, 3), group(h, PAIR, 4)]
         raw = F.when(quoted[0] != "", quoted[0]).when(quoted[1] != "", quoted[1]).otherwise(group(h, PAIR, 5))
         start = h["start"] + F.length(h["value"]) - F.length(raw) - F.when(h["value"].rlike("[\"']$") & (group(h, PAIR, 5) == ""), 1).otherwise(0)
-        return F.struct(h["start"].alias("pos"), group(h, PAIR, 2).alias("name"), raw.alias("raw"), start.alias("at"))
+        return F.struct(h["start"].alias("pos"), role(group(h, PAIR, 2)).alias("role"), raw.alias("raw"), start.alias("at"))
 
     def element(h: Column) -> Column:
         name, raw = group(h, ELEMENT, 1), group(h, ELEMENT, 2)
-        return F.struct(h["start"].alias("pos"), name.alias("name"), raw.alias("raw"), (h["start"] + F.length(h["value"]) - F.length(name) - 3 - F.length(raw)).alias("at"))
+        return F.struct(h["start"].alias("pos"), role(name).alias("role"), raw.alias("raw"), (h["start"] + F.length(h["value"]) - F.length(name) - 3 - F.length(raw)).alias("at"))
+
+    def event(line: Column, f: Column) -> Column:
+        before = F.substring(line["line"], F.lit(1), f["pos"].cast("int"))
+        item = before.rlike(ITEM) & before.rlike(r"^[ \t]*\S+[ \t]+[*_]{0,3}$")
+        return let(_part(F.lit(""), f["role"], f["raw"], line["at"] + f["at"]), lambda p: F.struct(*[p[c].alias(c) for c in ("start", "end", "role", "value")], item.alias("item")))
+
+    def events(line: Column) -> Column:
+        found = F.concat(F.transform(placed_hits(line["line"], PAIR), paired), F.transform(placed_hits(line["line"], ELEMENT), element))
+        return F.transform(F.filter(found, lambda f: f["role"].isNotNull()), lambda f: event(line, f))
 
-    found = F.concat(F.transform(placed_hits(F.col("line"), PAIR), paired), F.transform(placed_hits(F.col("line"), ELEMENT), element))
-    each = rows.where(F.col("line").rlike(HINT)).select(key, "at", "line", F.explode(found).alias("f")).withColumn("role", role(F.col("f.name"))).where("role IS NOT NULL")
-    before = F.substring("line", F.lit(1), F.col("f.pos").cast("int"))
-    placed = each.select(key, _part(F.lit(""), F.col("role"), F.col("f.raw"), F.col("at") + F.col("f.at")).alias("p"), (before.rlike(ITEM) & before.rlike(r"^[ \t]*\S+[ \t]+[*_]{0,3}$")).alias("item")).where("p.end > p.start")
-    events = placed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.col("p.role").alias("role"), F.col("p.value").alias("value"), "item"))).alias("es"))
-    both = events.join(docs.select(key, "text"), key)
-    previous = lambda i: F.get("es", i - 1)
-    gap = lambda e, i: F.substring("text", (previous(i)["end"] + 1).cast("int"), (e["start"] - previous(i)["end"]).cast("int"))
-    cuts = F.transform("es", lambda e, i: F.when(i > 0, let(gap(e, i), lambda g: apart(g, previous(i)["item"] & e["item"]))).otherwise(False))
-    cut = both.select(key, "es", cuts.alias("cuts"))
-    return cut.select(key, F.explode(numbered(F.arrays_zip(F.col("es").alias("e"), F.col("cuts").alias("cut")))).alias("p")).select(key, F.concat(F.lit("pair "), F.col("p.rec").cast("string")).alias("rec"), "p.role", "p.value", "p.start", "p.end")
+    def cut(es: Column) -> Column:
+        previous = lambda i: F.get(es, i - 1)
+        gap = lambda e, i: F.substring(text, (previous(i)["end"] + 1).cast("int"), (e["start"] - previous(i)["end"]).cast("int"))
+        return F.transform(es, lambda e, i: F.struct(e.alias("e"), F.when(i > 0, let(gap(e, i), lambda g: apart(g, previous(i)["item"] & e["item"]))).otherwise(False).alias("cut")))
+
+    each = F.flatten(F.transform(F.filter(placed_lines(text), lambda l: named(l["line"])), events))
+    return let(F.array_sort(F.filter(each, lambda e: e["end"] > e["start"])), lambda es: in_records(numbered(cut(es)), F.lit("pair")))
+
+
+def in_records(parts: Column, name: Column) -> Column:
+    return F.transform(parts, lambda p: F.struct(F.concat_ws(" ", name, p["rec"].cast("string")).alias("rec"), *[p[c].alias(c) for c in ("role", "value", "start", "end")]))
 
 
 def apart(gap: Column, items: Column) -> Column:
@@ -140,43 +166,62 @@ def by_mark(line: Column, mark: Column) -> Column:
     return reduce(lambda made, d: F.when(mark == d, cells(line, d)).otherwise(made), DELIMITERS, F.lit(None).cast("array<struct<start:long,value:string>>"))
 
 
-def table_parts(rows: DataFrame, key: str) -> DataFrame:
+def table_parts(text: Column) -> Column:
     """Parts of the rows below a row of names of columns, up to a blank line."""
-    roles = lambda d: F.transform(cells(F.col("line"), d), lambda c: role(c["value"]))
-    several = lambda d: F.col("line").contains(d) & (F.size(F.array_distinct(F.filter(roles(d), lambda r: r.isNotNull()))) > 1)
-    head = reduce(lambda made, d: F.when(several(d), F.struct("i", F.lit(d).alias("mark"), roles(d).alias("roles"))).otherwise(made), reversed(DELIMITERS), F.lit(None))
-    blank = (F.trim("line") == "").cast("int")
-    blocks = rows.withColumn("block", F.sum(blank).over(W.partitionBy(key).orderBy("i"))).withColumn("head", F.when(F.col("line").rlike(HINT), head))
-    headed = blocks.withColumn("head", F.min("head").over(W.partitionBy(key, "block"))).where((F.col("i") > F.col("head.i")) & (F.trim("line") != ""))
-    body = headed.where(~((F.col("head.mark") == "|") & F.col("line").rlike(r"^[\s|:-]+$"))).select(key, "i", "at", by_mark(F.col("line"), F.col("head.mark")).alias("cs"), F.col("head.roles").alias("roles"))
-    each = body.select(key, "i", "at", F.explode(F.arrays_zip(F.col("cs").alias("c"), F.col("roles").alias("r"))).alias("z")).where("z.c IS NOT NULL AND z.r IS NOT NULL")
-    return each.select(key, _part(F.concat(F.lit("row "), F.col("i").cast("string")), F.col("z.r"), F.col("z.c.value"), F.col("at") + F.col("z.c.start")).alias("p")).select(key, "p.*")
-
-
-def field_parts(rows: DataFrame, key: str) -> DataFrame:
+    roles = lambda l, d: F.transform(cells(l["line"], d), lambda c: role(c["value"]))
+    several = lambda rs: F.size(F.array_distinct(F.filter(rs, lambda r: r.isNotNull()))) > 1
+
+    def head(l: Column) -> Column:
+        of = lambda d: F.when(F.contains(l["line"], F.lit(d)), let(roles(l, d), lambda rs: F.when(several(rs), F.struct(l["at"].alias("at"), F.lit(d).alias("mark"), rs.alias("roles")))))
+        return F.coalesce(*map(of, DELIMITERS))
+
+    def row(l: Column, top: Column) -> Column:
+        zipped = F.zip_with(by_mark(l["line"], top["mark"]), top["roles"], lambda c, r: F.struct(c.alias("c"), r.alias("r")))
+        both = F.filter(zipped, lambda z: z["c"].isNotNull() & z["r"].isNotNull())
+        return F.transform(both, lambda z: _part(F.concat(F.lit("row "), l["at"].cast("string")), z["r"], z["c"]["value"], l["at"] + z["c"]["start"]))
+
+    def block(b: Column) -> Column:
+        heads = F.filter(F.transform(F.filter(b["ls"], lambda l: named(l["line"])), head), lambda h: h.isNotNull())
+        below = lambda l, top: (l["at"] > top["at"]) & ~((top["mark"] == "|") & l["line"].rlike(r"^[\s|:-]+$"))
+        return let(F.get(heads, F.lit(0)), lambda top: F.when(top.isNotNull(), F.flatten(F.transform(F.filter(b["ls"], lambda l: below(l, top)), lambda l: row(l, top)))).otherwise(F.array().cast(f"array<{PART}>")))
+
+    marked = lambda t: F.contains(t, F.lit("\n")) & reduce(Column.__or__, [F.contains(t, F.lit(d)) for d in DELIMITERS])
+    return F.flatten(F.transform(runs_of_lines(text, BLOCK, marked), block))
+
+
+def field_parts(text: Column) -> Column:
     """Parts of tables with a field a row: its name in the first cell, its value in the second."""
-    row = let(cells(F.col("line"), "|"), lambda cs: F.filter(cs, lambda c, i: (c["value"] != "") | ((i > 0) & (i < F.size(cs) - 1))))
-    barred = rows.withColumn("bar", F.col("line").contains("|")).withColumn("session", F.sum((~F.col("bar")).cast("int")).over(W.partitionBy(key).orderBy("i"))).where("bar")
-    cut = barred.where(F.col("line").rlike(HINT)).select(key, "session", "i", "at", row.alias("cs")).where(F.size("cs") > 1)
-    named = cut.withColumn("role", role(F.get("cs", F.lit(0))["value"])).where(F.col("role").isNotNull() & role(F.get("cs", F.lit(1))["value"]).isNull())
-    second = F.get("cs", F.lit(1))
-    placed = named.select(key, "session", _part(F.lit(""), F.col("role"), second["value"], F.col("at") + second["start"]).alias("p"))
-    events = placed.groupBy(key, "session").agg(F.array_sort(F.collect_list(F.struct(F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.col("p.role").alias("role"), F.col("p.value").alias("value")))).alias("es"))
-    each = events.select(key, "session", F.explode(numbered(F.transform("es", lambda e: F.struct(e.alias("e"), F.lit(False).alias("cut"))))).alias("p"))
-    return each.select(key, F.concat_ws(" ", F.lit("field"), F.col("session").cast("string"), F.col("p.rec").cast("string")).alias("rec"), "p.role", "p.value", "p.start", "p.end")
-
-
-def insert_parts(docs: DataFrame, key: str) -> DataFrame:
+    row = lambda l: let(cells(l["line"], "|"), lambda cs: F.filter(cs, lambda c, i: (c["value"] != "") | ((i > 0) & (i < F.size(cs) - 1))))
+
+    def event(l: Column, cs: Column) -> Column:
+        first, second = F.get(cs, F.lit(0)), F.get(cs, F.lit(1))
+        part = let(_part(F.lit(""), role(first["value"]), second["value"], l["at"] + second["start"]), lambda p: F.struct(*[p[c].alias(c) for c in ("start", "end", "role", "value")]))
+        return F.when((F.size(cs) > 1) & role(second["value"]).isNull(), F.struct(part.alias("e"), F.lit(False).alias("cut")))
+
+    def session(b: Column) -> Column:
+        events = F.transform(F.filter(b["ls"], lambda l: named(l["line"])), lambda l: let(row(l), lambda cs: event(l, cs)))
+        return in_records(numbered(F.filter(events, lambda x: x["e"]["role"].isNotNull())), F.concat(F.lit("field "), b["start"].cast("string")))
+
+    return F.flatten(F.transform(F.when(F.contains(text, F.lit("|")), runs_of_lines(text, BARRED, lambda _: F.lit(True))), session))
+
+
+def insert_parts(text: Column) -> Column:
     """Parts of the rows of INSERT statements."""
-    found = docs.where(F.col("text").rlike(HINT) & F.col("text").rlike("(?i)\\)\\s*VALUES\\s*\\(")).select(key, F.explode(placed_hits(F.col("text"), INSERT)).alias("h"))
-    names = F.transform(cells(F.regexp_extract("h.value", INSERT, 1), ","), lambda c: role(F.regexp_replace(c["value"], r'[`"\[\]]', "")))
-    values = F.regexp_extract("h.value", INSERT, 2)
-    rows = found.select(key, names.alias("roles"), (F.col("h.start") + F.length("h.value") - F.length(values)).alias("at"), placed_hits(values, r"\([^()]*\)").alias("ts")).select("*", F.explode("ts").alias("t"))
-    inner = F.substring("t.value", F.lit(2), F.length("t.value") - 2)
-    start = F.col("at") + F.col("t.start") + 1
-    cut = rows.select(key, start.alias("at"), cells(inner, ",", "'").alias("cs"), "roles")
-    each = cut.select(key, "at", F.explode(F.arrays_zip(F.col("cs").alias("c"), F.col("roles").alias("r"))).alias("z")).where("z.c IS NOT NULL AND z.r IS NOT NULL")
-    return each.select(key, _part(F.concat(F.lit("insert "), F.col("at").cast("string")), F.col("z.r"), F.col("z.c.value"), F.col("at") + F.col("z.c.start"), r"\s").alias("p")).select(key, "p.*")
+    names = lambda h: F.transform(cells(F.regexp_extract(h["value"], INSERT, 1), ","), lambda c: role(F.regexp_replace(c["value"], r'[`"\[\]]', "")))
+
+    def row(at: Column, t: Column, roles: Column) -> Column:
+        inner, start = F.substring(t["value"], F.lit(2), F.length(t["value"]) - 2), at + t["start"] + 1
+        zipped = F.zip_with(cells(inner, ",", "'"), roles, lambda c, r: F.struct(c.alias("c"), r.alias("r")))
+        both = F.filter(zipped, lambda z: z["c"].isNotNull() & z["r"].isNotNull())
+        return F.transform(both, lambda z: _part(F.concat(F.lit("insert "), start.cast("string")), z["r"], z["c"]["value"], start + z["c"]["start"], r"\s"))
+
+    def statement(h: Column) -> Column:
+        values = F.regexp_extract(h["value"], INSERT, 2)
+        at = h["start"] + F.length(h["value"]) - F.length(values)
+        return let(names(h), lambda roles: F.flatten(F.transform(placed_hits(values, r"\([^()]*\)"), lambda t: row(at, t, roles))))
+
+    has = F.contains(F.lower(text), F.lit("values")) & text.rlike("(?i)\\)\\s*VALUES\\s*\\(")
+    return F.flatten(F.transform(F.when(has, placed_hits(text, INSERT)), statement))
 
 
 def json_parts(leaves: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -186,9 +231,11 @@ def json_parts(leaves: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def parts_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, rec, role, value, start, end of the parts of names in a text's records."""
-    rows = lines(docs, key)
-    return reduce(DataFrame.unionByName, [pair_parts(rows, docs, key), table_parts(rows, key), field_parts(rows, key), insert_parts(docs, key)])
+    """key, rec, role, value, start, end of the parts of names in a text's records. A text is read once, and nothing of it but its parts is shuffled."""
+    text = F.col("text")
+    texts = docs.where(named(text)).select(key, "text")
+    found = F.flatten(F.filter(F.array(pair_parts(text), table_parts(text), field_parts(text), insert_parts(text)), lambda a: a.isNotNull()))
+    return texts.select(key, F.explode_outer(found).alias("p")).where("p IS NOT NULL").select(key, "p.*")
 
 
 def known_in_records(parts: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sievespark.functions.rules import DEFAULT
 from sievespark.operators import document_profile as D
+from sievespark.operators import records as R
 from sievespark.operators.detect import detect
 from sievespark.plans import policies
 from sievespark.sources.files import decode_content
@@ -40,3 +41,15 @@ def test_rows_of_a_small_file_are_dealt(spark):
     found = leaves(texts)
     assert "hashpartitioning(doc_id" in plan(found) and found.where("NOT is_key").first().value == 'b"c'
     assert "hashpartitioning(c_custkey" in plan(policies.QUERIES["fake_iban"](spark, SF))
+
+
+def test_records_are_cut_in_one_pass(spark):
+    docs = spark.range(2).select(F.col("id").alias("doc_id"), F.lit("first_name: Anna\nlast_name: Smith\n\nsurname,given\nSmith,Anna").alias("text"))
+    parts = R.parts_of(docs)
+    assert plan(parts).count("Range (") == 1 and "Exchange" not in plan(parts)
+    assert sorted((r.rec.split()[0], r.role) for r in parts.where("doc_id = 1").collect()) == [("pair", "given"), ("pair", "surname"), ("row", "given"), ("row", "surname")]
+
+
+def test_hints_are_those_of_the_pattern(spark):
+    texts = spark.createDataFrame([(x,) for x in ("a FIRST b", "laſt", "FİRST gıven", "ИМЯ", "ОТЧЕСТВО", "oᲂᲂтчеᲃᲄво", "f name", "Fname", "surnam", "", "ſİ")], "t string")
+    assert texts.where(R.named(F.col("t")) != F.col("t").rlike(R.HINT)).count() == 0 and texts.where(R.named(F.col("t"))).count() == 7
