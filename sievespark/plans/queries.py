@@ -119,7 +119,7 @@ on_findings("join_contain_public", "SELECT doc_id, start, rule FROM f WHERE NOT
 # An address within a URL's user and password is no personal finding of its own.
 _url = ("at https://me:", "pw{d4}@db{d3}.example.org", "/x")
 query("join_contain_fake", f"SELECT doc_id, start, 'email' AS rule, value {expected(*_url[:2])}")(
-    lambda spark, d: (lambda f: P.overlap_semi(f.where("category = 'personal'"), f.where("category = 'credential'")))(detect(docs(spark, d).select("doc_id", F.expr(behind(*_url)).alias("text")))).select("doc_id", "start", "rule", "value"))
+    lambda spark, d: P.overlapping(detect(docs(spark, d).select("doc_id", F.expr(behind(*_url)).alias("text"))), F.col("category") == "personal", F.col("category") == "credential").select("doc_id", "start", "rule", "value"))
 
 
 @query("join_line", FOUND + "SELECT f.doc_id, f.start, f.rule, CAST(len(string_split(substr(d.text, 1, f.start), chr(10))) AS BIGINT) AS line, CAST(length(list_last(string_split(substr(d.text, 1, f.start), chr(10)))) + 1 AS BIGINT) AS col FROM f JOIN documents d USING (doc_id)")

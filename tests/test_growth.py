@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from sievespark.functions.rules import DEFAULT
 from sievespark.operators import document_profile as D
 from sievespark.operators import records as R
+from sievespark.operators import spans as P
 from sievespark.operators.detect import detect
 from sievespark.plans import policies
+from sievespark.plans.placed import QUERIES
 from sievespark.sources.files import decode_content
 from sievespark.sources.json_leaves import leaves
 
@@ -53,3 +55,12 @@ def test_records_are_cut_in_one_pass(spark):
 def test_hints_are_those_of_the_pattern(spark):
     texts = spark.createDataFrame([(x,) for x in ("a FIRST b", "laſt", "FİRST gıven", "ИМЯ", "ОТЧЕСТВО", "oᲂᲂтчеᲃᲄво", "f name", "Fname", "surnam", "", "ſİ")], "t string")
     assert texts.where(R.named(F.col("t")) != F.col("t").rlike(R.HINT)).count() == 0 and texts.where(R.named(F.col("t"))).count() == 7
+
+
+def test_overlaps_are_found_in_one_pass(spark):
+    rows = [(d, "pc"[(i * 7 + d) % 2], (i * 5 + d) % 23, (i * 5 + d) % 23 + i * d % 6) for d in range(1, 9) for i in range(20)] + [(None, "p", 0, 9), (None, "c", 0, 9)]
+    found = spark.createDataFrame(rows, "doc_id long, category string, start long, end long")
+    made = P.overlapping(found, F.col("category") == "p", F.col("category") == "c")
+    want = P.overlap_semi(found.where("category = 'p'"), found.where("category = 'c'"))
+    assert made.exceptAll(want).count() == want.exceptAll(made).count() == 0 < want.count()
+    assert plan(QUERIES["join_contain_fake"](spark, SF)).count("Scan parquet") <= 1
