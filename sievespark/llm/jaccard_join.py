@@ -19,7 +19,7 @@ A block of more than MEMBERS sets or SHINGLES shingles is cut into parts, its fi
 whole block, as they do for a group of near copies, it is done; else the sets outside its largest group search all parts.
 That is exact at any size; its work is the number of such sets times the block.
 
-Shingles are XXH64 hashes, sets are told apart by 128 bits. Null and empty texts have an empty set and link with nothing. Equal
+Shingles are 64-bit hashes, made from the XXH64 of their words; sets are told apart by 128 bits. Null and empty texts have an empty set and link with nothing. Equal
 sets are one node, so copies cost nothing. Repeated rows and ids are kept, each has its result; a null doc_id isn't the smallest of a group
 unless all are null; an empty table gives no rows. A very long text is held whole by its task (about 100 bytes a word). Only doc_id and text are read.
 """
@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -41,7 +41,6 @@ from pyspark.sql import functions as F
 
 from .base import discard, materialize, mix, salted_join, signed, slices, table
 from .graph import components
-from .simhash import shingles
 
 WIDTH, PERCENT = 4, 85
 #: Counters of the sketch, its slices, and the share of documents that makes a shingle frequent.
@@ -50,8 +49,21 @@ COUNTERS, SLICES, FREQUENT = 1 << 20, 16, 256
 MEMBERS, SHINGLES, PROBE = 2_000, 2_000_000, 0.0085
 
 
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted hashes of the distinct runs of width words, each made from those of its words; of the whole text if it has fewer."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    each, k = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), min(width, len(words))
+    made = np.full(len(words) - k + 1, k, np.uint64)
+    for i, by in enumerate(mix(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)):
+        made += each[i : i + len(made)] * by
+    made = np.sort(mix(made))
+    return made[np.concatenate([[True], made[1:] != made[:-1]])]
+
+
 def sets_of(texts: list[str | None], width: int) -> list[np.ndarray]:
-    return [np.unique(shingles(t, width)) for t in texts]
+    return [shingle_set(t, width) for t in texts]
 
 
 def counter_of(x: np.ndarray) -> np.ndarray:
@@ -167,9 +179,10 @@ def stars(made: DataFrame) -> DataFrame:
     return each.repartition("s").sortWithinPartitions("s", "node").mapInArrow(first, "leader long, node long").distinct()
 
 
-def occurring(lists: Sequence[Sequence[int]], least: int) -> Iterator[tuple[int, int]]:
+def occurring(lists: Sequence[Sequence[int]], least: int, more: Callable[[int], int] | None = None) -> Iterator[tuple[int, int]]:
     """Numbers that stand in at least so many of the sorted lists, in order, and in how many.
 
+    more(number), if given, is how many lists that number has to stand in; it doesn't fall from one number to the next, and takes the place of least.
     A heap holds the next number of each list. If what is at its top stands there too seldom, the next numbers are taken too until they
     come from least - 1 lists: nothing below the new top can come to least, so these lists skip to it."""
     at = [0] * len(lists)
@@ -177,6 +190,8 @@ def occurring(lists: Sequence[Sequence[int]], least: int) -> Iterator[tuple[int,
     heapify(heap)
     while len(heap) >= least:
         top, taken = heap[0][0], []
+        if more:
+            least = more(top)
         while heap and heap[0][0] == top:
             taken.append(heappop(heap)[1])
         if len(taken) >= least:
@@ -205,7 +220,7 @@ def links(sets: list[np.ndarray], ask: np.ndarray, percent: int) -> list[tuple[i
     post = np.sort(token * m + np.repeat(np.arange(m), size))  # inverted lists, one behind another
     holder = post % m
     start = np.concatenate([[0], np.cumsum(size)])
-    root, found, everyone = np.arange(m), [], bool(ask.all())
+    root, found, everyone, sized = np.arange(m), [], bool(ask.all()), size.tolist()
     for s in np.flatnonzero(ask[order]).tolist():
         a = int(size[s])
         low = int(np.searchsorted(size, -(-percent * a // 100)))
@@ -231,7 +246,8 @@ def links(sets: list[np.ndarray], ask: np.ndarray, percent: int) -> list[tuple[i
                 stays = root[left] != root[s]
                 edge = np.concatenate([[0], np.cumsum(np.add.reduceat(stays, np.cumsum(length) - length) if len(length) else [])]).astype(np.int64)
                 lists, spans = memoryview(left[stays]), list(zip(edge[:-1].tolist(), edge[1:].tolist()))
-            for other, n in occurring([lists[i:j] for i, j in spans], need - aside):
+            # A larger set must share more, so the lists skip further the larger the sets get.
+            for other, n in occurring([lists[i:j] for i, j in spans], need - aside, lambda other: -(-percent * (a + sized[other]) // (100 + percent)) - aside):  # noqa: B023
                 wanted = probed + other
                 at = np.minimum(np.searchsorted(post, wanted), len(post) - 1)
                 if (100 + percent) * (n + int((post[at] == wanted).sum())) >= percent * (a + int(size[other])):

@@ -85,6 +85,26 @@ def test_occurring():
         assert list(jaccard_join.occurring(lists, least)) == [(x, n) for x, n in count.items() if n >= least]
 
 
+def test_occurring_more_often_as_numbers_rise():
+    r = random.Random(5)
+    for _ in range(300):
+        lists = [sorted(r.sample(range(40), r.randint(0, 25))) for _ in range(r.randint(1, 9))]
+        least = r.randint(1, 3)
+        need = sorted(r.randint(least, 9) for _ in range(40))
+        count = {x: sum(x in one for one in lists) for x in range(40)}
+        assert list(jaccard_join.occurring(lists, least, need.__getitem__)) == [(x, n) for x, n in count.items() if n >= need[x]]
+
+
+def test_sets_tell_runs_apart():
+    r = random.Random(6)
+    texts = [" ".join(r.choices("abAé", k=r.randint(0, 9))) for _ in range(400)] + [None, " \t\n"]
+    plain = lambda w: {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+    runs = [plain((t or "").replace("A", "a").split()) for t in texts]
+    made = [set(x.tolist()) for x in jaccard_join.sets_of(texts, 4)]
+    assert all(len(a) == len(b) for a, b in zip(runs, made)) and len(set().union(*runs)) == len(set().union(*made))
+    assert all(len(a & b) == len(c & d) for a, c in zip(runs, made) for b, d in zip(runs[::7], made[::7]))
+
+
 @pytest.mark.parametrize("members", [2000, 7])
 def test_jaccard_groups(spark, odd, members, monkeypatch):
     monkeypatch.setattr(jaccard_join, "MEMBERS", members)  # 7: blocks in parts
