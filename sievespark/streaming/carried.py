@@ -131,35 +131,45 @@ class Boundary:
         return text[:cut], text[cut:], at - cut
 
 
-def _ordered(rows: Iterator[pd.DataFrame], seq: str, text: str) -> pd.DataFrame:
-    return pd.concat(list(rows)).fillna({text: ""}).sort_values([seq, text], kind="stable")
+def _ordered(rows: Iterator[pd.DataFrame], seq: str, text: str, final: str) -> list[tuple]:
+    """seq, text and final of a stream's chunks of one batch in order, null seq last; as lists, since most streams have a few chunks."""
+    each = [(n, t if isinstance(t, str) else "", last) for b in rows for n, t, last in zip(b[seq].tolist(), b[text].tolist(), b[final].tolist())]
+    return sorted(each, key=lambda r: (True, 0, r[1]) if pd.isna(r[0]) else (False, r[0], r[1]))
+
+
+def _keep(state, there: bool, value: tuple, empty: tuple) -> None:
+    """value as the state, none for what a stream begins with: a stream that ended leaves nothing, and nothing is written where nothing was."""
+    if value != empty:
+        state.update(value)
+    elif there:
+        state.clear()
 
 
 def restored_stream(rows: DataFrame, maps: DataFrame, stream: str, seq: str, text: str = "text", final: str = "final") -> DataFrame:
     """stream, seq and text of each chunk of a streaming DataFrame, with the values of its stream's map (rows of stream, token and value) in place of tokens.
 
-    The map is the stream's first state, one entry a token, and is read once a batch. The longest end of a chunk that may begin a token, or
+    The map is the stream's first state, one list, and is read once a batch. The longest end of a chunk that may begin a token, or
     lacks only what stands behind it, is carried."""
 
     class Restoring(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.entries = handle.getMapState("entries", "token string", "value string")
+            self.entries = handle.getListState("entries", "token string, value string")
             self.held = handle.getValueState("held", "carried string, previous string")
 
         def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-            for token, value in zip(initialState["token"], initialState["value"]):
-                if token:
-                    self.entries.updateValue((token,), (value or "",))
+            made = [(token, value or "") for token, value in zip(initialState["token"], initialState["value"]) if token]
+            if made:
+                self.entries.appendList(made)
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            restorer = Restorer({k[0]: v[0] for k, v in self.entries.iterator()})
-            carried, previous = self.held.get() if self.held.exists() else ("", "")
-            batch, out = _ordered(rows, seq, text), []
-            for n, t, last in zip(batch[seq], batch[text], batch[final]):
+            restorer, out = Restorer(dict(map(tuple, self.entries.get()))), []
+            held = self.held.get()
+            carried, previous = held or ("", "")
+            for n, t, last in _ordered(rows, seq, text, final):
                 given, carried, previous = restorer.read(carried + t, previous, bool(last))
                 carried, previous = ("", "") if last else (carried, previous)
                 out.append((key[0], n, given))
-            self.held.update((carried, previous))
+            _keep(self.held, held is not None, (carried, previous), ("", ""))
             yield pd.DataFrame(out, columns=[stream, seq, text])
 
         def close(self) -> None:
@@ -183,15 +193,16 @@ def bounded_stream(rows: DataFrame, stream: str, seq: str, text: str = "text", f
             self.held = handle.getValueState("held", "carried string, done long, state string")
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            carried, done, state = self.held.get() if self.held.exists() else ("", 0, None)
-            boundary, batch, out = Boundary(state), _ordered(rows, seq, text), []
-            for n, t, last in zip(batch[seq], batch[text], batch[final]):
+            held = self.held.get()
+            carried, done, state = held or ("", 0, None)
+            boundary, out = Boundary(state), []
+            for n, t, last in _ordered(rows, seq, text, final):
                 given, carried, done = boundary.read(carried + t, done, bool(last))
                 error = None
                 if len(carried) > most:
                     given, carried, done, error, boundary = given + carried, "", 0, "ERR_LIMIT", Boundary()
                 out.append((key[0], n, given, error))
-            self.held.update((carried, done, boundary.state()))
+            _keep(self.held, held is not None, (carried, done, boundary.state()), ("", 0, Boundary().state()))
             yield pd.DataFrame(out, columns=[stream, seq, text, "error"]).astype({"error": object})
 
         def close(self) -> None:

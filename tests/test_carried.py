@@ -2,11 +2,12 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sievespark.functions.rules import DEFAULT
 from sievespark.operators.detect import detect
-from sievespark.streaming.carried import Boundary, Restorer, bounded_stream, restored_stream
+from sievespark.streaming.carried import Boundary, Restorer, _keep, _ordered, bounded_stream, restored_stream
 from sievespark.streaming.registry import number_stream, redact_stream, run_available
 
 TOKENS = {"[[A-1]]": "x", "[[A-11]]": "yy", "[[A": "short", "tok": "T", "é": "accent"}
@@ -94,3 +95,13 @@ def test_numbers_and_registry_over_many_words(spark, tmp_path):
     rows = run_available(spark, redact_stream(written(spark, str(tmp_path / "r"), "s string, n long, text string", turns), "s", "n")).where("s = 'a'").orderBy("n")
     assert [(F.length and len(r.text), r.n_redacted, r.late) for r in rows.collect()][2:] == [(len("my name is [REDACTED]"), 1, True), (len("[REDACTED] and w7"), 1, False)]
     assert rows.where("error IS NOT NULL").count() == 0
+
+
+def test_a_stream_that_ended_leaves_no_state():
+    calls = []
+    state = type("State", (), {"update": lambda _, v: calls.append(v), "clear": lambda _: calls.append("clear")})()
+    for there, value in ((False, ("", "")), (True, ("", "")), (False, ("x", "")), (True, ("", "y"))):
+        _keep(state, there, value, ("", ""))
+    assert calls == ["clear", ("x", ""), ("", "y")]
+    parts = [pd.DataFrame({"n": [2.0, None], "t": ["b", "z"], "f": [True, False]}), pd.DataFrame({"n": [2.0, 1.0], "t": ["a", None], "f": [False, False]})]
+    assert [r[1:] for r in _ordered(iter(parts), "n", "t", "f")] == [("", False), ("a", False), ("b", True), ("z", False)]
