@@ -10,10 +10,12 @@ the hashes of the others; any other set gives all, as then its partner has as ma
 give one hash in common. All sets that give a hash are in the block of the smallest of them, and a block is searched as a whole: no link is lost. What is
 frequent comes from a sketch of counters over all documents; it decides how large blocks get, never what links.
 
-Search. A block has an inverted list for each shingle that two of its sets hold. For a set that must share T shingles, the L longest of its
+Search. A set links only if PERCENT of its shingles stand in other sets of the block too, so sets below that leave it, and others may
+then fall below. The rest has an inverted list for each shingle that two of its sets hold. For a set that must share T shingles, the L longest of its
 lists are set aside (DivideSkip's L); documents that stand T - L times in the short ones are found by a heap over them, which
-skips in all lists what can't come to that number, and probed in the long ones by binary search. The sum is the exact overlap. Of
-documents that are linked with each other already, one link is enough: the others leave the lists.
+skips in all lists what can't come to that number, and probed for the long ones' shingles by binary search. The sum is the exact overlap. Of
+documents that are linked with each other already, one link is enough: the others leave the lists, as do those that share too little with all
+others for a set of this size.
 
 A block of more than MEMBERS sets or SHINGLES shingles is cut into parts, its first set in each. If links then join the
 whole block, as they do for a group of near copies, it is done; else the sets outside its largest group search all parts.
@@ -212,22 +214,29 @@ def occurring(lists: Sequence[Sequence[int]], least: int, more: Callable[[int],
 
 def links(sets: list[np.ndarray], ask: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Pairs of indexes that link, of which one is asked for; of those joined by other pairs already, not all."""
-    m = len(sets)
     size = np.array([len(x) for x in sets], np.int64)
-    order = np.argsort(size, kind="stable")  # from here on sets go by their place in it
-    size = size[order]
-    values, token, held = np.unique(np.concatenate([*(sets[i] for i in order), np.empty(0, np.uint64)]), return_inverse=True, return_counts=True)
-    post = np.sort(token * m + np.repeat(np.arange(m), size))  # inverted lists, one behind another
+    order = np.argsort(size, kind="stable")
+    while True:  # until hardly any leave
+        n, owner = len(order), np.repeat(np.arange(len(order)), size[order])
+        token, held = np.unique(np.concatenate([*(sets[i] for i in order), np.empty(0, np.uint64)]), return_inverse=True, return_counts=True)[1:]
+        shared = np.bincount(owner[held[token] > 1], minlength=n)
+        order = order[(stays := 100 * shared >= percent * size[order])]
+        if 8 * len(order) >= 7 * n:
+            break
+    # From here on sets go by their place in the order, and shingles that no other set holds are left out.
+    kept = stays[owner] & (held[token] > 1)
+    m, size, shared, token = len(order), size[order], shared[stays], token[kept]
+    able = (100 + percent) * shared - percent * size  # percent times the size of the largest set that a set may link with
+    post = np.sort(token * m + np.repeat(np.arange(m), shared))  # inverted lists, one behind another
     holder = post % m
-    start = np.concatenate([[0], np.cumsum(size)])
+    start = np.concatenate([[0], np.cumsum(shared)])
     root, found, everyone, sized = np.arange(m), [], bool(ask.all()), size.tolist()
     for s in np.flatnonzero(ask[order]).tolist():
         a = int(size[s])
         low = int(np.searchsorted(size, -(-percent * a // 100)))
-        high = s if everyone else int(np.searchsorted(size, a * 100 // percent, "right"))
-        mine = token[start[s] : start[s + 1]]
-        mine = mine[held[mine] > 1] * m
-        while (root[low:high] != root[s]).any():
+        high = min(s if everyone else m, int(np.searchsorted(size, min(a * 100, int(able[s])) // percent, "right")))
+        mine = token[start[s] : start[s + 1]] * m
+        while (fit := (root[low:high] != root[s]) & (able[low:high] >= percent * a)).any():
             need = -(-percent * (a + int(size[low])) // (100 + percent))
             begin, end = np.searchsorted(post, mine + low), np.searchsorted(post, mine + high)
             some = np.flatnonzero(end > begin)
@@ -236,21 +245,21 @@ def links(sets: list[np.ndarray], ask: np.ndarray, percent: int) -> list[tuple[i
             some = some[np.argsort(begin[some] - end[some], kind="stable")]  # the longest first
             longest = int(end[some[0]] - begin[some[0]])
             aside = min(need - 1, int(need / (PROBE * math.log2(longest) + 1)))
-            probed, short = mine[some[:aside]], some[aside:]
+            probed, short = np.sort(mine[some[:aside]] // m), some[aside:]
             lists = memoryview(holder)
             spans = list(zip(begin[short].tolist(), end[short].tolist()))
-            if (root == root[s]).sum() > 1 or not everyone:  # what is joined with s already leaves the lists
+            if not fit.all():  # what is joined with s already, or shares too little with all others, leaves the lists
                 length = end[short] - begin[short]
                 places = np.repeat(begin[short] - np.cumsum(length) + length, length) + np.arange(length.sum())
                 left = holder[places]
-                stays = root[left] != root[s]
+                stays = fit[left - low]
                 edge = np.concatenate([[0], np.cumsum(np.add.reduceat(stays, np.cumsum(length) - length) if len(length) else [])]).astype(np.int64)
                 lists, spans = memoryview(left[stays]), list(zip(edge[:-1].tolist(), edge[1:].tolist()))
             # A larger set must share more, so the lists skip further the larger the sets get.
             for other, n in occurring([lists[i:j] for i, j in spans], need - aside, lambda other: -(-percent * (a + sized[other]) // (100 + percent)) - aside):  # noqa: B023
-                wanted = probed + other
-                at = np.minimum(np.searchsorted(post, wanted), len(post) - 1)
-                if (100 + percent) * (n + int((post[at] == wanted).sum())) >= percent * (a + int(size[other])):
+                held = token[start[other] : start[other + 1]]  # as sorted as a list, and shorter than most
+                at = np.minimum(held.searchsorted(probed), len(held) - 1)
+                if (100 + percent) * (n + np.count_nonzero(held[at] == probed)) >= percent * (a + sized[other]):
                     found.append((int(order[s]), int(order[other])))
                     root[root == root[other]] = root[s]
                     low = other + 1

@@ -105,6 +105,28 @@ def test_sets_tell_runs_apart():
     assert all(len(a & b) == len(c & d) for a, c in zip(runs, made) for b, d in zip(runs[::7], made[::7]))
 
 
+def test_sets_that_share_too_little_leave_the_search(monkeypatch):
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**63, 400, dtype=np.uint64)
+    # Copies of one set with up to half of it exchanged: few link, all are in one block and most of their lists are long.
+    sets = [np.unique(np.concatenate([base[r.random(400) >= x], r.integers(0, 2**63, int(400 * x), dtype=np.uint64)])) for x in np.linspace(0, 0.5, 200)]
+
+    def groups(edges):
+        root = list(range(200))
+        for i, j in edges:
+            root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+        return root
+
+    given, plain = [], jaccard_join.occurring
+    monkeypatch.setattr(jaccard_join, "occurring", lambda lists, *rest: given.append(sum(map(len, lists))) or plain(lists, *rest))
+    want = [(i, j) for i in range(200) for j in range(i) if 185 * len(np.intersect1d(sets[i], sets[j])) >= 85 * (len(sets[i]) + len(sets[j]))]
+    for ask in [np.ones(200, bool), r.random(200) < 0.5]:
+        given.clear()
+        got = [(max(p), min(p)) for p in jaccard_join.links(sets, ask, 85)]
+        assert set(got) <= set(want) and groups(got) == groups([p for p in want if ask[p[0]] or ask[p[1]]])
+        assert sum(given) < sum(map(len, sets)) // 2
+
+
 @pytest.mark.parametrize("members", [2000, 7])
 def test_jaccard_groups(spark, odd, members, monkeypatch):
     monkeypatch.setattr(jaccard_join, "MEMBERS", members)  # 7: blocks in parts
