@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one key that a task of a salted join may take in any case.
 PART = 256
+#: Bytes of a batch that goes to a Python worker.
+BATCH = 4_000_000
 #: White space between words, as a regular expression class; bytes.split() uses the same six bytes.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -77,7 +79,15 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, tot
     return dealt.join(spread.hint(hint) if hint else spread, [*keys, "salt"], how).drop("salt")
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session sends Python workers batches of about BATCH bytes, or of as many as it was told to.
+
+    Spark's own limit of 10,000 rows or 64 MB is held by the worker and, off the heap, by the executor, which gives back little of it."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(limit, spark.conf.get(limit, f"{BATCH}b"))
+
+
+def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = BATCH) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about so many bytes of text (a longer text is alone), so that memory stays bounded."""
     for batch in batches:
         if not batch.num_rows:

@@ -15,6 +15,7 @@ The vocabulary's path is a parameter; the file is read where the tasks run, as i
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -114,14 +115,20 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (binary, 4 bytes an id), decoded (binary) of each row."""
+    """doc_id, ids (binary, 4 bytes an id), decoded (binary) of each row.
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+    What a task remembers goes with it: workers are used again by other stages, which would hold it for nothing."""
+
+    def encoded(own: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             ids = [own.encode(t or "") for t in b.column(1).to_pylist()]
             yield pa.record_batch({"doc_id": b.column(0), "ids": pa.array(ids, pa.binary()), "decoded": pa.array([own.decode(x) for x in ids], pa.binary())})
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from encoded(codec(path, pattern), batches)
+        codec.cache_clear()
+        gc.collect()  # a codec and its tables refer to each other
+
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, ids binary, decoded binary")
 
 
