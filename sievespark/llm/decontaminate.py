@@ -18,16 +18,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from .base import broadcast_if_small, materialize, salted_join, table
 
 #: Words of a shingle, and rows of the benchmark's tables that may be broadcast (about 100 bytes a row).
 SHINGLE, SMALL = 5, 100_000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """The words of a text, by splitting: extracting all matches of a pattern takes many times as long."""
+    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN, -1), lambda w: w != "")
 
 
 def runs(hashed: Column, k: int) -> Column:
@@ -74,23 +77,28 @@ def places_of(hashed: DataFrame, windows_of: DataFrame, lengths: list[int]) -> D
     return places.groupBy("d1", "d2").agg(F.collect_set("c").alias("cs"), F.count(F.lit(1)).alias("n")).select("d1", "d2", "cs", (F.col("n") / F.size("cs")).cast("long").alias("n"))
 
 
-def marked(rows: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
-    """rows (with text) and n_hit, and items, sorted, of each. Only texts that may hold a window are cut into words once more."""
+def verified(rows: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
+    """rows (with text) and cs, the windows that stand in each; null or empty without any. Only texts that may hold a window are cut into words once more."""
     windows_of = materialize(windows(benchmark, width))
     lengths = [r[0] for r in windows_of.select("k").distinct().orderBy("k").collect()]  # at most SHINGLE numbers
     rows = rows.select("*", *digest(F.col("text")), F.monotonically_increasing_id().alias("row"))
-    none = F.array().cast("array<string>")
     if not lengths:
-        return rows.select("*", F.lit(0).cast("long").alias("n_hit"), none.alias("items"))
+        return rows.select("*", F.lit(None).cast("array<struct<s:int,n:int,w:string,items:array<string>>>").alias("cs"))
     hashed = rows.select("d1", "d2", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("hs"))
     candidates = materialize(places_of(hashed, windows_of, lengths))  # they grow with the texts, so they are never broadcast
-    both = salted_join(rows, candidates, ["d1", "d2"], "row", candidates.agg(F.sum("n")).first()[0] or 0, "left", "merge").withColumn("ws", F.when(F.col("cs").isNotNull(), words(F.col("text"))))
-    fits = lambda c: (c["s"] + c["n"] <= F.size("ws")) & (F.array_join(F.slice(F.col("ws"), c["s"] + 1, c["n"]), " ") == c["w"])
-    verified = both.withColumn("cs", F.when(F.col("cs").isNotNull(), F.filter("cs", fits))).drop("ws")
+    both = salted_join(rows, candidates, ["d1", "d2"], "row", candidates.agg(F.sum("n")).first()[0] or 0, "left", "merge")
+    fits = lambda ws, c: (c["s"] + c["n"] <= F.size(ws)) & (F.array_join(F.slice(ws, c["s"] + 1, c["n"]), " ") == c["w"])
+    # let: where a filter is pushed through a projection, its columns become their expressions, and a text would be cut once for each candidate
+    return both.withColumn("cs", F.when(F.col("cs").isNotNull(), let(words(F.col("text")), lambda ws: F.filter("cs", lambda c: fits(ws, c)))))
+
+
+def marked(rows: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
+    """rows (with text) and n_hit, and items, sorted, of each."""
     covered = F.size(F.array_distinct(F.flatten(F.transform("cs", lambda c: F.sequence(c["s"], c["s"] + c["n"] - 1)))))
     some = F.col("cs").isNotNull() & (F.size("cs") > 0)
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("cs", lambda c: c["items"]))))
-    return verified.withColumn("n_hit", F.when(some, covered).otherwise(0).cast("long")).withColumn("items", F.when(some, items).otherwise(none)).drop("cs")
+    found = verified(rows, benchmark, width).withColumn("n_hit", F.when(some, covered).otherwise(0).cast("long"))
+    return found.withColumn("items", F.when(some, items).otherwise(F.array().cast("array<string>"))).drop("cs")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
@@ -102,7 +110,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The rows of docs, with their columns, whose texts have no window of the benchmark."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), "text")
-    return marked(rows, benchmark, width).where("n_hit = 0").select("r.*")
+    return verified(rows, benchmark, width).where(F.coalesce(F.size("cs"), F.lit(0)) <= 0).select("r.*")  # cs once, as the filter computes it
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
