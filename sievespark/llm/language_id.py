@@ -33,6 +33,8 @@ RATIO = 0.2
 #: Languages that may be learned, which bounds the table (more are an error), and bytes of a text that are counted at once.
 LANGUAGES, TILE = 4096, 1 << 20
 LETTER = regex.compile(r"\p{L}")
+#: The bits of each byte, the lowest first.
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
 def tiles(text: str) -> Iterator[np.ndarray]:
@@ -66,7 +68,7 @@ class Filters:
 
     def __init__(self, grams_of: dict[str, np.ndarray], usual: str | None):
         self.languages, self.usual = sorted(grams_of), usual
-        self.table = np.zeros((-(-len(self.languages) // 64), SLOTS), np.uint64)
+        self.table = np.zeros((-(-len(self.languages) // 64), SLOTS), "<u8")
         self.false = np.zeros(len(self.languages))
         for i, name in enumerate(self.languages):
             filled = np.zeros(SLOTS, bool)
@@ -74,6 +76,8 @@ class Filters:
                 filled[s] = True
             self.table[i // 64, filled] |= np.uint64(1 << i % 64)
             self.false[i] = filled.mean() ** HASHES
+        if len(self.languages) <= 8:
+            self.table = self.table.astype(np.uint8)
 
     def counts(self, g: np.ndarray) -> np.ndarray:
         """Popcount of each language over n-grams g."""
@@ -82,7 +86,8 @@ class Filters:
             mask = row[at[0]]
             for s in at[1:]:
                 mask = mask & row[s]
-            found.append(np.unpackbits(mask.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64))
+            for part in mask.view(np.uint8).reshape(-1, mask.itemsize).T:
+                found.append(np.bincount(part, minlength=256) @ BITS)  # each value of eight languages' bits is counted, then its bits
         return np.concatenate(found)[: len(self.languages)]
 
     def decide(self, text: str | None) -> tuple[str, float]:
