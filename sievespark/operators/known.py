@@ -130,32 +130,76 @@ def name_forms(given: Column, surname: Column) -> Column:
 
 def spellings(secret: Column) -> Column:
     """A secret as it is, in hexadecimal digits of either case, in base64 and in base64 for addresses, both without padding: a
-    run that is padded holds the run that isn't."""
+    run that is padded holds the run that isn't. Spellings that are the same count as the first of their names."""
+    every = F.array(*[F.struct(F.lit(k).alias("spelling"), v.alias("token")) for k, v in tokens(secret).items()])
+    return let(every, lambda ss: F.filter(ss, lambda s: ~F.exists(ss, lambda o: (o["token"] == s["token"]) & (o["spelling"] < s["spelling"]))))
+
+
+def tokens(secret: Column) -> dict[str, Column]:
     data = F.encode(secret, "utf-8")
     coded = F.rtrim(F.base64(data), F.lit("="))
-    each = {"plain": secret, "hex": F.lower(F.hex(data)), "hex-upper": F.hex(data), "base64": coded, "base64url": F.translate(coded, "+/", "-_")}
-    return F.array(*[F.struct(F.lit(k).alias("spelling"), v.alias("token")) for k, v in each.items()])
+    return {"plain": secret, "hex": F.lower(F.hex(data)), "hex-upper": F.hex(data), "base64": coded, "base64url": F.translate(coded, "+/", "-_")}
+
+
+#: Characters of the pieces of secrets that lead to the texts that hold them.
+PIECES = (8, 16, 32)
+#: Bits of a piece's hash, and characters of the parts that a text is cut into for its pieces, then of their parts.
+HASH, CUTS = 53, (1 << 16, 1 << 8)
+#: Words of 64 bits in the filter of pieces, at most (32 MB), and in a row of it; texts that are not worth one.
+WORDS, ROW, FEW_TEXTS = 1 << 22, 64, 10_000
+
+
+def piece_hashes(text: Column, k: Column, cuts: tuple[int, ...] = CUTS) -> Column:
+    """Hashes of the pieces of k characters that begin at each place of a text of k or more. A place is found from the beginning of a small part."""
+    places = F.length(text) - k + 1
+    if not cuts:
+        return F.transform(F.sequence(F.lit(1), places), lambda i: F.xxhash64(k, F.substring(text, i, k)).bitwiseAND(F.lit((1 << HASH) - 1)))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((places - 1) / cuts[0]).cast("int")), lambda i: F.substring(text, i * cuts[0] + 1, k + (cuts[0] - 1)))
+    return F.flatten(F.transform(parts, lambda p: piece_hashes(p, k, cuts[1:])))
+
+
+def may_be_among(pieces: DataFrame, chosen: DataFrame, count: int) -> DataFrame:
+    """The rows of pieces whose h is one of chosen's, and a few more: a Bloom filter of 16 bits for each of count, three of a word set for each,
+    is broadcast. It has WORDS at most; beyond that more rows pass, and none is lost."""
+    words = min(WORDS, 1 << max(ROW.bit_length(), (count // 4).bit_length()))
+    word = F.col("h").bitwiseAND(F.lit(words - 1))
+    bits = F.expr("shiftleft(1L, int(shiftright(h, 22) & 63)) | shiftleft(1L, int(shiftright(h, 28) & 63)) | shiftleft(1L, int(shiftright(h, 34) & 63))")
+    empty = pieces.sparkSession.range(words).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    filled = chosen.select(word.alias("word"), bits.alias("bits")).unionByName(empty).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    rows = filled.groupBy(F.floor(F.col("word") / ROW).alias("row")).agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("ws")).select("row", F.col("ws.bits").alias("ws"))
+    asked = pieces.select("*", F.floor(word / ROW).alias("row"), (word % ROW).cast("int").alias("at"), bits.alias("bits"))
+    return asked.join(F.broadcast(rows), "row").where(F.get("ws", F.col("at")).bitwiseAND(F.col("bits")) == F.col("bits")).select(*pieces.columns)
 
 
-#: Characters of the piece of a secret that leads to the texts that hold it.
-PIECE = 8
+def leading(spelled: DataFrame) -> DataFrame:
+    """secret, spelling and h, the hash of the piece of k characters that fewest other spellings have. Of pieces that as many have it is the
+    one of least hash, so that it is the same wherever it is computed."""
+    each = spelled.select("secret", "spelling", F.explode(F.array_distinct(piece_hashes(F.col("token"), F.col("k")))).alias("h"))
+    count = each.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    ranked = each.join(count.hint("merge"), "h").select("secret", "spelling", F.shiftleft(F.floor(F.log2("c") * 32).cast("long"), HASH).bitwiseOR(F.col("h")).alias("p"))
+    return ranked.groupBy("secret", "spelling").agg(F.min("p").alias("p")).select("secret", "spelling", F.col("p").bitwiseAND(F.lit((1 << HASH) - 1)).alias("h"))
 
 
 def known_secrets(docs: DataFrame, secrets: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, secret, spelling and n (occurrences that don't overlap) of each spelling of a known secret that a text holds, whatever
     stands beside it and whatever characters it is of. Null and empty secrets find nothing.
 
-    Each spelling is led to by one of its pieces of PIECE characters (all of it, if it is shorter), the one that
-    fewest other spellings have, so secrets that begin alike don't meet all texts of each other. Texts' pieces meet these in an equi-join, one for each
-    length of pieces there is, and what meets is verified literally. No side is broadcast: each grows with its table, which the driver would hold."""
-    spelled = secrets.where("secret <> ''").select("secret", F.explode(spellings(F.col("secret"))).alias("s")).groupBy("secret", F.col("s.token").alias("token")).agg(F.min("s.spelling").alias("spelling"))
-    sized = spelled.withColumn("k", F.least(F.length("token"), F.lit(PIECE)))
-    lengths = sorted(r[0] for r in sized.select("k").distinct().collect())  # PIECE numbers at most
-    each = sized.select("secret", "token", "spelling", "k", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - F.col("k") + 1), lambda i: F.substring(F.col("token"), i, F.col("k")))).alias("piece"))
-    count = each.groupBy("k", "piece").agg(F.count(F.lit(1)).alias("c"))
-    rare = each.join(count.hint("merge"), ["k", "piece"]).groupBy("secret", "token", "spelling", "k").agg(F.min(F.struct("c", "piece")).alias("p")).select("secret", "token", "spelling", "k", "p.piece")
-    of_length = lambda k: F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))), lambda p: F.struct(F.lit(k).alias("k"), p.alias("piece")))
-    pieces = docs.where("text IS NOT NULL").select(key, F.explode(F.flatten(F.array(*map(of_length, lengths or [PIECE])))).alias("x")).select(key, "x.k", "x.piece")
-    met = pieces.join(rare.hint("merge"), ["k", "piece"]).select(key, "secret", "token", "spelling")
-    found = met.join(docs.select(key, "text").hint("merge"), key).withColumn("n", ((F.length("text") - F.length(F.replace("text", "token", F.lit("")))) / F.length("token")).cast("long"))
-    return found.where("n > 0").groupBy(key, "secret", "spelling").agg(F.max("n").alias("n"))
+    Each spelling is led to by one of its pieces, of the most of PIECES characters that it has (all of it, if it is shorter), the one that
+    fewest other spellings have, so secrets that begin alike don't meet all texts of each other; pieces as short for all spellings
+    would be many secrets' where those have few characters, as digits in hexadecimal. Of the texts' pieces, one for each
+    length of pieces there is, those that a filter of the secrets' pieces lets through meet these in an equi-join, and what meets is verified literally.
+    No side is broadcast: each grows with its table, which the driver would hold. The filter is, but its size is bounded, and up to FEW_TEXTS texts do without."""
+    size = F.length("token")
+    k = F.coalesce(F.greatest(*[F.when(size >= n, F.lit(n)) for n in PIECES]), size)
+    spelled = secrets.where("secret <> ''").select("secret").distinct().select("secret", F.explode(spellings(F.col("secret"))).alias("s")).select("secret", "s.*").withColumn("k", k)
+    lengths = sorted(r[0] for r in spelled.select("k").distinct().collect())  # PIECES and what is shorter at most
+    rare = leading(spelled)
+    of_length = lambda k: F.when(F.length("text") >= k, piece_hashes(F.col("text"), F.lit(k))).otherwise(F.array().cast("array<bigint>"))
+    pieces = docs.where("text IS NOT NULL").select(key, F.explode(F.array_distinct(F.flatten(F.array(*map(of_length, lengths or PIECES[:1]))))).alias("h"))
+    if docs.limit(FEW_TEXTS + 1).count() > FEW_TEXTS:
+        pieces = may_be_among(pieces, rare, secrets.count() * len(tokens(F.col("secret"))))
+    met = pieces.join(rare.hint("merge"), "h").select(key, "secret", "spelling")
+    token = F.coalesce(*[F.when(F.col("spelling") == k, v) for k, v in tokens(F.col("secret")).items()])
+    found = met.join(docs.select(key, "text").hint("merge"), key).withColumn("token", token).where(F.contains("text", "token"))
+    n = ((F.length("text") - F.length(F.replace("text", "token", F.lit("")))) / F.length("token")).cast("long")
+    return found.groupBy(key, "secret", "spelling").agg(F.max(n).alias("n"))
