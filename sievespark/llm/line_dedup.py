@@ -13,7 +13,7 @@ kept as they are; n_chars, where there is one, follows the text. An empty table
 array of its lines in one row.
 
 Chunks miss most of a short passage that is repeated between other lines, as both its cuts must lie inside it. The
-rule is that of the query's SQL, so it stays for op7_line_dedup; without_passages(), for pipelines, removes the same chunks and
+rule is that of the query's SQL, so it stays for op7_line_dedup; for pipelines, line_dedup() with passages removes the same chunks and
 looks at each two lines in a row too, which needs no cuts.
 """
 
@@ -29,13 +29,13 @@ CUT = ("0", "1", "2", "3", "4")
 
 
 def with_chunks(docs: DataFrame) -> DataFrame:
-    """docs with ls (lines) and cs: start, n (lines) and body of each chunk."""
+    """docs with ls (lines) and cs: start and n (lines) of each chunk."""
     lines = docs.withColumn("ls", F.split(F.col("text"), "\n", -1)).withColumn("hs", F.transform("ls", lambda x: F.md5(x)))
     cut = lambda i: (i == F.size("ls") - 1) | F.substring(F.md5(F.concat(F.get("hs", i - 1), F.get("hs", i))), 1, 1).isin(*CUT)
     ends = F.filter(F.sequence(F.lit(0), F.size("ls") - 1), lambda i: F.coalesce(cut(i), F.lit(False)))
     cuts = lines.withColumn("es", F.when(F.col("ls").isNotNull(), ends)).drop("hs")
     starts = F.concat(F.array(F.lit(0)), F.transform(F.slice("es", 1, F.size("es") - 1), lambda e: e + 1))
-    chunk = lambda s, e: F.struct(s.alias("start"), (e - s + 1).alias("n"), F.array_join(F.slice(F.col("ls"), s + 1, e - s + 1), "\n").alias("body"))
+    chunk = lambda s, e: F.struct(s.alias("start"), (e - s + 1).alias("n"))
     return cuts.withColumn("cs", F.when(F.col("es").isNotNull(), F.zip_with(starts, "es", chunk))).drop("es")
 
 
@@ -46,7 +46,8 @@ def row_key() -> list[Column]:
 def removals(docs: DataFrame) -> DataFrame:
     """row_id, row_hash and the starts of the chunks to remove."""
     rows = with_chunks(docs.select("doc_id", "text").where("text IS NOT NULL"))
-    several = rows.select(*row_key(), F.filter("cs", lambda c: c["n"] > 1).alias("cs"))
+    body = lambda c: F.array_join(F.slice("ls", c["start"] + 1, c["n"]), "\n")
+    several = rows.select(*row_key(), F.transform(F.filter("cs", lambda c: c["n"] > 1), lambda c: F.struct(c["start"].alias("start"), body(c).alias("body"))).alias("cs"))
     # explode_outer: for explode, the optimizer filters by the array's size and puts its whole expression, cuts and hashes, inside.
     each = several.select("row_id", "row_hash", F.explode_outer("cs").alias("c")).where("c IS NOT NULL")
     each = each.select("row_id", "row_hash", F.col("c.start").alias("start"), F.col("c.body").alias("body"), F.xxhash64("c.body").alias("k1"), F.xxhash64(F.lit(1), "c.body").alias("k2"))
@@ -86,47 +87,36 @@ def pairs(docs: DataFrame) -> DataFrame:
     return all_but_first(salted_join(each, keys, ["k1", "k2"], "row_id", keys.agg(F.sum("n")).first()[0] or 0))
 
 
-def without_passages(docs: DataFrame) -> DataFrame:
-    """docs without the lines of each passage of two lines or more that stands at an earlier place (by doc_id) too,
-    whatever lines are around it. Each line removed stays in the place that its passage was first in, or, where that
-    is within another repeated passage, in the first place of that one.
-
-    Repeated chunks of lines go by line_dedup's rule; pairs() is the exact check behind it, on the same texts, that finds what their cuts miss. Both
-    judge the input, so lines that meet only where a chunk has gone are no passage."""
-    cols = docs.columns
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("r"), "text", *row_key())
-    chunks = removals(docs.select("doc_id", "text")).withColumnRenamed("gone", "chunks")
-    both = with_chunks(keyed.join(chunks, ["row_id", "row_hash"], "left")).drop("ls").join(pairs(docs.select("doc_id", "text")), ["row_id", "row_hash"], "left")
-    in_chunks = F.flatten(F.transform(F.filter("cs", lambda c: F.array_contains("chunks", c["start"])), lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1)))
-    in_pairs = F.concat("gone", F.transform("gone", lambda i: i + 1))
-    lines = F.concat(F.coalesce(in_chunks, F.array().cast("array<int>")), F.coalesce(in_pairs, F.array().cast("array<int>")))
-    rows = both.withColumn("gone", F.when(F.col("chunks").isNotNull() | F.col("gone").isNotNull(), lines)).drop("cs", "chunks")
-    ls = F.split("text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("ls", i)), "\n"))
-    done = rows.withColumn("ls", F.when(F.col("gone").isNotNull(), ls)).select("r", "gone", text.alias("text"))
-    as_before = {"text": F.col("text"), "n_chars": F.when(F.col("gone").isNotNull(), F.length("text")).otherwise(F.col("r.n_chars")).cast(dict(docs.dtypes)["n_chars"]) if "n_chars" in cols else None}
-    return done.select(*[as_before[c].alias(c) if c in as_before else F.col(f"r.`{c}`").alias(c) for c in cols])
-
-
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, passages: bool = False) -> DataFrame:
     """docs with the repeated chunks out of text, and n_lines and n_removed (lines) in a last column, a struct named
-    line_dedup (with as many _ behind it as it takes to differ from the names in docs)."""
+    line_dedup (with as many _ behind it as it takes to differ from the names in docs).
+
+    With passages, pairs(), the exact check behind the chunks, takes what their cuts miss: the lines of each passage of two lines or more that stands at an
+    earlier place (by doc_id) too, whatever lines are around it. Each line removed stays in the place that its passage was first in, or, where that
+    is within another repeated passage, in the first place of that one. Both judge the input, so lines that meet only where a chunk has gone are no passage."""
     cols, report = docs.columns, "line_dedup"
     while report.lower() in map(str.lower, cols):
         report += "_"
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("r"), "doc_id", "text").select("r", "text", *row_key())
-    chunked = with_chunks(rows.join(removals(docs), ["row_id", "row_hash"], "left"))
-    stays = F.filter("cs", lambda c: ~F.array_contains("gone", c["start"]))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stays, lambda c: c["body"]), "\n"))
-    lines = F.when(F.col("ls").isNull(), 0).otherwise(F.size("ls")).cast("long")
-    left = F.aggregate(stays, F.lit(0), lambda a, c: a + c["n"])
-    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("ls") - left).cast("long")
-    done = chunked.select("r", text.alias("text"), F.struct(lines.alias("n_lines"), removed.alias("n_removed")).alias(report))
+    found = rows.join(removals(docs).withColumnRenamed("gone", "chunks"), ["row_id", "row_hash"], "left")
+    found = found.join(pairs(docs), ["row_id", "row_hash"], "left") if passages else found.withColumn("gone", F.lit(None).cast("array<int>"))
+    in_chunks = F.flatten(F.transform(F.filter("cs", lambda c: F.array_contains("chunks", c["start"])), lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1)))
+    in_pairs = F.concat("gone", F.transform("gone", lambda i: i + 1))
+    lines = F.array_distinct(F.concat(*[F.coalesce(x, F.array().cast("array<int>")) for x in (in_chunks, in_pairs)]))
+    chunked = with_chunks(found).select("r", "text", "ls", F.when(F.col("chunks").isNotNull() | F.col("gone").isNotNull(), lines).alias("gone"))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), F.col("gone")), lambda i: F.get("ls", i))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    count = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
+    done = chunked.select("r", text.alias("text"), F.struct(count("ls").alias("n_lines"), count("gone").alias("n_removed")).alias(report))
     as_before = {"text": F.col("text"), "n_chars": F.when(F.col(f"{report}.n_removed") > 0, F.length("text")).otherwise(F.col("r.n_chars")).cast(dict(docs.dtypes)["n_chars"]) if "n_chars" in cols else None}
     return done.select(*[as_before[c].alias(c) if c in as_before else F.col(f"r.`{c}`").alias(c) for c in cols], report)
 
 
+def without_passages(docs: DataFrame) -> DataFrame:
+    """docs, with their columns, without the lines of their repeated passages: line_dedup() with passages, but for its report."""
+    return line_dedup(docs, passages=True).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.sha2("text", 256).alias("kept_sha256"))
